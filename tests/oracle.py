@@ -22,11 +22,13 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return "NULL"
     if isinstance(v, float):
         if math.isnan(v):
-            return "NaN"
+            return "NULL"
+        if v.is_integer():
+            return str(int(v))
         return repr(round(v, 6))
     if hasattr(v, "item"):
         return _norm(v.item())
@@ -43,11 +45,10 @@ def frame_hash(pdf: pd.DataFrame) -> tuple[int, list[str], str]:
 
 
 def spark_pdf(df) -> pd.DataFrame:
-    rows = df.collect()
-    return pd.DataFrame([r.asDict() for r in rows], columns=df.columns)
+    return df.toPandas()
 
 
 def compare(spark, name, builder, sql, sf_dir):
     s = frame_hash(spark_pdf(builder(spark, sf_dir)))
-    d = frame_hash(duck(sf_dir).sql(sql).df().astype(object).where(lambda x: x.notna(), None))
+    d = frame_hash(duck(sf_dir).sql(sql).df())
     return s, d

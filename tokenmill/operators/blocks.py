@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions.arrays import attention_mask, labels_from_ids, pad_right, array_sum
-from tokenmill.functions.text import DEFAULT_ID_OFFSET, DEFAULT_ID_SPACE, hashed_token_ids
+from tokenmill.functions.text import DEFAULT_ID_OFFSET, DEFAULT_ID_SPACE, hashed_token_ids, split_words
 from tokenmill.schemas import require_columns
 
 # Fixed values of the reference's chunker.
@@ -68,6 +68,17 @@ def chunk(df: DataFrame, ids: str = "input_ids", length: int = MAX_LENGTH, strid
     return df.select(*keep, F.inline(blocks))
 
 
+def block_keys(df: DataFrame, text: str = "text", length: int = MAX_LENGTH, stride: int = STRIDE,
+               min_len: int = MIN_CHUNK_LENGTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` + ``chunk_idx`` + ``start_pos`` + ``n_real`` of every block, without building
+    token arrays (only the word count is needed)."""
+    n = F.size(split_words(text))
+    return (df.select(*keep, n.alias("__n"),
+                      F.posexplode(window_starts(n, length, stride, min_len)).alias("chunk_idx", "start_pos"))
+            .withColumn("n_real", F.least(F.lit(length), F.col("__n") - F.col("start_pos")))
+            .drop("__n"))
+
+
 def build_blocks(df: DataFrame, text: str = "text", length: int = MAX_LENGTH, stride: int = STRIDE,
                  min_len: int = MIN_CHUNK_LENGTH, pad_id: int = PAD_ID,
                  keep: tuple[str, ...] = ("doc_id",), id_space: int = DEFAULT_ID_SPACE,
