@@ -36,4 +36,5 @@ def load_all() -> None:
         importlib.import_module(f"tokenmill.queries.{mod}")
 
 
-QUERY_MODULES = ("corpus_queries", "block_queries", "storage_queries", "plan_queries")
+QUERY_MODULES = ("corpus_queries", "block_queries", "storage_queries", "plan_queries",
+                 "telemetry_queries")
