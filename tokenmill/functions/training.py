@@ -20,7 +20,10 @@ FLOPS_SEQ_LEN = 2048  # sequence length fixed inside the FLOPs formula
 
 
 def _lit(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
+    """Column as is, a string as a column name, anything else as a literal."""
+    if isinstance(x, Column):
+        return x
+    return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
 def wsd_lr(step, peak_lr: float = WSD_DEFAULTS["peak_lr"], min_lr: float = WSD_DEFAULTS["min_lr"],
