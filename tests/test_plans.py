@@ -93,3 +93,16 @@ def test_next_fit_order(spark):
     out = next(_next_fit(iter([pdf]), 10, "length"))
     assert out["bin"].tolist() == [0, 1, 1, 2]
     assert out["bin_offset"].tolist() == [0, 0, 5, 0]
+
+
+def test_dense_index_by_hash_with_hot_group(spark):
+    from tokenmill.plans.index import dense_index_by_hash
+    # group "a" holds 80% of the rows
+    df = spark.range(2000).select(F.col("id").alias("doc_id"),
+                                  F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("g"))
+    df = df.withColumn("k", S.shuffle_key(["doc_id"], 7, 0))
+    got = dense_index_by_hash(df, "k", ["doc_id"], ["g"], num_buckets=16).select("doc_id", "pos", "n_total")
+    w = Window.partitionBy("g").orderBy("k", "doc_id")
+    want = df.select("doc_id", (F.row_number().over(w) - 1).alias("pos"),
+                     F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n_total"))
+    assert sorted(got.collect()) == sorted(want.collect())

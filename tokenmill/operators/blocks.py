@@ -72,10 +72,11 @@ def block_keys(df: DataFrame, text: str = "text", length: int = MAX_LENGTH, stri
                min_len: int = MIN_CHUNK_LENGTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` + ``chunk_idx`` + ``start_pos`` + ``n_real`` of every block, without building
     token arrays (only the word count is needed)."""
-    n = F.size(split_words(text))
-    return (df.select(*keep, n.alias("__n"),
-                      F.posexplode(window_starts(n, length, stride, min_len)).alias("chunk_idx", "start_pos"))
-            .withColumn("n_real", F.least(F.lit(length), F.col("__n") - F.col("start_pos")))
+    counted = df.select(*keep, F.size(split_words(text)).alias("__n"))
+    n = F.col("__n")  # computed once per row, not once per candidate window
+    return (counted.select(*keep, n, F.posexplode(window_starts(n, length, stride, min_len))
+                           .alias("chunk_idx", "start_pos"))
+            .withColumn("n_real", F.least(F.lit(length), n - F.col("start_pos")))
             .drop("__n"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.plans.index import dense_index, top_n_per_group
+from tokenmill.plans.index import dense_index, dense_index_by_hash
 
 # ChatML layout (the fine-tune runs use a ChatML-style template).
 CHATML = {
@@ -65,7 +65,8 @@ def cap_samples(df: DataFrame, n: int, keys: Sequence[str], by: Sequence[str] =
     Exact and skew-safe: positions come from the distributed dense index, so a
     data set holding a third of the rows is never gathered into one task."""
     keyed = df.withColumn("__k", seeded_key(keys, seed))
-    return top_n_per_group(keyed, n, ["__k", *keys], by).drop("__k")
+    ranked = dense_index_by_hash(keyed, "__k", keys, by, out="__r", total=None)
+    return ranked.where(F.col("__r") < n).drop("__r", "__k")
 
 
 def train_val_split(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -80,7 +81,7 @@ def train_val_split(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42)
         out = keyed.join(F.broadcast(val), list(order), "left")
         split = F.when(F.col("__val"), F.lit("val")).otherwise(F.lit("train"))
         return out.withColumn("split", split).drop("__val", "__k")
-    ranked = dense_index(keyed, order, out="__r", total=None)
+    ranked = dense_index_by_hash(keyed, "__k", keys, out="__r", total=None)
     return ranked.withColumn("split", F.when(F.col("__r") < n, "val").otherwise("train")).drop("__r", "__k")
 
 
@@ -102,7 +103,7 @@ def interleave(df: DataFrame, probs: dict[str, float], keys: Sequence[str], set_
     weights = spark.createDataFrame([(s, float(probs[s]), i) for i, s in enumerate(names)],
                                     f"{set_col} string, __p double, __set_idx int")
     rows = select_sets(df, names, set_col).withColumn("__k", seeded_key(keys, seed))
-    ranked = dense_index(rows, ["__k", *keys], [set_col], out="__j", total="__n")
+    ranked = dense_index_by_hash(rows, "__k", keys, [set_col], out="__j", total="__n", max_groups=len(names))
 
     sizes = rows.groupBy(set_col).agg(F.count(F.lit(1)).alias("__n")).join(weights, set_col)
     need = (F.ceil(F.col("__n") / F.col("__p")) if over else F.floor(F.col("__n") / F.col("__p")))

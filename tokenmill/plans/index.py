@@ -86,3 +86,57 @@ def top_n_per_group(df: DataFrame, n: int, order: Sequence, group: Sequence[str]
     """Rows whose position in ``order`` (within ``group``) is below ``n``; exact,
     no group is collected into one task."""
     return dense_index(df, order, group, out="__rank", total=None).where(F.col("__rank") < n).drop("__rank")
+
+
+def hash_bucket(hash_hex, num_buckets: int) -> Column:
+    """Bucket of a lowercase-hex hash (e.g. ``md5``) from its first 32 bits:
+    monotone in the hash's own order and uniform, so bucket ranges need no sampling."""
+    h = F.conv(F.substring(hash_hex, 1, 8), 16, 10).cast("bigint")
+    return F.floor(h * F.lit(num_buckets).cast("bigint") / F.lit(2 ** 32)).cast("int")
+
+
+def dense_index_by_hash(df: DataFrame, hash_col: str, tiebreak: Sequence[str], group: Sequence[str] = (),
+                        out: str = "pos", total: str | None = "n_total", num_buckets: int | None = None,
+                        max_groups: int | None = None) -> DataFrame:
+    """``dense_index`` for an order led by a uniform hex hash (ties by ``tiebreak``).
+
+    Rows are hash-partitioned on ``(group, bucket)`` and sorted inside each
+    partition; a row's position is its bucket's offset plus its rank inside the
+    bucket (``monotonically_increasing_id`` minus the bucket's first id, both in
+    the same partition). Everything is deterministic and independent of how
+    partitions are numbered or coalesced, so no sampling job and no checkpoint
+    are needed, and a group holding a third of the rows is spread over all buckets.
+    ``max_groups`` (if known, e.g. the epoch count) bounds the offsets table, which
+    then is broadcast without a counting job."""
+    group = list(group)
+    spark = df.sparkSession
+    if num_buckets is None:
+        num_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn("__b", hash_bucket(F.col(hash_col), num_buckets))
+    order = [F.col(c) for c in group] + [F.col("__b"), F.col(hash_col)] + [F.col(c) for c in tiebreak]
+    tagged = (keyed.repartition(*group, "__b").sortWithinPartitions(*order)
+              .withColumn("__id", F.monotonically_increasing_id()))
+
+    counts = tagged.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__cnt"), F.min("__id").alias("__first"))
+    by_group = Window.partitionBy(*group) if group else Window.partitionBy()
+    offsets = counts.withColumn(
+        "__offset",
+        F.coalesce(F.sum("__cnt").over(by_group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("__cnt").over(by_group))
+    gnames = [f"__g{i}" for i in range(len(group))]
+    offsets = offsets.select(*[F.col(g).alias(a) for g, a in zip(group, gnames)],
+                             F.col("__b").alias("__ob"), "__first", "__offset", *([total] if total else []))
+    bound = num_buckets * (max_groups if group else 1) if (max_groups or not group) else None
+    if bound is None:
+        bound = offsets.count()
+    if bound <= BROADCAST_OFFSETS_MAX_ROWS:
+        offsets = F.broadcast(offsets)
+
+    cond = [F.col("__b") == F.col("__ob")] + [F.col(g).eqNullSafe(F.col(a)) for g, a in zip(group, gnames)]
+    joined = tagged.join(offsets, cond, "inner")
+    keep = [F.col(c) for c in df.columns]
+    pos = (F.col("__offset") + F.col("__id") - F.col("__first")).cast("bigint").alias(out)
+    extra = [F.col(total).cast("bigint").alias(total)] if total else []
+    return joined.select(*keep, pos, *extra)

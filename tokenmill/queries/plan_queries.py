@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenmill import inputs
 from tokenmill.operators import blocks as B
 from tokenmill.plans import sampling as S
-from tokenmill.plans.index import dense_index
+from tokenmill.plans.index import dense_index_by_hash
 from tokenmill.queries.block_queries import L, MIN_LEN, STRIDE
 from tokenmill.registry import register
 
@@ -80,7 +80,7 @@ SELECT doc_id, chunk_idx, row_number() OVER (ORDER BY md5('{SEED}:0:' || doc_id
 def dense_index_q(spark, sf_dir):
     """0-based position in the seeded order, computed without a one-task window."""
     keyed = sample_keys(spark, sf_dir).withColumn("shuffle_key", S.shuffle_key(KEYS, SEED, 0))
-    return dense_index(keyed, ["shuffle_key", *KEYS], total=None).select(*KEYS, "pos")
+    return dense_index_by_hash(keyed, "shuffle_key", KEYS, total=None).select(*KEYS, "pos")
 
 
 @register("rank_shards", sql=f"""
