@@ -64,3 +64,18 @@ def test_macro_average(spark):
 def test_prompt_key(spark):
     df = spark.createDataFrame([("The capital of the United States is",)], "p string")
     assert df.select(prompt_key("p").alias("k")).first().k == "测试/输入_The capita"
+
+
+def test_sizes_round_like_python(spark):
+    # 1152 B = 1.125 KB, an exact tie: Python rounds half to even -> 1.12
+    vals = [1152, 1664, int(1.015 * 1024 * 1024), 5 * 1024 ** 3 + 123456789]
+    df = spark.createDataFrame([(v,) for v in vals], "b long")
+    got = [r.s for r in df.select(human_size("b").alias("s")).collect()]
+
+    def py(b):
+        import math
+        names = ("B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")
+        i = int(math.floor(math.log(b, 1024)))
+        return f"{round(b / math.pow(1024, i), 2)} {names[i]}"
+
+    assert got == [py(v) for v in vals]

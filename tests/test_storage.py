@@ -81,3 +81,14 @@ def test_file_sizes_do_not_read_content(spark):
     classified.write_classified(C.classify(inputs.corpus(spark, SF001)), root)
     plan = physical_plan(files.file_sizes(spark, root))
     assert "content" not in plan.split("ReadSchema:")[-1]
+
+
+def test_corrupt_leaf_file_is_skipped(spark):
+    root = os.path.join(new_dir(), "c")
+    rows = C.classify(inputs.corpus(spark, SF001))
+    classified.write_classified(rows, root)
+    leaf = next(os.path.join(dp, d) for dp, ds, _ in os.walk(root) for d in ds if d == f"bucket={C.HIGH_BUCKET}")
+    with open(os.path.join(leaf, "part-broken.parquet"), "wb") as f:
+        f.write(b"not a parquet file")
+    got = classified.read_bucket(spark, root, C.HIGH_BUCKET, data_schema=rows.drop("source", "bucket").schema)
+    assert got.count() == rows.where(F.col("bucket") == C.HIGH_BUCKET).count()

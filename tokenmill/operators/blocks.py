@@ -30,10 +30,10 @@ PAD_ID = 0
 
 
 def tokenize(df: DataFrame, text: str = "text", out: str = "input_ids",
-             id_space: int = DEFAULT_ID_SPACE, offset: int = DEFAULT_ID_OFFSET) -> DataFrame:
+             id_space: int = DEFAULT_ID_SPACE, offset: int = DEFAULT_ID_OFFSET, hash: str = "md5") -> DataFrame:
     """Add ``out`` = hashed word ids of ``text`` (no truncation, no padding)."""
     require_columns(df, text)
-    return df.withColumn(out, hashed_token_ids(text, id_space, offset))
+    return df.withColumn(out, hashed_token_ids(text, id_space, offset, hash))
 
 
 def window_starts(n: Column, length: int, stride: int, min_len: int) -> Column:
@@ -83,9 +83,9 @@ def block_keys(df: DataFrame, text: str = "text", length: int = MAX_LENGTH, stri
 def build_blocks(df: DataFrame, text: str = "text", length: int = MAX_LENGTH, stride: int = STRIDE,
                  min_len: int = MIN_CHUNK_LENGTH, pad_id: int = PAD_ID,
                  keep: tuple[str, ...] = ("doc_id",), id_space: int = DEFAULT_ID_SPACE,
-                 offset: int = DEFAULT_ID_OFFSET) -> DataFrame:
+                 offset: int = DEFAULT_ID_OFFSET, hash: str = "md5") -> DataFrame:
     """Tokenize then chunk, one narrow stage; rows out != rows in."""
-    tok = df.select(*keep, hashed_token_ids(text, id_space, offset).alias("__ids"))
+    tok = df.select(*keep, hashed_token_ids(text, id_space, offset, hash).alias("__ids"))
     return chunk(tok, "__ids", length, stride, min_len, pad_id, keep)
 
 

@@ -51,10 +51,10 @@ def tokenize_with_vocab(df: DataFrame, vocab: DataFrame, text: str = "text", out
     ``MAX_BROADCAST_VOCAB`` entries); token ids stay in the row, so no token is
     ever shuffled."""
     spark = df.sparkSession
-    n = vocab.count()
-    if n > MAX_BROADCAST_VOCAB:
-        raise ValueError(f"vocabulary of {n} entries is too large to broadcast")
-    table = {r["word"]: int(r["id"]) for r in vocab.select("word", "id").collect()}
+    rows = vocab.select("word", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()  # bounded, one job
+    if len(rows) > MAX_BROADCAST_VOCAB:
+        raise ValueError(f"vocabulary over {MAX_BROADCAST_VOCAB} entries is too large to broadcast")
+    table = {r["word"]: int(r["id"]) for r in rows}
     bc = spark.sparkContext.broadcast(table)
     pattern = re.compile(WORD_PATTERN)
 

@@ -28,13 +28,17 @@ def classified_root(spark, sf_dir) -> str:
 def _human_size_sql(b: str) -> str:
     idx = "CASE " + " ".join(f"WHEN {b} >= {1024 ** i} THEN {i}" for i in range(6, 0, -1)) + " ELSE 0 END"
     units = "['B','KB','MB','GB','TB','PB','EB','ZB','YB']"
-    return (f"CASE WHEN {b} = 0 THEN '0B' ELSE CAST(round({b}::DOUBLE / pow(1024.0, {idx}), 2) AS VARCHAR)"
+    num, den = f"(CAST({b} AS HUGEINT) * 100)", f"(CAST(1 AS HUGEINT) << (10 * ({idx})))"
+    q = f"({num} // {den})"
+    r2 = f"(2 * ({num} - {q} * {den}))"
+    rounded = f"(CASE WHEN {r2} > {den} THEN {q} + 1 WHEN {r2} < {den} THEN {q} ELSE {q} + {q} % 2 END)"
+    return (f"CASE WHEN {b} = 0 THEN '0B' ELSE CAST(CAST({rounded} AS DOUBLE) / 100.0::DOUBLE AS VARCHAR)"
             f" || ' ' || ({units})[({idx}) + 1] END")
 
 
 def _report_sql(per_source: str) -> str:
     return f"""{per_source},
-rep AS (SELECT source, bytes, bytes * 100.0::DOUBLE / sum(bytes) OVER () AS pct FROM per)
+rep AS (SELECT source, bytes, bytes / CAST(sum(bytes) OVER () AS DOUBLE) * 100.0::DOUBLE AS pct FROM per)
 SELECT source, bytes, round(pct, 6) AS pct, {_human_size_sql('bytes')} AS size,
        printf('  - %-20s: %-10s (%.2f%%)', source, {_human_size_sql('bytes')}, pct) AS line
 FROM rep WHERE bytes > 0"""

@@ -36,7 +36,7 @@ def share_report(per_source: DataFrame, value: str) -> DataFrame:
     w = Window.partitionBy()
     out = (per_source.withColumn("total", F.sum(value).over(w))
            .where(F.col("total") > 0)
-           .withColumn("pct", F.col(value) * F.lit(100.0) / F.col("total")))
+           .withColumn("pct", F.col(value) / F.col("total").cast("double") * F.lit(100.0)))
     return (out.withColumn("size", human_size(value))
             .withColumn("line", report_line("source", value, "pct"))
             .drop("total")
