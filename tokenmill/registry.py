@@ -37,4 +37,4 @@ def load_all() -> None:
 
 
 QUERY_MODULES = ("corpus_queries", "block_queries", "storage_queries", "plan_queries",
-                 "telemetry_queries", "vocab_queries", "chat_queries")
+                 "telemetry_queries", "vocab_queries", "chat_queries", "stream_queries")
