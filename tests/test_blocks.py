@@ -79,3 +79,12 @@ def test_token_ids_are_stable(spark):
     df = spark.createDataFrame([("a b\tc\nd a",)], "text string")
     ids = B.tokenize(df).first().input_ids
     assert len(ids) == 5 and ids[0] == ids[4] and all(16 <= i < 50016 for i in ids)
+
+
+def test_padding_report_keys_equal_blocks(spark):
+    from conftest import SF001
+    from tokenmill import inputs
+    docs = inputs.table(spark, SF001, "documents")
+    a = B.padding_report(B.build_blocks(docs, "text", 64, 32, 8)).first()
+    b = B.padding_report(B.block_keys(docs, "text", 64, 32, 8), length=64).first()
+    assert a == b

@@ -108,11 +108,20 @@ def with_labels(df: DataFrame, pad_id: int = PAD_ID, by: str = "pad") -> DataFra
     raise ValueError("by must be 'pad' or 'mask'")
 
 
-def padding_report(blocks: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    """Blocks, real tokens (mask sum), capacity and padding share per group."""
-    require_columns(blocks, "attention_mask")
-    real = array_sum("attention_mask")
-    cap = F.size("attention_mask").cast("bigint")
+def padding_report(blocks: DataFrame, group: tuple[str, ...] = (), length: int | None = None) -> DataFrame:
+    """Blocks, real tokens, capacity and padding share per group.
+
+    On materialised blocks the real tokens are ``sum(attention_mask)``. On block
+    keys (``block_keys``: one ``n_real`` per block, pass the block ``length``) the
+    same figures come without building any token array."""
+    if "attention_mask" in blocks.columns:
+        real = array_sum("attention_mask")
+        cap = F.size("attention_mask").cast("bigint")
+    elif "n_real" in blocks.columns and length:
+        real = F.col("n_real").cast("bigint")
+        cap = F.lit(length).cast("bigint")
+    else:
+        raise ValueError("need attention_mask, or n_real and the block length")
     agg = (blocks.groupBy(*group) if group else blocks.groupBy())
     return (agg.agg(F.count(F.lit(1)).alias("blocks"), F.sum(real).alias("real_tokens"),
                     F.sum(cap).alias("capacity"))

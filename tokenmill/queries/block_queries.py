@@ -95,8 +95,10 @@ SELECT count(*) AS blocks, CAST(sum(list_sum(attention_mask)) AS BIGINT) AS real
        round(1.0::DOUBLE - sum(list_sum(attention_mask))::DOUBLE / sum(len(attention_mask))::DOUBLE, 6) AS pad_share
 FROM blocks""")
 def padding_report(spark, sf_dir):
-    """Real tokens vs capacity over all blocks of all documents."""
-    return B.padding_report(all_blocks(spark, sf_dir))
+    """Real tokens vs capacity over all blocks of all documents (from block keys:
+    only window lengths are needed, so no token ids are hashed)."""
+    keys = B.block_keys(inputs.table(spark, sf_dir, "documents"), "text", L, STRIDE, MIN_LEN)
+    return B.padding_report(keys, length=L)
 
 
 def block_token_total(df: DataFrame):
