@@ -159,18 +159,19 @@ def shard_of(keys: Sequence[str], seed: int, n_shards: int) -> Column:
     return F.pmod(h, F.lit(n_shards).cast("bigint")).cast("int")
 
 
-def pack(df: DataFrame, capacity: int, keys: Sequence[str], length: str = "length", n_shards: int = 8,
+def pack(df: DataFrame, capacity: int, keys: Sequence[str], length: str = "length", n_shards: int = 1024,
          seed: int = 42) -> DataFrame:
     """T5: next-fit packing of samples into bins of ``capacity`` tokens.
 
     Samples are spread over ``n_shards`` shards by seeded hash and taken in seeded
     order inside each shard; a sample longer than ``capacity`` must be cut first
     (``cutoff_tokens``) and a sample is never split. The shard count is part of the
-    result (next-fit is order-dependent); more shards = more parallelism."""
+    result (next-fit is order-dependent) and bounds the rows one sequential scan
+    sees; the task count is the session's: shards are hash-partitioned (whole
+    shards per partition, several per partition), sorted, and streamed."""
     keyed = (df.withColumn("shard", shard_of(keys, seed, n_shards))
              .withColumn("__k", seeded_key(keys, seed)))
-    ordered = (keyed.repartitionByRange(n_shards, "shard")
-               .sortWithinPartitions("shard", "__k", *keys))
+    ordered = keyed.repartition("shard").sortWithinPartitions("shard", "__k", *keys)
     schema = T.StructType(list(ordered.schema.fields) + [T.StructField("bin", T.LongType()),
                                                          T.StructField("bin_offset", T.LongType())])
     return ordered.mapInPandas(lambda it: _next_fit(it, capacity, length), schema).drop("__k")

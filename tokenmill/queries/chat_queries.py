@@ -12,7 +12,7 @@ from tokenmill.queries.sql_common import csv, token_ids
 from tokenmill.registry import register
 
 CUTOFF = 512
-SHARDS = 4
+SHARDS = 16
 SEED = 42
 CAP_PER_SET = 30
 VAL_SIZE = 10
@@ -70,7 +70,7 @@ r AS (SELECT shard, rn, conv_id, length, CAST(0 AS BIGINT) AS bin, CAST(length A
       FROM r JOIN s ON s.shard = r.shard AND s.rn = r.rn + 1)
 SELECT conv_id, shard, CAST(length AS BIGINT) AS length, bin, bin_offset FROM r""")
 def pack_bins(spark, sf_dir):
-    """T5: next-fit packing of cut conversations into 512-token bins, 4 seeded shards."""
+    """T5: next-fit packing of cut conversations into 512-token bins, 16 seeded shards."""
     items = rendered(spark, sf_dir).select(
         "conv_id", F.least(F.size(split_words("prompt")), F.lit(CUTOFF)).cast("bigint").alias("length"))
     packed = CH.pack(items, CUTOFF, ["conv_id"], "length", SHARDS, SEED)
