@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tokenmill.session import ensure_checkpoint_dir
 
-# Largest offsets table we broadcast; it has one row per (partition, group) pair.
-BROADCAST_OFFSETS_MAX_ROWS = 200_000
+# Largest offsets table we broadcast: one row (about 40 bytes) per (partition or
+# bucket, group) pair, so at most ~40 MB.
+BROADCAST_OFFSETS_MAX_ROWS = 1_000_000
 
 
 def _cols(cs: Sequence) -> list[Column]:

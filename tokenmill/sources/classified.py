@@ -47,7 +47,10 @@ def write_classified(df: DataFrame, root: str, on_existing: str = "skip",
     ``on_existing``: ``"skip"`` (the reference's rule: a leaf whose directory
     exists is left alone, even if half written), ``"append"``, ``"overwrite"``
     (dynamic: replaces only the leaves present in ``df``) or ``"error"``.
-    Concurrent writers may both see a leaf as absent; that race is not handled.
+    With Spark's default (v1) file commit protocol a leaf directory appears only
+    when the job commits, so a job that dies mid-way leaves no half-written leaf
+    for a re-run to skip; lost tasks are simply retried. Concurrent writers may
+    both see a leaf as absent; that race is not handled.
     """
     require_columns(df, *PARTITION_COLS)
     spark = df.sparkSession
