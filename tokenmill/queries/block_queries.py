@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill import inputs
-from tokenmill.functions.arrays import array_sum
 from tokenmill.operators import blocks as B
 from tokenmill.operators import classify as C
 from tokenmill.queries.sql_common import CLASSIFIED, CORPUS, blocks_cte, csv, token_ids
@@ -99,7 +98,3 @@ def padding_report(spark, sf_dir):
     only window lengths are needed, so no token ids are hashed)."""
     keys = B.block_keys(inputs.table(spark, sf_dir, "documents"), "text", L, STRIDE, MIN_LEN)
     return B.padding_report(keys, length=L)
-
-
-def block_token_total(df: DataFrame):
-    return df.agg(F.sum(array_sum("attention_mask")).alias("tokens"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tokenmill import inputs
 from tokenmill.operators import blocks as B
 from tokenmill.plans import sampling as S
