@@ -63,3 +63,24 @@ def test_render_chat_orders_turns(spark):
     got = CH.render_chat(df, add_generation_prompt=True).first().prompt
     assert got == ("<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"
                    "<|im_start|>assistant\n")
+
+
+import pytest
+
+
+@pytest.mark.parametrize("sizes,weights,over", [
+    ([37, 11, 23, 5], [0.4, 0.3, 0.2, 0.1], True),
+    ([9, 9, 4], [0.5, 0.5, 0.25], True),          # equal weights: every key ties
+    ([50, 3, 17], [0.7, 0.13, 0.17], False),
+    ([101, 64, 7], [1 / 3, 1 / 3, 1 / 3], True),
+])
+def test_interleave_positions_equal_a_global_sort(spark, sizes, weights, over):
+    from pyspark.sql import Window
+    df = sets_df(spark, sizes)
+    probs = {f"s{i}": w for i, w in enumerate(weights)}
+    out = CH.interleave(df, probs, ["doc_id"], over=over)
+    idx = {s: i for i, s in enumerate(probs)}
+    set_idx = F.create_map(*[x for s, i in idx.items() for x in (F.lit(s), F.lit(i))])[F.col("source")]
+    want = out.select("source", "r", (F.row_number().over(Window.orderBy("order_key", set_idx)) - 1).alias("p"))
+    got = {(r.source, r.r): r.pos for r in out.collect()}
+    assert got == {(r.source, r.r): r.p for r in want.collect()}

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.plans.index import dense_index, dense_index_by_hash
+from tokenmill.plans.index import dense_index_by_hash
 
 # ChatML layout (the fine-tune runs use a ChatML-style template).
 CHATML = {
@@ -111,8 +111,11 @@ def interleave(df: DataFrame, probs: dict[str, float], keys: Sequence[str], set_
     t_all = F.max(need).over(whole) if over else F.min(need).over(whole)
     m = F.ceil(F.col("__p") * F.col("__T"))
     sizes = (sizes.withColumn("__T", t_all)
-             .withColumn("__m", m if over else F.least(F.col("__n"), m))
-             .select(set_col, "__p", "__set_idx", "__m"))
+             .withColumn("__m", (m if over else F.least(F.col("__n"), m)).cast("bigint")))
+    # every set's (index, weight, rows taken) on every set row: one small array
+    all_sets = F.collect_list(F.struct(F.col("__set_idx").alias("i"), F.col("__p").alias("p"),
+                                       F.col("__m").alias("m"))).over(whole)
+    sizes = sizes.withColumn("__all", all_sets).select(set_col, "__p", "__set_idx", "__m", "__all")
     # one row per named set: bounded by the weights given
     joined = ranked.join(F.broadcast(sizes), set_col)
     n_i = F.col("__n")
@@ -122,8 +125,28 @@ def interleave(df: DataFrame, probs: dict[str, float], keys: Sequence[str], set_
            .where(reps > 0)
            .withColumn("r", (F.col("__j") + F.col("__t") * n_i).cast("bigint"))
            .withColumn("order_key", (F.col("r") + F.lit(0.5)) / F.col("__p")))
-    out = dense_index(out, ["order_key", "__set_idx"], out="pos", total=None)
-    return out.drop("__t", "__k", "__j", "__m", "__p", "__n")
+    ahead = F.aggregate(F.col("__all"), F.lit(0).cast("bigint"),
+                        lambda acc, st: acc + _rows_ahead(st, F.col("order_key"), F.col("__set_idx")))
+    out = out.withColumn("pos", F.col("r") + ahead)
+    return out.drop("__t", "__k", "__j", "__m", "__p", "__n", "__all")
+
+
+def _rows_ahead(st: Column, x: Column, own: Column) -> Column:
+    """How many rows of set ``st`` come before key ``x`` of set ``own`` in the
+    interleave order: keys ``(c + 0.5) / p`` for ``c < m`` are increasing in ``c``,
+    so it is the first ``c`` not ahead; ``ceil(x*p - 0.5)`` lands on it or one off,
+    and one exact comparison of the same double keys settles it (ties: lower set first)."""
+    p, m = st["p"], st["m"]
+
+    def ahead(c):
+        key = (c.cast("double") + F.lit(0.5)) / p
+        return F.when(st["i"] < own, key <= x).otherwise(key < x)
+
+    c0 = F.least(F.greatest(F.ceil(x * p - F.lit(0.5)), F.lit(0).cast("bigint")), m)
+    c = (F.when((c0 > 0) & ~ahead(c0 - 1), c0 - 1)
+         .when((c0 < m) & ahead(c0), c0 + 1)
+         .otherwise(c0))
+    return F.when(st["i"] == own, F.lit(0).cast("bigint")).otherwise(c.cast("bigint"))
 
 
 # ---- packing (T5) -------------------------------------------------------------------

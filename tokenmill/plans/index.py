@@ -112,7 +112,10 @@ def dense_index_by_hash(df: DataFrame, hash_col: str, tiebreak: Sequence[str], g
     group = list(group)
     spark = df.sparkSession
     if num_buckets is None:
-        num_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        try:
+            num_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        except (TypeError, ValueError):  # e.g. "auto" on some platforms
+            num_buckets = 800
     keyed = df.withColumn("__b", hash_bucket(F.col(hash_col), num_buckets))
     order = [F.col(c) for c in group] + [F.col("__b"), F.col(hash_col)] + [F.col(c) for c in tiebreak]
     tagged = (keyed.repartition(*group, "__b").sortWithinPartitions(*order)
