@@ -106,3 +106,27 @@ def test_dense_index_by_hash_with_hot_group(spark):
     want = df.select("doc_id", (F.row_number().over(w) - 1).alias("pos"),
                      F.count(F.lit(1)).over(Window.partitionBy("g")).alias("n_total"))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_shard_covers_every_key(spark):
+    base = S.with_epochs(keys_df(spark, 997), 1)
+    sh = S.shard(S.indexed(base, ["doc_id", "chunk_idx"]), 8)
+    assert sh.select("doc_id").distinct().count() == 997
+    assert sh.count() == 1000
+
+
+def test_pack_invariants_on_conversations(spark):
+    from conftest import SF001
+    from tokenmill import inputs
+    from tokenmill.functions.text import split_words
+    from tokenmill.operators.chat import render_chat
+    items = render_chat(inputs.chat(spark, SF001)).select(
+        "conv_id", F.least(F.size(split_words("prompt")), F.lit(300)).cast("bigint").alias("length"))
+    packed = pack(items, 300, ["conv_id"], "length", n_shards=3, seed=5)
+    rows = packed.collect()
+    assert sorted(r.conv_id for r in rows) == sorted(r.conv_id for r in items.collect())
+    fill = {}
+    for r in rows:
+        fill[(r.shard, r.bin)] = fill.get((r.shard, r.bin), 0) + r.length
+        assert r.bin_offset + r.length <= 300
+    assert max(fill.values()) <= 300
