@@ -34,3 +34,20 @@ def test_stream_step_loss_equals_batch(spark):
     batch = TM.step_loss(inputs.micro_log(spark, SF001), 8)
     want = {(r.opt_step, round(r.loss, 6), r.micro_batches) for r in batch.collect()}
     assert got == want
+
+
+def test_scalar_functions_accept_a_stream(spark):
+    from tokenmill.functions.text import human_size, prompt_key, thousands
+
+    def shape(df):
+        return (C.classify(df, keep_unbinned=True)
+                .select("doc_id", "bucket", human_size(F.octet_length("text")).alias("size"),
+                        thousands(F.col("doc_id") * 1000).alias("t"), prompt_key("text").alias("k")))
+
+    out = os.path.join(tempfile.mkdtemp(prefix="tokenmill-stream-"), "fmt")
+    q = (shape(streams.corpus_stream(spark, SF001, glob="documents.parquet")).writeStream
+         .format("parquet").option("checkpointLocation", tempfile.mkdtemp(prefix="tokenmill-ckpt-"))
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination(300)
+    got = sorted(spark.read.parquet(out).collect())
+    assert got == sorted(shape(inputs.corpus(spark, SF001)).collect())
