@@ -79,3 +79,11 @@ def test_sizes_round_like_python(spark):
         return f"{round(b / math.pow(1024, i), 2)} {names[i]}"
 
     assert got == [py(v) for v in vals]
+
+
+def test_integer_division_is_exact(spark):
+    from tokenmill.functions._cols import ceil_div, idiv
+    vals = [0, 1, 7, 8, 9, -1, -9, 2 ** 62 + 12345, 2 ** 53 + 1]
+    df = spark.createDataFrame([(v,) for v in vals], "c long")
+    for r in df.select("c", idiv("c", 8).alias("d"), ceil_div("c", 8).alias("e")).collect():
+        assert r.d == r.c // 8 and r.e == -((-r.c) // 8)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenmill.functions._cols import idiv
 from tokenmill.functions.training import flops_per_token, mfu, wsd_lr
 from tokenmill.plans.sampling import BATCH_SIZE, GRAD_ACCUM, SEQ_LEN
 from tokenmill.schemas import require_columns
@@ -54,7 +55,7 @@ def step_loss(log: DataFrame, grad_accum: int = GRAD_ACCUM) -> DataFrame:
     require_columns(log, "epoch", "rank", "batch_idx", "ts", "loss")
     g = F.lit(grad_accum).cast("bigint")
     closing = F.when(F.col("batch_idx") % g == g - 1, F.lit(1))
-    steps = (log.withColumn("opt_step", F.floor(F.col("batch_idx") / g).cast("bigint"))
+    steps = (log.withColumn("opt_step", idiv("batch_idx", grad_accum))
              .groupBy("epoch", "rank", "opt_step")
              .agg(F.sum(F.col("loss") / g).alias("loss"),
                   F.count(F.lit(1)).alias("micro_batches"),
@@ -76,8 +77,7 @@ def with_global_step(steps: DataFrame, steps_per_epoch: int | None = None,
     out = steps.withColumn("step", F.col("opt_step") + 1)
     if steps_per_epoch is None:
         spe = (steps.groupBy("epoch")
-               .agg(F.floor((F.max("last_batch") + 1) / F.lit(grad_accum)).cast("bigint")
-                    .alias("steps_per_epoch")))
+               .agg(idiv(F.max("last_batch") + 1, grad_accum).alias("steps_per_epoch")))
         out = out.join(F.broadcast(spe), "epoch")
     else:
         out = out.withColumn("steps_per_epoch", F.lit(steps_per_epoch).cast("bigint"))

@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.functions._cols import ceil_div, idiv
 from tokenmill.plans.index import dense_index_by_hash
 
 # Fixed values of the reference's trainer.
@@ -62,30 +63,30 @@ def shard(df: DataFrame, world_size: int) -> DataFrame:
     Needs ``pos`` and ``n_total`` (from ``indexed``). The fewer than W padding
     copies per epoch are emitted by the rows themselves (narrow, no join)."""
     w = F.lit(world_size).cast("bigint")
-    padded_total = F.ceil(F.col("n_total") / w) * w
+    rank_size = ceil_div("n_total", world_size)
+    padded_total = rank_size * w
     copies = F.when(F.col("pos") < padded_total - F.col("n_total"),
                     F.array(F.col("pos"), F.col("pos") + F.col("n_total"))).otherwise(F.array(F.col("pos")))
     out = df.withColumn("pos", F.explode(copies))
-    return (out.withColumn("rank", (F.col("pos") % w).cast("int"))
-            .withColumn("pos_in_rank", F.floor(F.col("pos") / w).cast("bigint"))
-            .withColumn("rank_size", (padded_total / w).cast("bigint")))
+    return (out.withColumn("rank", F.pmod(F.col("pos"), w).cast("int"))
+            .withColumn("pos_in_rank", idiv("pos", world_size))
+            .withColumn("rank_size", rank_size))
 
 
 def batch(df: DataFrame, batch_size: int, drop_last: bool = False) -> DataFrame:
     """``batch_idx`` and ``pos_in_batch``; ``drop_last`` drops the short last batch."""
     b = F.lit(batch_size).cast("bigint")
-    out = (df.withColumn("batch_idx", F.floor(F.col("pos_in_rank") / b).cast("bigint"))
-           .withColumn("pos_in_batch", (F.col("pos_in_rank") % b).cast("int")))
-    n_batches = (F.floor(F.col("rank_size") / b) if drop_last else F.ceil(F.col("rank_size") / b)).cast("bigint")
+    out = (df.withColumn("batch_idx", idiv("pos_in_rank", batch_size))
+           .withColumn("pos_in_batch", F.pmod(F.col("pos_in_rank"), b).cast("int")))
+    n_batches = idiv("rank_size", batch_size) if drop_last else ceil_div("rank_size", batch_size)
     out = out.withColumn("n_batches", n_batches)
     return out.where(F.col("batch_idx") < F.col("n_batches")) if drop_last else out
 
 
 def opt_steps(df: DataFrame, grad_accum: int = GRAD_ACCUM) -> DataFrame:
     """E5: ``opt_step`` (null for a trailing group of < G batches), ``steps_per_epoch``."""
-    g = F.lit(grad_accum).cast("bigint")
-    spe = F.floor(F.col("n_batches") / g).cast("bigint")
-    step = F.floor(F.col("batch_idx") / g).cast("bigint")
+    spe = idiv("n_batches", grad_accum)
+    step = idiv("batch_idx", grad_accum)
     return (df.withColumn("steps_per_epoch", spe)
             .withColumn("opt_step", F.when(step < spe, step)))
 

@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tokenmill import inputs
+from tokenmill.functions._cols import idiv
 from tokenmill.operators import blocks as B
 from tokenmill.operators import classify as C
 from tokenmill.session import scratch_path
@@ -100,7 +101,7 @@ def stream_step_loss(log: DataFrame, grad_accum: int = 8, watermark: str = "1 ho
     """G4 on a streaming micro-batch log ``(epoch, rank, batch_idx, ts, loss)``."""
     keyed = (log.withColumn("ts", F.col("ts").cast("timestamp"))
              .withWatermark("ts", watermark)
-             .withColumn("opt_step", F.floor(F.col("batch_idx") / F.lit(grad_accum)).cast("bigint")))
+             .withColumn("opt_step", idiv("batch_idx", grad_accum)))
     return keyed.groupBy("epoch", "rank", "opt_step").applyInPandasWithState(
         _step_update(grad_accum), STEP_OUT, STEP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
