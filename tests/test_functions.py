@@ -87,3 +87,11 @@ def test_integer_division_is_exact(spark):
     df = spark.createDataFrame([(v,) for v in vals], "c long")
     for r in df.select("c", idiv("c", 8).alias("d"), ceil_div("c", 8).alias("e")).collect():
         assert r.d == r.c // 8 and r.e == -((-r.c) // 8)
+
+
+def test_lr_schedule_table(spark):
+    from tokenmill import api as tm
+    rows = tm.lr_schedule(spark, 40, peak_lr=1.0, min_lr=0.1, warmup_steps=10, decay_start_step=20,
+                          decay_steps=10).collect()
+    assert len(rows) == 40 and rows[0].step == 0
+    assert [round(r.lr, 6) for r in rows if r.step in (0, 9, 25, 39)] == [0.1, 1.0, 0.55, 0.1]

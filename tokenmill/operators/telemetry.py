@@ -107,6 +107,14 @@ def step_rates(steps: DataFrame, flops_tok, peak, world_size: int = 1, seq_len:
             .withColumn("mfu_percent", mfu(F.lit(tokens_local), t, f, p) * F.lit(100.0)))
 
 
+def lr_schedule(spark, total_steps: int | None = None, **wsd) -> DataFrame:
+    """M1 as a table ``(step, lr)`` for every optimizer step of a run (a
+    distributed ``range``, one narrow projection)."""
+    from tokenmill.functions.training import WSD_DEFAULTS
+    n = total_steps if total_steps is not None else wsd.get("total_steps", WSD_DEFAULTS["total_steps"])
+    return spark.range(n).select(F.col("id").alias("step"), wsd_lr(F.col("id"), **wsd).alias("lr"))
+
+
 def lr_by_step(steps: DataFrame, **wsd) -> DataFrame:
     """M1 on the log: WSD learning rate after each completed global step."""
     return steps.withColumn("lr", wsd_lr(F.col("global_step"), **wsd))
@@ -141,5 +149,5 @@ def macro_average(scores: DataFrame, drop_zero: bool = False) -> DataFrame:
                                         F.count(val).alias("subjects"))
 
 
-__all__ = ["gpu_peak", "step_loss", "with_global_step", "log_every", "step_rates", "lr_by_step",
+__all__ = ["gpu_peak", "step_loss", "with_global_step", "log_every", "step_rates", "lr_schedule", "lr_by_step",
            "epoch_summary", "macro_average", "flops_per_token"]
