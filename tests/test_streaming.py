@@ -51,3 +51,36 @@ def test_scalar_functions_accept_a_stream(spark):
     q.awaitTermination(300)
     got = sorted(spark.read.parquet(out).collect())
     assert got == sorted(shape(inputs.corpus(spark, SF001)).collect())
+
+
+def test_stream_step_loss_waits_for_late_micro_batches(spark):
+    """A step split over two files (triggers) is emitted once, complete; a step whose
+    closing micro-batch came but one earlier batch never did is emitted on timeout."""
+    import datetime as dt
+    import pandas as pd
+    src = tempfile.mkdtemp(prefix="tokenmill-events-")
+    t = dt.datetime(2024, 1, 1)
+
+    def write(name, rows):
+        pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+        spark.createDataFrame(pdf, "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                                   "value double, props string").coalesce(1).write.parquet(os.path.join(src, name))
+
+    row = lambda i, minutes: (i, t + dt.timedelta(minutes=minutes), 0, "x", float(i), "{}")
+    # step 0: batches 0,1 in file a, 2,3 in file b; step 1: batch 5 missing, 7 closes it; far-later step 9
+    write("a", [row(0, 0), row(1, 1)])
+    write("b", [row(2, 2), row(3, 3), row(4, 4), row(6, 6), row(7, 7)])
+    write("c", [row(36, 600), row(37, 601), row(38, 602), row(39, 603)])
+    log = inputs.micro_log_from_events(
+        spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                                "value double, props string")
+        .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src))
+    out = streams.stream_step_loss(log, grad_accum=4, watermark="1 hour")
+    q = (out.writeStream.format("memory").queryName("late_steps").outputMode("append")
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="tokenmill-ckpt-"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {r.opt_step: (r.micro_batches, round(r.loss, 6)) for r in spark.sql("SELECT * FROM late_steps").collect()}
+    assert got[0] == (4, round((0 + 1 + 2 + 3) / 4, 6))
+    assert got[1] == (3, round((4 + 6 + 7) / 4, 6))
+    assert got[9] == (4, round((36 + 37 + 38 + 39) / 4, 6))

@@ -58,6 +58,7 @@ STEP_STATE = T.StructType([
     T.StructField("closed", T.BooleanType()),
     T.StructField("start_ts", T.TimestampType()),
     T.StructField("end_ts", T.TimestampType()),
+    T.StructField("end_ms", T.LongType()),
 ])
 STEP_OUT = T.StructType([
     T.StructField("epoch", T.IntegerType()),
@@ -72,14 +73,16 @@ STEP_OUT = T.StructType([
 
 def _step_update(grad_accum: int):
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import warnings
+        warnings.filterwarnings("ignore", category=FutureWarning)  # pandas concat of empty outputs
         epoch, rank, step = key
         if state.hasTimedOut:
-            loss, n, closed, t0, t1 = state.get
+            loss, n, closed, t0, t1, _ = state.get
             state.remove()
             if closed:
                 yield pd.DataFrame([(epoch, rank, step, loss, n, t0, t1)], columns=STEP_OUT.names)
             return
-        loss, n, closed, t0, t1 = state.get if state.exists else (0.0, 0, False, None, None)
+        loss, n, closed, t0, t1, end_ms = state.get if state.exists else (0.0, 0, False, None, None, None)
         for pdf in batches:
             loss += float((pdf["loss"] / grad_accum).sum())
             n += len(pdf)
@@ -87,12 +90,16 @@ def _step_update(grad_accum: int):
             lo, hi = pdf["ts"].min(), pdf["ts"].max()
             t0 = lo if t0 is None or lo < t0 else t0
             t1 = hi if t1 is None or hi > t1 else t1
+            hi_ms = int(pdf["ts_ms"].max())
+            end_ms = hi_ms if end_ms is None or hi_ms > end_ms else end_ms
         if n >= grad_accum:
             state.remove()
             yield pd.DataFrame([(epoch, rank, step, loss, n, t0, t1)], columns=STEP_OUT.names)
             return
-        state.update((loss, n, closed, t0, t1))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
+        state.update((loss, n, closed, t0, t1, end_ms))
+        # give up on the missing micro-batches once the watermark passes the step's
+        # latest event time: later rows for it would be beyond the allowed lateness
+        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs()) + 1)
 
     return update
 
@@ -100,6 +107,7 @@ def _step_update(grad_accum: int):
 def stream_step_loss(log: DataFrame, grad_accum: int = 8, watermark: str = "1 hour") -> DataFrame:
     """G4 on a streaming micro-batch log ``(epoch, rank, batch_idx, ts, loss)``."""
     keyed = (log.withColumn("ts", F.col("ts").cast("timestamp"))
+             .withColumn("ts_ms", F.unix_millis("ts"))
              .withWatermark("ts", watermark)
              .withColumn("opt_step", idiv("batch_idx", grad_accum)))
     return keyed.groupBy("epoch", "rank", "opt_step").applyInPandasWithState(
