@@ -92,3 +92,20 @@ def test_corrupt_leaf_file_is_skipped(spark):
         f.write(b"not a parquet file")
     got = classified.read_bucket(spark, root, C.HIGH_BUCKET, data_schema=rows.drop("source", "bucket").schema)
     assert got.count() == rows.where(F.col("bucket") == C.HIGH_BUCKET).count()
+
+
+def test_band_read_lists_only_the_band(spark):
+    root = os.path.join(new_dir(), "c")
+    classified.write_classified(C.classify(inputs.corpus(spark, SF001)), root)
+    df = classified.read_bucket(spark, root, C.HIGH_BUCKET)
+    files = df.inputFiles()
+    assert files and all(f"bucket={C.HIGH_BUCKET}" in f for f in files)
+    assert classified.read_bucket(spark, root, "score_0.1_to_0.2").count() == 0
+    assert files.size_report(spark, root, "score_0.1_to_0.2").count() == 0
+
+
+def test_write_without_rebalance(spark):
+    root = os.path.join(new_dir(), "c")
+    rows = C.classify(inputs.corpus(spark, SF001))
+    classified.write_classified(rows, root, rebalance=False)
+    assert classified.read_classified(spark, root).count() == rows.count()

@@ -41,7 +41,8 @@ def existing_leaves(spark: SparkSession, root: str) -> list[tuple[str | None, st
 
 
 def write_classified(df: DataFrame, root: str, on_existing: str = "skip",
-                     max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE) -> list[tuple]:
+                     max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
+                     rebalance: bool = True) -> list[tuple]:
     """Write rows under ``root/source=<s>/bucket=<b>/``; returns the leaves written to.
 
     ``on_existing``: ``"skip"`` (the reference's rule: a leaf whose directory
@@ -51,6 +52,12 @@ def write_classified(df: DataFrame, root: str, on_existing: str = "skip",
     when the job commits, so a job that dies mid-way leaves no half-written leaf
     for a re-run to skip; lost tasks are simply retried. Concurrent writers may
     both see a leaf as absent; that race is not handled.
+
+    ``rebalance=True`` (default) shuffles once on ``(source, bucket)`` so file
+    counts stay bounded whatever the input layout (AQE splits hot leaves).
+    ``rebalance=False`` skips that shuffle and writes from the scan, sorted within
+    each task: right for inputs already clustered by source, where each task
+    touches few leaves; on mixed inputs it makes tasks x leaves files.
     """
     require_columns(df, *PARTITION_COLS)
     spark = df.sparkSession
@@ -66,7 +73,9 @@ def write_classified(df: DataFrame, root: str, on_existing: str = "skip",
         mode = "errorifexists"
     elif on_existing != "append":
         raise ValueError("on_existing must be skip, append, overwrite or error")
-    writer = (df.hint("rebalance", *PARTITION_COLS).write
+    laid_out = (df.hint("rebalance", *PARTITION_COLS) if rebalance
+                else df.sortWithinPartitions(*PARTITION_COLS))
+    writer = (laid_out.write
               .option("maxRecordsPerFile", max_records_per_file)
               .partitionBy(*PARTITION_COLS).mode(mode))
     if mode == "overwrite":
@@ -88,10 +97,29 @@ def read_classified(spark: SparkSession, root: str, data_schema: T.StructType |
     return reader.schema(schema).parquet(root)
 
 
+def band_glob(spark: SparkSession, root: str, bucket: str) -> str:
+    """Glob of one band's leaf directories: only these are listed, not the whole root."""
+    return f"{root.rstrip('/')}/source=*/bucket={fs.escape_partition_value(spark, bucket)}"
+
+
 def read_bucket(spark: SparkSession, root: str, bucket: str,
                 data_schema: T.StructType | None = None) -> DataFrame:
-    """One band across every source leaf (pruned); sources without it add nothing."""
-    return read_classified(spark, root, data_schema).where(F.col("bucket") == F.lit(bucket))
+    """One band across every source leaf; sources without it add nothing.
+
+    Only the band's directories are listed (a glob under ``root``, partition
+    discovery kept via ``basePath``), and the band predicate stays as a partition
+    filter. A band that no source has gives an empty result."""
+    if not fs.exists(spark, root):
+        raise FileNotFoundError(f"classified root {root} does not exist")
+    glob = band_glob(spark, root, bucket)
+    if not fs.glob_dirs(spark, glob):
+        return read_classified(spark, root, data_schema).where(F.lit(False))
+    reader = spark.read.option("basePath", root).option("ignoreCorruptFiles", "true")
+    if data_schema is None:
+        data_schema = T.StructType([f for f in reader.parquet(glob).schema.fields
+                                    if f.name not in PARTITION_COLS])
+    full = T.StructType(list(data_schema.fields) + [T.StructField(c, T.StringType()) for c in PARTITION_COLS])
+    return reader.schema(full).parquet(glob).where(F.col("bucket") == F.lit(bucket))
 
 
 def count_rows(df: DataFrame, *keys: str) -> DataFrame:

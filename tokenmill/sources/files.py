@@ -21,9 +21,10 @@ def file_sizes(spark: SparkSession, root: str) -> DataFrame:
             .select("path", "length"))
 
 
-def leaf_file_sizes(spark: SparkSession, root: str) -> DataFrame:
-    """``(source, bucket, path, length)`` of the classified table's files."""
-    return (spark.read.format("binaryFile").option("basePath", root).load(root)
+def leaf_file_sizes(spark: SparkSession, root: str, path: str | None = None) -> DataFrame:
+    """``(source, bucket, path, length)`` of the classified table's files (below
+    ``path``, a directory or glob under ``root``; default all of it)."""
+    return (spark.read.format("binaryFile").option("basePath", root).load(path or root)
             .select(F.col("source").cast("string").alias("source"),
                     F.col("bucket").cast("string").alias("bucket"), "path", "length"))
 
@@ -45,9 +46,13 @@ def share_report(per_source: DataFrame, value: str) -> DataFrame:
 
 def size_report(spark: SparkSession, root: str, bucket: str) -> DataFrame:
     """On-disk bytes per source for one band, share of total, sorted descending."""
+    from tokenmill.sources.classified import band_glob
     if not fs.exists(spark, root):
         raise FileNotFoundError(f"classified root {root} does not exist")
-    sizes = leaf_file_sizes(spark, root).where(F.col("bucket") == F.lit(bucket))
+    band = band_glob(spark, root, bucket)
+    if not fs.glob_dirs(spark, band):  # no source has the band: empty report
+        return share_report(spark.createDataFrame([], "source string, bytes bigint"), "bytes")
+    sizes = leaf_file_sizes(spark, root, band).where(F.col("bucket") == F.lit(bucket))
     per_source = sizes.groupBy("source").agg(F.sum("length").alias("bytes"))
     return share_report(per_source, "bytes")
 

@@ -44,6 +44,15 @@ def glob_dirs(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(st.getPath().toString() for st in (found or []) if st.isDirectory())
 
 
+def escape_partition_value(spark: SparkSession, value) -> str:
+    """Hive-style path escaping of a partition value (None -> default-partition marker).
+    The escaped form has no glob characters left (``* ? [ ] { }`` are escaped)."""
+    if value is None:
+        return "__HIVE_DEFAULT_PARTITION__"
+    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return str(utils.escapePathName(str(value)))
+
+
 def unescape_partition_value(spark: SparkSession, value: str):
     """Inverse of Hive-style path escaping; the default-partition marker gives None."""
     if value == "__HIVE_DEFAULT_PARTITION__":
