@@ -98,8 +98,8 @@ def test_band_read_lists_only_the_band(spark):
     root = os.path.join(new_dir(), "c")
     classified.write_classified(C.classify(inputs.corpus(spark, SF001)), root)
     df = classified.read_bucket(spark, root, C.HIGH_BUCKET)
-    files = df.inputFiles()
-    assert files and all(f"bucket={C.HIGH_BUCKET}" in f for f in files)
+    listed = df.inputFiles()
+    assert listed and all(f"bucket={C.HIGH_BUCKET}" in f for f in listed)
     assert classified.read_bucket(spark, root, "score_0.1_to_0.2").count() == 0
     assert files.size_report(spark, root, "score_0.1_to_0.2").count() == 0
 
