@@ -165,12 +165,11 @@ def eval_scores(spark, sf_dir):
     subject = source, accuracy = share of positive labels."""
     lab = inputs.table(spark, sf_dir, "labels")
     docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "source")
-    joined = lab.join(docs, "doc_id")
-    long = joined.select("source", F.explode(F.array(
-        F.struct(F.lit("quality").alias("method"), F.col("quality").cast("double").alias("v")),
-        F.struct(F.lit("toxic").alias("method"), F.col("toxic").cast("double").alias("v")))).alias("m"))
-    return (long.groupBy(F.col("m.method").alias("method"), F.col("source").alias("subject"))
-            .agg(F.avg("m.v").alias("accuracy")))
+    joined = lab.join(docs, "doc_id").select(
+        "source", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+    long = joined.unpivot(["source"], ["quality", "toxic"], "method", "v")
+    return (long.groupBy("method", F.col("source").alias("subject"))
+            .agg(F.avg("v").alias("accuracy")))
 
 
 @register("macro_average", sql=f"""
