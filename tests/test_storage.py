@@ -109,3 +109,14 @@ def test_write_without_rebalance(spark):
     rows = C.classify(inputs.corpus(spark, SF001))
     classified.write_classified(rows, root, rebalance=False)
     assert classified.read_classified(spark, root).count() == rows.count()
+
+
+def test_block_set_with_broken_file_is_skipped(spark):
+    parent = new_dir()
+    blk = B.build_blocks(inputs.table(spark, SF001, "documents"), "text", 64, 32, 8)
+    blocksets.write_blocks(blk, os.path.join(parent, "good"))
+    bad = os.path.join(parent, "broken")
+    os.makedirs(bad)
+    with open(os.path.join(bad, "part-0.parquet"), "wb") as f:
+        f.write(b"PAR1 not really")
+    assert blocksets.read_block_sets(spark, parent).count() == blk.count()

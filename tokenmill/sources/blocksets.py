@@ -34,6 +34,8 @@ def _probe(spark: SparkSession, path: str):
         schema = spark.read.parquet(path).schema
     except AnalysisException as e:  # no files, not parquet, ...
         return None, str(e).splitlines()[0]
+    except Exception as e:  # unreadable footer, permissions, ...: skipped like the reference
+        return None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
     missing = [c for c in REQUIRED if c not in schema.fieldNames()]
     if missing:
         return None, f"missing columns {missing}"
