@@ -79,6 +79,35 @@ def tokenize_with(df: DataFrame, fn: Callable[[list[str]], Iterable[Iterable[int
     return df.withColumn(out, encode(F.col(text)))
 
 
+_LOADED: dict = {}
+
+
+def tokenizer_file_hook(spark, path: str, add_special_tokens: bool = False):
+    """A batch encoder for ``tokenize_with`` from a ``tokenizer.json`` file (the
+    ``tokenizers`` library): the file is shipped with ``SparkContext.addFile`` and
+    loaded once per Python worker; no truncation, no padding, like the reference's
+    tokenizer call."""
+    import os
+
+    from pyspark import SparkFiles
+
+    try:
+        import tokenizers  # noqa: F401
+    except ImportError as e:  # pragma: no cover - optional dependency
+        raise ImportError("tokenizer_file_hook needs the 'tokenizers' package") from e
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        from tokenizers import Tokenizer
+        tok = _LOADED.get(name)
+        if tok is None:
+            tok = _LOADED[name] = Tokenizer.from_file(SparkFiles.get(name))
+        return [e.ids for e in tok.encode_batch(texts, add_special_tokens=add_special_tokens)]
+
+    return encode
+
+
 def hashed_word_tokenizer(id_space: int = 50000, offset: int = 16) -> Callable[[list[str]], list[list[int]]]:
     """A plain-Python batch function with the native tokenizer's rule (md5 of each
     word), usable with ``tokenize_with``; it lets the hook path be checked against
