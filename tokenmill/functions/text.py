@@ -27,6 +27,12 @@ def split_words(text) -> Column:
     return F.regexp_extract_all(F.coalesce(as_col(text), F.lit("")), F.lit(WORD_PATTERN), 0)
 
 
+def word_count(text) -> Column:
+    """Number of words of ``text`` (same rule as ``split_words``), without building
+    the word array."""
+    return F.regexp_count(F.coalesce(as_col(text), F.lit("")), F.lit(WORD_PATTERN))
+
+
 def word_id(word: Column, id_space: int = DEFAULT_ID_SPACE, offset: int = DEFAULT_ID_OFFSET,
             hash: str = "md5") -> Column:
     """Stable hashed id of one word, mod ``id_space``, plus ``offset``.

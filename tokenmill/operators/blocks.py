@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenmill.functions.arrays import attention_mask, labels_from_ids, pad_right, array_sum
-from tokenmill.functions.text import DEFAULT_ID_OFFSET, DEFAULT_ID_SPACE, hashed_token_ids, split_words
+from tokenmill.functions.text import DEFAULT_ID_OFFSET, DEFAULT_ID_SPACE, hashed_token_ids, word_count
 from tokenmill.schemas import require_columns
 
 # Fixed values of the reference's chunker.
@@ -72,7 +72,7 @@ def block_keys(df: DataFrame, text: str = "text", length: int = MAX_LENGTH, stri
                min_len: int = MIN_CHUNK_LENGTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` + ``chunk_idx`` + ``start_pos`` + ``n_real`` of every block, without building
     token arrays (only the word count is needed)."""
-    counted = df.select(*keep, F.size(split_words(text)).alias("__n"))
+    counted = df.select(*keep, word_count(text).cast("int").alias("__n"))
     n = F.col("__n")  # computed once per row, not once per candidate window
     return (counted.select(*keep, n, F.posexplode(window_starts(n, length, stride, min_len))
                            .alias("chunk_idx", "start_pos"))
