@@ -38,14 +38,15 @@ def _human_size_sql(b: str) -> str:
 
 def _report_sql(per_source: str) -> str:
     return f"""{per_source},
-rep AS (SELECT source, bytes, bytes / CAST(sum(bytes) OVER () AS DOUBLE) * 100.0::DOUBLE AS pct FROM per)
-SELECT source, bytes, round(pct, 6) AS pct, {_human_size_sql('bytes')} AS size,
+rep AS (SELECT source, bytes, bytes / CAST(sum(bytes) OVER () AS DOUBLE) * 100.0::DOUBLE AS pct,
+               CAST(sum(bytes) OVER () AS BIGINT) AS total FROM per)
+SELECT source, bytes, round(pct, 6) AS pct, {_human_size_sql('bytes')} AS size, {_human_size_sql('total')} AS total_size,
        printf('  - %-20s: %-10s (%.2f%%)', source, {_human_size_sql('bytes')}, pct) AS line
 FROM rep WHERE bytes > 0"""
 
 
 def _report_out(df):
-    return df.select("source", "bytes", F.round("pct", 6).alias("pct"), "size", "line")
+    return df.select("source", "bytes", F.round("pct", 6).alias("pct"), "size", "total_size", "line")
 
 
 @register("corpus_read", sql=f"""

@@ -30,7 +30,8 @@ def leaf_file_sizes(spark: SparkSession, root: str, path: str | None = None) ->
 
 
 def share_report(per_source: DataFrame, value: str) -> DataFrame:
-    """Add total share in percent, human size and report line; sort by size desc.
+    """Add share of the total in percent, human size, the total's human size (the
+    report's header line) and the report line; sort by size desc.
 
     ``per_source`` has one row per source (tiny), so the grand total is a window
     over that grouped result, not over data rows. A zero total gives no rows."""
@@ -39,6 +40,7 @@ def share_report(per_source: DataFrame, value: str) -> DataFrame:
            .where(F.col("total") > 0)
            .withColumn("pct", F.col(value) / F.col("total").cast("double") * F.lit(100.0)))
     return (out.withColumn("size", human_size(value))
+            .withColumn("total_size", human_size("total"))
             .withColumn("line", report_line("source", value, "pct"))
             .drop("total")
             .orderBy(F.desc(value), F.asc_nulls_first("source")))
