@@ -18,6 +18,8 @@ from tokenmill.schemas import require_columns
 # Fixed values of the reference: score bins, the last one closed on the right.
 DEFAULT_BINS: tuple[tuple[float, float], ...] = ((0.6, 0.75), (0.75, 1.0))
 HIGH_BUCKET = "score_0.75_to_1.0"
+# Fixed value: per-source line of the row distribution (source, count with separators, share).
+DISTRIBUTION_LINE_FORMAT = "  - %-20s: %10s (%.2f%%)"
 
 
 def bucket_label(lo: float, hi: float) -> str:
@@ -85,7 +87,10 @@ def source_distribution(df: DataFrame, col: str = "source") -> DataFrame:
     only shuffle is the partial-aggregated ``groupBy``."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("rows"))
     total = F.sum("rows").over(_whole())
-    return (counts.withColumn("pct", F.col("rows") * F.lit(100.0) / total)
+    pct = F.col("rows") / total.cast("double") * F.lit(100.0)
+    line = F.format_string(DISTRIBUTION_LINE_FORMAT, F.coalesce(F.col(col).cast("string"), F.lit("None")),
+                           F.format_number(F.col("rows"), 0), F.col("pct"))
+    return (counts.withColumn("pct", pct).withColumn("line", line)
             .orderBy(F.desc("rows"), F.asc_nulls_first(col)))
 
 

@@ -62,12 +62,14 @@ def distinct_sources(spark, sf_dir):
 
 
 @register("source_distribution", sql="""
-SELECT source, n_rows, round(n_rows * 100.0::DOUBLE / sum(n_rows) OVER (), 6) AS pct
-FROM (SELECT source, count(*) AS n_rows FROM documents GROUP BY source)""")
+SELECT source, n_rows, round(pct, 6) AS pct,
+       printf('  - %-20s: %10s (%.2f%%)', coalesce(source, 'None'), format('{:,}', n_rows), pct) AS line
+FROM (SELECT source, n_rows, n_rows / CAST(sum(n_rows) OVER () AS DOUBLE) * 100.0::DOUBLE AS pct
+      FROM (SELECT source, count(*) AS n_rows FROM documents GROUP BY source))""")
 def source_distribution(spark, sf_dir):
-    """Rows per source and share in percent, largest first."""
+    """Rows per source, share in percent and the report line, largest first."""
     return (C.source_distribution(inputs.table(spark, sf_dir, "documents"))
-            .select("source", F.col("rows").alias("n_rows"), F.round("pct", 6).alias("pct")))
+            .select("source", F.col("rows").alias("n_rows"), F.round("pct", 6).alias("pct"), "line"))
 
 
 @register("unbinned_counts", sql=f"""
