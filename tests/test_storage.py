@@ -120,3 +120,16 @@ def test_block_set_with_broken_file_is_skipped(spark):
     with open(os.path.join(bad, "part-0.parquet"), "wb") as f:
         f.write(b"PAR1 not really")
     assert blocksets.read_block_sets(spark, parent).count() == blk.count()
+
+
+def test_odd_partition_values_round_trip(spark):
+    root = os.path.join(new_dir(), "c")
+    df = spark.createDataFrame([("a/b=c%d", 0.9, "t"), (None, 0.9, "u"), ("plain", 0.65, "v")],
+                               "source string, score double, text string")
+    classified.write_classified(C.classify(df), root)
+    assert sorted(classified.existing_leaves(spark, root), key=str) == sorted(
+        [("a/b=c%d", C.HIGH_BUCKET), (None, C.HIGH_BUCKET), ("plain", "score_0.6_to_0.75")], key=str)
+    classified.write_classified(C.classify(df), root, on_existing="skip")  # nothing new
+    assert classified.read_classified(spark, root).count() == 3
+    got = sorted((r.source or "") for r in classified.read_bucket(spark, root, C.HIGH_BUCKET).collect())
+    assert got == ["", "a/b=c%d"]

@@ -34,8 +34,8 @@ def existing_leaves(spark: SparkSession, root: str) -> list[tuple[str | None, st
     out = []
     for leaf in fs.glob_dirs(spark, root.rstrip("/") + "/source=*/bucket=*"):
         parts = leaf.rstrip("/").split("/")
-        src = fs.unescape_partition_value(spark, parts[-2].split("=", 1)[1])
-        bkt = fs.unescape_partition_value(spark, parts[-1].split("=", 1)[1])
+        src = fs.unescape_partition_value(parts[-2].split("=", 1)[1])
+        bkt = fs.unescape_partition_value(parts[-1].split("=", 1)[1])
         out.append((src, bkt))
     return out
 
@@ -97,9 +97,11 @@ def read_classified(spark: SparkSession, root: str, data_schema: T.StructType |
     return reader.schema(schema).parquet(root)
 
 
-def band_glob(spark: SparkSession, root: str, bucket: str) -> str:
-    """Glob of one band's leaf directories: only these are listed, not the whole root."""
-    return f"{root.rstrip('/')}/source=*/bucket={fs.escape_partition_value(spark, bucket)}"
+def band_glob(root: str, bucket: str) -> str | None:
+    """Glob of one band's leaf directories, so only these are listed, not the whole
+    root; None when the label would need path escaping (then read the root)."""
+    plain = fs.plain_partition_value(bucket)
+    return None if plain is None else f"{root.rstrip('/')}/source=*/bucket={plain}"
 
 
 def read_bucket(spark: SparkSession, root: str, bucket: str,
@@ -111,7 +113,9 @@ def read_bucket(spark: SparkSession, root: str, bucket: str,
     filter. A band that no source has gives an empty result."""
     if not fs.exists(spark, root):
         raise FileNotFoundError(f"classified root {root} does not exist")
-    glob = band_glob(spark, root, bucket)
+    glob = band_glob(root, bucket)
+    if glob is None:
+        return read_classified(spark, root, data_schema).where(F.col("bucket") == F.lit(bucket))
     if not fs.glob_dirs(spark, glob):
         return read_classified(spark, root, data_schema).where(F.lit(False))
     reader = spark.read.option("basePath", root).option("ignoreCorruptFiles", "true")

@@ -51,8 +51,8 @@ def size_report(spark: SparkSession, root: str, bucket: str) -> DataFrame:
     from tokenmill.sources.classified import band_glob
     if not fs.exists(spark, root):
         raise FileNotFoundError(f"classified root {root} does not exist")
-    band = band_glob(spark, root, bucket)
-    if not fs.glob_dirs(spark, band):  # no source has the band: empty report
+    band = band_glob(root, bucket)
+    if band is not None and not fs.glob_dirs(spark, band):  # no source has the band: empty report
         return share_report(spark.createDataFrame([], "source string, bytes bigint"), "bytes")
     sizes = leaf_file_sizes(spark, root, band).where(F.col("bucket") == F.lit(bucket))
     per_source = sizes.groupBy("source").agg(F.sum("length").alias("bytes"))

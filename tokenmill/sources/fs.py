@@ -3,6 +3,8 @@ existence checks and directory listings; data always goes through Spark)."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import SparkSession
 
 
@@ -44,18 +46,20 @@ def glob_dirs(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(st.getPath().toString() for st in (found or []) if st.isDirectory())
 
 
-def escape_partition_value(spark: SparkSession, value) -> str:
-    """Hive-style path escaping of a partition value (None -> default-partition marker).
-    The escaped form has no glob characters left (``* ? [ ] { }`` are escaped)."""
-    if value is None:
-        return "__HIVE_DEFAULT_PARTITION__"
-    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    return str(utils.escapePathName(str(value)))
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._-")
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
+
+def plain_partition_value(value) -> str | None:
+    """``value`` itself when it needs no path escaping and holds no glob
+    character, else None (callers then read the whole root with a filter)."""
+    text = None if value is None else str(value)
+    return text if text and set(text) <= _PLAIN else None
 
 
-def unescape_partition_value(spark: SparkSession, value: str):
-    """Inverse of Hive-style path escaping; the default-partition marker gives None."""
-    if value == "__HIVE_DEFAULT_PARTITION__":
+def unescape_partition_value(value: str):
+    """Partition value from a Hive-style directory name (``%XX`` escapes); the
+    default-partition marker gives None."""
+    if value == DEFAULT_PARTITION:
         return None
-    utils = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-    return str(utils.unescapePathName(value))
+    return unquote(value)
