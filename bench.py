@@ -58,6 +58,8 @@ def throughput(spark, sf_dir):
                                                         scratch_path(spark, "bench-classified")))
     blocks = B.build_blocks(docs, "text", B.MAX_LENGTH, B.STRIDE, B.MIN_CHUNK_LENGTH)
     blocks_s = timed(lambda: blocks.write.format("noop").mode("overwrite").save())
+    fast = B.build_blocks(docs, "text", B.MAX_LENGTH, B.STRIDE, B.MIN_CHUNK_LENGTH, hash="xxhash64")
+    fast_s = timed(lambda: fast.write.format("noop").mode("overwrite").save())
     plan = registry.QUERIES["training_plan"](spark, sf_dir)
     plan_rows = plan.count()
     plan_s = timed(lambda: registry.QUERIES["training_plan"](spark, sf_dir)
@@ -65,6 +67,7 @@ def throughput(spark, sf_dir):
     return {
         "documents_per_sec_classify_write": round(n_docs / write_s, 1),
         "tokens_per_sec_tokenize_blocks_2048": round(n_words / blocks_s, 1),
+        "tokens_per_sec_tokenize_blocks_2048_xxhash64": round(n_words / fast_s, 1),
         "plan_rows_per_sec": round(plan_rows / plan_s, 1),
     }
 
