@@ -133,3 +133,16 @@ def test_odd_partition_values_round_trip(spark):
     assert classified.read_classified(spark, root).count() == 3
     got = sorted((r.source or "") for r in classified.read_bucket(spark, root, C.HIGH_BUCKET).collect())
     assert got == ["", "a/b=c%d"]
+
+
+def test_overwrite_replaces_only_present_leaves_and_error_mode(spark):
+    root = os.path.join(new_dir(), "c")
+    df = spark.createDataFrame([("a", 0.9, "t1"), ("b", 0.9, "t2"), ("b", 0.65, "t3")],
+                               "source string, score double, text string")
+    classified.write_classified(C.classify(df), root)
+    newer = spark.createDataFrame([("a", 0.95, "t9")], "source string, score double, text string")
+    classified.write_classified(C.classify(newer), root, on_existing="overwrite")
+    got = sorted((r.source, r.bucket, r.text) for r in classified.read_classified(spark, root).collect())
+    assert got == [("a", C.HIGH_BUCKET, "t9"), ("b", "score_0.6_to_0.75", "t3"), ("b", C.HIGH_BUCKET, "t2")]
+    with pytest.raises(Exception):
+        classified.write_classified(C.classify(newer), root, on_existing="error")
