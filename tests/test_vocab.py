@@ -1,8 +1,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from conftest import SF001
 from tokenmill import inputs
 from tokenmill.operators import vocab as V

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.functions._cols import idiv
-from tokenmill.functions.training import flops_per_token, mfu, wsd_lr
+from tokenmill.functions.training import mfu, wsd_lr
 from tokenmill.plans.sampling import BATCH_SIZE, GRAD_ACCUM, SEQ_LEN
 from tokenmill.schemas import require_columns
 
@@ -150,4 +150,4 @@ def macro_average(scores: DataFrame, drop_zero: bool = False) -> DataFrame:
 
 
 __all__ = ["gpu_peak", "step_loss", "with_global_step", "log_every", "step_rates", "lr_schedule", "lr_by_step",
-           "epoch_summary", "macro_average", "flops_per_token"]
+           "epoch_summary", "macro_average"]
