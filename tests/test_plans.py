@@ -130,3 +130,21 @@ def test_pack_invariants_on_conversations(spark):
         fill[(r.shard, r.bin)] = fill.get((r.shard, r.bin), 0) + r.length
         assert r.bin_offset + r.length <= 300
     assert max(fill.values()) <= 300
+
+
+def test_positions_and_packing_do_not_depend_on_layout(spark):
+    from tokenmill.plans.index import dense_index_by_hash
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 4).alias("g"))
+    df = df.withColumn("k", S.shuffle_key(["doc_id"], 3, 0))
+    lengths = spark.range(400).select(F.col("id").alias("conv_id"), (F.col("id") * 7 % 97 + 1).alias("length"))
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, buckets in ((3, 5), (11, 64)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            pos = dense_index_by_hash(df, "k", ["doc_id"], ["g"], num_buckets=buckets).select("doc_id", "pos")
+            bins = pack(lengths, 100, ["conv_id"], "length", n_shards=6, seed=1).select("conv_id", "bin", "bin_offset")
+            results.append((sorted(pos.collect()), sorted(bins.collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1]
