@@ -3,8 +3,8 @@ a fixed vocabulary (T1b) and a caller-supplied batch function (T1c).
 
 Word counting is a ``groupBy`` with map-side partial aggregation, so a very
 frequent word costs one row per map task, not one shuffled row per occurrence.
-The vocabulary is a top-k by ``(count desc, word)``: its size is the ``max_size``
-parameter, which is what bounds the broadcast dictionary of T1b.
+The vocabulary is the first ``max_size`` words by ``(count desc, word)``, ranked
+without a single-task merge; ``max_size`` also bounds the broadcast dictionary of T1b.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.text import WORD_PATTERN, split_words
+from tokenmill.plans.index import dense_index
 
 # Our special ids (below the first word id).
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 16
@@ -34,13 +35,18 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def build_vocab(df: DataFrame, max_size: int, text: str = "text",
                 first_id: int = FIRST_WORD_ID) -> DataFrame:
     """The ``max_size`` most frequent words, ``id = first_id + rank`` by
-    ``(count desc, word)``. The top-k keeps at most ``max_size`` rows per task."""
+    ``(count desc, word)``.
+
+    A ``limit`` top-k would send every partition's top ``max_size`` words to one
+    task (partitions x max_size rows); instead the distinct-word table gets exact
+    distributed ranks (range partitioning, see ``dense_index``) and ranks below
+    ``max_size`` are kept."""
     if max_size <= 0:
         raise ValueError("max_size must be positive")
-    top = word_counts(df, text).orderBy(F.desc("occurrences"), F.asc("word")).limit(max_size)
-    # ids over the top-k result only: at most max_size rows
-    rank = F.row_number().over(Window.orderBy(F.desc("occurrences"), F.asc("word"))) - 1
-    return top.select("word", "occurrences", (rank + F.lit(first_id)).cast("bigint").alias("id"))
+    ranked = dense_index(word_counts(df, text), [F.desc("occurrences"), F.asc("word")], out="__rank",
+                         total=None)
+    return (ranked.where(F.col("__rank") < max_size)
+            .select("word", "occurrences", (F.col("__rank") + F.lit(first_id)).cast("bigint").alias("id")))
 
 
 def tokenize_with_vocab(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "input_ids",
