@@ -23,8 +23,9 @@ CHATML = {
     "end": "<|im_end|>",
     "generation": "<|im_start|>assistant\n",
 }
-# Largest hold-out we take by a top-k plus broadcast; beyond it an exact dense index.
-TOPK_BROADCAST_MAX = 100_000
+# Largest hold-out taken by a top-k plus broadcast. A top-k's final merge sees
+# (partitions x n) rows in one task, so beyond this the distributed dense index is used.
+TOPK_BROADCAST_MAX = 1_000
 
 
 def seeded_key(cols: Sequence[str], seed: int) -> Column:
@@ -72,8 +73,9 @@ def cap_samples(df: DataFrame, n: int, keys: Sequence[str], by: Sequence[str] =
 def train_val_split(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """O3: the ``n`` rows lowest by seeded key get ``split = 'val'``, the rest 'train'.
 
-    Up to ``TOPK_BROADCAST_MAX`` the hold-out keys come from a top-k (at most n
-    rows per task) and are broadcast; larger hold-outs use the dense index."""
+    Up to ``TOPK_BROADCAST_MAX`` rows (the reference holds out 100) the hold-out keys
+    come from a top-k and are broadcast; the top-k's last merge sees partitions x n
+    rows in one task, so larger hold-outs use the distributed dense index."""
     keyed = df.withColumn("__k", seeded_key(keys, seed))
     order = ["__k", *keys]
     if n <= TOPK_BROADCAST_MAX:
