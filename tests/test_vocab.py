@@ -28,3 +28,11 @@ def test_tokenizer_file_hook_matches_local_encoding(spark):
     want = {r.doc_id: tok.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
     assert got == want
     assert all(len(v) > 0 for v in got.values())
+
+
+def test_vocab_paths_agree(spark, monkeypatch):
+    docs = inputs.table(spark, SF001, "documents")
+    small = sorted(map(tuple, V.build_vocab(docs, 700).collect()))
+    monkeypatch.setattr(V, "TOPK_MERGE_MAX_ROWS", 0)  # force the distributed ranking
+    large = sorted(map(tuple, V.build_vocab(docs, 700).collect()))
+    assert small == large and len(small) == 700

@@ -3,8 +3,9 @@ a fixed vocabulary (T1b) and a caller-supplied batch function (T1c).
 
 Word counting is a ``groupBy`` with map-side partial aggregation, so a very
 frequent word costs one row per map task, not one shuffled row per occurrence.
-The vocabulary is the first ``max_size`` words by ``(count desc, word)``, ranked
-without a single-task merge; ``max_size`` also bounds the broadcast dictionary of T1b.
+The vocabulary is the first ``max_size`` words by ``(count desc, word)``: a top-k
+while its single-task merge is provably small, else exact distributed ranks;
+``max_size`` also bounds the broadcast dictionary of T1b.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,8 @@ from tokenmill.plans.index import dense_index
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 16
 # Largest vocabulary we agree to broadcast to every executor.
 MAX_BROADCAST_VOCAB = 2_000_000
+# Largest top-k merge (partitions x k rows) we let one task do.
+TOPK_MERGE_MAX_ROWS = 2_000_000
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -37,18 +40,32 @@ def build_vocab(df: DataFrame, max_size: int, text: str = "text",
     """The ``max_size`` most frequent words, ``id = first_id + rank`` by
     ``(count desc, word)``.
 
-    A ``limit`` top-k would send every partition's top ``max_size`` words to one
-    task (partitions x max_size rows); instead the distinct-word table gets exact
-    distributed ranks (range partitioning, see ``dense_index``) and ranks below
-    ``max_size`` are kept."""
+    A ``limit`` top-k sends every partition's top ``max_size`` words to one task,
+    so it is used only while that merge (shuffle partitions x ``max_size`` rows) is
+    at most ``TOPK_MERGE_MAX_ROWS``; beyond it the distinct-word table gets exact
+    distributed ranks (range partitioning, see ``dense_index``). Both give the same
+    vocabulary."""
     if max_size <= 0:
         raise ValueError("max_size must be positive")
-    ranked = dense_index(word_counts(df, text), [F.desc("occurrences"), F.asc("word")], out="__rank",
-                         total=None)
+    counts = word_counts(df, text)
+    order = [F.desc("occurrences"), F.asc("word")]
+    if _shuffle_partitions(df.sparkSession) * max_size <= TOPK_MERGE_MAX_ROWS:
+        top = counts.orderBy(*order).limit(max_size)
+        # ids over the top-k result only: at most max_size rows
+        rank = F.row_number().over(Window.orderBy(*order)) - 1
+        return top.select("word", "occurrences", (rank + F.lit(first_id)).cast("bigint").alias("id"))
+    ranked = dense_index(counts, order, out="__rank", total=None)
     return (ranked.where(F.col("__rank") < max_size)
             .select("word", "occurrences", (F.col("__rank") + F.lit(first_id)).cast("bigint").alias("id")))
 
 
+def _shuffle_partitions(spark) -> int:
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        return 200
+
+
 def tokenize_with_vocab(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "input_ids",
                         unk_id: int = UNK_ID) -> DataFrame:
     """T1(b): ids from a fixed vocabulary through an Arrow-batched pandas UDF.
