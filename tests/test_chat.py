@@ -52,7 +52,7 @@ def test_cap_samples_with_hot_set(spark):
 def test_train_val_split_paths_agree(spark, monkeypatch):
     df = spark.range(300).select(F.col("id").alias("conv_id"))
     small = {r.conv_id: r.split for r in CH.train_val_split(df, 25, ["conv_id"]).collect()}
-    monkeypatch.setattr(CH, "TOPK_BROADCAST_MAX", 10)
+    monkeypatch.setattr(CH, "TOPK_MERGE_MAX_ROWS", 0)  # force the distributed ranking
     large = {r.conv_id: r.split for r in CH.train_val_split(df, 25, ["conv_id"]).collect()}
     assert small == large and sum(v == "val" for v in small.values()) == 25
 

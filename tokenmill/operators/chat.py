@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.plans.index import dense_index_by_hash
+from tokenmill.plans.index import dense_index_by_hash, topk_merge_is_small
 
 # ChatML layout (the fine-tune runs use a ChatML-style template).
 CHATML = {
@@ -23,9 +23,9 @@ CHATML = {
     "end": "<|im_end|>",
     "generation": "<|im_start|>assistant\n",
 }
-# Largest hold-out taken by a top-k plus broadcast. A top-k's final merge sees
-# (partitions x n) rows in one task, so beyond this the distributed dense index is used.
-TOPK_BROADCAST_MAX = 1_000
+# Largest top-k merge (partitions x n rows in one task) for the hold-out keys;
+# beyond it the distributed dense index is used.
+TOPK_MERGE_MAX_ROWS = 2_000_000
 
 
 def seeded_key(cols: Sequence[str], seed: int) -> Column:
@@ -73,12 +73,12 @@ def cap_samples(df: DataFrame, n: int, keys: Sequence[str], by: Sequence[str] =
 def train_val_split(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """O3: the ``n`` rows lowest by seeded key get ``split = 'val'``, the rest 'train'.
 
-    Up to ``TOPK_BROADCAST_MAX`` rows (the reference holds out 100) the hold-out keys
-    come from a top-k and are broadcast; the top-k's last merge sees partitions x n
-    rows in one task, so larger hold-outs use the distributed dense index."""
+    While the top-k's last merge (shuffle partitions x n rows, in one task) is at
+    most ``TOPK_MERGE_MAX_ROWS`` the hold-out keys come from a top-k and are
+    broadcast (n rows); larger hold-outs use the distributed dense index."""
     keyed = df.withColumn("__k", seeded_key(keys, seed))
     order = ["__k", *keys]
-    if n <= TOPK_BROADCAST_MAX:
+    if topk_merge_is_small(df.sparkSession, n, TOPK_MERGE_MAX_ROWS):
         val = keyed.select(*order).orderBy(*order).limit(n).withColumn("__val", F.lit(True))
         out = keyed.join(F.broadcast(val), list(order), "left")
         split = F.when(F.col("__val"), F.lit("val")).otherwise(F.lit("train"))

@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.text import WORD_PATTERN, split_words
-from tokenmill.plans.index import dense_index
+from tokenmill.plans import index as index_module
+from tokenmill.plans.index import dense_index, topk_merge_is_small
 
 # Our special ids (below the first word id).
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 16
 # Largest vocabulary we agree to broadcast to every executor.
 MAX_BROADCAST_VOCAB = 2_000_000
 # Largest top-k merge (partitions x k rows) we let one task do.
-TOPK_MERGE_MAX_ROWS = 2_000_000
+TOPK_MERGE_MAX_ROWS = index_module.TOPK_MERGE_MAX_ROWS
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -49,7 +50,7 @@ def build_vocab(df: DataFrame, max_size: int, text: str = "text",
         raise ValueError("max_size must be positive")
     counts = word_counts(df, text)
     order = [F.desc("occurrences"), F.asc("word")]
-    if _shuffle_partitions(df.sparkSession) * max_size <= TOPK_MERGE_MAX_ROWS:
+    if topk_merge_is_small(df.sparkSession, max_size, TOPK_MERGE_MAX_ROWS):
         top = counts.orderBy(*order).limit(max_size)
         # ids over the top-k result only: at most max_size rows
         rank = F.row_number().over(Window.orderBy(*order)) - 1
@@ -59,13 +60,6 @@ def build_vocab(df: DataFrame, max_size: int, text: str = "text",
             .select("word", "occurrences", (F.col("__rank") + F.lit(first_id)).cast("bigint").alias("id")))
 
 
-def _shuffle_partitions(spark) -> int:
-    try:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except (TypeError, ValueError):
-        return 200
-
-
 def tokenize_with_vocab(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "input_ids",
                         unk_id: int = UNK_ID) -> DataFrame:
     """T1(b): ids from a fixed vocabulary through an Arrow-batched pandas UDF.

@@ -31,6 +31,23 @@ from tokenmill.session import ensure_checkpoint_dir
 BROADCAST_OFFSETS_MAX_ROWS = 1_000_000
 
 
+# Largest top-k merge (shuffle partitions x k rows) we let one task do.
+TOPK_MERGE_MAX_ROWS = 2_000_000
+
+
+def shuffle_partitions(spark) -> int:
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):  # e.g. "auto" on some platforms
+        return 200
+
+
+def topk_merge_is_small(spark, k: int, limit: int | None = None) -> bool:
+    """Whether a ``limit(k)`` top-k is safe: its last step merges every partition's
+    top k rows in one task, i.e. shuffle partitions x k rows."""
+    return shuffle_partitions(spark) * k <= (TOPK_MERGE_MAX_ROWS if limit is None else limit)
+
+
 def _cols(cs: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
@@ -114,10 +131,7 @@ def dense_index_by_hash(df: DataFrame, hash_col: str, tiebreak: Sequence[str], g
     group = list(group)
     spark = df.sparkSession
     if num_buckets is None:
-        try:
-            num_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        except (TypeError, ValueError):  # e.g. "auto" on some platforms
-            num_buckets = 800
+        num_buckets = 4 * shuffle_partitions(spark)
     keyed = df.withColumn("__b", hash_bucket(F.col(hash_col), num_buckets))
     order = [F.col(c) for c in group] + [F.col("__b"), F.col(hash_col)] + [F.col(c) for c in tiebreak]
     tagged = (keyed.repartition(*group, "__b").sortWithinPartitions(*order)
