@@ -1,12 +1,13 @@
 """Bench: run the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and
 print one JSON line. Every query is executed in full through the ``noop`` sink
-(nothing is collected to the driver); one untimed warm-up pass comes first, so
-the times are steady-state."""
+(nothing is collected to the driver); one untimed warm-up pass comes first, then
+each query's time is the median of $BENCH_REPEATS (default 3) runs."""
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 
@@ -78,9 +79,10 @@ def main():
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="tokenmill-bench")
     registry.load_all()
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     for n in names:  # warm-up pass (JIT, Python workers), not timed
         run(spark, n, sf_dir)
-    times = {n: round(run(spark, n, sf_dir), 3) for n in names}
+    times = {n: round(statistics.median(run(spark, n, sf_dir) for _ in range(repeats)), 3) for n in names}
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     rates = throughput(spark, sf_dir)
