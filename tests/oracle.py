@@ -1,4 +1,5 @@
-"""Spark query vs DuckDB twin: row count, column names, order-free value hash."""
+"""Spark query vs DuckDB twin: row count, column names, order-free value hash
+(doubles compared exactly)."""
 
 from __future__ import annotations
 
@@ -29,7 +30,7 @@ def _norm(v):
             return "NULL"
         if v.is_integer():
             return str(int(v))
-        return repr(round(v, 6))
+        return repr(v)  # exact: every twin agrees to the last bit
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
