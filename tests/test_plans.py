@@ -1,9 +1,12 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from conftest import SF01
+from tokenmill import inputs
 from tokenmill.operators.chat import pack
 from tokenmill.plans import sampling as S
-from tokenmill.plans.index import dense_index
+from tokenmill.plans.index import dense_index, dense_index_by_hash
 
 
 def keys_df(spark, n):
@@ -148,3 +151,30 @@ def test_positions_and_packing_do_not_depend_on_layout(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("partitions", [3, 40])
+def test_positions_are_right_with_payload(spark, partitions):
+    """Payload columns, shuffle partitions and AQE merging must not change positions."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        docs = inputs.table(spark, SF01, "documents").select("doc_id", "source", "text")
+        docs = docs.withColumn("k", S.shuffle_key(["doc_id"], 3, 0))
+        got = dense_index_by_hash(docs, "k", ["doc_id"], ["source"]).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(got) == docs.count() and got["text"].notna().all()
+    got = got.sort_values(["source", "k", "doc_id"])
+    assert (got.groupby("source").cumcount() == got["pos"]).all()
+    assert (got.groupby("source")["pos"].transform("size") == got["n_total"]).all()
+
+
+def test_building_an_index_runs_no_job(spark):
+    docs = inputs.table(spark, SF01, "documents").withColumn("k", S.shuffle_key(["doc_id"], 3, 0))
+    sc = spark.sparkContext
+    sc.setJobGroup("index-build", "index build")
+    dense_index_by_hash(docs, "k", ["doc_id"], ["source"])
+    jobs = sc.statusTracker().getJobIdsForGroup("index-build")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 0

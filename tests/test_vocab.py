@@ -10,7 +10,7 @@ def test_vocab_ids_and_unknowns(spark):
     df = spark.createDataFrame([("a a a b b c",), ("a d",)], "text string")
     vocab = {r.word: r.id for r in V.build_vocab(df, 2).collect()}
     assert vocab == {"a": 16, "b": 17}
-    ids = [r.input_ids for r in V.tokenize_with_vocab(df, V.build_vocab(df, 2)).collect()]
+    ids = [r.input_ids for r in V.tokenize_with_vocab(df, V.build_vocab(df, 2), keys=["text"]).orderBy("text").collect()]
     assert ids == [[16, 16, 16, 17, 17, 1], [16, 1]]
 
 
@@ -30,9 +30,20 @@ def test_tokenizer_file_hook_matches_local_encoding(spark):
     assert all(len(v) > 0 for v in got.values())
 
 
-def test_vocab_paths_agree(spark, monkeypatch):
+def test_whole_vocabulary_equals_a_plain_count(spark):
+    from collections import Counter
     docs = inputs.table(spark, SF001, "documents")
-    small = sorted(map(tuple, V.build_vocab(docs, 700).collect()))
-    monkeypatch.setattr(V, "TOPK_MERGE_MAX_ROWS", 0)  # force the distributed ranking
-    large = sorted(map(tuple, V.build_vocab(docs, 700).collect()))
-    assert small == large and len(small) == 700
+    want = Counter(w for r in docs.collect() for w in V.re.findall(V.WORD_PATTERN, r.text))
+    order = sorted(want, key=lambda w: (-want[w], w.encode()))
+    got = {r.word: r.id for r in V.build_vocab(docs).collect()}
+    assert got == {w: V.FIRST_WORD_ID + i for i, w in enumerate(order)}
+    top = {r.word: r.id for r in V.build_vocab(docs, 700).collect()}
+    assert top == {w: got[w] for w in order[:700]}
+
+
+def test_vocab_ids_with_null_empty_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b a"), (1, "a b a"), (2, None), (3, ""), (None, "b z")],
+                               "doc_id long, text string")
+    vocab = spark.createDataFrame([("a", 16), ("b", 17)], "word string, id long")
+    got = sorted(((r.doc_id, r.ids) for r in V.tokenize_with_vocab(df, vocab, out="ids").collect()), key=str)
+    assert got == sorted([(1, [16, 17, 16]), (1, [16, 17, 16]), (2, []), (3, []), (None, [17, 1])], key=str)

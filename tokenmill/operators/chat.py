@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.plans.index import dense_index_by_hash, topk_merge_is_small
+from tokenmill.plans.index import dense_index_by_hash
 
 # ChatML layout (the fine-tune runs use a ChatML-style template).
 CHATML = {
@@ -23,9 +23,6 @@ CHATML = {
     "end": "<|im_end|>",
     "generation": "<|im_start|>assistant\n",
 }
-# Largest top-k merge (partitions x n rows in one task) for the hold-out keys;
-# beyond it the distributed dense index is used.
-TOPK_MERGE_MAX_ROWS = 2_000_000
 
 
 def seeded_key(cols: Sequence[str], seed: int) -> Column:
@@ -73,16 +70,9 @@ def cap_samples(df: DataFrame, n: int, keys: Sequence[str], by: Sequence[str] =
 def train_val_split(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """O3: the ``n`` rows lowest by seeded key get ``split = 'val'``, the rest 'train'.
 
-    While the top-k's last merge (shuffle partitions x n rows, in one task) is at
-    most ``TOPK_MERGE_MAX_ROWS`` the hold-out keys come from a top-k and are
-    broadcast (n rows); larger hold-outs use the distributed dense index."""
+    Exactly ``n`` rows (all of them if there are fewer), also with repeated or null
+    keys: the split follows distributed positions, not a join on the keys."""
     keyed = df.withColumn("__k", seeded_key(keys, seed))
-    order = ["__k", *keys]
-    if topk_merge_is_small(df.sparkSession, n, TOPK_MERGE_MAX_ROWS):
-        val = keyed.select(*order).orderBy(*order).limit(n).withColumn("__val", F.lit(True))
-        out = keyed.join(F.broadcast(val), list(order), "left")
-        split = F.when(F.col("__val"), F.lit("val")).otherwise(F.lit("train"))
-        return out.withColumn("split", split).drop("__val", "__k")
     ranked = dense_index_by_hash(keyed, "__k", keys, out="__r", total=None)
     return ranked.withColumn("split", F.when(F.col("__r") < n, "val").otherwise("train")).drop("__r", "__k")
 
@@ -105,7 +95,7 @@ def interleave(df: DataFrame, probs: dict[str, float], keys: Sequence[str], set_
     weights = spark.createDataFrame([(s, float(probs[s]), i) for i, s in enumerate(names)],
                                     f"{set_col} string, __p double, __set_idx int")
     rows = select_sets(df, names, set_col).withColumn("__k", seeded_key(keys, seed))
-    ranked = dense_index_by_hash(rows, "__k", keys, [set_col], out="__j", total="__n", max_groups=len(names))
+    ranked = dense_index_by_hash(rows, "__k", keys, [set_col], out="__j", total="__n")
 
     sizes = rows.groupBy(set_col).agg(F.count(F.lit(1)).alias("__n")).join(weights, set_col)
     need = (F.ceil(F.col("__n") / F.col("__p")) if over else F.floor(F.col("__n") / F.col("__p")))

@@ -3,31 +3,26 @@ a fixed vocabulary (T1b) and a caller-supplied batch function (T1c).
 
 Word counting is a ``groupBy`` with map-side partial aggregation, so a very
 frequent word costs one row per map task, not one shuffled row per occurrence.
-The vocabulary is the first ``max_size`` words by ``(count desc, word)``: a top-k
-while its single-task merge is provably small, else exact distributed ranks;
-``max_size`` also bounds the broadcast dictionary of T1b.
+The vocabulary is the first ``max_size`` words by ``(count desc, word)``, or every
+word; ranks are always distributed. T1b joins words with the vocabulary, so
+neither the driver nor a worker ever holds it whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.text import WORD_PATTERN, split_words
-from tokenmill.plans import index as index_module
-from tokenmill.plans.index import dense_index, topk_merge_is_small
+from tokenmill.plans.index import dense_index
 
 # Our special ids (below the first word id).
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 16
-# Largest vocabulary we agree to broadcast to every executor.
-MAX_BROADCAST_VOCAB = 2_000_000
-# Largest top-k merge (partitions x k rows) we let one task do.
-TOPK_MERGE_MAX_ROWS = index_module.TOPK_MERGE_MAX_ROWS
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -36,51 +31,37 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
             .groupBy("word").agg(F.count(F.lit(1)).alias("occurrences")))
 
 
-def build_vocab(df: DataFrame, max_size: int, text: str = "text",
+def build_vocab(df: DataFrame, max_size: int | None = None, text: str = "text",
                 first_id: int = FIRST_WORD_ID) -> DataFrame:
-    """The ``max_size`` most frequent words, ``id = first_id + rank`` by
-    ``(count desc, word)``.
-
-    A ``limit`` top-k sends every partition's top ``max_size`` words to one task,
-    so it is used only while that merge (shuffle partitions x ``max_size`` rows) is
-    at most ``TOPK_MERGE_MAX_ROWS``; beyond it the distinct-word table gets exact
-    distributed ranks (range partitioning, see ``dense_index``). Both give the same
-    vocabulary."""
-    if max_size <= 0:
+    """The ``max_size`` most frequent words (``None``: all), ``id = first_id +
+    rank`` by ``(count desc, word)``: exact distributed ranks over the distinct-word
+    table (range partitioning, see ``dense_index``), whatever the size."""
+    if max_size is not None and max_size <= 0:
         raise ValueError("max_size must be positive")
-    counts = word_counts(df, text)
-    order = [F.desc("occurrences"), F.asc("word")]
-    if topk_merge_is_small(df.sparkSession, max_size, TOPK_MERGE_MAX_ROWS):
-        top = counts.orderBy(*order).limit(max_size)
-        # ids over the top-k result only: at most max_size rows
-        rank = F.row_number().over(Window.orderBy(*order)) - 1
-        return top.select("word", "occurrences", (rank + F.lit(first_id)).cast("bigint").alias("id"))
-    ranked = dense_index(counts, order, out="__rank", total=None)
-    return (ranked.where(F.col("__rank") < max_size)
-            .select("word", "occurrences", (F.col("__rank") + F.lit(first_id)).cast("bigint").alias("id")))
-
-
-def tokenize_with_vocab(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "input_ids",
-                        unk_id: int = UNK_ID) -> DataFrame:
-    """T1(b): ids from a fixed vocabulary through an Arrow-batched pandas UDF.
-
-    The ``(word, id)`` table is collected once and broadcast (refused above
-    ``MAX_BROADCAST_VOCAB`` entries); token ids stay in the row, so no token is
-    ever shuffled."""
-    spark = df.sparkSession
-    rows = vocab.select("word", "id").limit(MAX_BROADCAST_VOCAB + 1).collect()  # bounded, one job
-    if len(rows) > MAX_BROADCAST_VOCAB:
-        raise ValueError(f"vocabulary over {MAX_BROADCAST_VOCAB} entries is too large to broadcast")
-    table = {r["word"]: int(r["id"]) for r in rows}
-    bc = spark.sparkContext.broadcast(table)
-    pattern = re.compile(WORD_PATTERN)
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        lookup = bc.value
-        return texts.map(lambda t: [lookup.get(w, unk_id) for w in pattern.findall(t or "")])
-
-    return df.withColumn(out, encode(F.col(text)))
+    ranked = dense_index(word_counts(df, text), [F.desc("occurrences"), F.asc("word")], out="__rank", total=None)
+    if max_size is not None:
+        ranked = ranked.where(F.col("__rank") < max_size)
+    return ranked.select("word", "occurrences", (F.col("__rank") + F.lit(first_id)).cast("bigint").alias("id"))
+
+
+def tokenize_with_vocab(df: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text",
+                        out: str = "input_ids", unk_id: int = UNK_ID) -> DataFrame:
+    """T1(b): ids from a fixed vocabulary of any size.
+
+    Word positions join the vocabulary on the word (Spark broadcasts a small one
+    itself, and splits a frequent word's partition in a shuffle join), and each
+    row's ids are put back in order. ``keys`` name a row; rows equal in them and in
+    ``text`` share their ids. A null text gives an empty array."""
+    row = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.md5(F.col(text)).alias("t"))
+    keyed = df.withColumn("__row", row)
+    words = (keyed.groupBy("__row").agg(F.any_value(text).alias("__text"))
+             .select("__row", F.posexplode(split_words("__text")).alias("__i", "word")))
+    ids = (words.join(vocab.select("word", "id"), "word", "left")
+           .groupBy("__row")
+           .agg(F.array_sort(F.collect_list(F.struct("__i", F.coalesce("id", F.lit(unk_id)).cast("bigint").alias("id"))))
+                .alias("__ids")))
+    tok = F.coalesce(F.transform("__ids", lambda x: x["id"]), F.array().cast("array<bigint>"))
+    return keyed.join(ids, "__row", "left").withColumn(out, tok).drop("__row", "__ids")
 
 
 def tokenize_with(df: DataFrame, fn: Callable[[list[str]], Iterable[Iterable[int]]], text: str = "text",

@@ -10,8 +10,7 @@ single task. Instead:
    same ranges even if an executor is lost (range bounds come from sampling);
 3. count rows per ``(partition, group)``: at most #partitions + #groups rows;
 4. prefix-sum those counts per group (a window over the small count table) and
-   join the offsets back: broadcast when the count table is proven small,
-   a plain shuffle join otherwise.
+   join the offsets back; Spark picks the join from the table's measured size.
 
 The sort key must be a total order (add a unique tie-breaker), so positions do
 not depend on partitioning.
@@ -26,15 +25,6 @@ from pyspark.sql import functions as F
 
 from tokenmill.session import ensure_checkpoint_dir
 
-# Largest offsets table we broadcast: one row (about 40 bytes) per (partition or
-# bucket, group) pair, so at most ~40 MB.
-BROADCAST_OFFSETS_MAX_ROWS = 1_000_000
-
-
-# Largest top-k merge (shuffle partitions x k rows) we let one task do.
-TOPK_MERGE_MAX_ROWS = 2_000_000
-
-
 def shuffle_partitions(spark) -> int:
     try:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -42,12 +32,6 @@ def shuffle_partitions(spark) -> int:
         return 200
 
 
-def topk_merge_is_small(spark, k: int, limit: int | None = None) -> bool:
-    """Whether a ``limit(k)`` top-k is safe: its last step merges every partition's
-    top k rows in one task, i.e. shuffle partitions x k rows."""
-    return shuffle_partitions(spark) * k <= (TOPK_MERGE_MAX_ROWS if limit is None else limit)
-
-
 def _cols(cs: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
@@ -85,14 +69,6 @@ def dense_index(df: DataFrame, order: Sequence, group: Sequence[str] = (), out:
     offsets = offsets.select(F.col("__pid").alias("__opid"),
                              *[F.col(g).alias(a) for g, a in zip(group, gnames)],
                              "__first", "__offset", *([total] if total else []))
-    if group:
-        # tiny (<= #partitions + #groups rows); materialised so it is counted once
-        offsets = offsets.checkpoint(eager=True) if checkpoint else offsets
-        if offsets.count() <= BROADCAST_OFFSETS_MAX_ROWS:
-            offsets = F.broadcast(offsets)
-    else:
-        # one row per partition: bounded by the partition count
-        offsets = F.broadcast(offsets)
 
     cond = [F.col("__pid") == F.col("__opid")] + [F.col(g).eqNullSafe(F.col(a)) for g, a in zip(group, gnames)]
     joined = tagged.join(offsets, cond, "inner")
@@ -102,12 +78,6 @@ def dense_index(df: DataFrame, order: Sequence, group: Sequence[str] = (), out:
     return joined.select(*keep, pos, *extra)
 
 
-def top_n_per_group(df: DataFrame, n: int, order: Sequence, group: Sequence[str] = ()) -> DataFrame:
-    """Rows whose position in ``order`` (within ``group``) is below ``n``; exact,
-    no group is collected into one task."""
-    return dense_index(df, order, group, out="__rank", total=None).where(F.col("__rank") < n).drop("__rank")
-
-
 def hash_bucket(hash_hex, num_buckets: int) -> Column:
     """Bucket of a lowercase-hex hash (e.g. ``md5``) from its first 32 bits:
     monotone in the hash's own order and uniform, so bucket ranges need no sampling."""
@@ -116,47 +86,36 @@ def hash_bucket(hash_hex, num_buckets: int) -> Column:
 
 
 def dense_index_by_hash(df: DataFrame, hash_col: str, tiebreak: Sequence[str], group: Sequence[str] = (),
-                        out: str = "pos", total: str | None = "n_total", num_buckets: int | None = None,
-                        max_groups: int | None = None) -> DataFrame:
+                        out: str = "pos", total: str | None = "n_total",
+                        num_buckets: int | None = None) -> DataFrame:
     """``dense_index`` for an order led by a uniform hex hash (ties by ``tiebreak``).
 
-    Rows are hash-partitioned on ``(group, bucket)`` and sorted inside each
-    partition; a row's position is its bucket's offset plus its rank inside the
-    bucket (``monotonically_increasing_id`` minus the bucket's first id, both in
-    the same partition). Everything is deterministic and independent of how
-    partitions are numbered or coalesced, so no sampling job and no checkpoint
-    are needed, and a group holding a third of the rows is spread over all buckets.
-    ``max_groups`` (if known, e.g. the epoch count) bounds the offsets table, which
-    then is broadcast without a counting job."""
+    A row's position is its bucket's offset plus its ``row_number`` inside the
+    bucket. Both parts are functions of the rows' values alone: nothing depends on
+    how partitions are numbered, merged or recomputed, on payload columns, or on a
+    size. One shuffle of the rows by ``(group, bucket)``; the offsets come from a
+    plain count of the key columns (at most groups x buckets rows), and share the
+    join key with the window, so a shuffle join does not move the rows again.
+    A group holding a third of the rows is spread over all its buckets. Rows equal
+    in every order column are interchangeable."""
     group = list(group)
-    spark = df.sparkSession
     if num_buckets is None:
-        num_buckets = 4 * shuffle_partitions(spark)
-    keyed = df.withColumn("__b", hash_bucket(F.col(hash_col), num_buckets))
-    order = [F.col(c) for c in group] + [F.col("__b"), F.col(hash_col)] + [F.col(c) for c in tiebreak]
-    tagged = (keyed.repartition(*group, "__b").sortWithinPartitions(*order)
-              .withColumn("__id", F.monotonically_increasing_id()))
-
-    counts = tagged.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__cnt"), F.min("__id").alias("__first"))
-    by_group = Window.partitionBy(*group) if group else Window.partitionBy()
-    offsets = counts.withColumn(
-        "__offset",
-        F.coalesce(F.sum("__cnt").over(by_group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)))
+        num_buckets = 4 * shuffle_partitions(df.sparkSession)
+    # a struct compares null fields as equal, so null groups need no special join
+    key = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(group)],
+                   hash_bucket(F.col(hash_col), num_buckets).alias("b"))
+    keyed = df.withColumn("__dense_key", key)
+    in_bucket = Window.partitionBy("__dense_key").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
+    ranked = keyed.withColumn("__dense_rank", F.row_number().over(in_bucket))
+
+    counts = df.select(key.alias("__dense_key")).groupBy("__dense_key").agg(F.count(F.lit(1)).alias("__dense_cnt"))
+    by_group = Window.partitionBy(*[F.col(f"__dense_key.g{i}") for i in range(len(group))])
+    before = by_group.orderBy("__dense_key.b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__dense_offset", F.coalesce(F.sum("__dense_cnt").over(before), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("__cnt").over(by_group))
-    gnames = [f"__g{i}" for i in range(len(group))]
-    offsets = offsets.select(*[F.col(g).alias(a) for g, a in zip(group, gnames)],
-                             F.col("__b").alias("__ob"), "__first", "__offset", *([total] if total else []))
-    bound = num_buckets * (max_groups if group else 1) if (max_groups or not group) else None
-    if bound is None:
-        bound = offsets.count()
-    if bound <= BROADCAST_OFFSETS_MAX_ROWS:
-        offsets = F.broadcast(offsets)
-
-    cond = [F.col("__b") == F.col("__ob")] + [F.col(g).eqNullSafe(F.col(a)) for g, a in zip(group, gnames)]
-    joined = tagged.join(offsets, cond, "inner")
-    keep = [F.col(c) for c in df.columns]
-    pos = (F.col("__offset") + F.col("__id") - F.col("__first")).cast("bigint").alias(out)
-    extra = [F.col(total).cast("bigint").alias(total)] if total else []
-    return joined.select(*keep, pos, *extra)
+        offsets = offsets.withColumn("__dense_total", F.sum("__dense_cnt").over(by_group))
+
+    joined = ranked.join(offsets.drop("__dense_cnt"), "__dense_key")
+    pos = (F.col("__dense_offset") + F.col("__dense_rank") - F.lit(1)).cast("bigint").alias(out)
+    extra = [F.col("__dense_total").cast("bigint").alias(total)] if total else []
+    return joined.select(*[F.col(c) for c in df.columns], pos, *extra)

@@ -50,11 +50,10 @@ def with_epochs(df: DataFrame, epochs: int, first_epoch: int = 0) -> DataFrame:
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(first_epoch), F.lit(first_epoch + epochs - 1))))
 
 
-def indexed(df: DataFrame, keys: Sequence[str], seed: int = SEED, max_epochs: int | None = None) -> DataFrame:
+def indexed(df: DataFrame, keys: Sequence[str], seed: int = SEED) -> DataFrame:
     """E1 + E2 per epoch: ``pos`` in the epoch's seeded order and ``n_total``."""
     keyed = df.withColumn("shuffle_key", shuffle_key(keys, seed, F.col("epoch")))
-    return dense_index_by_hash(keyed, "shuffle_key", keys, group=["epoch"], out="pos", total="n_total",
-                               max_groups=max_epochs)
+    return dense_index_by_hash(keyed, "shuffle_key", keys, group=["epoch"], out="pos", total="n_total")
 
 
 def shard(df: DataFrame, world_size: int) -> DataFrame:
@@ -101,7 +100,7 @@ def training_plan(samples: DataFrame, keys: Sequence[str] = ("doc_id", "chunk_id
     if drop_last is None:
         drop_last = world_size == 1
     base = with_epochs(samples.select(*keys), epochs)
-    plan = opt_steps(batch(shard(indexed(base, keys, seed, epochs), world_size), batch_size, drop_last),
+    plan = opt_steps(batch(shard(indexed(base, keys, seed), world_size), batch_size, drop_last),
                      grad_accum)
     return plan.select("epoch", "rank", "batch_idx", "opt_step", "pos_in_batch", "pos_in_rank", "pos",
                        *keys, "steps_per_epoch")

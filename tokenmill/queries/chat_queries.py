@@ -17,7 +17,8 @@ SEED = 42
 CAP_PER_SET = 30
 VAL_SIZE = 10
 EVAL_SETS = ("src1", "src7")
-MIX = {"src0": 0.5, "src1": 0.3, "src2": 0.2}
+# The six mixing weights of the reference's fine-tune run.
+MIX = {"src0": 0.1, "src1": 0.35, "src2": 0.2, "src3": 0.2, "src4": 0.1, "src5": 0.05}
 
 _RENDER_SQL = """rendered AS (
   SELECT conv_id, count(*) AS turns,
@@ -78,12 +79,12 @@ def pack_bins(spark, sf_dir):
 
 
 @register("capped_samples", sql=f"""
-SELECT doc_id, source FROM (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}:' || doc_id), doc_id) AS rn
+SELECT doc_id, source, text FROM (
+  SELECT doc_id, source, text, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}:' || doc_id), doc_id) AS rn
   FROM documents) WHERE rn <= {CAP_PER_SET}""")
 def capped_samples(spark, sf_dir):
     """O2: at most 30 documents per source, the lowest by seeded key."""
-    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return CH.cap_samples(docs, CAP_PER_SET, ["doc_id"], ["source"], SEED)
 
 
@@ -103,22 +104,22 @@ def _mix_values() -> str:
 
 
 @register("weighted_interleave", sql=f"""
-WITH rows AS (SELECT source, doc_id, md5('{SEED}:' || doc_id) AS k FROM documents
+WITH rows AS (SELECT source, doc_id, md5(text) AS text_md5, md5('{SEED}:' || doc_id) AS k FROM documents
               WHERE source IN ({", ".join(f"'{s}'" for s in MIX)})),
 w AS (SELECT * FROM (VALUES {_mix_values()}) t(source, p, set_idx)),
 sz AS (SELECT source, count(*) AS n FROM rows GROUP BY source),
 tt AS (SELECT max(ceil(n / p)) AS T FROM sz JOIN w ON sz.source = w.source),
 m AS (SELECT sz.source, w.p, w.set_idx, sz.n, CAST(ceil(w.p * tt.T) AS BIGINT) AS m
       FROM sz JOIN w ON sz.source = w.source CROSS JOIN tt),
-ranked AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) - 1 AS j FROM rows),
-rep AS (SELECT ranked.source, ranked.doc_id, m.set_idx, m.p,
+ranked AS (SELECT source, doc_id, text_md5, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) - 1 AS j FROM rows),
+rep AS (SELECT ranked.source, ranked.doc_id, ranked.text_md5, m.set_idx, m.p,
                ranked.j + unnest(range(0, CAST(ceil((m.m - ranked.j) / m.n) AS BIGINT))) * m.n AS r
         FROM ranked JOIN m ON ranked.source = m.source WHERE ranked.j < m.m)
-SELECT source, doc_id, r, (r + 0.5::DOUBLE) / p AS order_key,
+SELECT source, doc_id, text_md5, r, (r + 0.5::DOUBLE) / p AS order_key,
        row_number() OVER (ORDER BY (r + 0.5::DOUBLE) / p, set_idx) - 1 AS pos
 FROM rep""")
 def weighted_interleave(spark, sf_dir):
-    """src0/src1/src2 mixed 0.5/0.3/0.2 with oversampling, in interleave order."""
-    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "source")
+    """Six sources mixed with the fixed weights and oversampling, whole rows, in interleave order."""
+    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = CH.interleave(docs, MIX, ["doc_id"], "source", over=True, seed=SEED)
-    return mixed.select("source", "doc_id", "r", "order_key", "pos")
+    return mixed.select("source", "doc_id", F.md5("text").alias("text_md5"), "r", "order_key", "pos")

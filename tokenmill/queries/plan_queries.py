@@ -73,12 +73,16 @@ def shuffle_order(spark, sf_dir):
 
 @register("dense_index", sql=f"""
 WITH {_KEYS_SQL}
-SELECT doc_id, chunk_idx, row_number() OVER (ORDER BY md5('{SEED}:0:' || doc_id || ':' || chunk_idx),
-       doc_id, chunk_idx) - 1 AS pos FROM keys""")
+SELECT k.doc_id, k.chunk_idx, d.text,
+       row_number() OVER (ORDER BY md5('{SEED}:0:' || k.doc_id || ':' || k.chunk_idx),
+                          k.doc_id, k.chunk_idx) - 1 AS pos
+FROM keys k JOIN documents d ON k.doc_id = d.doc_id""")
 def dense_index_q(spark, sf_dir):
-    """0-based position in the seeded order, computed without a one-task window."""
-    keyed = sample_keys(spark, sf_dir).withColumn("shuffle_key", S.shuffle_key(KEYS, SEED, 0))
-    return dense_index_by_hash(keyed, "shuffle_key", KEYS, total=None).select(*KEYS, "pos")
+    """0-based position in the seeded order, with the text carried along."""
+    docs = inputs.table(spark, sf_dir, "documents")
+    keys = B.block_keys(docs, "text", L, STRIDE, MIN_LEN).select(*KEYS)
+    keyed = keys.join(docs.select("doc_id", "text"), "doc_id").withColumn("shuffle_key", S.shuffle_key(KEYS, SEED, 0))
+    return dense_index_by_hash(keyed, "shuffle_key", KEYS, total=None).select(*KEYS, "text", "pos")
 
 
 @register("rank_shards", sql=f"""

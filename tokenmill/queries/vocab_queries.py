@@ -14,21 +14,16 @@ VOCAB_SIZE = 5000
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')"
 _VOCAB_SQL = f"""vocab AS (
-  SELECT word, occurrences, id FROM (
-    SELECT word, count(*) AS occurrences,
-           row_number() OVER (ORDER BY count(*) DESC, word) - 1 + {V.FIRST_WORD_ID} AS id
-    FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word)
-  WHERE id < {V.FIRST_WORD_ID + VOCAB_SIZE})"""
+  SELECT word, count(*) AS occurrences,
+         row_number() OVER (ORDER BY count(*) DESC, word) - 1 + {V.FIRST_WORD_ID} AS id
+  FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word)"""
 
 
-def vocab(spark, sf_dir):
-    return V.build_vocab(inputs.table(spark, sf_dir, "documents"), VOCAB_SIZE)
-
-
-@register("vocab_top", sql=f"WITH {_VOCAB_SQL} SELECT word, occurrences, id FROM vocab")
+@register("vocab_top", sql=f"""WITH {_VOCAB_SQL}
+SELECT word, occurrences, id FROM vocab WHERE id < {V.FIRST_WORD_ID + VOCAB_SIZE}""")
 def vocab_top(spark, sf_dir):
     """The 5,000 most frequent words of the whole corpus with their ids."""
-    return vocab(spark, sf_dir)
+    return V.build_vocab(inputs.table(spark, sf_dir, "documents"), VOCAB_SIZE)
 
 
 @register("vocab_token_ids", sql=f"""
@@ -41,9 +36,9 @@ t AS (SELECT w.doc_id, count(*) AS n_tokens,
 SELECT d.doc_id, coalesce(t.n_tokens, 0) AS n_tokens, coalesce(t.ids_csv, '') AS ids_csv
 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""")
 def vocab_token_ids(spark, sf_dir):
-    """T1(b): every document's words mapped through the corpus vocabulary (unknown -> 1)."""
+    """T1(b): every document's words mapped through the whole corpus vocabulary."""
     docs = inputs.table(spark, sf_dir, "documents")
-    tok = V.tokenize_with_vocab(docs, vocab(spark, sf_dir), out="ids")
+    tok = V.tokenize_with_vocab(docs, V.build_vocab(docs), out="ids")
     return tok.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                       F.array_join("ids", ",").alias("ids_csv"))
 
