@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill import inputs
-from tokenmill.llm import decontaminate, packing, quality_rules, sharding, token_store
+from tokenmill.llm import decontaminate, packing, quality_classifier, quality_rules, sharding, token_store
 from tokenmill.llm.frames import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,16 @@ def op10_token_store(spark, sf_dir):
     path = token_store.write_store(docs, scratch_path(spark, "token-store"))
     rows = token_store.fetch(spark, path, docs.select("doc_id")).unionByName(token_store.fetch(spark, path))
     return rows.withColumnRenamed("key", "doc_id")
+
+
+@register("op8_quality_classifier")
+def op8_quality_classifier(spark, sf_dir):
+    """Quality score of every whole document by subword embeddings learned from the
+    labelled documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    away = quality_classifier.held_out(F.col("doc_id"), 5, 0)
+    labels = _table(spark, sf_dir, "labels").where(~away).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    model = quality_classifier.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = quality_classifier.score(docs, model, ["doc_id"], out="score")
+    return scored.select("doc_id", away.alias("held_out"), "score",
+                         F.when(F.col("score") >= quality_classifier.THRESHOLD, 1).otherwise(0).alias("predicted"))
