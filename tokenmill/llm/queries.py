@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill import inputs
-from tokenmill.llm import decontaminate, packing, quality_classifier, quality_rules, sharding, token_store
+from tokenmill.llm import (decontaminate, language_id, packing, quality_classifier, quality_rules, sharding,
+                           token_store)
 from tokenmill.llm.frames import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,16 @@ def op2_quality_rules(spark, sf_dir):
                     "n_repeat_words", "base_failed", "kept", "votes", "probability")])
 
 
+@register("op3_language_id")
+def op3_language_id(spark, sf_dir):
+    """The language of every whole document by the n-gram filter of those not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    away = quality_classifier.held_out(F.col("doc_id"), 3, 1)
+    model = language_id.learn(docs.where(~away))
+    return language_id.identify(docs, model, ["doc_id"], out_score="score").select(
+        "doc_id", away.alias("held_out"), "lang_pred", "score")
+
+
 # CRC32 of UTF-8 bytes: the table by its rule, then byte by byte.
 _CRC_SQL = """crc_table AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
