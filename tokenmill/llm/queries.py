@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill import inputs
-from tokenmill.llm import (decontaminate, language_id, packing, quality_classifier, quality_rules, sharding,
+from tokenmill.llm import (decontaminate, language_id, near_dup, packing, quality_classifier, quality_rules, sharding,
                            token_store)
 from tokenmill.llm.frames import scratch_path
 
@@ -140,3 +140,12 @@ def op8_quality_classifier(spark, sf_dir):
     scored = quality_classifier.score(docs, model, ["doc_id"], out="score")
     return scored.select("doc_id", away.alias("held_out"), "score",
                          F.when(F.col("score") >= quality_classifier.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@register("op5_near_duplicates")
+def op5_near_duplicates(spark, sf_dir):
+    """One row per document with the class of near duplicates it belongs to."""
+    found = near_dup.groups(_table(spark, sf_dir, "documents"))
+    same = F.col("key").eqNullSafe(F.col("class_key")) & F.col("t").eqNullSafe(F.col("class_t"))
+    return found.select(F.col("key").alias("doc_id"), F.col("class_key").alias("class_id"),
+                        same.alias("representative"))
