@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill import inputs
-from tokenmill.llm import (decontaminate, language_id, near_dup, packing, quality_classifier, quality_rules, sharding,
-                           token_store)
+from tokenmill.llm import (decontaminate, language_id, lattice_lm, near_dup, packing, quality_classifier,
+                           quality_rules, redirects, sharding, token_store)
 from tokenmill.llm.frames import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,48 @@ def op5_near_duplicates(spark, sf_dir):
     same = F.col("key").eqNullSafe(F.col("class_key")) & F.col("t").eqNullSafe(F.col("class_t"))
     return found.select(F.col("key").alias("doc_id"), F.col("class_key").alias("class_id"),
                         same.alias("representative"))
+
+
+@register("op4_lattice_score")
+def op4_lattice_score(spark, sf_dir):
+    """Every whole document's log10 probability by the subword lattice, and by words."""
+    docs = _table(spark, sf_dir, "documents")
+    away = quality_classifier.held_out(F.col("doc_id"), 7, 2)
+    return lattice_lm.score(docs, ~away).select(
+        "doc_id", quality_classifier.held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known",
+        "train_tokens", "base_score", "score")
+
+
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+         ("net/es/", "block"), ("net/fr/", "block"))
+
+_OP1_RULES = ", ".join(f"('{r}', '{v}')" for r, v in RULES)
+
+
+@register("op1_redirect_filter", sql=rf"""
+WITH RECURSIVE rules AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp
+                         FROM (VALUES {_OP1_RULES}) t(rule, verdict)),
+links AS (
+  SELECT url AS u, unnest(list_concat(
+           regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+           regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*([^"''\s>]+)', 1))) AS v
+  FROM pages WHERE url IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
+edges AS (SELECT u, v FROM links WHERE contains(v, '://') AND u <> v UNION SELECT v, u FROM links WHERE contains(v, '://') AND u <> v),
+reach AS (SELECT DISTINCT u AS a, u AS b FROM edges UNION SELECT r.a, e.v FROM reach r JOIN edges e ON r.b = e.u),
+urls AS (SELECT DISTINCT url FROM pages UNION SELECT u FROM edges),
+rest AS (SELECT url, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '(?s)^[^?#]*') ELSE '' END AS r
+         FROM urls),
+parts AS (SELECT url, translate(regexp_extract(coalesce(r, ''), '(?s)^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 substr(coalesce(r, ''), length(regexp_extract(coalesce(r, ''), '(?s)^[^/]*')) + 1) AS path FROM rest),
+ruled AS (SELECT p.url, p.host, p.path, max_by(r.rule, length(r.rule)) AS rule, max_by(r.verdict, length(r.rule)) AS verdict
+          FROM parts p LEFT JOIN rules r ON (p.host = r.rh OR ends_with(p.host, '.' || r.rh)) AND starts_with(p.path, r.rp)
+          GROUP BY ALL),
+blocked AS (SELECT DISTINCT reach.a AS url FROM reach JOIN ruled ON reach.b = ruled.url WHERE ruled.verdict = 'block')
+SELECT pages.page_id, ruled.host, ruled.path, ruled.rule,
+       coalesce(ruled.verdict, CASE WHEN blocked.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages JOIN ruled ON pages.url IS NOT DISTINCT FROM ruled.url LEFT JOIN blocked ON ruled.url = blocked.url""")
+def op1_redirect_filter(spark, sf_dir):
+    """Every page's url judged by the rules and by its redirect and canonical aliases."""
+    pages = _table(spark, sf_dir, "pages")
+    judged = redirects.judge(pages, redirects.rule_table(spark, RULES), redirects.canonical_links(pages), ["page_id"])
+    return judged.select("page_id", "host", "path", "rule", "verdict")
