@@ -1,10 +1,12 @@
 """Quality rules as weak supervision.
 
-Each rule votes good, votes bad or abstains on a document. Expectation-maximisation
-over all documents' votes estimates, for every rule, how often it is right on good and
-on bad documents when it votes; a document's posterior probability of being good
-follows from its votes. One stray vote need not cost a document its place, as it would
-if all rules had to pass.
+Each rule votes good, votes bad or abstains on a document. A rule that looks for a fault
+says nothing of texts without it, since a text with one fault is mostly free of the
+others; so fault rules vote bad or abstain, and separate rules vote good or abstain.
+Expectation-maximisation over all documents' votes estimates how often every rule casts
+each vote on good and on bad documents, hence how accurate its votes are; a document's
+posterior probability of being good follows from its votes. One stray vote need not
+cost a document its place, as it would if all rules had to pass.
 
 The votes of a document are one of at most 3^rules patterns, so the corpus enters EM
 as a table of pattern counts of bounded size: counted by Spark over all documents,
@@ -82,74 +84,87 @@ def features(docs: DataFrame, keep: Sequence[str], text: str = "text", out: str
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes bad if ``bad`` holds, else good if ``good`` does, else abstains (also where null)."""
+    """Votes ``vote`` (bad or good) if ``when`` holds, else abstains."""
     name: str
-    bad: str
-    good: str
+    vote: str
+    when: str
 
 
 #: Over the features; thresholds follow the published web-corpus heuristics.
 RULES = (
-    Rule("length", "n_words < 50", "n_words >= 80"),
-    Rule("word_length", "word_chars < 3 * n_words OR word_chars > 12 * n_words",
-         "word_chars BETWEEN 3.5 * n_words AND 8 * n_words"),
-    Rule("symbols", "n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
-    Rule("repeated_lines", "n_dup_lines > 0.4 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
-    Rule("repeated_words", "n_repeat_words > 0.4 * n_words", "n_repeat_words <= 0.1 * n_words"),
-    Rule("upper_case", "n_upper > 0.4 * n_letters", "n_upper <= 0.15 * n_letters"),
-    Rule("marks", "n_marks > 0.3 * n_words", "n_marks <= 0.1 * n_words"),
-    Rule("letters", "n_letters < 0.7 * n_bytes", "n_letters >= 0.85 * n_bytes"),
+    Rule("word_length", "bad", "word_chars < 3 * n_words OR word_chars > 12 * n_words"),
+    Rule("symbols", "bad", "n_symbols > 0.1 * n_words"),
+    Rule("few_letters", "bad", "n_letters < 0.7 * n_bytes"),
+    Rule("repeated_lines", "bad", "n_dup_lines > 0.4 * n_lines"),
+    Rule("repeated_words", "bad", "n_repeat_words > 0.4 * n_words"),
+    Rule("upper_case", "bad", "n_upper > 0.4 * n_letters"),
+    Rule("marks", "bad", "n_marks > 0.3 * n_words"),
+    Rule("prose", "good", "n_letters >= 0.8 * n_bytes AND word_chars BETWEEN 3.5 * n_words AND 8 * n_words "
+                          "AND n_symbols <= 0.05 * n_words"),
+    Rule("varied", "good", "n_repeat_words <= 0.1 * n_words AND n_dup_lines <= 0.1 * n_lines"),
 )
 
 
 def votes(rules: Sequence[Rule], out: str = "features") -> Column:
-    """A letter per rule, in order: g, b or a dash for abstention; no words: all dashes."""
+    """A letter per rule, in order: g, b or a dash for abstention. Texts without words
+    get dashes only."""
     def vote(rule: Rule) -> Column:
         named = {n: f"`{out}`.`{n}`" for n in FEATURES}
         def expr(text):
             return F.expr(" ".join(named.get(w, w) for w in text.split(" ")))
-        return F.when(F.col(f"{out}.n_words") == 0, "-").when(expr(rule.bad), "b").when(expr(rule.good), "g").otherwise("-")
+        return F.when(F.col(f"{out}.n_words") == 0, "-").when(expr(rule.when), rule.vote[0]).otherwise("-")
     return F.concat(*[vote(r) for r in rules])
 
 
 @dataclass
 class VoteModel:
-    """``right_good[j]``: share of rule j's votes on good documents that say good;
-    ``right_bad[j]``: share of its votes on bad documents that say bad."""
+    """``good``: share of good documents; ``cast[c, j]``: chances that rule j says good,
+    says bad or abstains on documents of class c (0 good, 1 bad)."""
     good: float
-    right_good: np.ndarray
-    right_bad: np.ndarray
+    cast: np.ndarray
     rounds: int
 
     def posterior(self, patterns: Sequence[str]) -> np.ndarray:
-        v = np.array([list(p) for p in patterns]).reshape(len(patterns), len(self.right_good))
-        like_good = np.log(np.where(v == "g", self.right_good, np.where(v == "b", 1 - self.right_good, 1))).sum(1)
-        like_bad = np.log(np.where(v == "b", self.right_bad, np.where(v == "g", 1 - self.right_bad, 1))).sum(1)
-        return 1 / (1 + np.exp(np.clip(np.log((1 - self.good) / self.good) + like_bad - like_good, -700, 700)))
+        """Probability of good for each pattern."""
+        v = _codes(patterns, self.cast.shape[1])
+        like = np.log(self.cast[:, np.arange(v.shape[1]), v]).sum(2)
+        odds = np.log((1 - self.good) / self.good) + like[1] - like[0]
+        return 1 / (1 + np.exp(np.clip(odds, -700, 700)))
 
+    def accuracy(self) -> np.ndarray:
+        """For each rule, the chance that its vote names the document's class."""
+        share = np.array([self.good, 1 - self.good])
+        right = share[0] * self.cast[0, :, 0] + share[1] * self.cast[1, :, 1]
+        return right / (share[:, None, None] * self.cast[:, :, :2]).sum((0, 2))
 
-def fit_votes(patterns: Sequence[str], counts: Sequence[int], n_rules: int, rounds: int = 200,
+
+def _codes(patterns: Sequence[str], n_rules: int) -> np.ndarray:
+    return np.array([["gb-".index(x) for x in p] for p in patterns], np.int64).reshape(len(patterns), n_rules)
+
+
+def fit_votes(patterns: Sequence[str], counts: Sequence[int], rules: Sequence[Rule], rounds: int = 200,
               tolerance: float = 1e-9) -> VoteModel:
-    """EM over vote patterns weighted by their counts. It starts from good rules that
-    are right nine times in ten on good documents and three in ten on bad ones (a rule
-    sees one kind of fault only), and each share has a pseudo-count of ten votes at its
-    start, which fixes which class is the good one."""
-    start_good, start_bad = np.full(n_rules, 0.9), np.full(n_rules, 0.3)
-    model = VoteModel(0.8, start_good, start_bad, 0)
+    """EM over vote patterns weighted by their counts. Votes start out mostly right: a
+    fault rule fires on a quarter of the bad documents and a hundredth of the good ones,
+    a good rule on nine tenths of the good and a third of the bad; these beliefs weigh
+    as much as ten documents, which also fixes which class is the good one."""
+    bad = np.array([r.vote == "bad" for r in rules])
+    start = np.zeros((2, len(rules), 3))
+    for c, (fires_good, fires_bad) in enumerate(((0.9, 0.01), (0.33, 0.25))):
+        fires = np.where(bad, fires_bad, fires_good)
+        start[c] = np.stack([np.where(bad, 0.001, fires), np.where(bad, fires, 0.001), 1 - fires], 1)
+    start /= start.sum(2, keepdims=True)
+    model = VoteModel(0.8, start, 0)
     if not len(patterns):
         return model
-    v = np.array([list(p) for p in patterns]).reshape(len(patterns), n_rules)
     n = np.asarray(counts, float)
-    says_good, says_bad = (v == "g") * n[:, None], (v == "b") * n[:, None]
-    prior = 10.0
+    votes_ = np.eye(3)[_codes(patterns, len(rules))]  # pattern, rule, vote
     for k in range(1, rounds + 1):
-        p = model.posterior(patterns)[:, None]
-        gg, gb = (says_good * p).sum(0), (says_bad * p).sum(0)
-        bg, bb = (says_good * (1 - p)).sum(0), (says_bad * (1 - p)).sum(0)
-        new = VoteModel(float(np.clip(((p[:, 0] * n).sum() + 8) / (n.sum() + 10), 1e-6, 1 - 1e-6)),
-                        (gg + prior * start_good) / (gg + gb + prior), (bb + prior * start_bad) / (bg + bb + prior), k)
-        change = max(abs(new.good - model.good), np.abs(new.right_good - model.right_good).max(),
-                     np.abs(new.right_bad - model.right_bad).max())
+        p = model.posterior(patterns)
+        both = np.stack([p * n, (1 - p) * n])
+        cast = np.einsum("cp,pjv->cjv", both, votes_) + 10 * start
+        new = VoteModel(float((both[0].sum() + 8) / (n.sum() + 10)), cast / cast.sum(2, keepdims=True), k)
+        change = max(abs(new.good - model.good), np.abs(new.cast - model.cast).max())
         model = new
         if change < tolerance:
             break
@@ -168,7 +183,7 @@ def judge(docs: DataFrame, keep: Sequence[str], text: str = "text", rules: Seque
     table = voted.groupBy("__votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^rules patterns
     patterns = sorted(r["__votes"] for r in table)
     counts = {r["__votes"]: r["n"] for r in table}
-    model = fit_votes(patterns, [counts[p] for p in patterns], len(rules))
+    model = fit_votes(patterns, [counts[p] for p in patterns], rules)
     known = spark.createDataFrame(list(zip(patterns, model.posterior(patterns).tolist())) if patterns else [],
                                   "__votes string, __p double")
     n = {f: F.col(f"__f.{f}") for f in FEATURES}
