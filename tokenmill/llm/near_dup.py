@@ -22,8 +22,8 @@ Equal texts are one node first, so a group of copies costs one signature. Then
 2. pairs of one bucket that are still in different components are verified too. A
    bucket in which these are more than ``CROSS`` times its members (texts that share a
    long common passage) is first split by agreement in a second band, a third and so
-   on (a pair at 0.8 agrees in fewer than two bands with a chance of 5e-5), so no
-   bucket emits all its pairs and none is capped.
+   on (a pair at 0.8 agrees in fewer than two bands with a chance of 5e-5), so a
+   common passage doesn't make all pairs of a bucket, and no bucket is capped.
 
 Every text is a row of the result. Texts without words equal each other; a null text
 is a group of its own. A class is named by its least key; null keys come last.
@@ -48,8 +48,11 @@ from tokenmill.llm.subwords import WordBatch
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
-# Pairs across components that a bucket may emit for each of its members.
+# Pairs across components that a bucket may emit for each of its members, and how
+# often it is split before it emits them all the same: texts that agree in SPLITS + 1
+# bands are so alike that hardly any of them are in different components.
 CROSS = 32
+SPLITS = 4
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -203,14 +206,15 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: floa
     return met.mapInArrow(_verified(similarity), "u binary, v binary")
 
 
-def _cross(members: DataFrame, nodes: DataFrame, bands: int, cross: int) -> DataFrame:
+def _cross(members: DataFrame, nodes: DataFrame, cross: int, splits: int) -> DataFrame:
     """Pairs of ``members`` (bucket, band, node, root) of one bucket and different
     roots, after splitting the buckets that would emit too many."""
     pairs = None
-    for _ in range(bands):
+    for level in range(splits + 1):
         counts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
         sums = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-        sums = sums.where("n * n > squares").withColumn("hot", (F.col("n") * F.col("n") - F.col("squares")) / 2 > cross * F.col("n"))
+        sums = sums.where("n * n > squares").withColumn(
+            "hot", ((F.col("n") * F.col("n") - F.col("squares")) / 2 > cross * F.col("n")) & F.lit(level < splits))
         open_ = stored(members.join(sums.select("bucket", "hot"), "bucket"), "open-buckets")
         cold = open_.where(~F.col("hot")).select("bucket", "node", "root")
         one = cold.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"))
@@ -218,7 +222,7 @@ def _cross(members: DataFrame, nodes: DataFrame, bands: int, cross: int) -> Data
         found = one.join(two, "bucket").where("u < v AND ru <> rv").select("u", "v")
         pairs = found if pairs is None else pairs.union(found)
         hot = open_.where("hot")
-        if not hot.limit(1).count():
+        if level == splits or not hot.limit(1).count():
             break
         split = hot.join(nodes.select("node", "bands"), "node").select(
             "bucket", "band", "node", "root", F.posexplode("bands").alias("next", "value")).where("next > band")
@@ -227,7 +231,7 @@ def _cross(members: DataFrame, nodes: DataFrame, bands: int, cross: int) -> Data
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-           bands: int = BANDS, rows: int = ROWS, cross: int = CROSS) -> DataFrame:
+           bands: int = BANDS, rows: int = ROWS, cross: int = CROSS, splits: int = SPLITS) -> DataFrame:
     """``key, t`` (md5 of the text) and ``class_key`` and ``class_t`` of the text that
     stands for its group, for every row of ``docs``."""
     texts = docs.select(F.col(key).alias("key"), F.md5(F.col(text)).alias("t"), F.col(text).alias("text"))
@@ -243,7 +247,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     links = stored(_links(star, nodes, texts, similarity), "links")
     roots = connected_components(links)
     rooted = members.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-    rest = _cross(stored(rooted, "rooted"), nodes, bands, cross).join(star, ["u", "v"], "left_anti")
+    rest = _cross(stored(rooted, "rooted"), nodes, cross, splits).join(star, ["u", "v"], "left_anti")
     more = stored(_links(rest, nodes, texts, similarity), "links")
     if more.limit(1).count():
         roots = connected_components(links.unionByName(more))
