@@ -83,15 +83,51 @@ def test_file_sizes_do_not_read_content(spark):
     assert "content" not in plan.split("ReadSchema:")[-1]
 
 
-def test_corrupt_leaf_file_is_skipped(spark):
+def test_unreadable_leaf_is_named_and_left_out(spark):
     root = os.path.join(new_dir(), "c")
     rows = C.classify(inputs.corpus(spark, SF001))
     classified.write_classified(rows, root)
-    leaf = next(os.path.join(dp, d) for dp, ds, _ in os.walk(root) for d in ds if d == f"bucket={C.HIGH_BUCKET}")
-    with open(os.path.join(leaf, "part-broken.parquet"), "wb") as f:
+    leaf = os.path.join(root, "source=src1", f"bucket={C.HIGH_BUCKET}")
+    with open(os.path.join(leaf, "a-broken.parquet"), "wb") as f:  # sorts first
         f.write(b"not a parquet file")
-    got = classified.read_bucket(spark, root, C.HIGH_BUCKET, data_schema=rows.drop("source", "bucket").schema)
-    assert got.count() == rows.where(F.col("bucket") == C.HIGH_BUCKET).count()
+    skipped = []
+    got = classified.read_bucket(spark, root, C.HIGH_BUCKET, skipped=skipped)
+    high = rows.where(F.col("bucket") == C.HIGH_BUCKET)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in high.where("source <> 'src1'").collect())
+    assert len(skipped) == 1 and skipped[0][0].endswith(f"source=src1/bucket={C.HIGH_BUCKET}") and skipped[0][1]
+    with pytest.raises(ValueError, match="src1"):
+        classified.read_bucket(spark, root, C.HIGH_BUCKET, strict=True)
+
+
+def test_size_report_keeps_source_names(spark):
+    root = os.path.join(new_dir(), "c")
+    df = spark.createDataFrame([("007", 0.9, "t"), ("7", 0.9, "uu"), (None, 0.9, "v"), ("a b+c%/d", 0.9, "w")],
+                               "source string, score double, text string")
+    classified.write_classified(C.classify(df), root)
+    rep = {r.source: r.line for r in files.size_report(spark, root, C.HIGH_BUCKET).collect()}
+    assert set(rep) == {"007", "7", None, "a b+c%/d"}
+    assert "None" in rep[None] and "007" in rep["007"]
+
+
+def test_block_sets_keep_every_column(spark):
+    parent = new_dir()
+    blk = B.build_blocks(inputs.table(spark, SF001, "documents"), "text", 64, 32, 8)
+    blocksets.write_blocks(blk, os.path.join(parent, "a"))
+    blocksets.write_blocks(blk.withColumn("lang", F.lit("en")), os.path.join(parent, "b"))
+    got = blocksets.read_block_sets(spark, parent)
+    n = blk.count()
+    assert got.count() == 2 * n and got.where("lang IS NULL").count() == n
+    blocksets.write_blocks(blk.withColumn("doc_id", F.col("doc_id").cast("string")), os.path.join(parent, "c"))
+    with pytest.raises(ValueError, match="doc_id"):
+        blocksets.read_block_sets(spark, parent)
+
+
+def test_write_classified_returns_the_new_leaves(spark):
+    root = os.path.join(new_dir(), "c")
+    df = spark.createDataFrame([("a", 0.9, "t"), ("b", 0.9, "u")], "source string, score double, text string")
+    assert classified.write_classified(C.classify(df.where("source = 'a'")), root) == [("a", C.HIGH_BUCKET)]
+    assert classified.write_classified(C.classify(df), root) == [("b", C.HIGH_BUCKET)]
+    assert classified.write_classified(C.classify(df), root) == []
 
 
 def test_band_read_lists_only_the_band(spark):

@@ -126,19 +126,51 @@ def block_set_single(spark, sf_dir):
                       F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
-@register("file_sizes")
+def text_root(spark, sf_dir) -> str:
+    """The classified texts as plain text leaves: a leaf then has one line end per row
+    and the texts' own bytes, which SQL can state."""
+    root = scratch_path(spark, "classified-text")
+    rows = C.classify(inputs.corpus(spark, sf_dir)).select("text", *classified.PARTITION_COLS)
+    rows.hint("rebalance", *classified.PARTITION_COLS).write.partitionBy(*classified.PARTITION_COLS).text(root)
+    return root
+
+
+@register("file_sizes", sql=f"""
+WITH {CORPUS}, {CLASSIFIED}
+SELECT source, bucket, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM classified WHERE bucket IS NOT NULL
+GROUP BY source, bucket""")
 def file_sizes_q(spark, sf_dir):
-    """IO9: recursive (path, length) of the written classified table (rows-only check:
-    byte sizes depend on the writer)."""
-    root = classified_root(spark, sf_dir)
-    return files.file_sizes(spark, root)
+    """IO9: bytes on disk of every leaf, from the recursive file listing."""
+    sizes = files.file_sizes(spark, text_root(spark, sf_dir))
+    leaf = [F.regexp_extract("path", f"/{c}=([^/]*)/", 1).alias(c) for c in classified.PARTITION_COLS]
+    return sizes.groupBy(*leaf).agg(F.sum("length").alias("bytes"))
 
 
-@register("size_report")
+@register("size_report", sql=_report_sql(f"""
+WITH {CORPUS}, {CLASSIFIED},
+per AS (SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM classified
+        WHERE bucket = 'score_0.75_to_1.0' GROUP BY source)"""))
 def size_report_q(spark, sf_dir):
     """On-disk bytes per source of the high band, share, human size, report line."""
-    root = classified_root(spark, sf_dir)
-    return _report_out(files.size_report(spark, root, C.HIGH_BUCKET))
+    return _report_out(files.size_report(spark, text_root(spark, sf_dir), C.HIGH_BUCKET))
+
+
+@register("corpus_to_labels", sql=f"""
+WITH {CORPUS}, {CLASSIFIED}, tok AS (SELECT doc_id, {token_ids()} AS ids FROM classified
+  WHERE bucket = 'score_0.75_to_1.0'), {blocks_cte('tok', B.MAX_LENGTH, B.STRIDE, B.MIN_CHUNK_LENGTH)}
+SELECT doc_id, chunk_idx, md5({csv('input_ids')}) AS ids_md5, CAST(list_sum(attention_mask) AS BIGINT) AS n_real,
+       md5({csv("list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)")}) AS labels_md5
+FROM blocks""")
+def corpus_to_labels(spark, sf_dir):
+    """The whole chain at the reference's window sizes: write leaves, read one band,
+    tokenize and cut, save the block set, load the sets, derive labels."""
+    high = classified.read_bucket(spark, classified_root(spark, sf_dir), C.HIGH_BUCKET)
+    parent = scratch_path(spark, "chain")
+    blocksets.write_blocks(B.build_blocks(high, "text"), f"{parent}/high")
+    rows = B.with_labels(blocksets.read_block_sets(spark, parent), pad_id=B.PAD_ID)
+    real = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint"))
+    return rows.select("doc_id", "chunk_idx", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), real.alias("n_real"),
+                       F.md5(F.array_join("labels", ",")).alias("labels_md5"))
 
 
 @register("text_bytes_report", sql=_report_sql(f"""

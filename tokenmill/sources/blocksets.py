@@ -12,6 +12,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tokenmill.sources import fs
@@ -46,28 +47,28 @@ def read_block_sets(spark: SparkSession, path: str, single: bool = False,
                     columns: tuple[str, ...] | None = None) -> DataFrame:
     """Load one saved set (``single=True``) or every sub-directory of ``path``.
 
-    Raises ``ValueError`` when there is no sub-directory or none of them loads."""
+    A column that some sets lack is null there; one column with two types is a
+    ``ValueError``, as is a parent without sub-directory or without a readable one."""
     if single:
         return spark.read.parquet(path)
     if not fs.is_dir(spark, path):
         raise ValueError(f"{path} is not a directory")
     children = fs.child_dirs(spark, path)
     if not children:
-        raise ValueError(f"No subdirectories found in {path} to load datasets from.")
-    good, schema = [], None
+        raise ValueError(f"{path} holds no block set: it has no sub-directory")
+    good, fields = [], {}
     for child in children:
         sch, err = _probe(spark, child)
         if sch is None:
             log.warning("skipping block set %s: %s", child, err)
             continue
-        if schema is None:
-            schema = sch
-        elif sch.fieldNames() != schema.fieldNames():
-            # union by name: keep the columns every set has, in the first set's order
-            keep = [n for n in schema.fieldNames() if n in set(sch.fieldNames())]
-            schema = type(schema)([schema[n] for n in keep])
+        for f in sch.fields:
+            if fields.setdefault(f.name, f).dataType != f.dataType:
+                raise ValueError(f"column {f.name} of block set {child} is {f.dataType.simpleString()}, "
+                                 f"in another set {fields[f.name].dataType.simpleString()}")
         good.append(child)
     if not good:
-        raise ValueError(f"No valid datasets could be loaded from subdirectories of {path}.")
+        raise ValueError(f"every block set below {path} was unreadable")
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields.values()])
     df = spark.read.schema(schema).parquet(*good)
     return df.select(*columns) if columns else df

@@ -11,6 +11,9 @@ into partition pruning: only that band's directories are listed and scanned.
 
 from __future__ import annotations
 
+import logging
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +21,8 @@ from pyspark.sql import types as T
 from tokenmill.schemas import require_columns
 from tokenmill.sources import fs
 
+log = logging.getLogger(__name__)
+
 PARTITION_COLS = ("source", "bucket")
 DEFAULT_MAX_RECORDS_PER_FILE = 1_000_000
 _NULL_KEY = "\u0000null"
@@ -43,7 +48,8 @@ def existing_leaves(spark: SparkSession, root: str) -> list[tuple[str | None, st
 def write_classified(df: DataFrame, root: str, on_existing: str = "skip",
                      max_records_per_file: int = DEFAULT_MAX_RECORDS_PER_FILE,
                      rebalance: bool = True) -> list[tuple]:
-    """Write rows under ``root/source=<s>/bucket=<b>/``; returns the leaves written to.
+    """Write rows under ``root/source=<s>/bucket=<b>/``; returns the leaves that this
+    call added (with ``"append"`` and ``"overwrite"``: all leaves there are afterwards).
 
     ``on_existing``: ``"skip"`` (the reference's rule: a leaf whose directory
     exists is left alone, even if half written), ``"append"``, ``"overwrite"``
@@ -62,8 +68,8 @@ def write_classified(df: DataFrame, root: str, on_existing: str = "skip",
     require_columns(df, *PARTITION_COLS)
     spark = df.sparkSession
     mode = "append"
+    done = existing_leaves(spark, root) if on_existing == "skip" else []
     if on_existing == "skip":
-        done = existing_leaves(spark, root)
         if done:
             keys = [f"{_NULL_KEY if s is None else s}\u0001{b}" for s, b in done]
             df = df.where(~_leaf_key(F.col("source"), F.col("bucket")).isin(keys))
@@ -81,15 +87,30 @@ def write_classified(df: DataFrame, root: str, on_existing: str = "skip",
     if mode == "overwrite":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(root)
-    return existing_leaves(spark, root)
+    before = set(done)
+    return [leaf for leaf in existing_leaves(spark, root) if leaf not in before]
+
 
+def probe_leaves(spark: SparkSession, leaves: list[str]) -> tuple[list[tuple[str, T.StructType]], list[tuple[str, str]]]:
+    """The readable leaves with their data schema, and the others with the reason.
+    Every file's footer is read (a small job per leaf, several at a time)."""
+    def probe(leaf: str):
+        try:
+            return leaf, spark.read.option("mergeSchema", "true").parquet(leaf).schema, None
+        except Exception as e:  # unreadable in whatever way: the caller decides
+            return leaf, None, f"{type(e).__name__}: {(str(e).splitlines() or [''])[0]}"
 
-def read_classified(spark: SparkSession, root: str, data_schema: T.StructType | None = None,
-                    ignore_corrupt: bool = True) -> DataFrame:
-    """The whole classified table; partition columns are read as strings."""
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(probe, leaves))
+    return [(leaf, s) for leaf, s, e in found if e is None], [(leaf, e) for leaf, _, e in found if e is not None]
+
+
+def read_classified(spark: SparkSession, root: str, data_schema: T.StructType | None = None) -> DataFrame:
+    """The whole classified table; partition columns are read as strings. An unreadable
+    file is an error (``read_bucket`` can leave out and name unreadable leaves)."""
     if not fs.exists(spark, root):
         raise FileNotFoundError(f"classified root {root} does not exist")
-    reader = spark.read.option("basePath", root).option("ignoreCorruptFiles", str(ignore_corrupt).lower())
+    reader = spark.read.option("basePath", root)
     if data_schema is None:
         data_schema = T.StructType([f for f in reader.parquet(root).schema.fields
                                     if f.name not in PARTITION_COLS])
@@ -104,26 +125,37 @@ def band_glob(root: str, bucket: str) -> str | None:
     return None if plain is None else f"{root.rstrip('/')}/source=*/bucket={plain}"
 
 
-def read_bucket(spark: SparkSession, root: str, bucket: str,
-                data_schema: T.StructType | None = None) -> DataFrame:
+def read_bucket(spark: SparkSession, root: str, bucket: str, data_schema: T.StructType | None = None,
+                strict: bool = False, skipped: list[tuple[str, str]] | None = None) -> DataFrame:
     """One band across every source leaf; sources without it add nothing.
 
-    Only the band's directories are listed (a glob under ``root``, partition
-    discovery kept via ``basePath``), and the band predicate stays as a partition
-    filter. A band that no source has gives an empty result."""
+    Only the band's directories are listed, and the band predicate stays as a partition
+    filter. Each leaf is probed first: one with an unreadable file is left out, logged,
+    and added to ``skipped`` as ``(leaf, reason)``; with ``strict`` it raises instead. A
+    band that no source has gives an empty result."""
     if not fs.exists(spark, root):
         raise FileNotFoundError(f"classified root {root} does not exist")
     glob = band_glob(root, bucket)
     if glob is None:
-        return read_classified(spark, root, data_schema).where(F.col("bucket") == F.lit(bucket))
-    if not fs.glob_dirs(spark, glob):
-        return read_classified(spark, root, data_schema).where(F.lit(False))
-    reader = spark.read.option("basePath", root).option("ignoreCorruptFiles", "true")
+        leaves = [leaf for leaf in fs.glob_dirs(spark, root.rstrip("/") + "/source=*/bucket=*")
+                  if fs.unescape_partition_value(leaf.rstrip("/").split("bucket=", 1)[1]) == bucket]
+    else:
+        leaves = fs.glob_dirs(spark, glob)
+    good, bad = probe_leaves(spark, leaves)
+    for leaf, reason in bad:
+        if strict:
+            raise ValueError(f"unreadable leaf {leaf}: {reason}")
+        log.warning("skipping leaf %s: %s", leaf, reason)
+    if skipped is not None:
+        skipped.extend(bad)
     if data_schema is None:
-        data_schema = T.StructType([f for f in reader.parquet(glob).schema.fields
-                                    if f.name not in PARTITION_COLS])
-    full = T.StructType(list(data_schema.fields) + [T.StructField(c, T.StringType()) for c in PARTITION_COLS])
-    return reader.schema(full).parquet(glob).where(F.col("bucket") == F.lit(bucket))
+        data_schema = good[0][1] if good else T.StructType()
+    full = T.StructType([f for f in data_schema.fields if f.name not in PARTITION_COLS]
+                        + [T.StructField(c, T.StringType()) for c in PARTITION_COLS])
+    if not good:
+        return spark.createDataFrame([], full)
+    reader = spark.read.option("basePath", root).schema(full)
+    return reader.parquet(*[leaf for leaf, _ in good]).where(F.col("bucket") == F.lit(bucket))
 
 
 def count_rows(df: DataFrame, *keys: str) -> DataFrame:

@@ -24,9 +24,15 @@ def file_sizes(spark: SparkSession, root: str) -> DataFrame:
 def leaf_file_sizes(spark: SparkSession, root: str, path: str | None = None) -> DataFrame:
     """``(source, bucket, path, length)`` of the classified table's files (below
     ``path``, a directory or glob under ``root``; default all of it)."""
+    # the partition columns of this source are typed by inference ("007" would be 7),
+    # so the values are taken from the path, as the writer escaped them
+    def value(name: str):
+        raw = F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+        plain = F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+        return F.when(raw != fs.DEFAULT_PARTITION, plain).alias(name)
+
     return (spark.read.format("binaryFile").option("basePath", root).load(path or root)
-            .select(F.col("source").cast("string").alias("source"),
-                    F.col("bucket").cast("string").alias("bucket"), "path", "length"))
+            .select(value("source"), value("bucket"), "path", "length"))
 
 
 def share_report(per_source: DataFrame, value: str) -> DataFrame:
@@ -41,7 +47,7 @@ def share_report(per_source: DataFrame, value: str) -> DataFrame:
            .withColumn("pct", F.col(value) / F.col("total").cast("double") * F.lit(100.0)))
     return (out.withColumn("size", human_size(value))
             .withColumn("total_size", human_size("total"))
-            .withColumn("line", report_line("source", value, "pct"))
+            .withColumn("line", report_line(F.coalesce("source", F.lit("None")), value, "pct"))
             .drop("total")
             .orderBy(F.desc(value), F.asc_nulls_first("source")))
 
