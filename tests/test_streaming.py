@@ -13,7 +13,7 @@ from tokenmill.streaming import streams
 
 def test_stream_blocks_equal_batch(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="tokenmill-stream-"), "blocks")
-    q = streams.stream_blocks(spark, SF001, out, length=256, stride=128, min_len=32)
+    q = streams.stream_blocks(spark, SF001, out, glob="documents.parquet", length=256, stride=128, min_len=32)
     q.awaitTermination(300)
     got = spark.read.parquet(out).select("doc_id", "chunk_idx", F.array_join("input_ids", ",").alias("ids"))
     high = C.classify(inputs.corpus(spark, SF001)).where(F.col("bucket") == C.HIGH_BUCKET)
@@ -23,7 +23,7 @@ def test_stream_blocks_equal_batch(spark):
 
 
 def test_stream_step_loss_equals_batch(spark):
-    log = streams.micro_log_stream(spark, SF001)
+    log = streams.micro_log_stream(spark, SF001, glob="events.parquet")
     out = streams.stream_step_loss(log, grad_accum=8)
     q = (out.writeStream.format("memory").queryName("step_loss_stream").outputMode("append")
          .option("checkpointLocation", tempfile.mkdtemp(prefix="tokenmill-ckpt-"))
@@ -84,3 +84,23 @@ def test_stream_step_loss_waits_for_late_micro_batches(spark):
     assert got[0] == (4, round((0 + 1 + 2 + 3) / 4, 6))
     assert got[1] == (3, round((4 + 6 + 7) / 4, 6))
     assert got[9] == (4, round((36 + 37 + 38 + 39) / 4, 6))
+
+
+def test_closed_steps_left_in_state_are_read_at_the_end(spark):
+    """Step 1 lacks a micro-batch and no later event passes its watermark."""
+    import datetime as dt
+    import pandas as pd
+    src = tempfile.mkdtemp(prefix="tokenmill-events-")
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, t + dt.timedelta(minutes=i), 0, "x", float(i), "{}") for i in (0, 1, 2, 3, 4, 6, 7, 8, 9)]
+    pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(pdf, schema).coalesce(1).write.mode("overwrite").parquet(src)
+    log = inputs.micro_log_from_events(spark.readStream.schema(schema).parquet(src))
+    ckpt, out = tempfile.mkdtemp(prefix="tokenmill-ckpt-"), os.path.join(src + "-out")
+    q = (streams.stream_step_loss(log, grad_accum=4).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out))
+    streams.run_to_end(q)
+    done = {r.opt_step for r in spark.read.parquet(out).collect()}
+    rest = {r.opt_step: (r.micro_batches, r.loss) for r in streams.open_closed_steps(spark, ckpt).collect()}
+    assert done == {0} and rest == {1: (3, (4 + 6 + 7) / 4)}  # step 2 is not closed

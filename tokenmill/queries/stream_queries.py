@@ -12,7 +12,6 @@ from tokenmill.registry import register
 from tokenmill.session import scratch_path
 from tokenmill.streaming import streams
 
-STREAM_TIMEOUT_S = 1800
 G = 8
 
 
@@ -23,9 +22,9 @@ SELECT doc_id, chunk_idx, {csv('input_ids')} AS input_ids, {csv('attention_mask'
 def streamed_blocks(spark, sf_dir):
     """T1-T3 on a file stream: high-band documents -> blocks, appended exactly once."""
     out = scratch_path(spark, "stream-blocks")
-    q = streams.stream_blocks(spark, sf_dir, out, length=L, stride=STRIDE, min_len=MIN_LEN,
+    q = streams.stream_blocks(spark, sf_dir, out, glob="documents.parquet", length=L, stride=STRIDE, min_len=MIN_LEN,
                               checkpoint=scratch_path(spark, "stream-blocks-ckpt"))
-    q.awaitTermination(STREAM_TIMEOUT_S)
+    streams.run_to_end(q)
     got = spark.read.parquet(out)
     return got.select("doc_id", "chunk_idx", F.array_join("input_ids", ",").alias("input_ids"),
                       F.array_join("attention_mask", ",").alias("attention_mask"))
@@ -35,14 +34,17 @@ def streamed_blocks(spark, sf_dir):
 WITH log AS (SELECT 0 AS epoch, 0 AS rank, event_id AS batch_idx, ts, value AS loss FROM events)
 SELECT epoch, rank, batch_idx // {G} AS opt_step, round(sum(loss / {G}), 6) AS loss, count(*) AS micro_batches
 FROM log GROUP BY epoch, rank, opt_step
-HAVING count(*) = {G}""")
+HAVING bool_or(batch_idx % {G} = {G - 1})""")
 def streamed_step_loss(spark, sf_dir):
-    """G4 on a streaming log: per-step state, emitted when all G micro-batches are in."""
+    """G4 on a streaming log: per-step state; at the end of the input the closed steps that
+    are still open are added."""
     out = scratch_path(spark, "stream-steps")
-    result = streams.stream_step_loss(streams.micro_log_stream(spark, sf_dir), grad_accum=G)
+    checkpoint = scratch_path(spark, "stream-steps-ckpt")
+    log = streams.micro_log_stream(spark, sf_dir, glob="events.parquet")
+    result = streams.stream_step_loss(log, grad_accum=G)
     q = (result.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", scratch_path(spark, "stream-steps-ckpt"))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(out))
-    q.awaitTermination(STREAM_TIMEOUT_S)
-    got = spark.read.parquet(out)
+    streams.run_to_end(q)
+    got = spark.read.parquet(out).unionByName(streams.open_closed_steps(spark, checkpoint))
     return got.select("epoch", "rank", "opt_step", F.round("loss", 6).alias("loss"), "micro_batches")

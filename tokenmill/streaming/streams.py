@@ -8,7 +8,9 @@ Step loss over a live micro-batch log needs state: a step's micro-batches may
 arrive in different triggers. ``stream_step_loss`` keeps one small state row per
 open step (``applyInPandasWithState``) and emits the step once all G micro-batches
 are in; an event-time timeout (watermark on ``ts``) emits a step whose closing
-micro-batch was seen but some earlier ones never came, and drops the rest.
+micro-batch was seen but some earlier ones never came, and drops the rest. When the
+input has come to its end, ``open_closed_steps`` reads the closed steps that still wait
+for the watermark from the state store, so together the rows follow the batch rule.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def corpus_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
     return inputs.corpus_from_documents(reader.parquet(directory))
 
 
-def stream_blocks(spark: SparkSession, directory: str, out_dir: str, glob: str = "documents.parquet",
+def stream_blocks(spark: SparkSession, directory: str, out_dir: str, glob: str = "*.parquet",
                   length: int = B.MAX_LENGTH, stride: int = B.STRIDE, min_len: int = B.MIN_CHUNK_LENGTH,
                   checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
     """High-band documents of a file stream -> blocks, appended to ``out_dir``."""
@@ -114,7 +116,7 @@ def stream_step_loss(log: DataFrame, grad_accum: int = 8, watermark: str = "1 ho
         _step_update(grad_accum), STEP_OUT, STEP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def micro_log_stream(spark: SparkSession, directory: str, glob: str = "events.parquet") -> DataFrame:
+def micro_log_stream(spark: SparkSession, directory: str, glob: str = "*.parquet") -> DataFrame:
     """Streaming micro-batch log from the ``events`` fixture files."""
     schema = T.StructType([
         T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -123,3 +125,19 @@ def micro_log_stream(spark: SparkSession, directory: str, glob: str = "events.pa
     ])
     events = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(directory)
     return inputs.micro_log_from_events(events)
+
+
+def open_closed_steps(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Steps in a stopped ``stream_step_loss`` run's state whose closing micro-batch was
+    seen, as the stream would emit them. Read after the input has ended; a run that is
+    resumed from the checkpoint would emit them itself later."""
+    state = spark.read.format("statestore").load(checkpoint)
+    kept = state.select(F.col("key.*"), F.col("value.groupState.*")).where("closed")
+    return kept.select("epoch", "rank", "opt_step", "loss", F.col("n").alias("micro_batches"), "start_ts", "end_ts")
+
+
+def run_to_end(query: StreamingQuery) -> None:
+    """Wait for an ``availableNow`` run, however long it takes; its failure is raised."""
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
