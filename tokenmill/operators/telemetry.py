@@ -68,17 +68,19 @@ def step_loss(log: DataFrame, grad_accum: int = GRAD_ACCUM) -> DataFrame:
                         / F.lit(1e6)))
 
 
-def with_global_step(steps: DataFrame, steps_per_epoch: int | None = None,
+def with_global_step(steps: DataFrame, log: DataFrame | None = None, steps_per_epoch: int | None = None,
                      grad_accum: int = GRAD_ACCUM) -> DataFrame:
     """``step`` (1-based within the epoch) and ``global_step = epoch * spe + step``.
 
-    Without ``steps_per_epoch`` it is ``floor(batches in the epoch / G)`` taken from
-    the log (one row per epoch, broadcast back)."""
+    Without ``steps_per_epoch`` it is taken from ``log``: the last closing micro-batch
+    of an epoch ends its last step, so a maximum per epoch over the raw log (summed per
+    task, a few rows shuffled, broadcast back) does it without a second pass by step."""
     out = steps.withColumn("step", F.col("opt_step") + 1)
     if steps_per_epoch is None:
-        spe = (steps.groupBy("epoch")
-               .agg(idiv(F.max("last_batch") + 1, grad_accum).alias("steps_per_epoch")))
-        out = out.join(F.broadcast(spe), "epoch")
+        g = F.lit(grad_accum).cast("bigint")
+        spe = (log.where(F.col("batch_idx") % g == g - 1).groupBy("epoch")
+               .agg(idiv(F.max("batch_idx") + 1, grad_accum).alias("steps_per_epoch")))
+        out = out.join(F.broadcast(spe), "epoch")  # one row per epoch
     else:
         out = out.withColumn("steps_per_epoch", F.lit(steps_per_epoch).cast("bigint"))
     return out.withColumn("global_step", F.col("epoch") * F.col("steps_per_epoch") + F.col("step"))
@@ -141,6 +143,20 @@ def epoch_summary(steps: DataFrame, world_size: int = 1, seq_len: int = SEQ_LEN,
             .select("epoch", "steps", "elapsed_seconds", "total_tokens", "avg_tokens_per_second"))
 
 
+def step_log(steps: DataFrame, flops_tok, peak, epochs: int, world_size: int = 1, seq_len: int = SEQ_LEN,
+             batch_size: int = BATCH_SIZE, grad_accum: int = GRAD_ACCUM, every: int = LOG_EVERY, **wsd) -> DataFrame:
+    """The trainer's log record, every ``every``-th step of an epoch: loss, learning rate,
+    epoch (1-based), step, global step, rates and batch counts in one row. (The gradient
+    norm is known on the device only.) Needs ``with_global_step``."""
+    rated = step_rates(lr_by_step(log_every(steps, every), **wsd), flops_tok, peak, world_size, seq_len, batch_size,
+                       grad_accum)
+    return rated.select(
+        (F.col("epoch") + 1).alias("epoch"), F.lit(epochs).alias("epochs"), "step", "steps_per_epoch", "global_step", "loss",
+        "lr", "tokens_per_second", "mfu_percent", "step_time", "tflops", F.lit(world_size).alias("gpu_count"),
+        F.lit(batch_size).alias("batch_size"),
+        F.lit(batch_size * grad_accum * world_size).alias("effective_batch_size"))
+
+
 def macro_average(scores: DataFrame, drop_zero: bool = False) -> DataFrame:
     """Mean of per-subject accuracy by method, optionally leaving out zero scores."""
     acc = F.col("accuracy")
@@ -150,4 +166,4 @@ def macro_average(scores: DataFrame, drop_zero: bool = False) -> DataFrame:
 
 
 __all__ = ["gpu_peak", "step_loss", "with_global_step", "log_every", "step_rates", "lr_schedule", "lr_by_step",
-           "epoch_summary", "macro_average"]
+           "epoch_summary", "step_log", "macro_average"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenmill import inputs
+from tokenmill.functions.text import split_words
 from tokenmill.functions.training import flops_per_token, mfu
 from tokenmill.operators import telemetry as TM
 from tokenmill.registry import register
@@ -18,13 +19,23 @@ DEVICES = ("NVIDIA H800", "NVIDIA GeForce RTX 4090", "Tesla V100-SXM2-32GB", "NV
 WSD = dict(peak_lr=3.0e-4, min_lr=3.0e-5, warmup_steps=100, decay_steps=500, total_steps=1000)
 
 TOKENS_LOCAL = SEQ * B * G
-FPT = 6.0 * N_PARAMS * (1.0 + SEQ / (12.0 * HIDDEN) + VOCAB / (16.0 * LAYERS * HIDDEN))
-FPT_FALLBACK = 6.0 * N_PARAMS
+
+
+# The formula as SQL, with its own constants.
+FPT_SQL = (f"(6.0::DOUBLE * {N_PARAMS}::DOUBLE * (1.0::DOUBLE + {SEQ}::DOUBLE / (12.0::DOUBLE * {HIDDEN}::DOUBLE)"
+           f" + {VOCAB}::DOUBLE / (16.0::DOUBLE * {LAYERS}::DOUBLE * {HIDDEN}::DOUBLE)))")
+
+
+def closed_steps(spark, sf_dir):
+    return TM.step_loss(inputs.micro_log(spark, sf_dir), G)
 
 
 def steps(spark, sf_dir):
-    log = inputs.micro_log(spark, sf_dir)
-    return TM.with_global_step(TM.step_loss(log, G), grad_accum=G)
+    return TM.with_global_step(closed_steps(spark, sf_dir), inputs.micro_log(spark, sf_dir), grad_accum=G)
+
+
+def model_flops():
+    return flops_per_token(N_PARAMS, SEQ, HIDDEN, VOCAB, LAYERS)
 
 
 _STEPS_SQL = f"""log AS (SELECT 0 AS epoch, 0 AS rank, event_id AS batch_idx, ts, value AS loss FROM events),
@@ -44,7 +55,7 @@ WITH {_STEPS_SQL}
 SELECT epoch, rank, opt_step, round(loss, 6) AS loss, micro_batches, step_time FROM steps""")
 def step_loss(spark, sf_dir):
     """Loss per optimizer step (sum of loss/G over its micro-batches)."""
-    return steps(spark, sf_dir).select("epoch", "rank", "opt_step", F.round("loss", 6).alias("loss"),
+    return closed_steps(spark, sf_dir).select("epoch", "rank", "opt_step", F.round("loss", 6).alias("loss"),
                                        "micro_batches", "step_time")
 
 
@@ -62,15 +73,15 @@ WITH {_STEPS_SQL}
 SELECT epoch, step, global_step,
        CASE WHEN step_time > 0 THEN {float(TOKENS_LOCAL * WORLD)!r}::DOUBLE / step_time ELSE 0.0::DOUBLE END
          AS tokens_per_second,
-       CASE WHEN step_time > 0 THEN {float(TOKENS_LOCAL * WORLD)!r}::DOUBLE * {FPT!r}::DOUBLE / step_time / 1e12
+       CASE WHEN step_time > 0 THEN {float(TOKENS_LOCAL * WORLD)!r}::DOUBLE * {FPT_SQL} / step_time / 1e12
             ELSE 0.0::DOUBLE END AS tflops,
        CASE WHEN step_time <= 0 THEN 0.0::DOUBLE
-            ELSE least({float(TOKENS_LOCAL)!r}::DOUBLE * {FPT!r}::DOUBLE / step_time / {TM.GPU_PEAK_DEFAULT!r}::DOUBLE,
+            ELSE least({float(TOKENS_LOCAL)!r}::DOUBLE * {FPT_SQL} / step_time / 100e12::DOUBLE,
                        1.0::DOUBLE) END * 100.0::DOUBLE AS mfu_percent
 FROM steps""")
 def step_rates(spark, sf_dir):
     """M5: global tokens/s, effective TFLOPS and MFU per step (H800 -> default peak)."""
-    out = TM.step_rates(steps(spark, sf_dir), F.lit(FPT), TM.gpu_peak(F.lit(DEVICE)), WORLD, SEQ, B, G)
+    out = TM.step_rates(steps(spark, sf_dir), model_flops(), TM.gpu_peak(F.lit(DEVICE)), WORLD, SEQ, B, G)
     return out.select("epoch", "step", "global_step", "tokens_per_second", "tflops", "mfu_percent")
 
 
@@ -89,32 +100,65 @@ def wsd_schedule(spark, sf_dir):
 
 
 @register("flops_per_token", sql=f"""
-WITH {_STEPS_SQL}
-SELECT global_step, {FPT!r}::DOUBLE AS flops_per_token, {FPT_FALLBACK!r}::DOUBLE AS flops_per_token_6n,
-       {float(TOKENS_LOCAL * WORLD)!r}::DOUBLE * {FPT!r}::DOUBLE AS step_flops FROM steps""")
+WITH words AS (SELECT source, unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+')) AS w FROM documents),
+v AS (SELECT source, count(DISTINCT w) AS vocab FROM words GROUP BY source),
+n AS (SELECT source, sum(strlen(text)) AS params, 64 + count(*) AS hidden, 1 + count(DISTINCT lang) AS layers
+      FROM documents GROUP BY source),
+spec AS (SELECT n.source, n.params, n.hidden, n.layers, CASE WHEN n.params % 3 <> 0 THEN v.vocab END AS vocab
+         FROM n LEFT JOIN v ON n.source = v.source)
+SELECT source, params::BIGINT AS params, vocab, layers, hidden,
+       CASE WHEN vocab IS NULL THEN 6.0::DOUBLE * params::DOUBLE
+            ELSE 6.0::DOUBLE * params::DOUBLE * (1.0::DOUBLE + 2048::DOUBLE / (12.0::DOUBLE * hidden::DOUBLE)
+                 + vocab::DOUBLE / (16.0::DOUBLE * layers::DOUBLE * hidden::DOUBLE)) END AS flops_per_token
+FROM spec""")
 def flops_per_token_q(spark, sf_dir):
-    """M2: FLOPs per token (detailed formula and the 6N fallback) and FLOPs per step."""
-    fpt = flops_per_token(N_PARAMS, SEQ, HIDDEN, VOCAB, LAYERS)
-    fallback = flops_per_token(N_PARAMS, SEQ, HIDDEN, None, LAYERS)
-    return steps(spark, sf_dir).select(
-        "global_step", fpt.alias("flops_per_token"), fallback.alias("flops_per_token_6n"),
-        (F.lit(float(TOKENS_LOCAL * WORLD)) * fpt).alias("step_flops"))
+    """M2: FLOPs per token of a model specification per source, sized by the source's data
+    (bytes, distinct words, documents, languages); a third lack the vocabulary (6N)."""
+    docs = inputs.table(spark, sf_dir, "documents")
+    vocab = (docs.select("source", F.explode(split_words("text")).alias("w")).distinct()
+             .groupBy("source").agg(F.count(F.lit(1)).alias("v")))
+    spec = docs.groupBy("source").agg(
+        F.sum(F.octet_length("text")).cast("bigint").alias("params"), (F.count(F.lit(1)) + 64).alias("hidden"),
+        (F.count_distinct("lang") + 1).alias("layers")).join(vocab, "source", "left")
+    spec = spec.withColumn("vocab", F.when(F.col("params") % 3 != 0, F.col("v")))
+    return spec.select("source", "params", "vocab", "layers", "hidden", flops_per_token(
+        "params", 2048, "hidden", "vocab", "layers").alias("flops_per_token"))
+
+
+@register("step_log", sql=f"""
+WITH {_STEPS_SQL},
+lr AS (SELECT *, CASE WHEN global_step < 100 THEN 3.0e-4::DOUBLE * (global_step + 1) / 100.0::DOUBLE
+                      WHEN global_step < 500 THEN 3.0e-4::DOUBLE
+                      ELSE 3.0e-4::DOUBLE - (3.0e-4::DOUBLE - 3.0e-5::DOUBLE) * least(1.0::DOUBLE, greatest(0.0::DOUBLE,
+                           (global_step - 500.0::DOUBLE) / 500.0::DOUBLE)) END AS lr FROM steps WHERE step % 10 = 0)
+SELECT epoch + 1 AS epoch, 1 AS epochs, step, steps_per_epoch, global_step, round(loss, 6) AS loss, lr,
+       CASE WHEN step_time > 0 THEN {SEQ * B * G * WORLD}.0::DOUBLE / step_time ELSE 0.0::DOUBLE END AS tokens_per_second,
+       CASE WHEN step_time <= 0 THEN 0.0::DOUBLE
+            ELSE least({SEQ * B * G}::DOUBLE * {FPT_SQL} / step_time / 100e12::DOUBLE, 1.0::DOUBLE) END * 100.0::DOUBLE AS mfu_percent,
+       step_time,
+       CASE WHEN step_time > 0 THEN {SEQ * B * G * WORLD}.0::DOUBLE * {FPT_SQL} / step_time / 1e12::DOUBLE ELSE 0.0::DOUBLE END AS tflops,
+       {WORLD} AS gpu_count, {B} AS batch_size, {B * G * WORLD} AS effective_batch_size
+FROM lr""")
+def step_log_q(spark, sf_dir):
+    """The trainer's log record of every tenth step, in one row."""
+    out = TM.step_log(steps(spark, sf_dir), model_flops(), TM.gpu_peak(F.lit(DEVICE)), 1, WORLD, SEQ, B, G, **WSD)
+    return out.withColumn("loss", F.round("loss", 6))
 
 
 @register("mfu", sql=f"""
 WITH {_STEPS_SQL}
 SELECT global_step,
   CASE WHEN step_time <= 0 THEN 0.0::DOUBLE
-       ELSE least({float(TOKENS_LOCAL)!r}::DOUBLE * {FPT!r}::DOUBLE / step_time / 330e12::DOUBLE, 1.0::DOUBLE) END AS mfu,
+       ELSE least({float(TOKENS_LOCAL)!r}::DOUBLE * {FPT_SQL} / step_time / 330e12::DOUBLE, 1.0::DOUBLE) END AS mfu,
   CASE WHEN step_time <= 0 THEN 0.0::DOUBLE
-       ELSE least({float(TOKENS_LOCAL)!r}::DOUBLE * {FPT!r}::DOUBLE / step_time / 1.0::DOUBLE, 1.0::DOUBLE) END AS mfu_capped
+       ELSE least({float(TOKENS_LOCAL)!r}::DOUBLE * {FPT_SQL} / step_time / 1.0::DOUBLE, 1.0::DOUBLE) END AS mfu_capped
 FROM steps""")
 def mfu_q(spark, sf_dir):
     """M3: utilisation on a 4090 peak, and against a peak so low the cap of 1 applies."""
     st = steps(spark, sf_dir)
     return st.select("global_step",
-                     mfu(F.lit(TOKENS_LOCAL), F.col("step_time"), F.lit(FPT), F.lit(330e12)).alias("mfu"),
-                     mfu(F.lit(TOKENS_LOCAL), F.col("step_time"), F.lit(FPT), F.lit(1.0)).alias("mfu_capped"))
+                     mfu(F.lit(TOKENS_LOCAL), F.col("step_time"), model_flops(), F.lit(330e12)).alias("mfu"),
+                     mfu(F.lit(TOKENS_LOCAL), F.col("step_time"), model_flops(), F.lit(1.0)).alias("mfu_capped"))
 
 
 def _device_sql() -> str:
@@ -122,14 +166,16 @@ def _device_sql() -> str:
     return f"([{names}])[(global_step % {len(DEVICES)}) + 1]"
 
 
-def _peak_sql(name: str) -> str:
-    whens = " ".join(f"WHEN strpos({name}, '{k}') > 0 THEN {v!r}::DOUBLE" for k, v in TM.GPU_PEAK_FLOPS)
-    return f"CASE WHEN {name} IS NULL THEN 0.0::DOUBLE {whens} ELSE {TM.GPU_PEAK_DEFAULT!r}::DOUBLE END"
+# Peak FLOP/s by device, first match wins.
+_PEAK_SQL = """CASE WHEN device IS NULL THEN 0.0::DOUBLE WHEN strpos(device, 'V100') > 0 THEN 125e12::DOUBLE
+  WHEN strpos(device, 'A100') > 0 THEN 312e12::DOUBLE WHEN strpos(device, 'H100') > 0 THEN 989e12::DOUBLE
+  WHEN strpos(device, '3090') > 0 THEN 142e12::DOUBLE WHEN strpos(device, '4090') > 0 THEN 330e12::DOUBLE
+  WHEN strpos(device, 'T4') > 0 THEN 130e12::DOUBLE ELSE 100e12::DOUBLE END"""
 
 
 @register("gpu_peak_lookup", sql=f"""
 WITH {_STEPS_SQL}, dev AS (SELECT global_step, {_device_sql()} AS device FROM steps)
-SELECT global_step, device, {_peak_sql('device')} AS peak_flops FROM dev""")
+SELECT global_step, device, {_PEAK_SQL} AS peak_flops FROM dev""")
 def gpu_peak_lookup(spark, sf_dir):
     """M4: peak FLOP/s by the first known key in the device name (default 100e12)."""
     names = F.array(*[F.lit(d) for d in DEVICES])
@@ -149,7 +195,7 @@ SELECT epoch, steps, elapsed_seconds, total_tokens,
 FROM cum""")
 def epoch_summary(spark, sf_dir):
     """Per-epoch run time, tokens so far and mean throughput."""
-    return TM.epoch_summary(steps(spark, sf_dir), WORLD, SEQ, B, G)
+    return TM.epoch_summary(closed_steps(spark, sf_dir), WORLD, SEQ, B, G)
 
 
 _SCORES_SQL = """scores AS (
@@ -183,8 +229,7 @@ JOIN (SELECT method, avg(CASE WHEN accuracy > 0 THEN accuracy END) AS macro_avg_
 def macro_average(spark, sf_dir):
     """Macro-average of per-subject accuracy by method, with and without zero scores."""
     scores = eval_scores(spark, sf_dir)
-    acc = F.col("accuracy")
-    nz = F.when(acc > 0, acc)
-    return scores.groupBy("method").agg(
-        F.round(F.avg(acc), 6).alias("macro_avg"), F.count(acc).alias("subjects"),
-        F.round(F.avg(nz), 6).alias("macro_avg_nonzero"), F.count(nz).alias("subjects_nonzero"))
+    every = TM.macro_average(scores).withColumn("macro_avg", F.round("macro_avg", 6))
+    nonzero = TM.macro_average(scores, drop_zero=True).select(
+        "method", F.round("macro_avg", 6).alias("macro_avg_nonzero"), F.col("subjects").alias("subjects_nonzero"))
+    return every.join(nonzero, "method")
