@@ -19,14 +19,14 @@ from tokenmill.operators.classify import (  # noqa: F401
 )
 from tokenmill.operators.telemetry import (  # noqa: F401
     epoch_summary, gpu_peak, log_every, lr_by_step, lr_schedule, macro_average, step_loss, step_rates,
-    with_global_step,
+    step_log, with_global_step,
 )
 from tokenmill.operators.vocab import (  # noqa: F401
     build_vocab, tokenize_with, tokenize_with_vocab, tokenizer_file_hook,
 )
 from tokenmill.plans.index import dense_index, dense_index_by_hash  # noqa: F401
 from tokenmill.plans.sampling import (  # noqa: F401
-    batch, batch_sizes, checkpoint_steps, opt_steps, resume_from, shard, shuffle_order, token_account,
+    batch, batch_sizes, checkpoint_steps, opt_steps, resume_from, run_steps, shard, shuffle_order, token_account,
     training_plan,
 )
 from tokenmill.sources.blocksets import read_block_sets, write_blocks  # noqa: F401

@@ -14,8 +14,7 @@ def idiv(c, k: int) -> Column:
     (no trip through a double, so exact for any BIGINT)."""
     c = as_col(c).cast("bigint")
     k_lit = F.lit(k).cast("bigint")
-    multiple = (c - F.pmod(c, k_lit)).cast("decimal(38,0)")  # exact multiple of k
-    return (multiple / k_lit.cast("decimal(38,0)")).cast("bigint")
+    return F.call_function("div", c - F.pmod(c, k_lit), k_lit)  # an exact multiple of k
 
 
 def ceil_div(c, k: int) -> Column:

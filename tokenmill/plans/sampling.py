@@ -133,32 +133,37 @@ def resume_from(plan: DataFrame, checkpoint_epoch: int, global_step: int,
     return plan.where((F.col("epoch") > e0) | ((F.col("epoch") == e0) & (F.col("batch_idx") >= skip)))
 
 
-def step_rows(plan: DataFrame, grad_accum: int = GRAD_ACCUM) -> DataFrame:
-    """One row per completed optimizer step: rank 0, first sample of the step's last batch."""
-    g = F.lit(grad_accum).cast("bigint")
-    return (plan.where((F.col("rank") == 0) & (F.col("pos_in_batch") == 0) & F.col("opt_step").isNotNull()
-                       & (F.col("batch_idx") % g == g - 1))
-            .select("epoch", "opt_step", "steps_per_epoch")
-            .withColumn("global_step", F.col("epoch") * F.col("steps_per_epoch") + F.col("opt_step") + 1))
+def run_steps(samples: DataFrame, epochs: int = 1, world_size: int = 1, batch_size: int = BATCH_SIZE,
+              grad_accum: int = GRAD_ACCUM, drop_last: bool | None = None) -> DataFrame:
+    """One row per completed optimizer step of a run: ``epoch, opt_step,
+    steps_per_epoch, global_step``. They follow from the number of samples alone, so the
+    samples are counted and neither hashed, sorted nor shuffled."""
+    if drop_last is None:
+        drop_last = world_size == 1
+    counted = samples.agg(F.count(F.lit(1)).alias("n"))
+    rank_size = ceil_div("n", world_size)
+    batches = idiv(rank_size, batch_size) if drop_last else ceil_div(rank_size, batch_size)
+    spe = counted.select(idiv(batches, grad_accum).alias("steps_per_epoch")).where("steps_per_epoch > 0")
+    zero = F.lit(0).cast("bigint")
+    steps = (spe.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+             .withColumn("opt_step", F.explode(F.sequence(zero, F.col("steps_per_epoch") - 1))))
+    return steps.select("epoch", "opt_step", "steps_per_epoch",
+                        (F.col("epoch") * F.col("steps_per_epoch") + F.col("opt_step") + 1).alias("global_step"))
 
 
-def checkpoint_steps(plan: DataFrame, save_interval: int, grad_accum: int = GRAD_ACCUM) -> DataFrame:
-    """steps at which a mid-epoch checkpoint is saved."""
-    steps = step_rows(plan, grad_accum)
-    if save_interval <= 0:
-        return steps.where(F.lit(False))
-    return steps.where(F.col("global_step") % save_interval == 0)
+def checkpoint_steps(steps: DataFrame, save_interval: int) -> DataFrame:
+    """the steps (``run_steps``) after which a mid-epoch checkpoint is saved."""
+    return steps.where(F.col("global_step") % save_interval == 0) if save_interval > 0 else steps.where(F.lit(False))
 
 
-def token_account(plan: DataFrame, seq_len: int = SEQ_LEN, batch_size: int = BATCH_SIZE,
+def token_account(steps: DataFrame, seq_len: int = SEQ_LEN, batch_size: int = BATCH_SIZE,
                   grad_accum: int = GRAD_ACCUM, world_size: int = 1) -> DataFrame:
     """Tokens per step ``seq_len*B*G*W`` (padding included) and the running total.
 
     Every step adds the same amount, so the running total is ``global_step * per
     step``: no ordered window over all steps."""
     per_step = seq_len * batch_size * grad_accum * world_size
-    return (step_rows(plan, grad_accum)
-            .withColumn("tokens_step", F.lit(per_step).cast("bigint"))
+    return (steps.withColumn("tokens_step", F.lit(per_step).cast("bigint"))
             .withColumn("tokens_total", F.col("global_step") * F.lit(per_step).cast("bigint")))
 
 

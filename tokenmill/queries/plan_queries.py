@@ -23,6 +23,10 @@ def plan(spark, sf_dir, epochs=EPOCHS):
     return S.training_plan(sample_keys(spark, sf_dir), KEYS, epochs, WORLD, BATCH, ACCUM, SEED)
 
 
+def run(spark, sf_dir):
+    return S.run_steps(sample_keys(spark, sf_dir), EPOCHS, WORLD, BATCH, ACCUM)
+
+
 # ---- DuckDB twin of the plan ---------------------------------------------------------
 
 _KEYS_SQL = f"""words AS (
@@ -135,7 +139,7 @@ WITH {_plan_sql()}
 SELECT epoch, opt_step, steps_per_epoch, global_step FROM steps WHERE global_step % {SAVE_EVERY} = 0""")
 def checkpoint_steps(spark, sf_dir):
     """global steps at which a mid-epoch checkpoint is written."""
-    return S.checkpoint_steps(plan(spark, sf_dir), SAVE_EVERY, ACCUM)
+    return S.checkpoint_steps(run(spark, sf_dir), SAVE_EVERY)
 
 
 @register("token_account", sql=f"""
@@ -145,7 +149,7 @@ SELECT epoch, opt_step, steps_per_epoch, global_step,
        global_step * {S.SEQ_LEN * BATCH * ACCUM * WORLD} AS tokens_total FROM steps""")
 def token_account(spark, sf_dir):
     """Tokens per optimizer step (padding counted) and the running total."""
-    return S.token_account(plan(spark, sf_dir), S.SEQ_LEN, BATCH, ACCUM, WORLD)
+    return S.token_account(run(spark, sf_dir), S.SEQ_LEN, BATCH, ACCUM, WORLD)
 
 
 @register("batch_sizes", sql=f"""

@@ -9,6 +9,7 @@ none (local tests), never a machine-local temp folder on a cluster.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     configured = sc.getConf().get(_CHECKPOINT_KEY, None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that all executors share (master {sc.master})")
     # Unset only in tests / local runs: a throw-away local folder is fine there.
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tokenmill-ckpt-"))
     return sc.getCheckpointDir()
