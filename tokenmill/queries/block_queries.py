@@ -46,13 +46,9 @@ SELECT doc_id, chunk_idx, CAST(start_pos AS BIGINT) AS start_pos,
        CAST(list_sum(attention_mask) AS BIGINT) AS n_real FROM blocks""")
 def token_windows(spark, sf_dir):
     """T2 + F5: window start and real length of every block of every document."""
-    docs = inputs.table(spark, sf_dir, "documents")
-    tok = B.tokenize(docs, out="ids").select("doc_id", "ids")
-    n = F.size("ids")
-    starts = B.window_starts(n, L, STRIDE, MIN_LEN)
-    return (tok.select("doc_id", F.posexplode(starts).alias("chunk_idx", "start_pos"), n.alias("n"))
-            .select("doc_id", "chunk_idx", F.col("start_pos").cast("bigint").alias("start_pos"),
-                    F.least(F.lit(L), F.col("n") - F.col("start_pos")).cast("bigint").alias("n_real")))
+    keys = B.block_keys(inputs.table(spark, sf_dir, "documents"), "text", L, STRIDE, MIN_LEN)
+    return keys.select("doc_id", "chunk_idx", F.col("start_pos").cast("bigint").alias("start_pos"),
+                       F.col("n_real").cast("bigint").alias("n_real"))
 
 
 @register("token_blocks", sql=f"""
