@@ -182,3 +182,21 @@ def test_overwrite_replaces_only_present_leaves_and_error_mode(spark):
     assert got == [("a", C.HIGH_BUCKET, "t9"), ("b", "score_0.6_to_0.75", "t3"), ("b", C.HIGH_BUCKET, "t2")]
     with pytest.raises(Exception):
         classified.write_classified(C.classify(newer), root, on_existing="error")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tokenmill.session import ensure_checkpoint_dir
+    made = []
+    def session(master, configured=None):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append,
+                             getConf=lambda: {"spark.checkpoint.dir": configured} if configured else {})
+        return SimpleNamespace(sparkContext=sc)
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(session("yarn"))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session("local-cluster[2,1,1024]"))
+    assert ensure_checkpoint_dir(session("yarn", "hdfs://shared")) == "hdfs://shared"
+    made.clear()
+    assert ensure_checkpoint_dir(session("local[4]"))
