@@ -57,6 +57,15 @@ def test_train_val_split_with_repeated_and_null_keys(spark):
     assert sorted(r.text for r in out) == sorted(t for _, t in rows)
 
 
+def test_pack_keeps_other_columns(spark):
+    df = spark.range(200).select(F.col("id").alias("conv_id"), (F.col("id") % 50 + 1).alias("length"),
+                                 F.concat(F.lit("t"), F.col("id")).alias("text"))
+    whole = {(r.conv_id, r.shard, r.bin, r.bin_offset): r.text for r in CH.pack(df, 64, ["conv_id"], n_shards=4).collect()}
+    narrow = CH.pack(df.drop("text"), 64, ["conv_id"], n_shards=4)
+    assert len(whole) == 200 and all(t == f"t{k[0]}" for k, t in whole.items())
+    assert set(whole) == {(r.conv_id, r.shard, r.bin, r.bin_offset) for r in narrow.collect()}
+
+
 def test_render_chat_orders_turns(spark):
     df = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a")],
                                "conv_id long, turn long, role string, text string")
