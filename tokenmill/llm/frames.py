@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tokenmill.session import scratch_path
@@ -22,10 +24,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``fn`` with freed memory given back to the system after each batch it has taken,
+    as the allocators would else keep a worker at its largest batch for good."""
+    def run(batches: Batches) -> Batches:
+        def taken() -> Batches:
+            for batch in batches:
+                yield batch
+                del batch
+                _give_back()
+
+        yield from fn(taken())
+        _give_back()
+
+    return run
+
+
 def map_batches(df: DataFrame, columns: Sequence[str], schema: str,
-                fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+                fn: Callable[[Batches], Batches]) -> DataFrame:
     """``mapInArrow`` over the named columns only (the scan reads no others)."""
-    return df.select(*columns).mapInArrow(fn, schema)
+    return df.select(*columns).mapInArrow(frugal(fn), schema)
 
 
 def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -33,8 +61,8 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
     n = batch.num_rows
     if not n:
         return
-    arr = batch.column(column)
-    offsets = np.frombuffer(arr.buffers()[1], np.int32, n + 1, arr.offset * 4) if arr.buffers()[1] else np.zeros(n + 1)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     start = 0
     while start < n:
         end = int(np.searchsorted(offsets, int(offsets[start]) + limit, side="right")) - 1

@@ -38,8 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenmill.llm.frames import map_batches, shuffle_partitions, stored
-from tokenmill.llm.tokens import encoder, tokenizer_path
+from tokenmill.llm.frames import frugal, map_batches, shuffle_partitions, stored
+from tokenmill.llm.tokens import TextEncoder, encoder, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -212,7 +212,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     each), so take ``n_shards`` and ``n_parts`` in proportion to the corpus."""
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path(TOKENIZER)
-    vocab = max(encoder(tokenizer).vocab_size, end_id + 1)
+    vocab = max(TextEncoder(tokenizer).vocab_size, end_id + 1)
     width = 2 if vocab <= 1 << 16 else 4
     n_shards = n_shards or shuffle_partitions(spark)
     n_parts = n_parts or n_shards
@@ -221,7 +221,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     order = ["key", F.xxhash64("text")]
     shards = (rows.repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
-              .mapInArrow(_write_shards(path, tokenizer, width, end_id), "shard int, key bigint, first bigint, n bigint"))
+              .mapInArrow(frugal(_write_shards(path, tokenizer, width, end_id)), "shard int, key bigint, first bigint, n bigint"))
     entries = stored(shards, "token-records")
     written = sorted((r["shard"], r["first"], r["n"]) for r in entries.where("key IS NULL").collect())  # one per shard
     manifest = {"width": width, "parts": n_parts, "shards": [list(x) for x in written]}
@@ -389,4 +389,4 @@ def fetch(spark: SparkSession, path: str, keys: DataFrame | None = None, with_id
                  .repartition(n_parts, "part").sortWithinPartitions("part"))
         found = map_batches(asked, ["part", "key"], "shard int, record bigint, key bigint", look_up)
     spread = found.repartitionByRange(max(1, len(store.shards)), "shard", "record")
-    return spread.sortWithinPartitions("shard", "record").mapInArrow(read, schema)
+    return spread.sortWithinPartitions("shard", "record").mapInArrow(frugal(read), schema)

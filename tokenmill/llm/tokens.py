@@ -31,19 +31,21 @@ SPACES = {"byte_bpe_50k.json": "kept", "word_bpe_49k.json": "dropped"}
 # own pattern), and the words of which it is used: printable ASCII and Latin letters.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 _PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u024f]+").fullmatch
-# Distinct units a worker remembers before it starts afresh (about 100 MB).
-MAX_UNITS = 700_000
+# Distinct units that a worker remembers (about 100 MB). The first ones seen stay, as
+# frequent units come early; later ones are encoded again in each chunk they occur in.
+MAX_UNITS = 600_000
 # Units joined into one call of the library.
 JOINED = 500
 # Bytes of text looked up and ids put together at a time.
-BYTES_AT_ONCE = 4 << 20
-IDS_AT_ONCE = 2_000_000
+BYTES_AT_ONCE = 3 << 20
+IDS_AT_ONCE = 500_000
 
 
 class TextEncoder:
     def __init__(self, path: str, max_units: int = MAX_UNITS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        self.path = path
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.vocab_size = self.tok.get_vocab_size()
@@ -58,15 +60,15 @@ class TextEncoder:
             vocab = self.tok.get_vocab()
             self.piece_last = np.zeros(max(vocab.values()) + 1, bool)
             self.piece_last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.used = 0
 
+    def __reduce__(self):  # a pickled tokenizer would forget how it treats special tokens
+        return TextEncoder, (self.path, self.max_units)
+
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -119,10 +121,6 @@ class TextEncoder:
         get = self.index.get
         at = np.fromiter([get(u, -1) for u in units], np.int64, len(units))
         new = np.flatnonzero(at < 0)
-        if len(new) and len(self.index) and len(self.index) + len(new) > self.max_units:
-            self._clear()
-            at = np.full(len(units), -1, np.int64)
-            new = np.arange(len(units))
         if len(new):
             fresh = [units[i] for i in new.tolist()]
             first = len(self.index)
@@ -165,7 +163,10 @@ class TextEncoder:
         ends -= int(split.offsets[0].as_py())
         coded = split.flatten().dictionary_encode()
         del split
-        if self.mode == "kept" and not safe.all():  # units of texts that are encoded whole are of no use
+        if not safe.any():
+            yield from self._whole(texts, np.arange(len(texts)))
+            return
+        if not safe.all():  # units of texts that are encoded whole are of no use
             words = np.repeat(safe, np.diff(ends, prepend=0))
             used = np.unique(coded.indices.to_numpy()[words])
             places = np.zeros(len(coded.dictionary), np.int64)
@@ -173,6 +174,11 @@ class TextEncoder:
         else:
             places = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         yield from self._assembled(texts, safe, places[coded.indices.to_numpy()], ends)
+        if len(self.index) > self.max_units:
+            kept = slice(0, self.max_units)
+            self.used = int((self.start[kept] + self.size[kept]).max())
+            while len(self.index) > self.max_units:
+                self.index.popitem()
 
     def _assembled(self, texts, safe, unit, ends):
         begins = np.concatenate([[0], ends[:-1]])
