@@ -38,6 +38,8 @@ RATE = 1.0
 # So many times does a feature of repetition count in the average.
 REPEAT_WEIGHT = 16
 THRESHOLD = 0.3
+# Bytes of text whose features a task holds at a time (about 30 bytes each).
+CHUNK = 2 << 20
 
 
 @dataclass
@@ -87,7 +89,7 @@ def train(examples: Sequence[tuple[np.ndarray, np.ndarray, int]], buckets: int =
 def _examples(buckets: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_chunks(whole, "text"):
+            for batch in text_chunks(whole, "text", CHUNK):
                 words = WordBatch(batch.column("text"))
                 owner, bucket = words.features(buckets)
                 order = np.argsort(owner, kind="stable")
@@ -141,7 +143,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text"
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
         for whole in batches:
-            for batch in text_chunks(whole, text):
+            for batch in text_chunks(whole, text, CHUNK):
                 words = WordBatch(batch.column(text))
                 owner, bucket = words.features(buckets)
                 worth = np.bincount(owner, w[bucket], len(words.words))

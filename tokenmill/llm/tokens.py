@@ -33,7 +33,7 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N
 _PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u024f]+").fullmatch
 # Distinct units that a worker remembers (about 100 MB). The first ones seen stay, as
 # frequent units come early; later ones are encoded again in each chunk they occur in.
-MAX_UNITS = 600_000
+MAX_UNITS = 500_000
 # Units joined into one call of the library.
 JOINED = 500
 # Bytes of text looked up and ids put together at a time.
