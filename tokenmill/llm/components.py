@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tokenmill.llm.frames import stored
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1]
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every ``u`` has one ``v``, and no ``v`` is another edge's ``u``."""
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    inner = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return not twice.unionByName(inner).limit(1).count()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,19 +25,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = (edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
          .where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
     e = stored(e, "edges")
-    before = _mark(e)
-    while before[0]:
+    while not _all_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), "edges")
+        large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             small.select("u", F.col("m").alias("v")))
         e = stored(small.where("u <> v").distinct(), "edges")
-        after = _mark(e)
-        if after == before:
-            break
-        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

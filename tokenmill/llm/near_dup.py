@@ -13,7 +13,8 @@ the latest register, so a text costs about as many events as it has shingles, wh
 the signature's length.
 
 Candidates: signatures are cut into ``BANDS`` bands of ``ROWS`` registers; texts that
-agree in a band share a bucket (a pair at 0.8 is missed with a chance of 3e-6).
+agree in a band share a bucket (a pair at 0.8 is missed with a chance of 1.5e-4, one
+at 0.85 of 2.4e-7, and one at 0.3, as a shared passage makes, meets with one of 0.3 %).
 Equal texts are one node first, so a group of copies costs one signature. Then
 
 1. each bucket's members are paired with its least node, the pairs verified by exact
@@ -22,7 +23,7 @@ Equal texts are one node first, so a group of copies costs one signature. Then
 2. pairs of one bucket that are still in different components are verified too. A
    bucket in which these are more than ``CROSS`` times its members (texts that share a
    long common passage) is first split by agreement in a second band, a third and so
-   on (a pair at 0.8 agrees in fewer than two bands with a chance of 5e-5), so a
+   on (a pair at 0.8 agrees in fewer than two bands with a chance of 1.6e-3), so a
    common passage doesn't make all pairs of a bucket, and no bucket is capped.
 
 Every text is a row of the result. Texts without words equal each other; a null text
@@ -47,11 +48,11 @@ from tokenmill.llm.subwords import WordBatch
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 48, 8
 # Pairs across components that a bucket may emit for each of its members, and how
 # often it is split before it emits them all the same: texts that agree in SPLITS + 1
 # bands are so alike that hardly any of them are in different components.
-CROSS = 32
+CROSS = 8
 SPLITS = 4
 _GOLD = 0x9E3779B97F4A7C15
 
