@@ -61,6 +61,18 @@ def test_groups_equal_all_pairs(spark, cross):
     assert sorted(((r.key, r.class_key) for r in got.collect()), key=str) == plain_classes(docs)
 
 
+def test_large_buckets_lose_no_pair(spark):
+    """Pairs just above the limit whose common buckets all texts share by a passage."""
+    passage, docs = words(240, 1, 10**6), []
+    for s in range(60):
+        own = words(60, 100 + s, 10**6).split()
+        docs += [" ".join(own) + " " + passage, " ".join(own[:34] + words(26, 200 + s, 10**6).split()) + " " + passage]
+    docs = list(enumerate(docs))
+    assert len({c for _, c in plain_classes(docs)}) == 60
+    got = near_dup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), bands=6, rows=2, splits=4)
+    assert sorted(((r.key, r.class_key) for r in got.collect()), key=str) == plain_classes(docs)
+
+
 def test_groups_take_awkward_rows(spark):
     got = near_dup.groups(awkward(spark)).collect()
     assert sorted(((r.key, r.class_key) for r in got), key=str) == plain_classes([(r[0], r[1]) for r in awkward_rows()])

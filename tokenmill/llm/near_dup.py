@@ -20,11 +20,13 @@ Equal texts are one node first, so a group of copies costs one signature. Then
 1. each bucket's members are paired with its least node, the pairs verified by exact
    multiset overlap, and the links' components found: groups of near copies collapse
    after as many pairs as they have members;
-2. pairs of one bucket that are still in different components are verified too. A
-   bucket in which these are more than ``CROSS`` times its members (texts that share a
-   long common passage) is first split by agreement in a second band, a third and so
-   on (a pair at 0.8 agrees in fewer than two bands with a chance of 1.6e-3), so a
-   common passage doesn't make all pairs of a bucket, and no bucket is capped.
+2. pairs of one bucket that are still in different components are verified too. Where
+   these would be more than ``CROSS`` times the bucket's members (texts that share a
+   long common passage), the members are met by an exact filter instead: shingles are
+   ordered by how rare they are among such texts, two similar texts share one of the
+   first ``1 - similarity`` of their shingles, at places that leave room for the overlap
+   needed, and a common passage is at the end of that order. The filter loses no similar
+   pair, in whatever buckets its texts are, and no bucket is capped.
 
 Every text is a row of the result. Texts without words equal each other; a null text
 is a group of its own. A class is named by its least key; null keys come last.
@@ -49,11 +51,10 @@ from tokenmill.llm.subwords import WordBatch
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 48, 8
-# Pairs across components that a bucket may emit for each of its members, and how
-# often it is split before it emits them all the same: texts that agree in SPLITS + 1
-# bands are so alike that hardly any of them are in different components.
+# Pairs across components that a bucket may emit for each of its members.
 CROSS = 8
-SPLITS = 4
+# Counters of the sketch that orders shingles by rarity; any order finds the same pairs.
+SKETCH = 1 << 20
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -207,48 +208,120 @@ def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: floa
     return met.mapInArrow(_verified(similarity), "u binary, v binary")
 
 
-def _cross(members: DataFrame, nodes: DataFrame, cross: int, splits: int) -> DataFrame:
-    """Pairs of ``members`` (bucket, band, node, root) of one bucket and different
-    roots, after splitting the buckets that would emit too many."""
-    pairs = None
-    for level in range(splits + 1):
-        counts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        sums = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-        sums = sums.where("n * n > squares").withColumn(
-            "hot", ((F.col("n") * F.col("n") - F.col("squares")) / 2 > cross * F.col("n")) & F.lit(level < splits))
-        open_ = stored(members.join(sums.select("bucket", "hot"), "bucket"), "open-buckets")
-        cold = open_.where(~F.col("hot")).select("bucket", "node", "root")
-        one = cold.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"))
-        two = cold.select("bucket", F.col("node").alias("v"), F.col("root").alias("rv"))
-        found = one.join(two, "bucket").where("u < v AND ru <> rv").select("u", "v")
-        pairs = found if pairs is None else pairs.union(found)
-        hot = open_.where("hot")
-        if level == splits or not hot.limit(1).count():
-            break
-        split = hot.join(nodes.select("node", "bands"), "node").select(
-            "bucket", "band", "node", "root", F.posexplode("bands").alias("next", "value")).where("next > band")
-        members = split.select(F.xxhash64("bucket", "value").alias("bucket"), F.col("next").alias("band"), "node", "root")
+def _copies(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multisets as sets: the place in ``h`` and a hash of each copy of each shingle."""
+    owner = np.repeat(np.arange(len(h)), weight)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        return owner, _mixed(h[owner] + k.astype(np.uint64) * np.uint64(_GOLD))
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SKETCH, np.int64)
+    for whole in batches:
+        for batch in text_chunks(whole, "text", 2 << 20):
+            doc, h, _ = shingles(batch.column("text").to_numpy(zero_copy_only=False).tolist())
+            _, copy = _copies(*bags(doc, h)[1:])
+            counts += np.bincount((copy % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    slot = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "n"])
+
+
+def _prefixes(similarity: float, ranks):
+    """The shingles of each text by which a similar text must meet it, rarest first
+    (``ranks``: a broadcast rank per slot of the sketch, 0 where one text has it).
+    ``lead``: those by which it meets a text of its own size or larger."""
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_chunks(whole, "text", 2 << 20):
+                texts = batch.column("text").to_numpy(zero_copy_only=False).tolist()
+                doc, h, digests = shingles(texts)
+                d, g, c = bags(doc, h)
+                owner, copy = _copies(g, c)
+                d, rank = d[owner], ranks.value[(copy % np.uint64(SKETCH)).astype(np.int64)]
+                order = np.lexsort((copy, rank, d))
+                d, copy, rank = d[order], copy[order], rank[order]
+                size = np.bincount(d, minlength=len(texts))
+                place = np.arange(len(d)) - (np.cumsum(size) - size)[d]
+                room = size[d] - place + 1e-6  # at most so much overlap, if this is the first shingle shared
+                keep = np.flatnonzero((room >= similarity * size[d]) & (rank > 0))
+                lead = room[keep] >= 2 * similarity / (1 + similarity) * size[d[keep]]
+                at = pa.array(d[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(copy[keep].view(np.int64)), pa.array(digests, pa.binary()).take(at),
+                     batch.column("root").take(at), pa.array(size[d[keep]]), pa.array(place[keep]), pa.array(lead)],
+                    ["shingle", "node", "root", "size", "place", "lead"])
+
+    return prefix
+
+
+def _across(left: DataFrame, right: DataFrame, on: str, roots: str) -> DataFrame:
+    """Rows of ``left`` and ``right`` (``on, node, root, ..`` named with 1 and 2) that
+    agree in ``on`` and whose roots are as ``roots`` says. Roots meet first, so that a
+    large component isn't joined with itself."""
+    one = left.select(on, *[F.col(c).alias(f"{c}1") for c in left.columns if c != on])
+    two = right.select(on, *[F.col(c).alias(f"{c}2") for c in right.columns if c != on])
+    met = one.select(on, "root1").distinct().join(two.select(on, "root2").distinct(), on).where(roots)
+    return met.join(one, [on, "root1"]).join(two, [on, "root2"])
+
+
+def _filtered(hot: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of ``hot`` texts (node, root) of different roots; all similar ones are among them."""
+    wanted = nodes.select("node", F.col("key").alias("k"), F.col("t").alias("t2")).join(hot, "node").drop("node")
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("t2"))
+    texts = stored(rows.join(wanted, same).select("text", "root"), "hot-texts")
+    sums = map_batches(texts, ["text"], "slot int, n bigint", _sketch).groupBy("slot").agg(F.sum("n").alias("n"))
+    table = sums.toArrow()  # at most SKETCH rows
+    ranks, n = np.zeros(SKETCH, np.uint8), table.column("n").to_numpy()
+    ranks[table.column("slot").to_numpy()] = np.where(n > 1, 1 + 4 * np.log2(n), 0).astype(np.uint8)
+    ranks = rows.sparkSession.sparkContext.broadcast(ranks)
+    prefixes = map_batches(texts, ["text", "root"], "shingle bigint, node binary, root binary, size bigint, place bigint, "
+                           "lead boolean", _prefixes(similarity, ranks))
+    prefixes = stored(prefixes.dropDuplicates(["shingle", "node"]), "prefixes")  # rows equal in key and text
+    met = _across(prefixes.where("lead").drop("lead"), prefixes.drop("lead"), "shingle", "root1 <> root2")
+    need = F.lit(similarity / (1 + similarity)) * (F.col("size1") + F.col("size2"))  # overlap of a similar pair
+    near = (F.col("size1") <= F.col("size2")) & (F.col("size1") >= F.lit(similarity) * F.col("size2") - 1e-6)
+    room = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))
+    return met.where(near & (room >= need - 1e-6)).select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v"))
+
+
+def _cross(members: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, cross: int) -> DataFrame:
+    """Pairs of ``members`` (bucket, node, root) of one bucket and different roots; in
+    the buckets that would emit too many, those that the exact filter leaves."""
+    counts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    sums = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
+    sums = sums.where("n * n > squares").withColumn(
+        "hot", (F.col("n") * F.col("n") - F.col("squares")) / 2 > cross * F.col("n"))
+    open_ = stored(members.join(sums.select("bucket", "hot"), "bucket"), "open-buckets")
+    cold = open_.where(~F.col("hot")).select("bucket", "node", "root")
+    one = cold.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"))
+    two = cold.select("bucket", F.col("node").alias("v"), F.col("root").alias("rv"))
+    pairs = one.join(two, "bucket").where("u < v AND ru <> rv").select("u", "v")
+    hot = stored(open_.where("hot").select("node", "root").distinct(), "hot")
+    if hot.limit(1).count():
+        pairs = pairs.union(_filtered(hot, nodes, rows, similarity))
     return pairs.distinct()
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-           bands: int = BANDS, rows: int = ROWS, cross: int = CROSS, splits: int = SPLITS) -> DataFrame:
+           bands: int = BANDS, rows: int = ROWS, cross: int = CROSS, splits: int | None = None) -> DataFrame:
     """``key, t`` (md5 of the text) and ``class_key`` and ``class_t`` of the text that
-    stands for its group, for every row of ``docs``."""
+    stands for its group, for every row of ``docs``. ``splits`` is without effect (large
+    buckets were split by more bands before they were filtered exactly)."""
     texts = docs.select(F.col(key).alias("key"), F.md5(F.col(text)).alias("t"), F.col(text).alias("text"))
     signed = stored(map_batches(texts, ["key", "t", "text"], f"key {docs.schema[key].dataType.simpleString()}, t string, "
                                 "node binary, size bigint, bands array<bigint>", _sign(bands, rows)), "signatures")
     nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(
         F.min(F.struct(F.col("key").isNull().alias("no"), "key", "t")).alias("first"), F.any_value("size").alias("size"),
         F.any_value("bands").alias("bands")).select("node", "first.key", "first.t", "size", "bands"), "nodes")
-    buckets = nodes.where("size > 0").select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = nodes.where("size > 0").select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stored(buckets.join(shared.select("bucket", "pivot"), "bucket"), "buckets")
     star = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
     links = stored(_links(star, nodes, texts, similarity), "links")
     roots = connected_components(links)
-    rooted = members.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-    rest = _cross(stored(rooted, "rooted"), nodes, cross, splits).join(star, ["u", "v"], "left_anti")
+    rooted = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    rest = _cross(stored(rooted, "rooted"), nodes, texts, similarity, cross).join(star, ["u", "v"], "left_anti")
     more = stored(_links(rest, nodes, texts, similarity), "links")
     if more.limit(1).count():
         roots = connected_components(links.unionByName(more))
