@@ -1,3 +1,4 @@
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from conftest import SF001
 from llm_data import awkward, awkward_rows, empty, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tokenmill.llm import near_dup
@@ -73,6 +75,17 @@ def test_large_buckets_lose_no_pair(spark):
     assert sorted(((r.key, r.class_key) for r in got.collect()), key=str) == plain_classes(docs)
 
 
+def test_a_large_component_is_not_joined_with_itself(spark):
+    """100,000 texts of one component and two others in a bucket: 200,001 pairs, not 10^10."""
+    n, began = 100_000, time.monotonic()
+    node = F.encode(F.col("id").cast("string"), "UTF-8")
+    members = spark.range(n + 2).select(F.lit(1).cast("long").alias("bucket"), node.alias("node"), F.when(
+        F.col("id") < n, F.encode(F.lit("0"), "UTF-8")).otherwise(node).alias("root"))
+    pairs = near_dup._cross(members, None, None, near_dup.SIMILARITY, near_dup.CROSS)
+    assert pairs.count() == 2 * n + 1
+    assert time.monotonic() - began < 40
+
+
 def test_groups_take_awkward_rows(spark):
     got = near_dup.groups(awkward(spark)).collect()
     assert sorted(((r.key, r.class_key) for r in got), key=str) == plain_classes([(r[0], r[1]) for r in awkward_rows()])

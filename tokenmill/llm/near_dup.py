@@ -294,9 +294,7 @@ def _cross(members: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: fl
         "hot", (F.col("n") * F.col("n") - F.col("squares")) / 2 > cross * F.col("n"))
     open_ = stored(members.join(sums.select("bucket", "hot"), "bucket"), "open-buckets")
     cold = open_.where(~F.col("hot")).select("bucket", "node", "root")
-    one = cold.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"))
-    two = cold.select("bucket", F.col("node").alias("v"), F.col("root").alias("rv"))
-    pairs = one.join(two, "bucket").where("u < v AND ru <> rv").select("u", "v")
+    pairs = _across(cold, cold, "bucket", "root1 < root2").select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v"))
     hot = stored(open_.where("hot").select("node", "root").distinct(), "hot")
     if hot.limit(1).count():
         pairs = pairs.union(_filtered(hot, nodes, rows, similarity))
