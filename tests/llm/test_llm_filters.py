@@ -76,6 +76,25 @@ def test_blocks_pass_to_aliases_and_allow_stays(spark):
                                                              6: "allow", 7: "allow", 8: "allow"}
 
 
+def test_relative_and_quoted_targets_are_resolved(spark):
+    link = "<link rel='canonical' href='{}'>"
+    targets = {("http://a.net/x?q#f", "/es/1"): "http://a.net/es/1", ("https://a.org/x", "//b.net/es/1"): "https://b.net/es/1",
+               ("http://c.net/es/a", "b?c"): "http://c.net/es/b?c", ("http://c.net", "es/1"): "http://c.net/es/1",
+               ("http://c.net/a?b#c", "?d"): "http://c.net/a?d", ("http://c.net/a?b#c", "#d"): "http://c.net/a?b#d",
+               ("http://c.net/a", "mailto:x"): None, ("no url", "/es/1"): None, ("no url", "http://d.net/e"): "http://d.net/e",
+               ("http://c.net/a/b/c", "../d/./e/..?f/../g"): "http://c.net/a/d/?f/../g", ("http://c.net/a", "../../b"): "http://c.net/b",
+               ("http://e.org/a", "b?u=http://x.net/es/1"): "http://e.org/b?u=http://x.net/es/1"}
+    pages = spark.createDataFrame([(u, link.format(v)) for u, v in targets], "url string, html string")
+    assert {(r.u, r.v) for r in redirects.canonical_links(pages).collect()} == {(u, v) for (u, _), v in targets.items() if v}
+    quoted = """<meta http-equiv="refresh" content="0; url='{}'">"""
+    pages = spark.createDataFrame([
+        (1, "http://x.net/x", link.format("/es/1")), (2, "http://m.org/a", link.format("//x.net/es/1")),
+        (3, "http://q.org/d", "<base href='http://y.net/es/a'>" + quoted.format("b")), (4, "http://n.org/b", quoted.format("http://x.net/es/2")),
+        (5, "http://p.org/c", link.format("/es/1"))], "page_id long, url string, html string")
+    got = redirects.judge(pages, redirects.rule_table(spark, RULES), redirects.canonical_links(pages), ["page_id"])
+    assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 # ---- quality rules ------------------------------------------------------------------------
 
 def test_rule_features_equal_a_plain_count():

@@ -17,7 +17,9 @@ aliases, and are allowed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from tokenmill.llm.components import connected_components
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -36,17 +39,29 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _LOWER), F.substring(rest, F.length(host) + 1, F.length(rest))
 
 
+def resolved(target: str, base: str, url: str) -> str | None:
+    """The absolute url of a link target on the page ``url`` with the ``<base>`` given
+    (or ''); None without one. Targets that are absolute stay as written."""
+    try:
+        found = target if _ABSOLUTE.match(target) else urljoin(urljoin(url, base), target)
+    except ValueError:  # no host can be read
+        return None
+    return found if _ABSOLUTE.match(found) else None
+
+
 def canonical_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(u, v)`` of pages that name another url: ``rel=canonical`` links and ``refresh``
-    redirects with an absolute url."""
+    redirects; targets are resolved against the page's url, or its ``<base>``."""
     tag = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*([^\"'\s>]+)"
+    refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
     named = F.concat(F.regexp_extract_all(html, F.lit(tag), F.lit(1)), F.regexp_extract_all(html, F.lit(refresh), F.lit(1)))
     # most pages have neither word, and a plain search is much cheaper than the patterns
     low = F.lower(F.col(html))
     likely = F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("refresh"))
-    found = pages.where(likely & F.col(url).isNotNull()).select(F.col(url).alias("u"), F.explode(named).alias("v"))
-    return found.where(F.instr("v", "://") > 0)
+    base = F.regexp_extract(html, r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    found = pages.where(likely & F.col(url).isNotNull()).select(F.col(url).alias("u"), base.alias("b"), F.explode(named).alias("v"))
+    absolute = F.udf(resolved, "string")  # runs on links only
+    return found.select("u", absolute("v", "b", "u").alias("v")).where("v IS NOT NULL")
 
 
 def rule_table(spark, rules: Sequence[tuple[str, str]]) -> DataFrame:
