@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenmill import inputs
 from tokenmill.llm import (decontaminate, language_id, lattice_lm, near_dup, packing, quality_classifier,
-                           quality_rules, redirects, sharding, token_store)
+                           quality_rules, redirects, sharding, token_store, vector_codes, whitening)
 from tokenmill.llm.frames import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,46 @@ def op1_redirect_filter(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages")
     judged = redirects.judge(pages, redirects.rule_table(spark, RULES), redirects.canonical_links(pages), ["page_id"])
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op11_whiten_vectors")
+def op11_whiten_vectors(spark, sf_dir):
+    """Every finite embedding on the eight first components of all of them, whitened."""
+    rows = whitening.whiten(_table(spark, sf_dir, "embeddings"), ["vec_id"])
+    return rows.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def _op12_sql() -> str:
+    k, parts = vector_codes.ENTRIES, vector_codes.PARTS
+    steps = [f"""kept AS (SELECT row_number() OVER () AS r, vec_id, label,
+  list_transform(embedding, lambda c: CAST(floor(c::DOUBLE * 1024) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+cut AS (SELECT r, p, x[p * (len(x) // {parts}) + 1:(p + 1) * (len(x) // {parts})] AS v FROM kept, range({parts}) t(p)),
+first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM kept QUALIFY e < {k}),
+book0 AS (SELECT p, e, v AS b FROM first JOIN cut USING (r))"""]
+    for i in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT r, p, min(list_sum(list_transform(list_zip(v, b), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {k} + e) AS m
+  FROM cut JOIN book{i} USING (p) GROUP BY r, p)""")
+        if i < vector_codes.ROUNDS:
+            steps.append(f"""sums{i} AS (
+  SELECT p, m % {k} AS e, j, sum(v[j])::BIGINT AS s, count(*) AS n
+  FROM near{i} JOIN cut USING (p, r), LATERAL (SELECT unnest(range(1, len(v) + 1)) AS j) GROUP BY ALL),
+moved{i} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS b FROM sums{i} GROUP BY p, e),
+book{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(moved{i}.b, book{i}.b) AS b FROM book{i} LEFT JOIN moved{i} USING (p, e))""")
+    last = f"near{vector_codes.ROUNDS}"
+    steps.append(f"""coded AS (SELECT r, string_agg(lower(printf('%02x', m % {k})), '' ORDER BY p) AS code, sum(m // {k})::BIGINT AS error
+  FROM {last} GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{vector_codes.ROUNDS})""")
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (r), books"""
+
+
+@register("op12_vector_codes", sql=_op12_sql())
+def op12_vector_codes(spark, sf_dir):
+    """Every finite embedding's code of four parts, with the errors of its label."""
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"), "vec_id", keep=["label"])
+    return vector_codes.group_errors(coded, "label").select(
+        "row.vec_id", "code", "error", F.col("group_error").alias("label_error"),
+        F.lit(books.sha256()).alias("codebooks_sha256"))
