@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill import inputs
-from tokenmill.llm import (decontaminate, language_id, lattice_lm, near_dup, packing, quality_classifier,
-                           quality_rules, redirects, sharding, token_store, vector_codes, whitening)
+from tokenmill.llm import (decontaminate, identifiers, language_id, lattice_lm, near_dup, packing,
+                           quality_classifier, quality_rules, redirects, sharding, token_store, vector_codes,
+                           whitening)
 from tokenmill.llm.frames import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +238,14 @@ def op12_vector_codes(spark, sf_dir):
     return vector_codes.group_errors(coded, "label").select(
         "row.vec_id", "code", "error", F.col("group_error").alias("label_error"),
         F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@register("op13_identifiers")
+def op13_identifiers(spark, sf_dir):
+    """Personal identifiers of every whole document: by pattern, and by the contexts those induce."""
+    found = identifiers.extract(_table(spark, sf_dir, "documents"), ["doc_id"])
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(kinds) - F.size(F.array_remove(kinds, k)) for k in identifiers.KINDS]
+    counts = [c.cast("bigint").alias(f"n_{k}") for c, k in zip(counts, identifiers.KINDS)]
+    return found.select("row.doc_id", *counts, F.sha2(identifiers.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        identifiers.listed(F.col("spans")).alias("spans"))
