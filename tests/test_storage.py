@@ -200,3 +200,116 @@ def test_a_cluster_needs_a_shared_folder():
     assert ensure_checkpoint_dir(session("yarn", "hdfs://shared")) == "hdfs://shared"
     made.clear()
     assert ensure_checkpoint_dir(session("local[4]"))
+
+
+def test_a_band_read_keeps_every_column_and_refuses_two_types(spark):
+    root = os.path.join(new_dir(), "c")
+    one = spark.createDataFrame([("t", 1, "a", C.HIGH_BUCKET)], "text string, x int, source string, bucket string")
+    classified.write_classified(one, root)
+    two = spark.createDataFrame([("u", 2, 0.5, "b", C.HIGH_BUCKET)], "text string, x int, extra double, source string, bucket string")
+    classified.write_classified(two, root)
+    got = classified.read_bucket(spark, root, C.HIGH_BUCKET)
+    assert set(got.columns) == {"text", "x", "extra", "source", "bucket"}
+    assert {(r.text, r.extra) for r in got.collect()} == {("t", None), ("u", 0.5)}
+    assert {(r.text, r.extra) for r in classified.read_classified(spark, root).collect()} == {("t", None), ("u", 0.5)}
+    three = spark.createDataFrame([("v", "3", "c", C.HIGH_BUCKET)], "text string, x string, source string, bucket string")
+    classified.write_classified(three, root)
+    with pytest.raises(ValueError, match="column x"):
+        classified.read_bucket(spark, root, C.HIGH_BUCKET)
+
+
+@pytest.mark.parametrize("tasks", [True, False])
+def test_a_set_with_a_damaged_later_file_is_skipped(spark, tasks, monkeypatch):
+    from tokenmill.sources import probe
+    if not tasks:  # a store that only Spark's readers open
+        monkeypatch.setattr(probe, "tasks_can_open", lambda *a: False)
+    parent, bad_table = new_dir(), os.path.join(new_dir(), "bad")
+    blk = B.build_blocks(inputs.table(spark, SF001, "documents"), "text", 64, 32, 8)
+    for name in ("a", "b"):
+        blocksets.write_blocks(blk, os.path.join(parent, name))
+    with open(os.path.join(parent, "b", "zz.parquet"), "wb") as f:
+        f.write(b"PAR1 junk")
+    os.makedirs(os.path.join(parent, "none"))
+    skipped = []
+    got = blocksets.read_block_sets(spark, parent, skipped=skipped, quarantine=bad_table)
+    assert got.count() == blk.count()
+    why = {os.path.basename(p): r for p, r in skipped}
+    assert set(why) == {"b", "none"} and "zz.parquet" in why["b"]
+    if tasks:
+        table = spark.read.parquet(bad_table).collect()
+        assert [(os.path.basename(r.path), r.length) for r in table] == [("zz.parquet", 9)] and table[0].error
+
+
+def test_one_probe_for_a_thousand_leaves(spark):
+    from tokenmill.sources import probe
+    root = os.path.join(new_dir(), "many")
+    rows = spark.range(2000).select((F.col("id") % 1000).alias("leaf"), "id")
+    rows.repartition(4, "leaf").write.partitionBy("leaf").parquet(root)
+    dirs = fs.glob_dirs(spark, root + "/leaf=*")
+    probe.tasks_can_open(spark, dirs[0])
+    sc = spark.sparkContext
+    sc.setJobGroup("probe-1000", "")
+    found = probe.probe(spark, dirs)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("probe-1000"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 5, jobs  # a job per stage of two small queries, whatever the number of leaves
+    assert [p.path for p in found] == dirs and all(p.rows == 2 and not p.error for p in found)
+    assert len({id(s) for p in found for s in p.schemas}) == 1
+    assert probe.merged_schema(found).simpleString() == "struct<id:bigint>"
+
+
+def test_files_are_listed_by_tasks(spark, monkeypatch):
+    root = new_dir()
+    for path, size in (("x/y/one.bin", 5), ("x/two.bin", 0), ("three.bin", 7), ("_hidden/four.bin", 1), ("x/.five", 1)):
+        os.makedirs(os.path.join(root, os.path.dirname(path)), exist_ok=True)
+        with open(os.path.join(root, path), "wb") as f:
+            f.write(b"x" * size)
+    want = {("one.bin", 5), ("two.bin", 0), ("three.bin", 7)}
+    assert {(os.path.basename(r.path), r.length) for r in files.file_sizes(spark, root).collect()} == want
+    assert "binaryFile" not in physical_plan(files.file_sizes(spark, root))
+    empty = new_dir()
+    assert files.file_sizes(spark, empty).count() == 0
+
+
+def test_counted_write_and_leaf_rows(spark):
+    root = os.path.join(new_dir(), "c")
+    rows = C.classify(inputs.corpus(spark, SF001), keep_unbinned=True)
+    added, seen = classified.write_counted(rows, root)
+    assert seen == {"rows": rows.count(), "in_no_band": rows.where("bucket IS NULL").count()}
+    again = {(r.source, r.bucket): r.n_rows for r in classified.count_rows(classified.read_classified(spark, root), "source", "bucket").collect()}
+    leaves = classified.leaf_rows(spark, root).collect()
+    assert {(r.source, r.bucket): r.n_rows for r in leaves} == again and set(again) == set(added)
+    assert sum(r.bytes for r in leaves) == sum(r.length for r in files.file_sizes(spark, root).collect())
+    assert classified.leaf_rows(spark, os.path.join(root, "nothing")).count() == 0
+
+
+def test_samples_by_index(spark):
+    path = os.path.join(new_dir(), "indexed")
+    blk = B.build_blocks(inputs.table(spark, SF001, "documents"), "text", 64, 32, 8)
+    n = blocksets.write_indexed(blk, path, ["doc_id", "chunk_idx"], rows_per_slice=50)
+    rows = [(list(r.input_ids), list(r.attention_mask)) for r in blk.orderBy("doc_id", "chunk_idx").collect()]
+    assert n == len(rows) and blocksets.index_size(spark, path) == (n, 50)
+    asked = [0, 49, 50, n - 1, -1, -n, 7, 7, 7]
+    got = sorted((r.pos, list(r.input_ids), list(r.attention_mask)) for r in blocksets.sample_at(spark, path, asked).collect())
+    assert got == sorted((p % n, *rows[p]) for p in asked)
+    frame = spark.createDataFrame([(p,) for p in asked], "p long")
+    assert sorted((r.pos, list(r.input_ids), list(r.attention_mask)) for r in blocksets.sample_at(spark, path, frame).collect()) == got
+    one = blocksets.sample_at(spark, path, [n - 1], pad_id=0).first()
+    assert one.labels == [-100 if t == 0 else t for t in rows[-1][0]]
+    assert blocksets.sample_at(spark, path, []).count() == 0
+    with pytest.raises(IndexError):
+        blocksets.sample_at(spark, path, [n])
+    with pytest.raises(Exception, match="no sample"):
+        blocksets.sample_at(spark, path, spark.createDataFrame([(n,)], "p long")).collect()
+
+
+def test_sample_by_index_prunes_folders_and_pushes_the_position(spark):
+    path = os.path.join(new_dir(), "indexed")
+    blk = B.build_blocks(inputs.table(spark, SF001, "documents"), "text", 64, 32, 8)
+    blocksets.write_indexed(blk, path, ["doc_id", "chunk_idx"], rows_per_slice=50)
+    df = blocksets.sample_at(spark, path, [3, 120])
+    plan = physical_plan(df)
+    assert "PartitionFilters: [slice" in plan and "EqualTo(pos,3)" in plan and "EqualTo(pos,120)" in plan
+    assert len({os.path.dirname(f) for f in df.inputFiles()}) > 2  # all folders are known ..
+    read = {r.f for r in df.select(F.input_file_name().alias("f")).collect()}
+    assert {os.path.basename(os.path.dirname(f)) for f in read} == {"slice=0", "slice=2"}  # .. and two are read

@@ -91,6 +91,39 @@ def partition_row_counts(spark, sf_dir):
     return classified.count_rows(classified.read_classified(spark, root), "source", "bucket")
 
 
+@register("write_counts", sql=f"""
+WITH {CORPUS}, {CLASSIFIED}
+SELECT source, bucket, count(*) AS n_rows FROM classified GROUP BY source, bucket HAVING bucket IS NOT NULL
+UNION ALL SELECT NULL, NULL, count(*) FROM classified WHERE bucket IS NULL
+UNION ALL SELECT '(all)', NULL, count(*) FROM classified""")
+def write_counts(spark, sf_dir):
+    """IO2 + IO10 + Q7: rows per leaf, in no band and in all, from the write itself and the
+    footers it leaves; no row is read again."""
+    root = scratch_path(spark, "classified-counted")
+    _, seen = classified.write_counted(C.classify(inputs.corpus(spark, sf_dir), keep_unbinned=True), root)
+    rest = [(None, None, seen["in_no_band"]), ("(all)", None, seen["rows"])]
+    return classified.leaf_rows(spark, root).select("source", "bucket", "n_rows").unionByName(
+        spark.createDataFrame(rest, "source string, bucket string, n_rows bigint"))
+
+
+@register("sample_by_index", sql=f"""
+WITH {CORPUS}, {CLASSIFIED}, tok AS (SELECT doc_id, {token_ids()} AS ids FROM classified
+  WHERE bucket = 'score_0.75_to_1.0'), {blocks_cte('tok', L, STRIDE, MIN_LEN)},
+placed AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_idx) - 1 AS pos, count(*) OVER () AS n FROM blocks)
+SELECT pos, {csv('input_ids')} AS input_ids, {csv('attention_mask')} AS attention_mask,
+       {csv("list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)")} AS labels
+FROM placed WHERE pos % 7 = 3 OR pos = n - 1""")
+def sample_by_index(spark, sf_dir):
+    """2.12: every seventh sample and the last of a stored block set by index, with labels."""
+    from tokenmill.queries.block_queries import high_blocks
+    path = scratch_path(spark, "indexed-blocks")
+    n = blocksets.write_indexed(high_blocks(spark, sf_dir), path, ["doc_id", "chunk_idx"], rows_per_slice=64)
+    wanted = spark.range(3, n, 7).withColumnRenamed("id", "pos")
+    last = spark.createDataFrame([(-1,)] if (n - 1) % 7 != 3 else [], "pos bigint")
+    got = blocksets.sample_at(spark, path, wanted.unionByName(last), pad_id=B.PAD_ID)
+    return got.select("pos", *[F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
 _BANDS_TOK = (f"{CORPUS}, {CLASSIFIED}, tok AS (SELECT doc_id, {token_ids()} AS ids FROM classified "
               "WHERE bucket IS NOT NULL)")
 

@@ -12,14 +12,15 @@ into partition pruning: only that band's directories are listed and scanned.
 from __future__ import annotations
 
 import logging
-from concurrent.futures import ThreadPoolExecutor
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.schemas import require_columns
 from tokenmill.sources import fs
+from tokenmill.sources.probe import footers, merged_schema, probe
 
 log = logging.getLogger(__name__)
 
@@ -91,18 +92,16 @@ def write_classified(df: DataFrame, root: str, on_existing: str = "skip",
     return [leaf for leaf in existing_leaves(spark, root) if leaf not in before]
 
 
-def probe_leaves(spark: SparkSession, leaves: list[str]) -> tuple[list[tuple[str, T.StructType]], list[tuple[str, str]]]:
-    """The readable leaves with their data schema, and the others with the reason.
-    Every file's footer is read (a small job per leaf, several at a time)."""
-    def probe(leaf: str):
-        try:
-            return leaf, spark.read.option("mergeSchema", "true").parquet(leaf).schema, None
-        except Exception as e:  # unreadable in whatever way: the caller decides
-            return leaf, None, f"{type(e).__name__}: {(str(e).splitlines() or [''])[0]}"
-
-    with ThreadPoolExecutor(16) as pool:
-        found = list(pool.map(probe, leaves))
-    return [(leaf, s) for leaf, s, e in found if e is None], [(leaf, e) for leaf, _, e in found if e is not None]
+def write_counted(df: DataFrame, root: str, **how) -> tuple[list[tuple], dict[str, int]]:
+    """``write_classified`` for rows that may be in no band (``bucket`` null): these are
+    counted and not written. Returns the leaves added and ``rows`` / ``in_no_band``, both
+    counted by the writing job itself; ``leaf_rows`` then has each leaf's count."""
+    require_columns(df, *PARTITION_COLS)
+    seen = Observation(f"classified-{uuid.uuid4().hex}")
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"),
+                         F.count_if(F.col("bucket").isNull()).alias("in_no_band"))
+    added = write_classified(counted.where(F.col("bucket").isNotNull()), root, **how)
+    return added, {k: int(v or 0) for k, v in seen.get.items()}
 
 
 def read_classified(spark: SparkSession, root: str, data_schema: T.StructType | None = None) -> DataFrame:
@@ -112,8 +111,8 @@ def read_classified(spark: SparkSession, root: str, data_schema: T.StructType |
         raise FileNotFoundError(f"classified root {root} does not exist")
     reader = spark.read.option("basePath", root)
     if data_schema is None:
-        data_schema = T.StructType([f for f in reader.parquet(root).schema.fields
-                                    if f.name not in PARTITION_COLS])
+        merged = reader.option("mergeSchema", "true").parquet(root).schema  # every leaf's columns
+        data_schema = T.StructType([f for f in merged.fields if f.name not in PARTITION_COLS])
     schema = T.StructType(list(data_schema.fields) + [T.StructField(c, T.StringType()) for c in PARTITION_COLS])
     return reader.schema(schema).parquet(root)
 
@@ -126,13 +125,17 @@ def band_glob(root: str, bucket: str) -> str | None:
 
 
 def read_bucket(spark: SparkSession, root: str, bucket: str, data_schema: T.StructType | None = None,
-                strict: bool = False, skipped: list[tuple[str, str]] | None = None) -> DataFrame:
+                strict: bool = False, skipped: list[tuple[str, str]] | None = None,
+                quarantine: str | None = None) -> DataFrame:
     """One band across every source leaf; sources without it add nothing.
 
     Only the band's directories are listed, and the band predicate stays as a partition
-    filter. Each leaf is probed first: one with an unreadable file is left out, logged,
-    and added to ``skipped`` as ``(leaf, reason)``; with ``strict`` it raises instead. A
-    band that no source has gives an empty result."""
+    filter. One distributed job reads the footers of all leaves: a leaf with an unreadable
+    file is left out, logged, and added to ``skipped`` as ``(leaf, reason)`` (its bad files
+    to the table in the folder ``quarantine``, if one is given); with ``strict`` it raises
+    instead. The result has every column of every leaf, null where a leaf lacks it; a
+    column with two types is a ``ValueError``. A band that no source has gives an empty
+    result."""
     if not fs.exists(spark, root):
         raise FileNotFoundError(f"classified root {root} does not exist")
     glob = band_glob(root, bucket)
@@ -141,21 +144,35 @@ def read_bucket(spark: SparkSession, root: str, bucket: str, data_schema: T.Stru
                   if fs.unescape_partition_value(leaf.rstrip("/").split("bucket=", 1)[1]) == bucket]
     else:
         leaves = fs.glob_dirs(spark, glob)
-    good, bad = probe_leaves(spark, leaves)
-    for leaf, reason in bad:
+    good = []
+    for p in probe(spark, leaves, quarantine):
+        if p.error is None:
+            good.append(p)
+            continue
         if strict:
-            raise ValueError(f"unreadable leaf {leaf}: {reason}")
-        log.warning("skipping leaf %s: %s", leaf, reason)
-    if skipped is not None:
-        skipped.extend(bad)
-    if data_schema is None:
-        data_schema = good[0][1] if good else T.StructType()
-    full = T.StructType([f for f in data_schema.fields if f.name not in PARTITION_COLS]
+            raise ValueError(f"unreadable leaf {p.path}: {p.error}")
+        log.warning("skipping leaf %s: %s", p.path, p.error)
+        if skipped is not None:
+            skipped.append((p.path, p.error))
+    data = data_schema or merged_schema(good, drop=PARTITION_COLS)
+    full = T.StructType([f for f in data.fields if f.name not in PARTITION_COLS]
                         + [T.StructField(c, T.StringType()) for c in PARTITION_COLS])
     if not good:
         return spark.createDataFrame([], full)
     reader = spark.read.option("basePath", root).schema(full)
-    return reader.parquet(*[leaf for leaf, _ in good]).where(F.col("bucket") == F.lit(bucket))
+    return reader.parquet(*[p.path for p in good]).where(F.col("bucket") == F.lit(bucket))
+
+
+def leaf_rows(spark: SparkSession, root: str) -> DataFrame:
+    """``source, bucket, files, n_rows, bytes`` of every leaf from the footers its writer
+    left, so no row is read again."""
+    leaves = fs.glob_dirs(spark, root.rstrip("/") + "/source=*/bucket=*") if fs.exists(spark, root) else []
+    found = footers(spark, leaves).groupBy("dir").agg(
+        F.count("path").alias("files"), F.sum("n_rows").alias("n_rows"), F.sum("length").alias("bytes"),
+        F.min(F.when(F.col("error").isNotNull(), F.struct("path", "error"))).alias("bad"))
+    read = F.when(F.col("bad").isNull(), F.coalesce("n_rows", F.lit(0))).otherwise(
+        F.raise_error(F.concat(F.lit("unreadable file "), F.coalesce("bad.path", "dir"), F.lit(": "), F.col("bad.error"))).cast("bigint"))
+    return found.select(*[fs.partition_value("dir", c) for c in PARTITION_COLS], "files", read.alias("n_rows"), "bytes")
 
 
 def count_rows(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,9 +1,8 @@
 """File sizes and the per-source size report (IO9, G2, O1).
 
-Sizes come from Spark's own file listing through the ``binaryFile`` source with
-only ``path`` and ``length`` selected, so file contents are never read. The size
-report reads the classified root with partition discovery, so the ``bucket``
-filter prunes directories before listing their files.
+Directories are listed by tasks, level by level (``probe.walk``), so neither names nor
+lengths pass through the driver and no file is opened. The size report of one band
+lists that band's directories only.
 """
 
 from __future__ import annotations
@@ -13,26 +12,26 @@ from pyspark.sql import functions as F
 
 from tokenmill.functions.text import human_size, report_line
 from tokenmill.sources import fs
+from tokenmill.sources.probe import list_files, tasks_can_open, walk
 
 
 def file_sizes(spark: SparkSession, root: str) -> DataFrame:
     """``(path, length)`` of every (non-hidden) file below ``root``, recursively."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .select("path", "length"))
+    return walk(spark, fs.qualified(spark, root))
 
 
 def leaf_file_sizes(spark: SparkSession, root: str, path: str | None = None) -> DataFrame:
-    """``(source, bucket, path, length)`` of the classified table's files (below
-    ``path``, a directory or glob under ``root``; default all of it)."""
-    # the partition columns of this source are typed by inference ("007" would be 7),
-    # so the values are taken from the path, as the writer escaped them
-    def value(name: str):
-        raw = F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
-        plain = F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
-        return F.when(raw != fs.DEFAULT_PARTITION, plain).alias(name)
-
-    return (spark.read.format("binaryFile").option("basePath", root).load(path or root)
-            .select(value("source"), value("bucket"), "path", "length"))
+    """``(source, bucket, path, length)`` of the classified table's files (below the
+    directories that ``path``, a glob under ``root``, names; default all of it)."""
+    dirs = fs.glob_dirs(spark, path) if path else [fs.qualified(spark, root)]
+    if path and tasks_can_open(spark, dirs[0]):
+        found = list_files(spark, dirs).where("path IS NOT NULL OR error IS NOT NULL")
+        found = found.withColumn("length", F.when(F.col("error").isNull(), F.col("length")).otherwise(F.raise_error("error").cast("bigint")))
+    elif path:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dirs)
+    else:
+        found = walk(spark, dirs[0])
+    return found.select(*[fs.partition_value("path", c) for c in ("source", "bucket")], "path", "length")
 
 
 def share_report(per_source: DataFrame, value: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -14,6 +15,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme and authority, so that a task knows its store too."""
+    fs, p = _fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.exists(p))
@@ -63,3 +70,11 @@ def unescape_partition_value(value: str):
     if value == DEFAULT_PARTITION:
         return None
     return unquote(value)
+
+
+def partition_value(path: str, name: str) -> Column:
+    """A partition's value from the column ``path``, as the writer escaped it there (a
+    reader that infers types would take ``007`` for 7)."""
+    raw = F.regexp_extract(path, f"/{name}=([^/]*)(?:/|$)", 1)
+    plain = F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    return F.when(raw != DEFAULT_PARTITION, plain).alias(name)
