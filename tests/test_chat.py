@@ -66,6 +66,21 @@ def test_pack_keeps_other_columns(spark):
     assert set(whole) == {(r.conv_id, r.shard, r.bin, r.bin_offset) for r in narrow.collect()}
 
 
+def test_pack_returns_each_row_once(spark):
+    rows = [(1, 5, "a"), (1, 5, "b"), (1, 7, "c"), (None, 3, "d"), (None, 3, "d"), (2, 64, None), (3, 1, "e"), (3, 1, "e")]
+    df = spark.createDataFrame(rows, "conv_id long, length long, text string").repartition(3)
+    got = CH.pack(df, 64, ["conv_id"], n_shards=2).collect()
+    assert sorted(((r.conv_id, r.length, r.text) for r in got), key=str) == sorted(rows, key=str)
+    bins = {}
+    for r in got:
+        bins.setdefault((r.shard, r.bin), []).append((r.bin_offset, r.length))
+    for parts in bins.values():  # gapless, and within the capacity
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[0][0] == 0 and sum(parts[-1]) <= 64
+    bare = CH.pack(df.drop("text"), 64, ["conv_id"], n_shards=2).collect()
+    assert sorted((r.shard, r.bin, r.bin_offset, r.length) for r in bare) == sorted((r.shard, r.bin, r.bin_offset, r.length) for r in got)
+
+
 def test_render_chat_orders_turns(spark):
     df = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a")],
                                "conv_id long, turn long, role string, text string")

@@ -47,3 +47,28 @@ def test_vocab_ids_with_null_empty_and_repeated_rows(spark):
     vocab = spark.createDataFrame([("a", 16), ("b", 17)], "word string, id long")
     got = sorted(((r.doc_id, r.ids) for r in V.tokenize_with_vocab(df, vocab, out="ids").collect()), key=str)
     assert got == sorted([(1, [16, 17, 16]), (1, [16, 17, 16]), (2, []), (3, []), (None, [17, 1])], key=str)
+
+
+def test_vocab_ids_do_not_depend_on_the_head(spark):
+    docs = inputs.table(spark, SF001, "documents").select("doc_id", "text")
+    vocab = V.build_vocab(docs, 900)
+    want = None
+    for head in (0, 10, 900, 10_000):
+        got = sorted((r.doc_id, r.ids) for r in V.tokenize_with_vocab(docs, vocab, out="ids", head=head).collect())
+        want = want or got
+        assert got == want
+    ids = {r.word: r.id for r in vocab.collect()}
+    assert dict(want) == {r.doc_id: [ids.get(w, V.UNK_ID) for w in V.re.findall(V.WORD_PATTERN, r.text)] for r in docs.collect()}
+
+
+def test_vocab_ids_shuffle_a_row_per_rare_word_and_no_text(spark):
+    docs = spark.createDataFrame([(i, " ".join(["the a"] * 200 + [f"w{i} w{i} w{i}"])) for i in range(20)], "doc_id long, text string").repartition(2)
+    vocab = V.build_vocab(docs)
+    df = V.tokenize_with_vocab(docs, vocab, head=2)
+    assert sorted(len(r.input_ids) for r in df.collect()) == [403] * 20
+    plan = df._jdf.queryExecution().executedPlan()
+    import re
+    text = plan.toString()
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
+    assert shuffles and all("text" not in s for s in shuffles)
+    assert not re.search(r"Python|Pandas", text)

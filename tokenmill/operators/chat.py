@@ -183,19 +183,19 @@ def pack(df: DataFrame, capacity: int, keys: Sequence[str], length: str = "lengt
     (``cutoff_tokens``) and a sample is never split. The shard count is part of the
     result (next-fit is order-dependent) and bounds the rows one sequential scan
     sees; the task count is the session's: shards are hash-partitioned (whole
-    shards per partition, several per partition), sorted, and streamed. ``keys`` must
-    name a sample, as the other columns are joined on them. A shard is one sequential
-    scan of about ``rows / n_shards`` keys and lengths (some 30 bytes each), so take a
-    million rows a shard: 1,024 shards for 10^9 samples."""
-    keyed = (df.select(*keys, length).withColumn("shard", shard_of(keys, seed, n_shards))
+    shards per partition, several per partition), sorted, and streamed. Every row of
+    ``df`` comes out once with its columns, whatever keys repeat or are null; rows equal
+    in keys and length are interchangeable. A shard is one sequential scan of about
+    ``rows / n_shards`` numbers and lengths (some 20 bytes each), so take a million rows
+    a shard: 1,024 shards for 10^9 samples."""
+    keyed = (df.withColumn("shard", shard_of(keys, seed, n_shards))
              .withColumn("__k", seeded_key(keys, seed)))
-    ordered = keyed.repartition("shard").sortWithinPartitions("shard", "__k", *keys)
-    schema = T.StructType(list(ordered.schema.fields) + [T.StructField("bin", T.LongType()),
-                                                         T.StructField("bin_offset", T.LongType())])
-    packed = ordered.mapInPandas(lambda it: _next_fit(it, capacity, length), schema).drop("__k")
-    if set(df.columns) <= {*keys, length}:
-        return packed
-    # only keys and lengths went through Python; the other columns join their bins
-    row = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    bins = packed.select(row.alias("__row"), "shard", "bin", "bin_offset")
-    return df.withColumn("__row", row).join(bins, "__row").drop("__row")
+    order = Window.partitionBy("shard").orderBy("__k", *keys, length)
+    numbered = keyed.withColumn("__n", F.row_number().over(order))
+    bare = set(df.columns) <= {*keys, length}  # else only numbers and lengths go through Python
+    rows = (numbered.drop("__k") if bare else numbered.select("shard", "__n", length)).sortWithinPartitions("shard", "__n")
+    schema = T.StructType(list(rows.schema.fields) + [T.StructField("bin", T.LongType()), T.StructField("bin_offset", T.LongType())])
+    packed = rows.mapInPandas(lambda it: _next_fit(it, capacity, length), schema)
+    if not bare:
+        packed = numbered.drop("__k").join(packed.drop(length), ["shard", "__n"])
+    return packed.select(*df.columns, "shard", "bin", "bin_offset")

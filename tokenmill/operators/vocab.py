@@ -4,7 +4,8 @@ a fixed vocabulary (T1b) and a caller-supplied batch function (T1c).
 Word counting is a ``groupBy`` with map-side partial aggregation, so a very
 frequent word costs one row per map task, not one shuffled row per occurrence.
 The vocabulary is the first ``max_size`` words by ``(count desc, word)``, or every
-word; ranks are always distributed. T1b joins words with the vocabulary, so
+word; ranks are always distributed. T1b looks the most frequent words up in a
+broadcast table of bounded size and joins only the others with the vocabulary, so
 neither the driver nor a worker ever holds it whole.
 """
 
@@ -23,6 +24,8 @@ from tokenmill.plans.index import dense_index
 
 # Our special ids (below the first word id).
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 16
+# Words of the vocabulary that are broadcast (a few MB); their ids are the lowest.
+HEAD = 50_000
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -45,23 +48,34 @@ def build_vocab(df: DataFrame, max_size: int | None = None, text: str = "text",
 
 
 def tokenize_with_vocab(df: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text",
-                        out: str = "input_ids", unk_id: int = UNK_ID) -> DataFrame:
-    """T1(b): ids from a fixed vocabulary of any size.
-
-    Word positions join the vocabulary on the word (Spark broadcasts a small one
-    itself, and splits a frequent word's partition in a shuffle join), and each
-    row's ids are put back in order. ``keys`` name a row; rows equal in them and in
-    ``text`` share their ids. A null text gives an empty array."""
-    row = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.md5(F.col(text)).alias("t"))
-    keyed = df.withColumn("__row", row)
-    words = (keyed.groupBy("__row").agg(F.any_value(text).alias("__text"))
-             .select("__row", F.posexplode(split_words("__text")).alias("__i", "word")))
-    ids = (words.join(vocab.select("word", "id"), "word", "left")
-           .groupBy("__row")
-           .agg(F.array_sort(F.collect_list(F.struct("__i", F.coalesce("id", F.lit(unk_id)).cast("bigint").alias("id"))))
-                .alias("__ids")))
-    tok = F.coalesce(F.transform("__ids", lambda x: x["id"]), F.array().cast("array<bigint>"))
-    return keyed.join(ids, "__row", "left").withColumn(out, tok).drop("__row", "__ids")
+                        out: str = "input_ids", unk_id: int = UNK_ID, head: int = HEAD) -> DataFrame:
+    """T1(b): the ``keys`` columns of every row and ``out``, its ids from a fixed vocabulary of
+    any size. Rows out = rows in; a null or empty text gives an empty array.
+
+    No text and no single word occurrence is shuffled. The ``head`` most frequent words
+    (a bound on what is broadcast) have their ids looked up where the text is read; the
+    other distinct words of a row go to the vocabulary once each, with their places;
+    and a row's ids come back together as one BIGINT per word (its place in the upper
+    half, its id in the lower). So ids are 0 .. 2^31-1, of texts of under 2^31 words.
+    Rows equal in ``keys`` and text are worked out once."""
+    row = F.struct(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"), F.md5(F.col(text)).alias("t"))
+    words = df.select(row.alias("row"), split_words(text).alias("words")).select(
+        "row", F.posexplode_outer("words").alias("i", "word"))
+    ranked = vocab.select("word", F.col("id").cast("bigint").alias("id"))
+    first = ranked.orderBy("id").limit(head) if head else ranked.limit(0)
+    known = words.join(F.broadcast(first), "word", "left")
+    place = lambda i, w: F.shiftleft(i.cast("bigint"), 32) + w
+    # a row's places collect where they are read, before anything is shuffled
+    near = known.groupBy("row").agg(F.collect_list(place(F.col("i"), F.col("id"))).alias("ids"),
+                                    F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("rows"))
+    tail = known.where("id IS NULL AND word IS NOT NULL").groupBy("row", "word").agg(F.collect_list("i").alias("at"))
+    far = tail.join(ranked.withColumnRenamed("id", "w"), "word", "left").select(
+        "row", F.transform("at", lambda i: place(i, F.coalesce("w", F.lit(unk_id).cast("bigint")))).alias("ids"), F.lit(0).cast("bigint").alias("rows"))
+    whole = near.unionByName(far).groupBy("row").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.sum("rows").alias("rows"))
+    # repeated rows gave every place several times
+    tok = F.transform(F.sort_array(F.array_distinct("ids")), lambda x: x.bitwiseAND(F.lit(2**31 - 1).cast("bigint")))
+    done = whole.select(*[F.col(f"row.k.k{i}").alias(k) for i, k in enumerate(keys)], tok.alias(out), "rows")
+    return done.withColumn("rows", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("rows")
 
 
 def tokenize_with(df: DataFrame, fn: Callable[[list[str]], Iterable[Iterable[int]]], text: str = "text",

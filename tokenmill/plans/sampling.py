@@ -64,8 +64,7 @@ def shard(df: DataFrame, world_size: int) -> DataFrame:
     w = F.lit(world_size).cast("bigint")
     rank_size = ceil_div("n_total", world_size)
     padded_total = rank_size * w
-    copies = F.when(F.col("pos") < padded_total - F.col("n_total"),
-                    F.array(F.col("pos"), F.col("pos") + F.col("n_total"))).otherwise(F.array(F.col("pos")))
+    copies = F.sequence(F.col("pos"), padded_total - 1, F.col("n_total"))  # more than two only where n < W
     out = df.withColumn("pos", F.explode(copies))
     return (out.withColumn("rank", F.pmod(F.col("pos"), w).cast("int"))
             .withColumn("pos_in_rank", idiv("pos", world_size))

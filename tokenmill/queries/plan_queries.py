@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tokenmill import inputs
 from tokenmill.operators import blocks as B
+from tokenmill.plans import permutation as P
 from tokenmill.plans import sampling as S
-from tokenmill.plans.index import dense_index_by_hash
+from tokenmill.plans.index import dense_index, dense_index_by_hash
 from tokenmill.queries.block_queries import L, MIN_LEN, STRIDE
 from tokenmill.registry import register
 
@@ -160,3 +163,60 @@ FROM pl WHERE opt_step IS NOT NULL GROUP BY epoch, opt_step""")
 def batch_sizes(spark, sf_dir):
     """M6: effective and global batch size next to the samples each step holds."""
     return S.batch_sizes(plan(spark, sf_dir), BATCH, ACCUM, WORLD)
+
+
+# ---- plans by permutation ------------------------------------------------------------
+
+def _f_sql(r: str, key: str) -> str:
+    x = f"(({r} + {key}) & {P.MASK})"
+    for m in P.MULTIPLIERS:
+        x = f"((({x} * {m}) >> {P.SHIFT}) & {P.MASK})"
+    return x
+
+
+def _network_sql(x: str, seed: int) -> str:
+    left, right = f"({x} % a)", f"({x} // a)"
+    for j in range(P.FEISTEL_ROUNDS):
+        start = (seed * P.MULTIPLIERS[0] + (j + 1) * P.MULTIPLIERS[1]) & P.MASK
+        key = _f_sql(_f_sql("epoch", str(start)), str(start ^ P.MASK))
+        left, right = right, f"(({left} + {_f_sql(right, key)}) % {'b' if j % 2 else 'a'})"
+    return f"({right} * a + {left})"
+
+
+def _permuted_sql(epochs=EPOCHS, world=WORLD, batch=BATCH, accum=ACCUM, seed=SEED) -> str:
+    """The plan whose order is the permutation of the dense index by key."""
+    whole = _plan_sql(epochs, world, batch, accum, seed)
+    after = whole[whole.index("padded AS ("):].replace("epoch, doc_id, chunk_idx, pos", "epoch, doc_id, chunk_idx, idx, pos")
+    return f"""RECURSIVE {_KEYS_SQL},
+ep AS (SELECT CAST(unnest(range(0, {epochs})) AS BIGINT) AS epoch),
+dense AS (SELECT doc_id, chunk_idx, row_number() OVER (ORDER BY doc_id, chunk_idx) - 1 AS idx, count(*) OVER () AS n_total FROM keys),
+side AS (SELECT *, (n_total + a - 1) // a AS b FROM (SELECT max(n_total) AS n_total, CAST(floor(sqrt(max(n_total))) AS BIGINT) + 1 AS a FROM dense)),
+walk AS (SELECT epoch, idx, {_network_sql("idx", seed)} AS pos FROM dense CROSS JOIN ep, side
+         UNION ALL SELECT epoch, idx, {_network_sql("pos", seed)} FROM walk, side WHERE pos >= n_total),
+idx AS (SELECT CAST(w.epoch AS INTEGER) AS epoch, d.doc_id, d.chunk_idx, d.idx, w.pos, d.n_total
+        FROM walk w JOIN dense d ON w.idx = d.idx WHERE w.pos < d.n_total),
+{after}"""
+
+
+_PERMUTED_COLS = _PLAN_COLS.replace("pos, doc_id", "pos, idx, doc_id")
+
+
+@register("permuted_plan", sql=f"""
+WITH {_permuted_sql()}
+SELECT {_PERMUTED_COLS} FROM pl""")
+def permuted_plan(spark, sf_dir):
+    """E1 + E6 by permutation: the two-epoch, four-rank plan with one shuffle, for the index."""
+    return P.permuted_plan(sample_keys(spark, sf_dir), KEYS, EPOCHS, WORLD, BATCH, ACCUM, SEED)
+
+
+@register("permuted_resume", sql=f"""
+WITH {_permuted_sql(epochs=3)}
+SELECT {_PERMUTED_COLS} FROM pl
+WHERE epoch > {RESUME_EPOCH - 1}
+   OR (epoch = {RESUME_EPOCH - 1} AND batch_idx >= ({RESUME_STEP} % steps_per_epoch) * {ACCUM})""")
+def permuted_resume(spark, sf_dir):
+    """F8 by permutation: what is left of three epochs after step 7, from the step number;
+    the samples join by index."""
+    indexed = dense_index(sample_keys(spark, sf_dir), KEYS, out="idx", total=None)
+    left = P.resume_places(spark, indexed.count(), RESUME_EPOCH, RESUME_STEP, 3, WORLD, BATCH, ACCUM, SEED)
+    return left.join(indexed, "idx").select(*[F.col(c.strip()) for c in _PERMUTED_COLS.split(",")])
