@@ -62,6 +62,8 @@ SUPPORT, TRUST, SURE, ROUNDS = 3, 0.5, 0.8, 3
 # Stands for a candidate among the words.
 MARK = "\x01"
 LONGEST = 64
+# Relative standard error of the sketch that counts a pattern's followers.
+ERROR = 0.1
 # Characters before a candidate in which its two words are looked for.
 REACH = 96
 BLOCK = 64
@@ -188,8 +190,10 @@ def sightings(found: DataFrame) -> DataFrame:
 
 
 def plain_followers(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``(pattern, plain)``: the different words other than candidates that follow each
-    of the ``patterns``, over all texts (column ``text``)."""
+    """``(pattern, plain)``: how many different words other than candidates follow each of
+    the ``patterns``, over all texts (column ``text``). Counted by a sketch of fixed size
+    per pattern, which is near exact for small numbers and ``ERROR`` off for large ones,
+    so a task sends on one row per pattern and not one per word."""
     low = F.lower("text")
     plain = F.when(low.rlike(HINTS[CANDIDATE]), F.regexp_replace(low, CANDIDATE, MARK)).otherwise(low)
     words = texts.where("text IS NOT NULL").select(F.split(plain, r"\s+").alias("w"))
@@ -197,7 +201,7 @@ def plain_followers(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     steps = words.select(F.inline(after).alias("next", "one", "two")).where((F.col("next") != "") & ~F.col("next").startswith(MARK))
     pairs = steps.select("next", F.explode(F.array("one", F.concat("two", F.lit(" "), "one"))).alias("pattern"))
     met = pairs.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
-    return met.distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
+    return met.groupBy("pattern").agg(F.approx_count_distinct("next", ERROR).alias("plain"))
 
 
 def suits(kind: Column, value: Column) -> Column:
