@@ -12,9 +12,10 @@ from tokenmill.llm import packing, token_store, tokens
 from tokenmill.llm.frames import scratch_path
 
 
-def plain(name):
+def plain(name, special_as_text=False):
     t = Tokenizer.from_file(tokens.tokenizer_path(name))
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -23,17 +24,18 @@ def crc(ids):
 
 
 @pytest.mark.parametrize("name", sorted(tokens.SPACES))
-@pytest.mark.parametrize("max_units", [5, 100_000])
-def test_encoder_equals_the_library(name, max_units):
+@pytest.mark.parametrize("max_units,special_as_text", [(5, False), (100_000, False), (100_000, True)])
+def test_encoder_equals_the_library(name, max_units, special_as_text):
     texts = [r[1] for r in awkward_rows()] * 2
     texts += ["it's 's a 12 1a", "a\nb c", "a\tb", "wor\u0308d \u0308x H\u0331", "ΑΣ ΣΑΣ", "a   b", "\n", "　", "\x01 a"]
-    enc = tokens.TextEncoder(tokens.tokenizer_path(name), max_units)
+    texts += ["alpha <|endoftext|> beta", "<|startoftext|>a<|endoftext|>", "<|ENDOFTEXT|> a", "a<|endoftext|", "<|endof text|>", "a\n<|endoftext|>\nb  c"]
+    enc = tokens.TextEncoder(tokens.tokenizer_path(name), max_units, special_as_text)
     got = [None] * len(texts)
     for _ in range(2):
         for row, ids, ends in enc.encode(pa.array(texts)):
             for i, part in enumerate(np.split(ids, ends[:-1])):
                 got[row + i] = part.tolist()
-        assert got == [plain(name)(t) for t in texts]
+        assert got == [plain(name, special_as_text)(t) for t in texts]
 
 
 def check_pieces(rows, docs, capacity):

@@ -43,9 +43,11 @@ GAP = 0.0005
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-                 tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+                 tokenizer: str | None = None, end_id: int = END_ID, with_ids: bool = False,
+                 special_as_text: bool = False) -> DataFrame:
     """One row per piece: key, ``piece``, ``start`` (the document's ids before it),
-    ``length``, ``ids_crc32`` and, if asked for, ``ids``."""
+    ``length``, ``ids_crc32`` and, if asked for, ``ids``. ``special_as_text``: strings of
+    special tokens are ordinary text."""
     path = tokenizer or tokenizer_path(TOKENIZER)
     kind = T._parse_datatype_string(docs.schema[key].dataType.simpleString())
     schema = T.StructType([T.StructField(key, kind), T.StructField("piece", T.IntegerType()),
@@ -54,7 +56,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
                           + [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, special_as_text)
         for batch in batches:
             keys = batch.column(0)
             for first, ids, ends in enc.encode(batch.column(1)):

@@ -125,11 +125,11 @@ class PerfectHash:
 
 # ---- writing --------------------------------------------------------------------------
 
-def _write_shards(path: str, tokenizer: str, width: int, end_id: int):
+def _write_shards(path: str, tokenizer: str, width: int, end_id: int, special_as_text: bool = False):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         fs, folder = filesystem(path)
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text)
         kind = np.dtype(f"<u{width}")
         out, sizes, keys = None, [], []
         for batch in batches:
@@ -206,7 +206,8 @@ def _write_index(path: str):
 
 
 def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokenizer: str | None = None,
-                end_id: int = END_ID, n_shards: int | None = None, n_parts: int | None = None) -> str:
+                end_id: int = END_ID, n_shards: int | None = None, n_parts: int | None = None,
+                special_as_text: bool = False) -> str:
     """Encode ``docs`` and write the store to the shared folder ``path``. A shard's
     task streams its documents; an index part holds the keys of one task (12 bytes
     each), so take ``n_shards`` and ``n_parts`` in proportion to the corpus."""
@@ -221,7 +222,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     order = ["key", F.xxhash64("text")]
     shards = (rows.repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
-              .mapInArrow(frugal(_write_shards(path, tokenizer, width, end_id)), "shard int, key bigint, first bigint, n bigint"))
+              .mapInArrow(frugal(_write_shards(path, tokenizer, width, end_id, special_as_text)), "shard int, key bigint, first bigint, n bigint"))
     entries = stored(shards, "token-records")
     written = sorted((r["shard"], r["first"], r["n"]) for r in entries.where("key IS NULL").collect())  # one per shard
     manifest = {"width": width, "parts": n_parts, "shards": [list(x) for x in written]}

@@ -4,9 +4,10 @@ A public tokenizer splits a text into pieces and encodes each piece alone, and i
 natural text few of the pieces are new. ``TextEncoder`` therefore cuts texts where
 the tokenizer itself is certain to cut (at white space), encodes each distinct unit
 once per worker with the ``tokenizers`` library, and puts a text's ids together from
-those of its units. Texts for which that is not certain are encoded whole, so the ids
-always equal ``encode(text, add_special_tokens=False)`` with the strings of special
-tokens taken as ordinary text. Null counts as empty text.
+those of its units. Texts for which that is not certain, and those that hold the string
+of an added token (such as ``<|endoftext|>``), are encoded whole, so the ids always equal
+the library's plain ``encode(text, add_special_tokens=False)``. With ``special_as_text``
+the strings of special tokens are ordinary text. Null counts as empty text.
 """
 
 from __future__ import annotations
@@ -42,14 +43,19 @@ IDS_AT_ONCE = 500_000
 
 
 class TextEncoder:
-    def __init__(self, path: str, max_units: int = MAX_UNITS):
+    def __init__(self, path: str, max_units: int = MAX_UNITS, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.path = path
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.special_as_text = special_as_text
+        added = [t for t in self.tok.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        if special_as_text:
+            self.tok.encode_special_tokens = True
         self.vocab_size = self.tok.get_vocab_size()
-        self.mode = SPACES.get(os.path.basename(path))
+        # an added token that is looked for in changed text can't be seen in the text itself
+        self.mode = None if any(t.normalized for t in added) else SPACES.get(os.path.basename(path))
+        self.added = sorted(t.content for t in added)
         self.max_units = max_units
         if self.mode == "kept":
             vocab = self.tok.get_vocab()
@@ -67,7 +73,7 @@ class TextEncoder:
         self.used = 0
 
     def __reduce__(self):  # a pickled tokenizer would forget how it treats special tokens
-        return TextEncoder, (self.path, self.max_units)
+        return TextEncoder, (self.path, self.max_units, self.special_as_text)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -159,6 +165,8 @@ class TextEncoder:
         else:
             safe = np.ones(len(texts), bool)
             split = pc.ascii_split_whitespace(texts)
+        for content in self.added:
+            safe = safe & ~pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
         ends = split.offsets.to_numpy()[1:].astype(np.int64)
         ends -= int(split.offsets[0].as_py())
         coded = split.flatten().dictionary_encode()
@@ -215,14 +223,14 @@ class TextEncoder:
             yield i, np.asarray(ids, np.uint32), np.asarray([len(ids)])
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, special_as_text: bool = False) -> TextEncoder:
     """The worker's own encoder of the file; what it remembers serves later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    if (path, special_as_text) not in _ENCODERS:
+        _ENCODERS[path, special_as_text] = TextEncoder(path, special_as_text=special_as_text)
+    return _ENCODERS[path, special_as_text]
 
 
 def tokenizer_path(name: str) -> str:
