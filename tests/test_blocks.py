@@ -88,3 +88,18 @@ def test_padding_report_keys_equal_blocks(spark):
     a = B.padding_report(B.build_blocks(docs, "text", 64, 32, 8)).first()
     b = B.padding_report(B.block_keys(docs, "text", 64, 32, 8), length=64).first()
     assert a == b
+
+
+def test_a_very_long_document_is_sliced_row_by_row(spark):
+    """Blocks are rows of a generator over the starts, not one array of all of them."""
+    from conftest import physical_plan
+    n = 2_000_000
+    df = spark.range(1).select(F.lit(7).alias("doc_id"), F.sequence(F.lit(1).cast("bigint"), F.lit(n).cast("bigint")).alias("ids"))
+    out = B.chunk(df, "ids", 2048, 1024, 256)
+    plan = physical_plan(out)
+    assert "posexplode" in plan and "inline" not in plan and "Exchange" not in plan
+    got = out.agg(F.count(F.lit(1)).alias("blocks"), F.max("chunk_idx").alias("last"), F.sum(F.aggregate(
+        "attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("real"), F.max(F.array_max("input_ids")).alias("top")).first()
+    want = [s for s in range(0, n, 1024) if s == 0 or (s < n and min(2048, n - s) >= 256 and s <= -(-(n - 2048) // 1024) * 1024)]
+    assert (got.blocks, got.last, got.top) == (len(want), len(want) - 1, n)
+    assert got.real == sum(min(2048, n - s) for s in want)

@@ -89,6 +89,14 @@ def test_render_chat_orders_turns(spark):
                    "<|im_start|>assistant\n")
 
 
+def test_turns_without_a_conversation_are_prompts_of_their_own(spark):
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, None, None), (5, 0, "user", "b")],
+                               "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id, r.prompt, r.turns) for r in CH.render_chat(df).collect()), key=str)
+    a, none = "<|im_start|>user\na<|im_end|>\n", "<|im_start|>\n<|im_end|>\n"
+    assert got == sorted([(None, a, 1), (None, a, 1), (None, none, 1), (5, a.replace("a<|im_end", "b<|im_end"), 1)], key=str)
+
+
 import pytest
 
 

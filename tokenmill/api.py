@@ -18,20 +18,21 @@ from tokenmill.operators.classify import (  # noqa: F401
     source_distribution,
 )
 from tokenmill.operators.telemetry import (  # noqa: F401
-    epoch_summary, gpu_peak, log_every, lr_by_step, lr_schedule, macro_average, step_loss, step_rates,
-    step_log, with_global_step,
+    device_peaks, epoch_summary, gpu_peak, log_every, lr_by_step, lr_schedule, macro_average, resumed_epoch_summary,
+    step_log, step_loss, step_rates, with_global_step,
 )
 from tokenmill.operators.vocab import (  # noqa: F401
     build_vocab, tokenize_with, tokenize_with_vocab, tokenizer_file_hook,
 )
 from tokenmill.plans.index import dense_index, dense_index_by_hash  # noqa: F401
+from tokenmill.plans.permutation import epoch_places, permute, permuted_plan, resume_places  # noqa: F401
 from tokenmill.plans.sampling import (  # noqa: F401
     batch, batch_sizes, checkpoint_steps, opt_steps, resume_from, run_steps, shard, shuffle_order, token_account,
     training_plan,
 )
-from tokenmill.sources.blocksets import read_block_sets, write_blocks  # noqa: F401
+from tokenmill.sources.blocksets import read_block_sets, sample_at, write_blocks, write_indexed  # noqa: F401
 from tokenmill.sources.classified import (  # noqa: F401
-    count_rows, read_bucket, read_classified, write_classified,
+    count_rows, leaf_rows, read_bucket, read_classified, write_classified, write_counted,
 )
 from tokenmill.sources.corpus import read_corpus  # noqa: F401
 from tokenmill.sources.files import file_sizes, size_report, text_bytes_report  # noqa: F401

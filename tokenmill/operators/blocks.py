@@ -1,9 +1,9 @@
 """Tokenize documents and cut them into fixed-length, overlapping blocks.
 
 Everything here is narrow: token ids stay inside the row (no explode of tokens, no
-vocabulary join), and the sliding window is a closed form over window starts, so
-a document becomes its blocks in one projection + ``inline``. No shuffle, no
-Python worker.
+vocabulary join), and the sliding window is a closed form over window starts. The
+starts are generated and each block is sliced as its own row, so a document of any
+length has one block at a time in memory besides its ids. No shuffle, no Python worker.
 
 Window rule (the reference's loop, restated): for ``n`` tokens,
 ``n <= L`` gives one block ``(0, n)`` whatever ``n`` is, even 0; otherwise windows
@@ -54,18 +54,13 @@ def chunk(df: DataFrame, ids: str = "input_ids", length: int = MAX_LENGTH, strid
     Every other input column is dropped (the reference removes all old columns
     after its 1-to-n map)."""
     require_columns(df, ids, *keep)
-    n = F.size(F.col(ids))
-
-    def block(start, idx):
-        width = F.least(F.lit(length), n - start)
-        return F.struct(
-            idx.alias("chunk_idx"),
-            pad_right(F.slice(F.col(ids), start + 1, F.lit(length)), length, pad_id).alias("input_ids"),
-            attention_mask(width, length).alias("attention_mask"),
-        )
-
-    blocks = F.transform(window_starts(n, length, stride, min_len), block)
-    return df.select(*keep, F.inline(blocks))
+    rows = df.select(*keep, F.col(ids).alias("__ids"))
+    starts = window_starts(F.size("__ids"), length, stride, min_len)
+    placed = rows.select(*keep, "__ids", F.posexplode(starts).alias("chunk_idx", "__start"))
+    width = F.least(F.lit(length), F.size("__ids") - F.col("__start"))
+    return placed.select(*keep, "chunk_idx",
+                         pad_right(F.slice("__ids", F.col("__start") + 1, F.lit(length)), length, pad_id).alias("input_ids"),
+                         attention_mask(width, length).alias("attention_mask"))
 
 
 def block_keys(df: DataFrame, text: str = "text", length: int = MAX_LENGTH, stride: int = STRIDE,

@@ -35,16 +35,18 @@ def render_chat(turns: DataFrame, add_generation_prompt: bool = False, template:
 
     Each turn is rendered to its segment in a narrow projection; only the
     segments are gathered per conversation (sorted by turn), whose concatenation
-    is the output cell itself."""
+    is the output cell itself. Turns without a conversation id belong to none: each
+    is a prompt of its own, so they never gather in one cell."""
     t = template or CHATML
     seg = F.concat(F.lit(t["start"]), F.coalesce(F.col(role), F.lit("")), F.lit("\n"),
                    F.coalesce(F.col(text), F.lit("")), F.lit(t["end"] + "\n"))
     per_turn = turns.select(conv, F.struct(F.col(turn).alias("t"), seg.alias("s")).alias("seg"))
     rendered = F.array_join(F.transform(F.array_sort(F.collect_list("seg")), lambda x: x["s"]), "")
-    if add_generation_prompt:
-        rendered = F.concat(rendered, F.lit(t["generation"]))
-    return per_turn.groupBy(conv).agg(rendered.alias("prompt"),
-                                      F.count(F.lit(1)).cast("bigint").alias("turns"))
+    gathered = per_turn.where(F.col(conv).isNotNull()).groupBy(conv).agg(
+        rendered.alias("prompt"), F.count(F.lit(1)).cast("bigint").alias("turns"))
+    alone = per_turn.where(F.col(conv).isNull()).select(conv, F.col("seg.s").alias("prompt"), F.lit(1).cast("bigint").alias("turns"))
+    out = gathered.unionByName(alone)
+    return out.withColumn("prompt", F.concat("prompt", F.lit(t["generation"]))) if add_generation_prompt else out
 
 
 def cutoff_tokens(df: DataFrame, length: int, ids: str = "input_ids") -> DataFrame:

@@ -45,6 +45,30 @@ def gpu_peak(name, table: Sequence[tuple[str, float]] = GPU_PEAK_FLOPS,
     return F.when(n.isNull(), F.lit(0.0)).otherwise(out)
 
 
+# Keys that a device table may have to be broadcast.
+MAX_DEVICE_KEYS = 10_000
+
+
+def device_peaks(rows: DataFrame, name: str, table: DataFrame, out: str = "peak_flops",
+                 default: float = GPU_PEAK_DEFAULT) -> DataFrame:
+    """M4 from a table: ``rows`` with ``out``, the ``flops`` of the key that the device ``name``
+    contains; of several the one of the lowest ``priority``. No key: the default; no
+    device: 0. ``table``: ``key, flops, priority``, of which the keys are not empty.
+
+    Distinct names meet the keys (a theta join against a table whose size is checked),
+    so a device with many rows is looked up once."""
+    n = table.limit(MAX_DEVICE_KEYS + 1).count()
+    if n > MAX_DEVICE_KEYS:
+        raise ValueError(f"a device table of more than {MAX_DEVICE_KEYS} keys")
+    names = rows.select(F.col(name).alias("__name")).where("__name IS NOT NULL").distinct()
+    keys = table.where("key <> ''").select("key", "flops", "priority")
+    met = names.join(F.broadcast(keys), F.contains("__name", "key"))
+    best = met.groupBy("__name").agg(F.min(F.struct("priority", "key", "flops")).alias("__best"))
+    joined = rows.join(best, F.col(name) == F.col("__name"), "left")
+    peak = F.when(F.col(name).isNull(), F.lit(0.0)).otherwise(F.coalesce(F.col("__best.flops").cast("double"), F.lit(float(default))))
+    return joined.withColumn(out, peak).drop("__name", "__best")
+
+
 def step_loss(log: DataFrame, grad_accum: int = GRAD_ACCUM) -> DataFrame:
     """One row per completed optimizer step.
 
@@ -143,6 +167,37 @@ def epoch_summary(steps: DataFrame, world_size: int = 1, seq_len: int = SEQ_LEN,
             .select("epoch", "steps", "elapsed_seconds", "total_tokens", "avg_tokens_per_second"))
 
 
+def resumed_epoch_summary(log: DataFrame, gap_seconds: float, grad_accum: int = GRAD_ACCUM, world_size: int = 1,
+                          seq_len: int = SEQ_LEN, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """G6 for a run that was stopped and resumed: one row per rank and epoch of a log in which
+    a pause longer than ``gap_seconds`` splits the run (``session_window``).
+
+    ``runs`` and ``active_seconds`` (the time inside the runs; pauses don't count),
+    ``pause_seconds``, ``steps`` (a step that was run again after a resume counts once),
+    ``repeated`` (micro-batches run again), and, over the epochs so far, ``total_tokens``
+    and ``avg_tokens_per_second`` of active time (0 when no time has passed)."""
+    require_columns(log, "epoch", "rank", "batch_idx", "ts")
+    g = F.lit(grad_accum).cast("bigint")
+    gap = f"{round(gap_seconds * 1e6)} microseconds"
+    seconds = lambda a, b: F.timestamp_diff("MICROSECOND", a, b).cast("double") / F.lit(1e6)
+    sessions = log.groupBy("rank", "epoch", F.session_window("ts", gap).alias("w")).agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"))
+    time = sessions.groupBy("rank", "epoch").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum(F.timestamp_diff("MICROSECOND", F.col("first"), F.col("last"))).alias("active_us"),
+        seconds(F.min("first"), F.max("last")).alias("span"))
+    batches = log.groupBy("rank", "epoch", "batch_idx").agg(F.count(F.lit(1)).alias("n"))
+    closing = F.when(F.col("batch_idx") % g == g - 1, F.lit(1))
+    done = batches.groupBy("rank", "epoch").agg(F.count(closing).alias("steps"), F.sum(F.col("n") - 1).alias("repeated"))
+    so_far = Window.partitionBy("rank").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+    per_step = seq_len * batch_size * grad_accum * world_size
+    out = (time.join(done, ["rank", "epoch"]).withColumn("active_seconds", F.col("active_us").cast("double") / F.lit(1e6))
+           .withColumn("total_tokens", F.sum(F.col("steps") * F.lit(per_step)).over(so_far).cast("bigint"))
+           .withColumn("total_us", F.sum("active_us").over(so_far).cast("double") / F.lit(1e6)))
+    return out.select("rank", "epoch", "runs", "active_seconds", (F.col("span") - F.col("active_seconds")).alias("pause_seconds"),
+                      "steps", "repeated", "total_tokens",
+                      F.when(F.col("total_us") > 0, F.col("total_tokens") / F.col("total_us")).otherwise(F.lit(0.0)).alias("avg_tokens_per_second"))
+
+
 def step_log(steps: DataFrame, flops_tok, peak, epochs: int, world_size: int = 1, seq_len: int = SEQ_LEN,
              batch_size: int = BATCH_SIZE, grad_accum: int = GRAD_ACCUM, every: int = LOG_EVERY, **wsd) -> DataFrame:
     """The trainer's log record, every ``every``-th step of an epoch: loss, learning rate,
@@ -165,5 +220,5 @@ def macro_average(scores: DataFrame, drop_zero: bool = False) -> DataFrame:
                                         F.count(val).alias("subjects"))
 
 
-__all__ = ["gpu_peak", "step_loss", "with_global_step", "log_every", "step_rates", "lr_schedule", "lr_by_step",
+__all__ = ["gpu_peak", "device_peaks", "resumed_epoch_summary", "step_loss", "with_global_step", "log_every", "step_rates", "lr_schedule", "lr_by_step",
            "epoch_summary", "step_log", "macro_average"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenmill import inputs
+from tokenmill.functions._cols import idiv
 from tokenmill.functions.text import split_words
 from tokenmill.functions.training import flops_per_token, mfu
 from tokenmill.operators import telemetry as TM
@@ -233,3 +234,52 @@ def macro_average(spark, sf_dir):
     nonzero = TM.macro_average(scores, drop_zero=True).select(
         "method", F.round("macro_avg", 6).alias("macro_avg_nonzero"), F.col("subjects").alias("subjects_nonzero"))
     return every.join(nonzero, "method")
+
+
+_PART_KEYS_SQL = """keys AS (
+  SELECT key, CAST(sum(p_size) AS DOUBLE) * 1e9 AS flops, max(strlen(key)) * 100 - ascii(key) AS priority
+  FROM (SELECT p_size, unnest(string_split(p_name, ' ')) AS key FROM part) GROUP BY key HAVING key < 's')"""
+
+
+@register("device_peak_join", sql=f"""
+WITH {_PART_KEYS_SQL},
+best AS (SELECT p_name, arg_min(flops, struct_pack(priority := priority, key := key)) AS flops
+         FROM (SELECT DISTINCT p_name FROM part) JOIN keys ON contains(p_name, key) GROUP BY p_name)
+SELECT p_partkey, part.p_name AS device, coalesce(best.flops, {TM.GPU_PEAK_DEFAULT!r}::DOUBLE) AS peak_flops
+FROM part LEFT JOIN best ON part.p_name = best.p_name""")
+def device_peak_join(spark, sf_dir):
+    """M4 from a table: device names of a table's rows against a table of keys, the lowest
+    priority winning where a name contains several."""
+    part = inputs.table(spark, sf_dir, "part")
+    words = part.select("p_size", F.explode(F.split("p_name", " ")).alias("key")).where(F.col("key") < "s")
+    keys = words.groupBy("key").agg((F.sum("p_size").cast("double") * F.lit(1e9)).alias("flops")).withColumn(
+        "priority", F.octet_length("key") * 100 - F.ascii("key"))
+    return TM.device_peaks(part.select("p_partkey", F.col("p_name").alias("device")), "device", keys)
+
+
+RESUME_GAP = 1200
+
+
+@register("resumed_epoch_summary", sql=f"""
+WITH log AS (SELECT event_id % 2 AS rank, event_id // 4096 AS epoch, event_id % 4096 // 2 % 1500 AS batch_idx, ts FROM events),
+marked AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY rank, epoch ORDER BY ts)) <= {RESUME_GAP * 10**6} THEN 0 ELSE 1 END AS new
+           FROM log),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY rank, epoch ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+sessions AS (SELECT rank, epoch, run, min(ts) AS first, max(ts) AS last FROM runs GROUP BY rank, epoch, run),
+times AS (SELECT rank, epoch, count(*) AS runs, CAST(sum(epoch_us(last) - epoch_us(first)) AS BIGINT) AS active_us,
+                 (epoch_us(max(last)) - epoch_us(min(first))) / 1e6::DOUBLE AS span FROM sessions GROUP BY rank, epoch),
+done AS (SELECT rank, epoch, count(DISTINCT batch_idx) FILTER (batch_idx % {G} = {G - 1}) AS steps,
+                count(*) - count(DISTINCT batch_idx) AS repeated FROM log GROUP BY rank, epoch),
+so_far AS (SELECT *, active_us / 1e6::DOUBLE AS active_seconds,
+                  CAST(sum(steps * {SEQ * B * G * WORLD}) OVER w AS BIGINT) AS total_tokens,
+                  CAST(sum(active_us) OVER w AS DOUBLE) / 1e6::DOUBLE AS total_s
+           FROM times JOIN done USING (rank, epoch) WINDOW w AS (PARTITION BY rank ORDER BY epoch ROWS UNBOUNDED PRECEDING))
+SELECT rank, epoch, runs, active_seconds, span - active_seconds AS pause_seconds, steps, repeated, total_tokens,
+       CASE WHEN total_s > 0 THEN total_tokens / total_s ELSE 0.0::DOUBLE END AS avg_tokens_per_second
+FROM so_far""")
+def resumed_epoch_summary(spark, sf_dir):
+    """G6 of a run with pauses and repeated micro-batches, from every event."""
+    e = inputs.table(spark, sf_dir, "events")
+    at = F.col("event_id") % 4096
+    log = e.select((F.col("event_id") % 2).alias("rank"), idiv("event_id", 4096).alias("epoch"), (idiv(at, 2) % 1500).alias("batch_idx"), "ts")
+    return TM.resumed_epoch_summary(log, RESUME_GAP, G, WORLD, SEQ, B)
