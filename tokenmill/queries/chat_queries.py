@@ -57,25 +57,26 @@ def eval_set_select(spark, sf_dir):
 
 @register("pack_bins", sql=f"""
 WITH RECURSIVE {_RENDER_SQL},
-items AS (SELECT conv_id, least(len(regexp_extract_all(prompt, '[^ \\t\\r\\n]+')), {CUTOFF}) AS length,
+items AS (SELECT conv_id, md5(prompt) AS prompt_md5, least(len(regexp_extract_all(prompt, '[^ \\t\\r\\n]+')), {CUTOFF}) AS length,
                  CAST(('0x' || substr(md5('{SEED}:' || conv_id), 1, 8))::BIGINT % {SHARDS} AS INTEGER) AS shard,
                  md5('{SEED}:' || conv_id) AS k FROM rendered),
 s AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY k, conv_id) AS rn FROM items),
-r AS (SELECT shard, rn, conv_id, length, CAST(0 AS BIGINT) AS bin, CAST(length AS BIGINT) AS fill,
+r AS (SELECT shard, rn, conv_id, prompt_md5, length, CAST(0 AS BIGINT) AS bin, CAST(length AS BIGINT) AS fill,
              CAST(0 AS BIGINT) AS bin_offset FROM s WHERE rn = 1
       UNION ALL
-      SELECT s.shard, s.rn, s.conv_id, s.length,
+      SELECT s.shard, s.rn, s.conv_id, s.prompt_md5, s.length,
              CASE WHEN r.fill + s.length > {CUTOFF} THEN r.bin + 1 ELSE r.bin END,
              CASE WHEN r.fill + s.length > {CUTOFF} THEN s.length ELSE r.fill + s.length END,
              CASE WHEN r.fill + s.length > {CUTOFF} THEN 0 ELSE r.fill END
       FROM r JOIN s ON s.shard = r.shard AND s.rn = r.rn + 1)
-SELECT conv_id, shard, CAST(length AS BIGINT) AS length, bin, bin_offset FROM r""")
+SELECT conv_id, prompt_md5, shard, CAST(length AS BIGINT) AS length, bin, bin_offset FROM r""")
 def pack_bins(spark, sf_dir):
-    """T5: next-fit packing of cut conversations into 512-token bins, 16 seeded shards."""
+    """T5: next-fit packing of cut conversations into 512-token bins, 16 seeded shards, the
+    prompts carried along."""
     items = rendered(spark, sf_dir).select(
-        "conv_id", F.least(F.size(split_words("prompt")), F.lit(CUTOFF)).cast("bigint").alias("length"))
+        "conv_id", "prompt", F.least(F.size(split_words("prompt")), F.lit(CUTOFF)).cast("bigint").alias("length"))
     packed = CH.pack(items, CUTOFF, ["conv_id"], "length", SHARDS, SEED)
-    return packed.select("conv_id", "shard", "length", "bin", "bin_offset")
+    return packed.select("conv_id", F.md5("prompt").alias("prompt_md5"), "shard", "length", "bin", "bin_offset")
 
 
 @register("capped_samples", sql=f"""
