@@ -1,5 +1,7 @@
+import random
+import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -95,6 +97,107 @@ def test_relative_and_quoted_targets_are_resolved(spark):
     assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
 
 
+def test_entities_and_host_case_join_links(spark):
+    link = '<link rel="canonical" href="{}">'
+    pages = spark.createDataFrame([
+        (1, "http://m.org/a?x=1&y=2", ""), (2, "http://n.org/b", link.format("HTTP://M.org/a?x=1&amp;y=2")),
+        (3, "HTTP://M.ORG/a?x=1&y=2", link.format("http://x.net/es/1")), (4, "http://m.org/A?x=1&y=2", ""),
+        (5, "http://o.org/c", link.format("http://n.org/b")), (5, "http://o.org/c", link.format("http://n.org/b"))],
+        "page_id long, url string, html string")
+    got = redirects.judge(pages, redirects.rule_table(spark, RULES), redirects.canonical_links(pages), ["page_id"])
+    assert sorted((r.page_id, r.verdict) for r in got.collect()) == [(1, "block"), (2, "block"), (3, "block"), (4, "allow"), (5, "block"), (5, "block")]
+
+
+def plain_verdicts(pages, rules):
+    """Rules and alias components by hand, over pages (id, url, targets)."""
+    def parts(url):
+        at = (url or "").find("://")
+        rest = re.match(r"[^?#]*", url[at + 3:])[0] if at >= 0 else ""
+        host = rest.split("/")[0]
+        return host.lower(), rest[len(host):]
+
+    def key(url):
+        at = (url or "").find("://")
+        if at < 0:
+            return url
+        host = re.match(r"[^/?#]*", url[at + 3:])[0]
+        return url[:at].lower() + "://" + host.lower() + url[at + 3 + len(host):]
+
+    def rule(url):
+        host, path = parts(url)
+        fits = [(r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0]))
+                and path.startswith(r[r.index("/"):]) and host]
+        return max(fits, key=lambda x: len(x[0]), default=(None, None))
+
+    links = defaultdict(set)
+    for _, url, targets in pages:
+        for t in targets:
+            links[key(url)].add(key(t)), links[key(t)].add(key(url))
+
+    def blocked(node):
+        seen, todo = {node}, [node]
+        while todo:
+            for m in links[todo.pop()] - seen:
+                seen.add(m), todo.append(m)
+        return any(rule(u)[1] == "block" for u in seen)
+
+    return sorted((i, *parts(u), rule(u)[0], rule(u)[1] or ("block" if u and key(u) in links and blocked(key(u)) else "allow"))
+                  for i, u, _ in pages)
+
+
+def linked_pages(n=120, seed=4):
+    rng = random.Random(seed)
+    hosts = ["a.com", "www.example.com", "example.com", "x.net", "n.org", "Q.org", "r.org:80", "www.b.net"]
+    paths = ["/", "/es/1", "/en/x", "/fr/y?q=1&r=2", "/z/w", "", "/en/"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}{'' if rng.random() < 0.5 else rng.randint(0, 9)}" for _ in range(n)]
+    return [(i, u, [rng.choice(urls)] if rng.random() < 0.4 else []) for i, u in enumerate(urls)]
+
+
+def linked_frame(spark, pages):
+    html = [(i, u, "".join(f'<head><link rel="canonical" href="{t.replace("&", "&amp;")}"></head>' for t in ts)) for i, u, ts in pages]
+    return spark.createDataFrame(html + [(999, None, "")], "page_id long, url string, html string")
+
+
+def test_verdicts_over_linked_pages_equal_brute_force_and_the_sql(spark):
+    import duckdb
+    from tokenmill.llm import queries
+    pages = linked_pages()
+    frame = linked_frame(spark, pages)
+    got = redirects.judge(frame, redirects.rule_table(spark, queries.RULES), redirects.canonical_links(frame), ["page_id"])
+    rows = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect())
+    want = plain_verdicts(pages, queries.RULES) + [(999, "", "", None, "allow")]
+    assert [r for r in rows] == sorted(want)
+    assert sum(r[3] is None and r[4] == "block" for r in rows) > 3  # decided by aliases
+    con = duckdb.connect()
+    con.register("pages", frame.toPandas())
+    sql = con.sql(queries.ORACLE["op1_redirect_filter"]).df().astype(object)
+    sql = sql.where(sql.notna(), None)
+    assert sorted(map(tuple, sql[["page_id", "host", "path", "rule", "verdict"]].values.tolist())) == rows
+
+
+def test_judging_no_pages(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert redirects.judge(none, redirects.rule_table(spark, RULES), redirects.canonical_links(none), ["page_id"]).count() == 0
+
+
+NAMES = ["features", "votes", "posterior", "quality", "quality_score", "contamination", "best", "key_hash", "told", "row", "of", "label", "mark",
+         "__f", "__votes", "__p", "__quality", "__quality_score", "__best", "__h", "__contamination", "__key", "__label"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(i, words(90, i), *range(len(NAMES))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in NAMES))
+    bench = spark.createDataFrame([("t", words(90, 3))], "item_id string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    for got, n in ((quality_rules.keep_good(docs), 12), (quality_classifier.keep_good(docs, labels), 12),
+                   (decontaminate.drop_documents(docs, bench), 11), (decontaminate.remove_spans(docs, bench), 12)):
+        assert got.columns == docs.columns and got.count() == n
+        assert all(tuple(r)[2:] == tuple(range(len(NAMES))) for r in got.collect())
+    placed = sharding.shard_rows(docs, "doc_id", [1.0] * 3)
+    assert placed.columns == [*docs.columns, "shard", "grown_shard", "slot"] or set(docs.columns) < set(placed.columns)
+    assert all(tuple(r[n] for n in NAMES) == tuple(range(len(NAMES))) for r in placed.collect())
+
+
 # ---- quality rules ------------------------------------------------------------------------
 
 def test_rule_features_equal_a_plain_count():
@@ -163,15 +266,50 @@ def test_language_filter(spark):
     assert names[:3] == ["und"] * 3 and names[3] in pools and scores[:3].tolist() == [0, 0, 0]
 
 
+def test_a_hundred_languages(spark):
+    """As many as there are, in several words a position; each text in its own alphabet."""
+    def text(k, n, seed):
+        rng = random.Random(1000 * k + seed)
+        return " ".join("".join(chr(0x4E00 + 40 * k + rng.randint(0, 15)) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    rows = [(k, text(k, 60, i), f"l{k:03d}") for k in range(100) for i in range(3)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{k:03d}" for k in range(100)] and model.masks.shape[1] == 2
+    names, _ = model.judge([text(k, 40, 99) for k in range(100)])
+    assert names == model.languages
+
+
+def test_language_counts_equal_a_plain_filter(spark):
+    """The registered prediction against exact sets of n-grams in place of the filter."""
+    from tokenmill.llm import queries
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    counts = defaultdict(Counter)
+    for d in docs:
+        if not held(d.doc_id) and d.lang is not None and d.text is not None:
+            counts[d.lang].update(language_id.ngrams([d.text])[1].tolist())
+    known = {x: {g for g, n in c.items() if n >= language_id.MIN_SHARE * sum(c.values())} for x, c in counts.items()}
+    got = {r.doc_id: r for r in queries.QUERIES["op3_language_id"](spark, sf).collect()}
+    right = 0
+    for d in docs:
+        r = got[d.doc_id]
+        _, grams, has = language_id.ngrams([d.text])
+        assert r.held_out == held(d.doc_id) and 0 <= r.score <= 1 and (r.lang_pred == "und") == (not has[0])
+        if has[0]:
+            hits = {x: sum(g in own for g in grams.tolist()) for x, own in known.items()}
+            right += hits[r.lang_pred] == max(hits.values())
+    assert right >= 0.99 * sum(r.lang_pred != "und" for r in got.values())
+
+
 def test_bloom_filter_has_no_false_negatives_and_corrects_chance():
     rng = np.random.default_rng(9)
     grams = rng.integers(1, 2**63, 5000, dtype=np.uint64)
-    owned = (np.uint64(1) << rng.integers(0, 3, 5000, dtype=np.uint64))
+    owned = (np.uint64(1) << rng.integers(0, 3, 5000, dtype=np.uint64))[:, None]
     f = language_id.LanguageFilter.build(["a", "b", "c"], grams, owned, 0)
     assert ((f.contains(grams) & owned) == owned).all()
     strange = f.contains(rng.integers(1, 2**63, 200_000, dtype=np.uint64))
     for i in range(3):
-        rate = ((strange >> np.uint64(i)) & np.uint64(1)).mean()
+        rate = f._bit(strange, i).mean()
         assert abs(rate - f.chance[i]) < 0.3 * f.chance[i] + 1e-4
 
 
@@ -202,8 +340,8 @@ def plain_hits(text, items, window):
     return len(ws), len(hit), sorted(owners)
 
 
-@pytest.mark.parametrize("block_words", [20, 100_000])
-def test_decontamination_equals_brute_force(spark, block_words):
+@pytest.mark.parametrize("block_pairs", [20, 100_000])
+def test_decontamination_equals_brute_force(spark, block_pairs):
     items = [(1, words(30, 50)), (2, words(4, 51)), (3, ""), (4, None), (None, words(12, 52)), (5, words(30, 50)), (1, words(15, 53)),
              (10, "ONE, two! Three")]
     docs = [(i, words(40, i) + " " + words(30, 50)[:5 + 12 * i] + "\n" + words(10, i + 9)) for i in range(8)]
@@ -211,7 +349,7 @@ def test_decontamination_equals_brute_force(spark, block_words):
              (24, "one two\nTHREE four one two three"), (25, words(30, 50) + " " + words(15, 53)), (25, words(3, 1))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench, ["doc_id", "text"],
-                             block_words=block_words, clean=True).collect()
+                             block_pairs=block_pairs, clean=True).collect()
     assert len(got) == len(docs)
     for r in got:
         c = r.contamination
@@ -223,6 +361,19 @@ def test_decontamination_equals_brute_force(spark, block_words):
         assert left == [w for j, w in enumerate(ws) if j not in cut]
 
 
+def test_windows_shared_by_many_items_and_long_items(spark):
+    text = words(40, 8)
+    bench = spark.createDataFrame([(f"i{k}", text) for k in range(50)] + [("long", words(5000, 9)), (None, text), ("none", None), ("w", "  ")],
+                                  "item_id string, text string")
+    docs = spark.createDataFrame([(1, words(5, 1) + " " + text), (2, words(60, 2)), (3, " ".join(words(5000, 9).split()[100:112]))],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r.contamination for r in decontaminate.scan(docs, bench, ["doc_id"], block_pairs=700).collect()}
+    assert sorted(got[1].item_ids) == sorted(f"i{k}" for k in range(50)) and got[1].n_hit == 40
+    assert got[2].n_hit == 0 and (got[3].item_ids, got[3].n_hit) == (["long"], 12)
+    assert decontaminate.windows_of(bench).count() == 50 * 31 + 4991
+    assert decontaminate.scan(docs, bench.limit(0), ["doc_id"]).where("contamination.n_hit > 0").count() == 0
+
+
 def test_decontamination_takes_awkward_rows(spark):
     docs = awkward(spark)
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
@@ -250,6 +401,48 @@ def test_classifier_learns_and_repeats(spark):
     assert few.vectors.shape == model.vectors.shape
 
 
+def test_scores_equal_a_plain_average_of_vectors(spark):
+    """The registered scores against vectors averaged text by text with a softmax layer."""
+    from tokenmill.llm import queries
+    from tokenmill.llm.subwords import EXTRA, WordBatch
+    import pyarrow as pa
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~quality_classifier.held_out(F.col("doc_id"), 5, 0))
+    labels = labels.groupBy("doc_id").agg(F.max("quality").alias("label"))
+    model = quality_classifier.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    got = {r.doc_id: r for r in queries.QUERIES["op8_quality_classifier"](spark, sf).collect()}
+    n = len(model.vectors) - EXTRA
+    for d in docs.orderBy("doc_id").limit(60).collect():
+        words_ = WordBatch(pa.array([d.text], pa.string()))
+        owner, bucket = words_.features(n)
+        used = np.concatenate([bucket[owner == w] for w in words_.word]) if len(words_.word) else np.zeros(0, int)
+        repeats = words_.repeats()[0] * quality_classifier.REPEAT_WEIGHT
+        total = model.vectors[used].sum(0) + repeats @ model.vectors[n:]
+        size = len(used) + repeats.sum()
+        out = (total / size if size else total) @ model.layer + model.bias
+        want = np.exp(out[1] - out.max()) / np.exp(out - out.max()).sum()
+        r = got[d.doc_id]
+        assert abs(r.score - want) < 1e-6 and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+
+
+def test_training_rows_are_bounded_in_rows_and_features(spark):
+    rows = [(1, words(30, 1), 1)] * 400 + [(i, words(30, i), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    seen = []
+    plain = quality_classifier.train
+    quality_classifier.train = lambda examples, *a, **k: seen.append(examples) or plain(examples, *a, **k)
+    try:
+        quality_classifier.fit(df, epochs=1)
+        quality_classifier.fit(df, max_rows=100, epochs=1)
+        quality_classifier.fit(df, max_entries=3000, epochs=1)
+    finally:
+        quality_classifier.train = plain
+    assert len(seen[0]) == 300  # the row repeated 401 times counts once
+    assert 10 < len(seen[1]) < 100 and sum(len(i) for i, _, _ in seen[2]) <= 3000 and len(seen[2]) > 3
+
+
 def test_classifier_takes_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1), (6, 0), (8, 1), (None, 1), (3, None)], "doc_id long, quality int")
     kept = quality_classifier.keep_good(awkward(spark), labels, threshold=0.0)

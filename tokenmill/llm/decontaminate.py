@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.llm.frames import map_batches, stored, text_chunks
+from tokenmill.llm.frames import free_name, map_batches, stored, text_chunks
 
 WINDOW = 10
-# Most benchmark words broadcast at once (about 150 bytes each with their windows).
-BLOCK_WORDS = 500_000
+# Most pairs of window and item broadcast at once (about 300 bytes each).
+BLOCK_PAIRS = 500_000
 # Upper case to lower case, and every ASCII character that is no word character to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
                 for c in range(256))
@@ -161,22 +161,31 @@ def _without(text: str | None, ranges: list[dict]) -> str | None:
     return " ".join(out + [text[at:]])
 
 
+def windows_of(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The different ``(window, id)`` of the benchmark's items; a window is its words, with
+    one space between them."""
+    low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    items = benchmark.select(F.col(item).cast("string").alias("id"), F.regexp_extract_all(low, F.lit(_WORD.pattern), F.lit(0)).alias("words"))
+    items = items.where("id IS NOT NULL AND size(words) > 0")
+    starts = items.select("id", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)))).alias("i"))
+    return starts.select(F.array_join(F.slice("words", F.col("i"), F.lit(window)), " ").alias("window"), "id").distinct()
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str], text: str = "text", item: str = "item_id",
          item_text: str = "text", window: int = WINDOW, out: str = "contamination", clean: bool = False,
-         block_words: int = BLOCK_WORDS) -> DataFrame:
+         block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """The ``keep`` columns of ``docs`` and the struct ``out`` (replacing a column of
     that name): ``n_words``, ``n_hit``, hit word ``ranges``, sorted ``item_ids`` (as
     strings), and with ``clean`` the text less its hit spans."""
     spark = docs.sparkSession
-    tests = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("text")).where("id IS NOT NULL")
-    words = tests.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
-    blocks = max(1, -(-words // block_words))
+    pairs = stored(windows_of(benchmark, item, item_text, window), "windows")
+    blocks = max(1, -(-pairs.count() // block_pairs))
     keep = [c for c in keep if c != out]
     carried = list(dict.fromkeys([*keep, text]))
     df = docs.select(*carried)
     for i in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
-        windows = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()], window))  # <= about block_words
+        part = pairs.where(F.pmod(F.xxhash64("window", "id"), F.lit(blocks)) == i).select("id", "window")
+        windows = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in part.collect()], window))  # about block_pairs
         last = i == blocks - 1
         names = keep if last else carried
         schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(out, RESULT)])
@@ -187,18 +196,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str], text: str =
 
 
 def contaminated(out: str = "contamination") -> Column:
-    return F.col(f"{out}.n_hit") > 0
+    return F.col(out)["n_hit"] > 0
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window."""
-    out = "__contamination"
+    out = free_name(docs.columns, "contamination")
     found = scan(docs, benchmark, docs.columns, out=out, **how)
     return found.where(~contaminated(out)).drop(out)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` with the hit spans cut out of ``text``."""
-    out = "__contamination"
+    out = free_name(docs.columns, "contamination")
     found = scan(docs, benchmark, docs.columns, text=text, out=out, clean=True, **how)
-    return found.withColumn(text, F.col(f"{out}.clean_text")).drop(out)
+    return found.withColumn(text, F.col(out)["clean_text"]).drop(out)

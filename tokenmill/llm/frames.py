@@ -71,5 +71,14 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         start = end
 
 
+def free_name(columns: Sequence[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to be none of ``columns``
+    (Spark tells names apart without regard to case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

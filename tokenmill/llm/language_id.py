@@ -1,7 +1,8 @@
 """Language identification by a language-bitmask n-gram filter.
 
-A bit-sliced Bloom filter: each of its positions holds one bit per language, so the
-AND of an n-gram's ``HASHES`` positions names all languages that contain it at once. A
+A bit-sliced Bloom filter: each of its positions holds one bit per language (in as many
+64-bit words as the languages need), so the AND of an n-gram's ``HASHES`` positions
+names all languages that contain it at once. A
 text's n-grams are looked up, set bits are counted per language, and the counts are
 corrected for false positives: with a share f of a language's bits set, a stranger
 passes with chance p = f^HASHES, so ``(hits - n p) / (1 - p)`` estimates the true hits.
@@ -16,7 +17,8 @@ summed per task before the shuffle.
 N-grams are of lower-cased letters, with one space for each run of other characters.
 Texts that are null or have no letter are ``und`` with score 0; a text none of whose
 n-grams is known gets the language with most training n-grams and score 0. Ties go to
-the language first in order. Without training rows every text is ``und``.
+the language first in order. Without training rows every text is ``und``. Very long texts
+are judged whole, one at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,20 +94,24 @@ def ngrams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    masks: np.ndarray    # per position, a bit per language
+    masks: np.ndarray    # per position, a bit per language: a column per 64 of them
     chance: np.ndarray   # per language, that a stranger passes
     common: int          # the language with most training n-grams
 
     @classmethod
     def build(cls, languages: list[str], grams: np.ndarray, owned: np.ndarray, common: int) -> "LanguageFilter":
-        """``owned``: the mask of the languages that contain each of ``grams``."""
+        """``owned``: the masks (a column per 64 languages) of those that contain each of ``grams``."""
         size = 1 << max(10, int(np.ceil(np.log2(max(1, len(grams)) * POSITIONS))))
-        masks = np.zeros(size, np.uint64)
+        masks = np.zeros((size, owned.shape[1]), np.uint64)
         for k in range(HASHES):
             np.bitwise_or.at(masks, cls._position(grams, k, size), owned)
-        filled = [float(((masks >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))]
+        filled = [float(cls._bit(masks, i).mean()) for i in range(len(languages))]
         return cls(languages, masks, np.array(filled) ** HASHES, common)
 
+    @staticmethod
+    def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+        return (masks[:, language // 64] >> np.uint64(language % 64)) & np.uint64(1) == 1
+
     @staticmethod
     def _position(grams: np.ndarray, k: int, size: int) -> np.ndarray:
         with np.errstate(over="ignore"):  # double hashing
@@ -124,7 +130,7 @@ class LanguageFilter:
             return [UNKNOWN] * n, np.zeros(n)
         found = self.contains(grams)
         total = np.bincount(doc, minlength=n)
-        hits = np.stack([np.bincount(doc[(found >> np.uint64(i)) & np.uint64(1) == 1], minlength=n) for i in range(k)], 1)
+        hits = np.stack([np.bincount(doc[self._bit(found, i)], minlength=n) for i in range(k)], 1)
         true = np.maximum((hits - total[:, None] * self.chance) / (1 - self.chance), 0)
         best = true.argmax(1)
         every = true.sum(1)
@@ -166,23 +172,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE) -> LanguageFilter:
-    """A filter from texts with a language (rows lacking either are left out). At most
-    64 languages."""
+    """A filter from texts with a language (rows lacking either are left out)."""
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     counts = (map_batches(rows, ["lang", "text"], "lang string, gram bigint, n bigint", _counts)
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))  # one row per language
     kept = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.lit(min_share) * F.col("total"))
-    table = kept.select("lang", "gram", "total").toArrow()  # at most 1 / min_share rows a language
-    # a language none of whose n-grams is common enough still counts
-    languages = sorted(set(table.column("lang").to_pylist()))
-    if len(languages) > 64:
-        raise ValueError("a mask holds at most 64 languages")
-    sums = dict(zip(table.column("lang").to_pylist(), table.column("total").to_pylist()))
-    bit = {name: np.uint64(1 << i) for i, name in enumerate(languages)}
+    table = kept.select("lang", "gram").toArrow()  # at most 1 / min_share rows a language
+    sums = {r["lang"]: r["total"] for r in totals.collect()}  # also of one whose n-grams are all too rare
+    languages = sorted(sums)
+    place = {name: i for i, name in enumerate(languages)}
     grams, at = np.unique(table.column("gram").to_numpy().view(np.uint64), return_inverse=True)
-    owned = np.zeros(len(grams), np.uint64)
-    np.bitwise_or.at(owned, at, np.array([bit[x] for x in table.column("lang").to_pylist()], np.uint64))
+    owner = np.fromiter((place[x] for x in table.column("lang").to_pylist()), np.int64, table.num_rows)
+    owned = np.zeros((len(grams), -(-max(1, len(languages)) // 64)), np.uint64)
+    np.bitwise_or.at(owned, (at, owner // 64), np.uint64(1) << (owner % 64).astype(np.uint64))
     common = max(range(len(languages)), key=lambda i: (sums[languages[i]], -i), default=0)
     return LanguageFilter.build(languages, grams, owned, common)
 

@@ -8,7 +8,8 @@ softmax layer over it gives the class. Vectors and layer are trained by stochast
 gradient descent in numpy.
 
 Training rows: a sample of at most about ``max_rows`` labelled rows (all of them if
-there are fewer), chosen by a hash of the key. Only their feature counts reach the
+there are fewer), chosen by a hash of key and text; rows equal in both count once, and
+their features together are at most ``max_entries``. Only these feature counts reach the
 driver. Scoring covers every whole text: after training a feature matters only through
 the scalar its vector adds to the log-odds, so a task needs one number per bucket.
 
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.llm.frames import map_batches, text_chunks
+from tokenmill.llm.frames import free_name, map_batches, stored, text_chunks
 from tokenmill.llm.subwords import EXTRA, WordBatch
 
 BUCKETS = 1 << 16
 DIMENSION = 16
 MAX_ROWS = 3000
+# Most features of all training rows together (160 MB on the driver).
+MAX_ENTRIES = 20_000_000
 EPOCHS = 8
 RATE = 1.0
 # So many times does a feature of repetition count in the average.
@@ -109,22 +112,28 @@ def _examples(buckets: int):
                     ids.append(used.astype(np.int32))
                     shares.append((total[used] / total.sum()).astype(np.float32) if len(used) else np.zeros(0, np.float32))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32())),
-                                                  batch.column("label")], ["ids", "shares", "label"])
+                                                  batch.column("label"), batch.column("place")], ["ids", "shares", "label", "place"])
 
     return make
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", max_rows: int = MAX_ROWS,
-        buckets: int = BUCKETS, **how) -> Model:
-    """``rows``: labelled texts (labels 0 and 1)."""
-    rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where(
-        "label IN (0, 1)")
-    n = rows.select("key").count()
+        buckets: int = BUCKETS, max_entries: int = MAX_ENTRIES, **how) -> Model:
+    """``rows``: labelled texts (labels 0 and 1). Of many, about ``max_rows`` are taken by a
+    hash of key and text, and of these as many, in the order of the hash, as have
+    ``max_entries`` features together (8 bytes each on the driver)."""
+    rows = rows.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.md5(F.concat_ws(
+        ":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.col(text)))).alias("mark")).where("label IN (0, 1)")
+    n = rows.count()
+    place = F.conv(F.substring("mark", 1, 8), 16, 10).cast("bigint")  # uniform in key and text together
     if n > max_rows:
-        hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")
-        rows = rows.where(hashed < int(2**32 * max_rows / n))
-    made = map_batches(rows, ["text", "label"], "ids array<int>, shares array<float>, label int", _examples(buckets))
-    table = made.toArrow()  # at most about max_rows rows of at most ``buckets`` ids
+        rows = rows.where(place < int(2**32 * max_rows / n))
+    rows = rows.dropDuplicates(["mark", "label"])  # a row repeated many times is one example
+    made = stored(map_batches(rows.withColumn("place", place), ["text", "label", "place"],
+                              "ids array<int>, shares array<float>, label int, place bigint", _examples(buckets)), "examples")
+    sizes = sorted((r["place"], r["n"]) for r in made.select("place", F.size("ids").alias("n")).collect())  # about max_rows numbers
+    over = [p for (p, _), total in zip(sizes, np.cumsum([s for _, s in sizes])) if total > max_entries]
+    table = (made.where(F.col("place") < over[0]) if over else made).toArrow()
     # an order of their own, so that training does not depend on how rows were read
     examples = [(i.values.to_numpy(), s.values.to_numpy(), y.as_py()) for i, s, y in zip(*(table.column(k) for k in range(3)))]
     examples.sort(key=lambda e: (len(e[0]), e[0].tobytes(), e[1].tobytes(), e[2]))
@@ -168,8 +177,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
               **how) -> DataFrame:
     """``docs`` whose score is at least ``threshold``, by a model of the labelled ones
     among them."""
-    marked = labels.groupBy(F.col(key).alias("__key")).agg(F.max("quality").alias("__label"))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(marked, F.col("doc_id") == F.col("__key"))
-    model = fit(rows, label="__label", **how)
-    out = "__quality_score"
+    marked = labels.groupBy(F.col(key).alias("of")).agg(F.max("quality").alias("label"))
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(marked, F.col("doc_id") == F.col("of"))
+    model = fit(rows, **how)
+    out = free_name(docs.columns, "quality_score")
     return score(docs, model, docs.columns, text, out).where(F.col(out) >= threshold).select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenmill.llm.frames import map_batches, stored, text_chunks
+from tokenmill.llm.frames import free_name, map_batches, stored, text_chunks
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "n_lines", "n_letters", "n_upper", "n_marks", "n_bytes")
@@ -178,23 +178,24 @@ def judge(docs: DataFrame, keep: Sequence[str], text: str = "text", rules: Seque
     of the words in repeated three-word windows) and ``kept`` (not failed and
     probability at least ``threshold``)."""
     spark = docs.sparkSession
-    names = [c for c in keep if c not in (out, "__f", "__votes")]
-    voted = stored(features(docs, names, text, "__f").withColumn("__votes", votes(rules, "__f")), "quality-features")
-    table = voted.groupBy("__votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^rules patterns
-    patterns = sorted(r["__votes"] for r in table)
-    counts = {r["__votes"]: r["n"] for r in table}
-    model = fit_votes(patterns, [counts[p] for p in patterns], rules)
+    names = [c for c in keep if c != out]
+    f, cast, p = (free_name(names, x) for x in ("features", "votes", "posterior"))
+    voted = stored(features(docs, names, text, f).withColumn(cast, votes(rules, f)), "quality-features")
+    table = voted.groupBy(cast).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3^rules patterns
+    counts = {r[0]: r[1] for r in table}
+    patterns = sorted(counts)
+    model = fit_votes(patterns, [counts[x] for x in patterns], rules)
     known = spark.createDataFrame(list(zip(patterns, model.posterior(patterns).tolist())) if patterns else [],
-                                  "__votes string, __p double")
-    n = {f: F.col(f"__f.{f}") for f in FEATURES}
+                                  T.StructType([T.StructField(cast, T.StringType()), T.StructField(p, T.DoubleType())]))
+    n = {x: F.col(f)[x] for x in FEATURES}
     failed = (n["n_words"] < 50) | (100 * n["n_repeat_words"] > 50 * n["n_words"])
-    judged = F.struct(*[n[f].alias(f) for f in FEATURES], F.col("__votes").alias("votes"),
-                      F.col("__p").alias("probability"), failed.alias("base_failed"),
-                      (~failed & (F.col("__p") >= threshold)).alias("kept"))
-    return voted.join(F.broadcast(known), "__votes").select(*names, judged.alias(out))
+    judged = F.struct(*[n[x].alias(x) for x in FEATURES], F.col(cast).alias("votes"),
+                      F.col(p).alias("probability"), failed.alias("base_failed"),
+                      (~failed & (F.col(p) >= threshold)).alias("kept"))
+    return voted.join(F.broadcast(known), cast).select(*names, judged.alias(out))
 
 
 def keep_good(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that the rules reject."""
-    out = "__quality"
-    return judge(docs, docs.columns, text, out=out, **how).where(F.col(f"{out}.kept")).select(*docs.columns)
+    out = free_name(docs.columns, "quality")
+    return judge(docs, docs.columns, text, out=out, **how).where(F.col(out)["kept"]).select(*docs.columns)

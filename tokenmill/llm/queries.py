@@ -168,17 +168,31 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 _OP1_RULES = ", ".join(f"('{r}', '{v}')" for r, v in RULES)
 
 
+# A url with scheme and host in lower case.
+_NODE_SQL = ("CASE WHEN strpos({x}, '://') > 0 THEN translate(regexp_extract({x}, '(?s)^.*?://[^/?#]*'), "
+             "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || "
+             "substr({x}, length(regexp_extract({x}, '(?s)^.*?://[^/?#]*')) + 1) ELSE {x} END")
+
+
 @register("op1_redirect_filter", sql=rf"""
 WITH RECURSIVE rules AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp
                          FROM (VALUES {_OP1_RULES}) t(rule, verdict)),
-links AS (
-  SELECT url AS u, unnest(list_concat(
+found AS (
+  SELECT DISTINCT url AS u, regexp_replace(url, '^([^:/?#]*://[^/?#]*).*$', '\1', 's') AS site,
+         regexp_replace(regexp_replace(url, '[?#].*$', '', 's'), '^([^:/?#]*://[^/]*)(/.*/|/)?[^/]*$', '\1\2', 's') AS folder,
+         unnest(list_concat(
            regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-           regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*([^"''\s>]+)', 1))) AS v
+           regexp_extract_all(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+           regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1))) AS t
   FROM pages WHERE url IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
-edges AS (SELECT u, v FROM links WHERE contains(v, '://') AND u <> v UNION SELECT v, u FROM links WHERE contains(v, '://') AND u <> v),
+targets AS (SELECT *, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS v FROM found),
+absolute AS (SELECT u, CASE WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN v WHEN NOT contains(u, '://') THEN NULL
+                            WHEN starts_with(v, '//') THEN split_part(u, '//', 1) || v WHEN starts_with(v, '/') THEN site || v
+                            ELSE (CASE WHEN ends_with(folder, '/') THEN folder ELSE folder || '/' END) || v END AS v FROM targets),
+links AS (SELECT {_NODE_SQL.format(x='u')} AS u, {_NODE_SQL.format(x='v')} AS v FROM absolute WHERE v IS NOT NULL),
+edges AS (SELECT u, v FROM links WHERE u <> v UNION SELECT v, u FROM links WHERE u <> v),
 reach AS (SELECT DISTINCT u AS a, u AS b FROM edges UNION SELECT r.a, e.v FROM reach r JOIN edges e ON r.b = e.u),
-urls AS (SELECT DISTINCT url FROM pages UNION SELECT u FROM edges),
+urls AS (SELECT DISTINCT {_NODE_SQL.format(x='url')} AS url FROM pages UNION SELECT u FROM edges),
 rest AS (SELECT url, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '(?s)^[^?#]*') ELSE '' END AS r
          FROM urls),
 parts AS (SELECT url, translate(regexp_extract(coalesce(r, ''), '(?s)^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -189,7 +203,7 @@ ruled AS (SELECT p.url, p.host, p.path, max_by(r.rule, length(r.rule)) AS rule,
 blocked AS (SELECT DISTINCT reach.a AS url FROM reach JOIN ruled ON reach.b = ruled.url WHERE ruled.verdict = 'block')
 SELECT pages.page_id, ruled.host, ruled.path, ruled.rule,
        coalesce(ruled.verdict, CASE WHEN blocked.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM pages JOIN ruled ON pages.url IS NOT DISTINCT FROM ruled.url LEFT JOIN blocked ON ruled.url = blocked.url""")
+FROM pages JOIN ruled ON {_NODE_SQL.format(x='pages.url')} IS NOT DISTINCT FROM ruled.url LEFT JOIN blocked ON ruled.url = blocked.url""")
 def op1_redirect_filter(spark, sf_dir):
     """Every page's url judged by the rules and by its redirect and canonical aliases."""
     pages = _table(spark, sf_dir, "pages")

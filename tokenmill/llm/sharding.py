@@ -6,7 +6,8 @@ new shard scores highest, and only into it; a shard's share follows its weight.
 shard of a record depends on nothing but its key and the shards.
 
 A null key is the key "null" of its own; repeated keys share a shard. No shard's rows
-are gathered: places within a shard come from the distributed dense index.
+are gathered: places within a shard come from the distributed dense index. Texts and
+other columns, however long, only pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenmill.llm.frames import free_name
 from tokenmill.plans.index import dense_index_by_hash
 
 
@@ -48,10 +50,11 @@ def shard_rows(df: DataFrame, key: str, weights: Sequence[float], grown_weight:
     default the last one's weight, is added). Columns of these names are replaced."""
     name = F.col(key).cast("string")
     added = [weights[-1] if grown_weight is None else grown_weight]
-    best = F.col("__best")
-    placed = (df.drop("shard", "slot", "grown_shard").withColumn("__best", F.array_max(_scores(name, weights)))
-              .withColumn("shard", -best["shard"])
-              .withColumn("grown_shard", -F.greatest(best, _scores(name, added, len(weights))[0])["shard"])
-              .withColumn("__h", F.md5(F.coalesce(name, F.lit("null")))).drop("__best"))
-    rest = [c for c, kind in df.drop("shard", "slot", "grown_shard").dtypes if not kind.startswith("map")]
-    return dense_index_by_hash(placed, "__h", rest, ["shard"], out="slot", total=None).drop("__h")
+    mine = df.drop("shard", "slot", "grown_shard")
+    best, h = free_name(mine.columns, "best"), free_name(mine.columns, "key_hash")
+    placed = (mine.withColumn(best, F.array_max(_scores(name, weights)))
+              .withColumn("shard", -F.col(best)["shard"])
+              .withColumn("grown_shard", -F.greatest(F.col(best), _scores(name, added, len(weights))[0])["shard"])
+              .withColumn(h, F.md5(F.coalesce(name, F.lit("null")))).drop(best))
+    rest = [c for c, kind in mine.dtypes if not kind.startswith("map")]
+    return dense_index_by_hash(placed, h, rest, ["shard"], out="slot", total=None).drop(h)
