@@ -57,9 +57,9 @@ def corpus():
 
 @pytest.mark.parametrize("cross", [near_dup.CROSS, 0])
 def test_groups_equal_all_pairs(spark, cross):
-    """Also when every bucket is split once (cross = 0) before its pairs are emitted."""
+    """Also when every bucket's members go through the exact filter (cross = 0)."""
     docs = corpus()
-    got = near_dup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), cross=cross, splits=1)
+    got = near_dup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), cross=cross)
     assert sorted(((r.key, r.class_key) for r in got.collect()), key=str) == plain_classes(docs)
 
 
@@ -71,7 +71,7 @@ def test_large_buckets_lose_no_pair(spark):
         docs += [" ".join(own) + " " + passage, " ".join(own[:34] + words(26, 200 + s, 10**6).split()) + " " + passage]
     docs = list(enumerate(docs))
     assert len({c for _, c in plain_classes(docs)}) == 60
-    got = near_dup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), bands=6, rows=2, splits=4)
+    got = near_dup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), bands=6, rows=2)
     assert sorted(((r.key, r.class_key) for r in got.collect()), key=str) == plain_classes(docs)
 
 
@@ -79,13 +79,86 @@ def test_a_large_component_is_not_joined_with_itself(spark):
     """100,000 texts of one component and two others in a bucket: 200,001 pairs, not 10^10."""
     n, began = 100_000, time.monotonic()
     node = F.encode(F.col("id").cast("string"), "UTF-8")
-    members = spark.range(n + 2).select(F.lit(1).cast("long").alias("bucket"), node.alias("node"), F.when(
+    members = spark.range(n + 2).select(F.lit(1).cast("long").alias("bucket"), node.alias("node"), F.lit(9).cast("long").alias("size"), F.when(
         F.col("id") < n, F.encode(F.lit("0"), "UTF-8")).otherwise(node).alias("root"))
-    pairs = near_dup._cross(members, None, None, near_dup.SIMILARITY, near_dup.CROSS)
+    pairs = near_dup._cross(members, None, near_dup.SIMILARITY, near_dup.CROSS)
     assert pairs.count() == 2 * n + 1
     assert time.monotonic() - began < 40
 
 
+def test_a_group_of_near_copies_emits_few_pairs(spark, monkeypatch):
+    """As many pairs as members in the first bands, and hardly any in the many later ones."""
+    emitted = []
+    plain = near_dup._links
+    monkeypatch.setattr(near_dup, "_links", lambda pairs, *a: emitted.append(pairs.distinct().count()) or plain(pairs, *a))
+    text = words(200, 5)
+    docs = [(i, edited(text, 1 + i % 2, i)) for i in range(600)]
+    got = near_dup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert {r.class_key for r in got} == {0}
+    assert sum(emitted) < 4 * len(docs), emitted
+
+
+def test_rows_of_the_exact_filter_follow_its_texts(spark):
+    """Texts of 60 own words and a passage of 240: their own shingles come first in the
+    order and meet nothing, so neither prefixes nor pairs grow with the number of texts."""
+    passage = words(240, 1, 10**6)
+    for n in (100, 400):
+        texts = [f"{words(60, 10 + s, 10**6)} {passage}" for s in range(n)]
+        doc, h, nodes = near_dup.shingles(texts)
+        d, g, c = near_dup.bags(doc, h)
+        rows = [(nodes[i], nodes[i], int((doc == i).sum()), g[d == i].tobytes(), c[d == i].astype(np.int32).tobytes()) for i in range(n)]
+        bag = spark.createDataFrame(rows, "node binary, root binary, size long, hashes binary, counts binary").repartition(4)
+        for broadcast in (0, near_dup.BROADCAST):
+            assert near_dup._prefixes(bag, 0.8, broadcast).where("lead").count() == 0
+        assert near_dup._filtered(bag.select("node", "root"), bag.drop("root"), 0.8).count() == 0
+
+
+def test_prefixes_are_the_same_by_broadcast_and_by_join(spark):
+    texts = [edited(words(120, s % 3), 1 + s % 7, s) for s in range(40)] + ["a a a a a a a a a a a a", "b b b b b b a a a a a a a a"]
+    doc, h, nodes = near_dup.shingles(texts)
+    d, g, c = near_dup.bags(doc, h)
+    rows = [(nodes[i], nodes[i], int((doc == i).sum()), g[d == i].tobytes(), c[d == i].astype(np.int32).tobytes()) for i in range(len(texts))]
+    bag = spark.createDataFrame(rows, "node binary, root binary, size long, hashes binary, counts binary").repartition(3)
+    one, two = (sorted(map(tuple, near_dup._prefixes(bag, 0.8, b).collect())) for b in (0, near_dup.BROADCAST))
+    assert one == two and len(one) > 100
+
+
+def test_components_meet_by_their_pivots(spark):
+    """Members far from their pivots on the sides that face each other are still paired,
+    and components out of reach are not."""
+    base = words(200, 3).split()
+    def at(i):  # texts along a line: each a few words on from the one before
+        return " ".join(f"z{k}" if k < 2 * i else w for k, w in enumerate(base))
+    docs = [(i, at(i)) for i in range(0, 60, 4)] + [(1000 + i, words(200, 900 + i)) for i in range(20)]
+    for cross in (0, near_dup.CROSS):
+        got = near_dup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), cross=cross).collect()
+        assert sorted(((r.key, r.class_key) for r in got), key=str) == plain_classes(docs)
+
+
+def test_links_found_of_all_links_of_a_query_set(spark):
+    """Ids divisible by 5 against all rows: every pair at 0.8 or more shares a class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    bags = {i: Counter(near_dup.shingles([t])[1].tolist()) for i, t in rows if t}
+    of = {r.key: r.class_key for r in near_dup.groups(docs).collect()}
+    links = []
+    for i in (i for i in bags if i % 5 == 0):  # holds those divisible by 50
+        for j in bags:
+            common = sum((bags[i] & bags[j]).values())
+            if i != j and common and common >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - common):
+                links.append(of[i] == of[j])
+    assert len(links) >= 20 and sum(links) / len(links) >= 0.9, (sum(links), len(links))
+
+
+def test_callers_columns_may_have_any_name(spark):
+    names = ["key", "t", "node", "n", "mark", "row", "__key", "__t", "__n", "first", "size", "bands"]
+    docs = spark.createDataFrame([(i, words(40, i % 3), *range(len(names))) for i in range(9)],
+                                 "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = near_dup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(i, words(40, i), *range(len(names))) for i in range(3)]
+
+
 def test_groups_take_awkward_rows(spark):
     got = near_dup.groups(awkward(spark)).collect()
     assert sorted(((r.key, r.class_key) for r in got), key=str) == plain_classes([(r[0], r[1]) for r in awkward_rows()])

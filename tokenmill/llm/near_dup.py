@@ -15,32 +15,44 @@ the signature's length.
 Candidates: signatures are cut into ``BANDS`` bands of ``ROWS`` registers; texts that
 agree in a band share a bucket (a pair at 0.8 is missed with a chance of 1.5e-4, one
 at 0.85 of 2.4e-7, and one at 0.3, as a shared passage makes, meets with one of 0.3 %).
-Equal texts are one node first, so a group of copies costs one signature. Then
-
-1. each bucket's members are paired with its least node, the pairs verified by exact
-   multiset overlap, and the links' components found: groups of near copies collapse
-   after as many pairs as they have members;
+Equal texts are one node first, so a group of copies costs one signature per task that
+reads it. Then
+
+1. a few bands at a time (``ROUNDS``), a bucket's members of different components, one
+   per component, are paired with its most central one (whose buckets hold the most
+   members), the pairs verified by exact multiset overlap, and the links' components
+   found. The text that a group was copied from is the most central, so the group
+   collapses in the first bands and its many buckets in the later ones emit nothing;
 2. pairs of one bucket that are still in different components are verified too. Where
    these would be more than ``CROSS`` times the bucket's members (texts that share a
    long common passage), the members are met by an exact filter instead: shingles are
-   ordered by how rare they are among such texts, two similar texts share one of the
-   first ``1 - similarity`` of their shingles, at places that leave room for the overlap
-   needed, and a common passage is at the end of that order. The filter loses no similar
-   pair, in whatever buckets its texts are, and no bucket is capped.
+   ordered by how many such texts hold them (counted exactly), two similar texts share
+   one of the first ``1 - similarity`` of their shingles, and a common passage is at the
+   end of that order. Components whose members so meet are compared by their pivots:
+   the distance ``1 - similarity`` is a metric, so with every member's distance to its
+   own pivot known, the distance of two pivots bounds that of any two members from
+   below, and only members whom it leaves are paired. The filter loses no similar pair,
+   in whatever buckets its texts are, and no bucket is capped.
+
+Only texts that share a bucket are shuffled, once, to write their bags of shingles; all
+that follows joins bags by node.
 
 Every text is a row of the result. Texts without words equal each other; a null text
-is a group of its own. A class is named by its least key; null keys come last.
+is a group of its own. A class is named by its least key; null keys come last. Very long
+texts are signed whole, one at a time. An empty table gives no rows. The caller's other
+columns, whatever their names, pass through ``keep_one`` unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenmill.llm.components import connected_components
@@ -53,8 +65,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 48, 8
 # Pairs across components that a bucket may emit for each of its members.
 CROSS = 8
-# Counters of the sketch that orders shingles by rarity; any order finds the same pairs.
-SKETCH = 1 << 20
+# Bands whose buckets are contracted together: up to each of these, then the rest.
+ROUNDS = (4,)
+# Shared shingles of such texts that are broadcast (16 bytes each); more are joined.
+BROADCAST = 1 << 20
+# Room for rounding in bounds of distances.
+SLACK = 1e-9
 _GOLD = 0x9E3779B97F4A7C15
 
 
@@ -141,17 +157,25 @@ def band_hashes(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def _sign(bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # a text is signed once per task, however many copies of it are read
         for whole in batches:
             for batch in text_chunks(whole, "text", 2 << 20):
                 texts = batch.column("text").to_numpy(zero_copy_only=False).tolist()
                 doc, h, digests = shingles(texts)
-                size = np.bincount(doc, minlength=len(texts))
-                d, g, c = bags(doc, h)
-                values = band_hashes(signatures(d, g, c, len(texts), bands * rows), bands, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands),
-                                                 pa.array(values.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("t"), pa.array(digests, pa.binary()),
-                                                  pa.array(size), lists], ["key", "t", "node", "size", "bands"])
+                own = np.zeros(len(texts), bool)
+                for i, n in enumerate(digests):
+                    if n is not None and n not in seen:
+                        seen.add(n)
+                        own[i] = True
+                place = np.cumsum(own) - 1
+                keep = own[doc]
+                d, g, c = bags(place[doc[keep]], h[keep])
+                values = band_hashes(signatures(d, g, c, int(own.sum()), bands * rows), bands, rows)
+                ends = pa.array(np.append(0, np.cumsum(own) * bands).astype(np.int32), mask=np.append(~own, False))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), batch.column("t"), pa.array(digests, pa.binary()),
+                     pa.array(np.bincount(doc, minlength=len(texts))), pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))],
+                    ["key", "t", "node", "size", "bands"])
 
     return sign
 
@@ -159,13 +183,14 @@ def _sign(bands: int, rows: int):
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in text_chunks(whole, "text", 2 << 20):
-            texts = batch.column("text").to_numpy(zero_copy_only=False).tolist()
-            doc, h, digests = shingles(texts)
+            doc, h, digests = shingles(batch.column("text").to_numpy(zero_copy_only=False).tolist())
+            size = np.bincount(doc, minlength=len(digests))
             d, g, c = bags(doc, h)
-            at = np.searchsorted(d, np.arange(len(texts) + 1))
-            rows = [(n, g[a:b].tobytes(), c[a:b].astype(np.int32).tobytes())
-                    for n, a, b in zip(digests, at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows)], ["node", "hashes", "counts"])
+            at = np.searchsorted(d, np.arange(len(digests) + 1))
+            bag = [(g[a:b].tobytes(), c[a:b].astype(np.int32).tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()), pa.array(size), pa.array([x for x, _ in bag], pa.binary()),
+                 pa.array([x for _, x in bag], pa.binary())], ["node", "size", "hashes", "counts"])
 
 
 def overlap(ha: bytes, ca: bytes, hb: bytes, cb: bytes) -> float:
@@ -176,36 +201,30 @@ def overlap(ha: bytes, ca: bytes, hb: bytes, cb: bytes) -> float:
     return common / max(1, int(m.sum()) + int(n.sum()) - common)
 
 
-def _verified(similarity: float):
+def _compared(most: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(6)]
-            keep = [i for i, (_, _, ha, ca, hb, cb) in enumerate(zip(*cols)) if overlap(ha, ca, hb, cb) >= similarity]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())),
-                                              batch.column(1).take(pa.array(keep, pa.int64()))], ["u", "v"])
+            found = [(i, 1 - overlap(ha, ca, hb, cb)) for i, (_, _, ha, ca, hb, cb) in enumerate(zip(*cols))]
+            keep = [x for x in found if x[1] <= most]
+            at = pa.array([i for i, _ in keep], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([d for _, d in keep], pa.float64())],
+                                             ["u", "v", "d"])
 
     return check
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (u, v) whose texts are similar. Only texts in a pair are read in
-    full; pairs whose sizes alone rule it out are not."""
-    size = nodes.select("node", "size", "key", "t")
-    left = size.select(F.col("node").alias("u"), F.col("size").alias("su"))
-    right = size.select(F.col("node").alias("v"), F.col("size").alias("sv"))
-    pairs = (pairs.distinct().join(left, "u").join(right, "v")
-             .where(F.least("su", "sv") >= F.lit(similarity) * F.greatest("su", "sv")).select("u", "v"))
-    pairs = stored(pairs, "pairs")
-    used = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = size.join(used, "node", "left_semi").select(F.col("key").alias("k"), F.col("t").alias("t2"))
-    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("t2"))
-    bag = stored(map_batches(rows.join(wanted, same, "left_semi"), ["text"],
-                             "node binary, hashes binary, counts binary", _bag_rows), "bags")
-    bag = bag.dropDuplicates(["node"])
+def _distances(pairs: DataFrame, bag: DataFrame, most: float = 2.0) -> DataFrame:
+    """``u, v, d``: the distances of the ``pairs`` (u, v) that are at most ``most``."""
     a = bag.select(F.col("node").alias("u"), F.col("hashes").alias("hu"), F.col("counts").alias("cu"))
     b = bag.select(F.col("node").alias("v"), F.col("hashes").alias("hv"), F.col("counts").alias("cv"))
-    met = pairs.join(a, "u").join(b, "v").select("u", "v", "hu", "cu", "hv", "cv")
-    return met.mapInArrow(_verified(similarity), "u binary, v binary")
+    met = pairs.select("u", "v").distinct().join(a, "u").join(b, "v").select("u", "v", "hu", "cu", "hv", "cv")
+    return met.mapInArrow(_compared(most), "u binary, v binary, d double")
+
+
+def _links(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose texts are similar."""
+    return _distances(pairs, bag, 1 - similarity + SLACK).select("u", "v")
 
 
 def _copies(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,47 +235,88 @@ def _copies(h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return owner, _mixed(h[owner] + k.astype(np.uint64) * np.uint64(_GOLD))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SKETCH, np.int64)
-    for whole in batches:
-        for batch in text_chunks(whole, "text", 2 << 20):
-            doc, h, _ = shingles(batch.column("text").to_numpy(zero_copy_only=False).tolist())
-            _, copy = _copies(*bags(doc, h)[1:])
-            counts += np.bincount((copy % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-    slot = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot])], ["slot", "n"])
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per copy of each shingle of a bag."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            _, copy = _copies_of(one["hashes"][0].as_py(), one["counts"][0].as_py())
+            at = pa.array(np.zeros(len(copy), np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(copy.view(np.int64)), one["node"].take(at), one["root"].take(at), one["size"].take(at)],
+                ["shingle", "node", "root", "size"])
 
 
-def _prefixes(similarity: float, ranks):
-    """The shingles of each text by which a similar text must meet it, rarest first
-    (``ranks``: a broadcast rank per slot of the sketch, 0 where one text has it).
-    ``lead``: those by which it meets a text of its own size or larger."""
+def _copies_of(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return _copies(np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int32))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many bags of some rows hold each copy of each shingle."""
+    for batch in batches:
+        copies = [_copies_of(h, c)[1] for h, c in zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist())]
+        shingle, n = np.unique(np.concatenate(copies) if copies else np.zeros(0, np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+
+def _leads(size: np.ndarray, place: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which places of texts of a ``size`` are of their prefix, and which of these lead."""
+    room = size - place + 1e-6  # at most so much overlap, if this is the first shingle shared
+    return room >= similarity * size, room >= 2 * similarity / (1 + similarity) * size
+
+
+def _prefix_rows(shared, similarity: float):
+    """``shared``: a broadcast of the sorted shingles that more texts have, and their counts."""
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_chunks(whole, "text", 2 << 20):
-                texts = batch.column("text").to_numpy(zero_copy_only=False).tolist()
-                doc, h, digests = shingles(texts)
-                d, g, c = bags(doc, h)
-                owner, copy = _copies(g, c)
-                d, rank = d[owner], ranks.value[(copy % np.uint64(SKETCH)).astype(np.int64)]
-                order = np.lexsort((copy, rank, d))
-                d, copy, rank = d[order], copy[order], rank[order]
-                size = np.bincount(d, minlength=len(texts))
-                place = np.arange(len(d)) - (np.cumsum(size) - size)[d]
-                room = size[d] - place + 1e-6  # at most so much overlap, if this is the first shingle shared
-                keep = np.flatnonzero((room >= similarity * size[d]) & (rank > 0))
-                lead = room[keep] >= 2 * similarity / (1 + similarity) * size[d[keep]]
-                at = pa.array(d[keep])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(copy[keep].view(np.int64)), pa.array(digests, pa.binary()).take(at),
-                     batch.column("root").take(at), pa.array(size[d[keep]]), pa.array(place[keep]), pa.array(lead)],
-                    ["shingle", "node", "root", "size", "place", "lead"])
+        known, counts = shared.value
+        for batch in batches:
+            parts = []
+            for i, (h, c) in enumerate(zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist())):
+                copy = _copies_of(h, c)[1].view(np.int64)
+                at = np.minimum(np.searchsorted(known, copy), max(len(known) - 1, 0))
+                met = known[at] == copy if len(known) else np.zeros(len(copy), bool)
+                own, n = copy[met], counts[at[met]] if len(known) else np.zeros(0, np.int64)
+                order = np.lexsort((own, n))
+                place = len(copy) - len(own) + np.arange(len(own))
+                keep, lead = _leads(np.float64(len(copy)), place, similarity)
+                parts.append((np.full(int(keep.sum()), i), own[order][keep], lead[keep]))
+            row, shingle, lead = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, int),) * 3
+            at = pa.array(row.astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingle.astype(np.int64)), batch["node"].take(at), batch["root"].take(at), batch["size"].take(at),
+                 pa.array(lead.astype(bool))], ["shingle", "node", "root", "size", "lead"])
 
     return prefix
 
 
+def _prefixes(texts: DataFrame, similarity: float, broadcast: int = BROADCAST) -> DataFrame:
+    """The shingles of each of the ``texts`` (node, root, size, hashes, counts) by which a
+    similar one must meet it, rarest first: ``shingle, node, root, size, lead``.
+    ``lead``: those by which it meets a text of its own size or larger. Shingles of one
+    text alone come first in its order and are left out.
+
+    Shared shingles with their counts are broadcast up to ``broadcast`` of them, so only
+    prefixes leave a task; beyond, all shingles are joined with their counts."""
+    texts = texts.select("node", "root", "size", "hashes", "counts")
+    shared = texts.select("hashes", "counts").mapInArrow(_counted, "shingle bigint, n bigint")
+    shared = stored(shared.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), "shared-shingles")
+    if shared.count() <= broadcast:
+        table = shared.toArrow()
+        order = np.argsort(table["shingle"].to_numpy())
+        known = texts.sparkSession.sparkContext.broadcast((table["shingle"].to_numpy()[order], table["n"].to_numpy()[order]))
+        return texts.mapInArrow(_prefix_rows(known, similarity), "shingle bigint, node binary, root binary, size bigint, lead boolean")
+    rows = stored(texts.mapInArrow(_shingle_rows, "shingle bigint, node binary, root binary, size bigint"), "shingles")
+    text = Window.partitionBy("node")
+    alone = F.col("size") - F.count(F.lit(1)).over(text)
+    place = alone + F.row_number().over(text.orderBy("n", "shingle")) - 1
+    room = F.col("size") - F.col("place") + 1e-6
+    placed = rows.join(shared, "shingle").withColumn("place", place).where(room >= F.lit(similarity) * F.col("size"))
+    lead = room >= F.lit(2 * similarity / (1 + similarity)) * F.col("size")
+    return placed.select("shingle", "node", "root", "size", lead.alias("lead"))
+
+
 def _across(left: DataFrame, right: DataFrame, on: str, roots: str) -> DataFrame:
-    """Rows of ``left`` and ``right`` (``on, node, root, ..`` named with 1 and 2) that
+    """Rows of ``left`` and ``right`` (``on, node, root, ..``, named with 1 and 2) that
     agree in ``on`` and whose roots are as ``roots`` says. Roots meet first, so that a
     large component isn't joined with itself."""
     one = left.select(on, *[F.col(c).alias(f"{c}1") for c in left.columns if c != on])
@@ -265,68 +325,106 @@ def _across(left: DataFrame, right: DataFrame, on: str, roots: str) -> DataFrame
     return met.join(one, [on, "root1"]).join(two, [on, "root2"])
 
 
-def _filtered(hot: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of ``hot`` texts (node, root) of different roots; all similar ones are among them."""
-    wanted = nodes.select("node", F.col("key").alias("k"), F.col("t").alias("t2")).join(hot, "node").drop("node")
-    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("t2"))
-    texts = stored(rows.join(wanted, same).select("text", "root"), "hot-texts")
-    sums = map_batches(texts, ["text"], "slot int, n bigint", _sketch).groupBy("slot").agg(F.sum("n").alias("n"))
-    table = sums.toArrow()  # at most SKETCH rows
-    ranks, n = np.zeros(SKETCH, np.uint8), table.column("n").to_numpy()
-    ranks[table.column("slot").to_numpy()] = np.where(n > 1, 1 + 4 * np.log2(n), 0).astype(np.uint8)
-    ranks = rows.sparkSession.sparkContext.broadcast(ranks)
-    prefixes = map_batches(texts, ["text", "root"], "shingle bigint, node binary, root binary, size bigint, place bigint, "
-                           "lead boolean", _prefixes(similarity, ranks))
-    prefixes = stored(prefixes.dropDuplicates(["shingle", "node"]), "prefixes")  # rows equal in key and text
-    met = _across(prefixes.where("lead").drop("lead"), prefixes.drop("lead"), "shingle", "root1 <> root2")
-    need = F.lit(similarity / (1 + similarity)) * (F.col("size1") + F.col("size2"))  # overlap of a similar pair
-    near = (F.col("size1") <= F.col("size2")) & (F.col("size1") >= F.lit(similarity) * F.col("size2") - 1e-6)
-    room = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))
-    return met.where(near & (room >= need - 1e-6)).select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v"))
-
-
-def _cross(members: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float, cross: int) -> DataFrame:
-    """Pairs of ``members`` (bucket, node, root) of one bucket and different roots; in
+def _filtered(hot: DataFrame, bag: DataFrame, similarity: float, broadcast: int = BROADCAST) -> DataFrame:
+    """Pairs of ``hot`` texts (node, root) of different roots: of two components with similar
+    texts there is one pair of such at least."""
+    texts = stored(hot.join(bag, "node"), "hot-bags")
+    prefixes = stored(_prefixes(texts, similarity, broadcast), "prefixes")
+    # classes of size one ratio wide: a text meets larger ones of its own class and the next
+    classed = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(similarity)) + 1e-9).cast("int")
+    lead = prefixes.where("lead").select("shingle", "root", F.explode(F.array(classed, classed + 1)).alias("class")).distinct()
+    rest = prefixes.select("shingle", "root", classed.alias("class")).distinct()
+    met = lead.join(rest.withColumnRenamed("root", "other"), ["shingle", "class"]).where("root <> other")
+    pivots = met.select(F.least("root", "other").alias("u"), F.greatest("root", "other").alias("v")).distinct()
+    # the distance of pivots, and of members to their own
+    apart = stored(_distances(pivots, bag), "pivot-distances")
+    most = 1 - similarity + SLACK
+    linked = apart.where(F.col("d") <= most).select("u", "v")
+    own = _distances(texts.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), bag)
+    members = texts.select("node", "root", "size").join(own.select(F.col("v").alias("node"), F.col("d").alias("off")), "node", "left")
+    members = stored(members.withColumn("off", F.coalesce("off", F.lit(0.0))), "hot-members")
+    reach = members.groupBy("root").agg(F.max("off").alias("reach"))
+    left = reach.select(F.col("root").alias("u"), F.col("reach").alias("ru"))
+    right = reach.select(F.col("root").alias("v"), F.col("reach").alias("rv"))
+    open_ = apart.where(F.col("d") > most).join(left, "u").join(right, "v").where(F.col("d") - F.col("ru") - F.col("rv") <= most)
+    one = members.select(F.col("root").alias("u"), F.col("node").alias("a"), F.col("size").alias("sa"), F.col("off").alias("oa"))
+    two = members.select(F.col("root").alias("v"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("off").alias("ob"))
+    near = open_.join(one, "u").where(F.col("d") - F.col("oa") - F.col("rv") <= most).join(two, "v").where(
+        (F.col("d") - F.col("oa") - F.col("ob") <= most) & _sizes_allow(F.col("sa"), F.col("sb"), similarity))
+    near = near.where("a <> u OR b <> v")  # the pivots themselves are known
+    return linked.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
+def _cross(members: DataFrame, bag: DataFrame, similarity: float, cross: int) -> DataFrame:
+    """Pairs of ``members`` (bucket, node, size, root) of one bucket and different roots; in
     the buckets that would emit too many, those that the exact filter leaves."""
     counts = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     sums = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"))
     sums = sums.where("n * n > squares").withColumn(
         "hot", (F.col("n") * F.col("n") - F.col("squares")) / 2 > cross * F.col("n"))
     open_ = stored(members.join(sums.select("bucket", "hot"), "bucket"), "open-buckets")
-    cold = open_.where(~F.col("hot")).select("bucket", "node", "root")
-    pairs = _across(cold, cold, "bucket", "root1 < root2").select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v"))
+    cold = open_.where(~F.col("hot")).select("bucket", "node", "size", "root")
+    met = _across(cold, cold, "bucket", "root1 < root2").where(_sizes_allow(F.col("size1"), F.col("size2"), similarity))
+    pairs = met.select(F.least("node1", "node2").alias("u"), F.greatest("node1", "node2").alias("v"))
     hot = stored(open_.where("hot").select("node", "root").distinct(), "hot")
     if hot.limit(1).count():
-        pairs = pairs.union(_filtered(hot, nodes, rows, similarity))
+        pairs = pairs.union(_filtered(hot, bag, similarity))
     return pairs.distinct()
 
 
+def _sizes_allow(a: Column, b: Column, similarity: float) -> Column:
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
+
+
+def _with_roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``members`` with the component that each is in so far."""
+    if links is None:
+        return members.withColumn("root", F.col("node"))
+    rooted = members.join(connected_components(links), "node", "left")
+    return stored(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
+
+
+def _stars(members: DataFrame, similarity: float) -> DataFrame:
+    """In each bucket of ``members`` (bucket, node, size, degree, root) the most central one of
+    every other component, paired with the most central of all."""
+    ends = members.groupBy("bucket", "root").agg(F.max(F.struct("degree", "node", "size")).alias("end"))
+    pivots = ends.groupBy("bucket").agg(F.max(F.struct("end", "root")).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = ends.join(pivots, "bucket").where("root <> pivot.root").where(
+        _sizes_allow(F.col("end.size"), F.col("pivot.end.size"), similarity))
+    return met.select(F.least("pivot.end.node", "end.node").alias("u"), F.greatest("pivot.end.node", "end.node").alias("v"))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-           bands: int = BANDS, rows: int = ROWS, cross: int = CROSS, splits: int | None = None) -> DataFrame:
+           bands: int = BANDS, rows: int = ROWS, cross: int = CROSS) -> DataFrame:
     """``key, t`` (md5 of the text) and ``class_key`` and ``class_t`` of the text that
-    stands for its group, for every row of ``docs``. ``splits`` is without effect (large
-    buckets were split by more bands before they were filtered exactly)."""
+    stands for its group, for every row of ``docs``."""
     texts = docs.select(F.col(key).alias("key"), F.md5(F.col(text)).alias("t"), F.col(text).alias("text"))
     signed = stored(map_batches(texts, ["key", "t", "text"], f"key {docs.schema[key].dataType.simpleString()}, t string, "
                                 "node binary, size bigint, bands array<bigint>", _sign(bands, rows)), "signatures")
     nodes = stored(signed.where("node IS NOT NULL").groupBy("node").agg(
         F.min(F.struct(F.col("key").isNull().alias("no"), "key", "t")).alias("first"), F.any_value("size").alias("size"),
-        F.any_value("bands").alias("bands")).select("node", "first.key", "first.t", "size", "bands"), "nodes")
-    buckets = nodes.where("size > 0").select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(buckets.join(shared.select("bucket", "pivot"), "bucket"), "buckets")
-    star = members.where("node <> pivot").select(F.col("pivot").alias("u"), F.col("node").alias("v")).distinct()
-    links = stored(_links(star, nodes, texts, similarity), "links")
-    roots = connected_components(links)
-    rooted = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    rest = _cross(stored(rooted, "rooted"), nodes, texts, similarity, cross).join(star, ["u", "v"], "left_anti")
-    more = stored(_links(rest, nodes, texts, similarity), "links")
-    if more.limit(1).count():
-        roots = connected_components(links.unionByName(more))
+        F.any_value("bands", True).alias("bands")).select("node", "first.key", "first.t", "size", "bands"), "nodes")
+    buckets = nodes.where("size > 0").select("node", "size", F.posexplode("bands").alias("band", "bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stored(buckets.join(shared, "bucket"), "buckets")
+    degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    members = stored(members.drop("n").join(degrees, "node"), "central-buckets")
+    mark = F.struct("key", "t").alias("mark")  # structs hold null keys equal
+    met = nodes.join(members.select("node").distinct(), "node", "left_semi").select(mark)
+    bag = map_batches(texts.select(mark, "text").join(met, "mark", "left_semi"), ["text"],
+                      "node binary, size bigint, hashes binary, counts binary", _bag_rows)
+    bag = stored(bag.dropDuplicates(["node"]), "bags")
+    links = None
+    for first, end in zip((0, *ROUNDS), (*ROUNDS, bands)):
+        some = _with_roots(members.where(F.col("band").between(first, end - 1)), links)
+        new = stored(_links(_stars(some, similarity), bag.drop("size"), similarity), "links")
+        links = new if links is None else links.unionByName(new)
+    more = stored(_links(_cross(_with_roots(members, links), bag, similarity, cross), bag.drop("size"), similarity), "links")
+    roots = connected_components(links.unionByName(more))
     rooted = nodes.join(roots, "node", "left").select("node", "key", "t", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "t")).alias("first"))
     classes = rooted.join(named, "root").select("node", F.col("first.key").alias("class_key"), F.col("first.t").alias("class_t"))
-    known = signed.where("node IS NOT NULL").join(classes, "node").select("key", "t", "class_key", "class_t")
+    known = signed.where("node IS NOT NULL").select("key", "t", "node").join(classes, "node").select("key", "t", "class_key", "class_t")
     return known.unionByName(signed.where("node IS NULL").select("key", "t", F.col("key").alias("class_key"), F.col("t").alias("class_t")))
 
 
@@ -334,13 +432,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     """``docs`` with one row of each group of near duplicates; null texts all stay."""
     found = stored(groups(docs, key, text, **how), "classes")
     same = F.col("key").eqNullSafe(F.col("class_key")) & (F.col("t") == F.col("class_t"))
-    keepers = found.where(same).groupBy("key", "t").agg(F.count(F.lit(1)).alias("__n"))
-    keepers = keepers.select(F.col("key").alias("__key"), F.col("t").alias("__t"), "__n")
-    match = F.col(key).eqNullSafe(F.col("__key")) & (F.md5(F.col(text)) == F.col("__t"))
-    kept = docs.join(keepers, match)
-    repeated = keepers.where("__n > 1").limit(1).count()
-    alone = kept.where("__n = 1") if repeated else kept
-    out = alone.select(*docs.columns).unionByName(docs.where(F.col(text).isNull()))
+    keepers = found.where(same).groupBy("key", "t").agg(F.count(F.lit(1)).alias("n"))
+    keepers = keepers.select(F.struct("key", "t").alias("mark"), "n")  # structs hold null keys equal
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(key).alias("key"), F.md5(F.col(text)).alias("t")).alias("mark"))
+    kept = rows.join(keepers, "mark")
+    repeated = keepers.where("n > 1").limit(1).count()
+    alone = kept.where("n = 1") if repeated else kept
+    out = alone.select("row.*").unionByName(docs.where(F.col(text).isNull()))
     if repeated:  # rows equal in key and text: any one of them
-        out = out.unionByName(kept.where("__n > 1").dropDuplicates(["__key", "__t"]).select(*docs.columns))
+        out = out.unionByName(kept.where("n > 1").dropDuplicates(["mark"]).select("row.*"))
     return out
