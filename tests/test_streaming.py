@@ -104,3 +104,21 @@ def test_closed_steps_left_in_state_are_read_at_the_end(spark):
     done = {r.opt_step for r in spark.read.parquet(out).collect()}
     rest = {r.opt_step: (r.micro_batches, r.loss) for r in streams.open_closed_steps(spark, ckpt).collect()}
     assert done == {0} and rest == {1: (3, (4 + 6 + 7) / 4)}  # step 2 is not closed
+
+
+def test_streamed_queries_read_tables_kept_as_folders(spark):
+    """The larger tables are folders of part files; other tables lie beside them."""
+    from tokenmill.queries import stream_queries as Q
+    root = tempfile.mkdtemp(prefix="tokenmill-folders-")
+    for name in ("documents", "events"):
+        spark.read.parquet(os.path.join(SF001, f"{name}.parquet")).repartition(3).write.parquet(os.path.join(root, f"{name}.parquet"))
+    for query in (Q.streamed_blocks, Q.streamed_step_loss):
+        got = sorted(query(spark, root).collect())
+        assert got and got == sorted(query(spark, SF001).collect())
+
+
+def test_streamed_blocks_of_a_table_without_rows(spark):
+    from tokenmill.queries import stream_queries as Q
+    root = tempfile.mkdtemp(prefix="tokenmill-empty-")
+    spark.read.parquet(os.path.join(SF001, "documents.parquet")).limit(0).write.parquet(os.path.join(root, "documents.parquet"))
+    assert Q.streamed_blocks(spark, root).collect() == []

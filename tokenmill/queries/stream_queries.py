@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenmill.queries.block_queries import L, MIN_LEN, STRIDE
 from tokenmill.queries.sql_common import CLASSIFIED, CORPUS, blocks_cte, csv, token_ids
 from tokenmill.registry import register
+from tokenmill.schemas import BLOCKS
 from tokenmill.session import scratch_path
 from tokenmill.streaming import streams
 
@@ -25,7 +26,7 @@ def streamed_blocks(spark, sf_dir):
     q = streams.stream_blocks(spark, sf_dir, out, glob="documents.parquet", length=L, stride=STRIDE, min_len=MIN_LEN,
                               checkpoint=scratch_path(spark, "stream-blocks-ckpt"))
     streams.run_to_end(q)
-    got = spark.read.parquet(out)
+    got = spark.read.schema(BLOCKS).parquet(out)  # no block at all leaves no file to take it from
     return got.select("doc_id", "chunk_idx", F.array_join("input_ids", ",").alias("input_ids"),
                       F.array_join("attention_mask", ",").alias("attention_mask"))
 
@@ -46,5 +47,5 @@ def streamed_step_loss(spark, sf_dir):
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start(out))
     streams.run_to_end(q)
-    got = spark.read.parquet(out).unionByName(streams.open_closed_steps(spark, checkpoint))
+    got = spark.read.schema(streams.STEP_OUT).parquet(out).unionByName(streams.open_closed_steps(spark, checkpoint))
     return got.select("epoch", "rank", "opt_step", F.round("loss", 6).alias("loss"), "micro_batches")

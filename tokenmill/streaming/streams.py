@@ -15,13 +15,14 @@ for the watermark from the state store, so together the rows follow the batch ru
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tokenmill import inputs
@@ -29,16 +30,26 @@ from tokenmill.functions._cols import idiv
 from tokenmill.operators import blocks as B
 from tokenmill.operators import classify as C
 from tokenmill.session import scratch_path
+from tokenmill.sources import fs
 from tokenmill.sources.corpus import DOCUMENTS
 
 
+def _file_stream(reader: DataStreamReader, spark: SparkSession, directory: str, glob: str) -> DataFrame:
+    """Parquet files named as ``glob`` under ``directory``; where ``glob`` is the name of a
+    table kept as a folder of part files, whatever these are called, the files in it."""
+    table = os.path.join(directory, glob)
+    if not set("*?[{") & set(glob) and fs.is_dir(spark, table):
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", glob).parquet(directory)
+
+
 def corpus_stream(spark: SparkSession, directory: str, glob: str = "*.parquet",
                   max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming corpus from Parquet files appearing under ``directory``."""
-    reader = spark.readStream.schema(DOCUMENTS).option("pathGlobFilter", glob)
+    reader = spark.readStream.schema(DOCUMENTS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return inputs.corpus_from_documents(reader.parquet(directory))
+    return inputs.corpus_from_documents(_file_stream(reader, spark, directory, glob))
 
 
 def stream_blocks(spark: SparkSession, directory: str, out_dir: str, glob: str = "*.parquet",
@@ -123,8 +134,7 @@ def micro_log_stream(spark: SparkSession, directory: str, glob: str = "*.parquet
         T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
         T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
     ])
-    events = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(directory)
-    return inputs.micro_log_from_events(events)
+    return inputs.micro_log_from_events(_file_stream(spark.readStream.schema(schema), spark, directory, glob))
 
 
 def open_closed_steps(spark: SparkSession, checkpoint: str) -> DataFrame:
