@@ -122,3 +122,27 @@ def test_streamed_blocks_of_a_table_without_rows(spark):
     root = tempfile.mkdtemp(prefix="tokenmill-empty-")
     spark.read.parquet(os.path.join(SF001, "documents.parquet")).limit(0).write.parquet(os.path.join(root, "documents.parquet"))
     assert Q.streamed_blocks(spark, root).collect() == []
+
+
+def test_step_loss_keeps_a_state_row_per_span_of_steps(spark):
+    """2,048 steps, of which the even ones lack a micro-batch but are closed; some of a span come later."""
+    src = tempfile.mkdtemp(prefix="tokenmill-spans-")
+    rows = spark.range(4 * 2 * streams.SPAN).where("id % 8 <> 1").select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 100).cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("user_id"), F.lit("x").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit("{}").alias("props"))
+    rows.where("event_id % 5 > 0").coalesce(1).write.parquet(os.path.join(src, "a"))
+    rows.where("event_id % 5 = 0").coalesce(1).write.parquet(os.path.join(src, "b"))
+    log = inputs.micro_log_from_events(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true")
+                                       .option("maxFilesPerTrigger", 1).parquet(src))
+    ckpt, out = tempfile.mkdtemp(prefix="tokenmill-ckpt-"), src + "-out"
+    q = (streams.stream_step_loss(log, grad_accum=4).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out))
+    streams.run_to_end(q)
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 2
+    cols = ["opt_step", "loss", "micro_batches", "start_ts", "end_ts"]
+    done, rest = spark.read.parquet(out).select(*cols), streams.open_closed_steps(spark, ckpt).select(*cols)
+    assert done.count() == streams.SPAN == rest.count()
+    want = rows.groupBy(F.expr("event_id div 4").alias("opt_step")).agg(
+        F.sum(F.col("value") / 4).alias("loss"), F.count(F.lit(1)).alias("micro_batches"),
+        F.min(F.col("ts").cast("timestamp")).alias("start_ts"), F.max(F.col("ts").cast("timestamp")).alias("end_ts"))
+    assert sorted(done.unionByName(rest).collect()) == sorted(want.select(*cols).collect())
