@@ -2,6 +2,8 @@ import os
 import tempfile
 
 from conftest import SF001
+from pyspark.sql import functions as F
+
 from tokenmill import inputs
 from tokenmill.operators import vocab as V
 
@@ -72,3 +74,18 @@ def test_vocab_ids_shuffle_a_row_per_rare_word_and_no_text(spark):
     shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
     assert shuffles and all("text" not in s for s in shuffles)
     assert not re.search(r"Python|Pandas", text)
+
+
+def test_hook_gets_bounded_batches_of_text(spark):
+    """An Arrow batch has up to 10,000 rows; the ids of all its texts aren't held at once."""
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") != 7, F.repeat(F.lit("ab "), 5000)).alias("text"))
+    out = V.tokenize_with(docs, lambda texts: [[len(texts), sum(map(len, texts)), len(t)] for t in texts], out="ids").collect()
+    assert sorted((r.doc_id, r.ids[2]) for r in out) == [(i, 0 if i == 7 else 15000) for i in range(400)]
+    assert max(r.ids[1] for r in out) <= V.HOOK_BYTES and max(r.ids[0] for r in out) > 1
+
+
+def test_hook_must_give_a_result_for_every_text(spark):
+    import pytest
+    docs = spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1)
+    with pytest.raises(Exception, match="1 results for 2 texts"):
+        V.tokenize_with(docs, lambda texts: [[1]]).collect()

@@ -12,20 +12,24 @@ neither the driver nor a worker ever holds it whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.text import WORD_PATTERN, split_words
+from tokenmill.llm.frames import text_chunks
 from tokenmill.plans.index import dense_index
 
 # Our special ids (below the first word id).
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 16
 # Words of the vocabulary that are broadcast (a few MB); their ids are the lowest.
 HEAD = 50_000
+# Most bytes of text that one call of a batch tokenizer gets, unless one text has more.
+HOOK_BYTES = 1 << 20
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -81,12 +85,20 @@ def tokenize_with_vocab(df: DataFrame, vocab: DataFrame, keys: Sequence[str] = (
 def tokenize_with(df: DataFrame, fn: Callable[[list[str]], Iterable[Iterable[int]]], text: str = "text",
                   out: str = "input_ids") -> DataFrame:
     """T1(c): any batch tokenizer ``list[str] -> list[list[int]]`` (e.g. a loaded
-    subword tokenizer's batch encode), run on Arrow batches in the Python workers."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        ids = fn([t if t is not None else "" for t in texts.tolist()])
-        return pd.Series([list(map(int, x)) for x in ids])
+    subword tokenizer's batch encode), run on Arrow batches in the Python workers. A call
+    gets texts of ``HOOK_BYTES`` together, or one text, so a worker holds the ids of no more,
+    however many rows an Arrow batch has."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            for batch in text_chunks(pa.RecordBatch.from_arrays([whole], ["text"]), "text", HOOK_BYTES):
+                texts = [t if t is not None else "" for t in batch.column("text").to_pylist()]
+                ids = [np.fromiter(map(int, x), np.int64) for x in fn(texts)]
+                if len(ids) != len(texts):
+                    raise ValueError(f"the tokenizer gave {len(ids)} results for {len(texts)} texts")
+                ends = np.cumsum([0] + [len(x) for x in ids])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
 
     return df.withColumn(out, encode(F.col(text)))
 
