@@ -178,3 +178,24 @@ def test_building_an_index_runs_no_job(spark):
     jobs = sc.statusTracker().getJobIdsForGroup("index-build")
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) == 0
+
+
+def test_dense_index_query_carries_no_text_through_the_index(spark, tmp_path, monkeypatch):
+    """A text meets its blocks' positions afterwards; ids and rows that come twice, null and empty texts."""
+    import hashlib
+
+    from tokenmill.queries import plan_queries as Q
+    long = " ".join(f"w{i}" for i in range(600))
+    rows = [(1, long), (1, long), (2, "a b"), (2, "c"), (3, None), (3, ""), (3, None), (None, "x"), (4, long + " z")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    monkeypatch.setattr(Q, "dense_index_by_hash", lambda df, *a, **k: seen.append(df.columns) or dense_index_by_hash(df, *a, **k))
+    got = [tuple(r) for r in Q.dense_index_q(spark, str(tmp_path)).select("doc_id", "chunk_idx", "text", "pos").collect()]
+    assert seen and "text" not in seen[0]
+    chunks = lambda t: 1 if len((t or "").split()) <= 256 else len(
+        [s for s in range(0, -(-(len(t.split()) - 256) // 128) * 128 + 1, 128) if min(256, len(t.split()) - s) >= 32])
+    want = [(d, c, t) for d, u in rows if d for c in range(chunks(u)) for e, t in rows if e == d]
+    assert sorted(g[:3] for g in got if g[2] is not None) == sorted(w for w in want if w[2] is not None)
+    assert sorted(g[:2] for g in got) == sorted(w[:2] for w in want)
+    order = [hashlib.md5(f"{Q.SEED}:0:{d}:{c}".encode()).hexdigest() for d, c, _, _ in sorted(got, key=lambda g: g[3])]
+    assert order == sorted(order) and sorted(g[3] for g in got) == list(range(len(want)))

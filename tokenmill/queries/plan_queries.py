@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tokenmill import inputs
@@ -85,11 +86,17 @@ SELECT k.doc_id, k.chunk_idx, d.text,
                           k.doc_id, k.chunk_idx) - 1 AS pos
 FROM keys k JOIN documents d ON k.doc_id = d.doc_id""")
 def dense_index_q(spark, sf_dir):
-    """0-based position in the seeded order, with the text carried along."""
-    docs = inputs.table(spark, sf_dir, "documents")
+    """0-based position in the seeded order, with the text carried along: a text is shuffled
+    once, to meet the positions of its blocks, not once per block."""
+    docs = inputs.table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("t"), F.col("text").isNull().alias("no"))
+    mark = ["doc_id", "t", "no"]
     keys = B.block_keys(docs, "text", L, STRIDE, MIN_LEN).select(*KEYS)
-    keyed = keys.join(docs.select("doc_id", "text"), "doc_id").withColumn("shuffle_key", S.shuffle_key(KEYS, SEED, 0))
-    return dense_index_by_hash(keyed, "shuffle_key", KEYS, total=None).select(*KEYS, "text", "pos")
+    keyed = keys.join(docs.select(*mark), "doc_id").withColumn("shuffle_key", S.shuffle_key(KEYS, SEED, 0))
+    placed = dense_index_by_hash(keyed, "shuffle_key", KEYS, total=None).drop("shuffle_key")
+    copies = Window.partitionBy(*mark).orderBy("doc_id")  # rows equal in id and text stand for each other
+    once = docs.withColumn("copy", F.row_number().over(copies)).where("copy = 1")
+    return placed.join(once, mark).select(*KEYS, "text", "pos")
 
 
 @register("rank_shards", sql=f"""
