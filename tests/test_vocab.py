@@ -89,3 +89,17 @@ def test_hook_must_give_a_result_for_every_text(spark):
     docs = spark.createDataFrame([("a",), ("b",)], "text string").coalesce(1)
     with pytest.raises(Exception, match="1 results for 2 texts"):
         V.tokenize_with(docs, lambda texts: [[1]]).collect()
+
+
+def test_vocab_ids_make_no_row_per_word_occurrence(spark):
+    """Rare, very long and unknown words, copies in several partitions, keys of odd names."""
+    long = "x" * (V.HEAD_CHARS + 1)
+    texts = [f"the a r{i % 7} {long} the r{i % 5} new{i}" for i in range(30)] + ["the r1 a r1 r2"] * 20 + [None, "", " \t"]
+    docs = spark.createDataFrame([(i, "q", t) for i, t in enumerate(texts)], "t long, ids string, text string").repartition(5)
+    words = ["the", "a", long, *[f"r{i}" for i in range(7)]]
+    vocab = spark.createDataFrame([(w, 16 + i) for i, w in enumerate(words)], "word string, id long")
+    df = V.tokenize_with_vocab(docs, vocab, keys=["t", "ids"], out="rare", head=3)
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    ids = {w: 16 + i for i, w in enumerate(words)}
+    want = [(i, "q", [ids.get(w, V.UNK_ID) for w in (t or "").split()]) for i, t in enumerate(texts)]
+    assert sorted((r.t, r.ids, r.rare) for r in df.collect()) == want

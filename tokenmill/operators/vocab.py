@@ -11,6 +11,7 @@ neither the driver nor a worker ever holds it whole.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.functions.text import WORD_PATTERN, split_words
-from tokenmill.llm.frames import text_chunks
+from tokenmill.llm.frames import frugal, map_batches, text_chunks
 from tokenmill.plans.index import dense_index
 
 # Our special ids (below the first word id).
 PAD_ID, UNK_ID, FIRST_WORD_ID = 0, 1, 16
 # Words of the vocabulary that are broadcast (a few MB); their ids are the lowest.
 HEAD = 50_000
+HEAD_CHARS = 100
 # Most bytes of text that one call of a batch tokenizer gets, unless one text has more.
 HOOK_BYTES = 1 << 20
 
@@ -57,29 +59,72 @@ def tokenize_with_vocab(df: DataFrame, vocab: DataFrame, keys: Sequence[str] = (
     any size. Rows out = rows in; a null or empty text gives an empty array.
 
     No text and no single word occurrence is shuffled. The ``head`` most frequent words
-    (a bound on what is broadcast) have their ids looked up where the text is read; the
-    other distinct words of a row go to the vocabulary once each, with their places;
-    and a row's ids come back together as one BIGINT per word (its place in the upper
-    half, its id in the lower). So ids are 0 .. 2^31-1, of texts of under 2^31 words.
-    Rows equal in ``keys`` and text are worked out once."""
-    row = F.struct(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("k"), F.md5(F.col(text)).alias("t"))
-    words = df.select(row.alias("row"), split_words(text).alias("words")).select(
-        "row", F.posexplode_outer("words").alias("i", "word"))
-    ranked = vocab.select("word", F.col("id").cast("bigint").alias("id"))
-    first = ranked.orderBy("id").limit(head) if head else ranked.limit(0)
-    known = words.join(F.broadcast(first), "word", "left")
-    place = lambda i, w: F.shiftleft(i.cast("bigint"), 32) + w
-    # a row's places collect where they are read, before anything is shuffled
-    near = known.groupBy("row").agg(F.collect_list(place(F.col("i"), F.col("id"))).alias("ids"),
-                                    F.count_if(F.coalesce("i", F.lit(0)) == 0).alias("rows"))
-    tail = known.where("id IS NULL AND word IS NOT NULL").groupBy("row", "word").agg(F.collect_list("i").alias("at"))
-    far = tail.join(ranked.withColumnRenamed("id", "w"), "word", "left").select(
-        "row", F.transform("at", lambda i: place(i, F.coalesce("w", F.lit(unk_id).cast("bigint")))).alias("ids"), F.lit(0).cast("bigint").alias("rows"))
-    whole = near.unionByName(far).groupBy("row").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.sum("rows").alias("rows"))
-    # repeated rows gave every place several times
-    tok = F.transform(F.sort_array(F.array_distinct("ids")), lambda x: x.bitwiseAND(F.lit(2**31 - 1).cast("bigint")))
-    done = whole.select(*[F.col(f"row.k.k{i}").alias(k) for i, k in enumerate(keys)], tok.alias(out), "rows")
-    return done.withColumn("rows", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("rows")
+    (a bound on what is broadcast) have their ids looked up where the text is read. The
+    other distinct words of a text go to the vocabulary once each (equal texts of a task
+    ask once) and come back as one row of their ids, to take their places in the text's
+    own ids, which move once, as 4 bytes a word. So ids are 0 .. 2^31-1, of texts of under
+    2^31 words."""
+    ranked = vocab.where("word IS NOT NULL AND id IS NOT NULL").select("word", F.col("id").cast("bigint").alias("id"))
+    # very long words are looked up as rare ones: the broadcast is bounded in bytes too
+    first = ranked.where(F.length("word") <= HEAD_CHARS).orderBy("id").limit(head).collect() if head else []
+    known = df.sparkSession.sparkContext.broadcast({r.word: r.id for r in first})
+    texts = df.select(F.col(text).alias("text"))
+    asked = map_batches(texts, ["text"], "t binary, i bigint, word string", _rare_words(known))
+    # a word's number in its text in the upper half, its id in the lower
+    place = F.shiftleft("i", 32) + F.coalesce("id", F.lit(unk_id).cast("bigint"))
+    found = asked.join(ranked, "word", "left").select("t", place.alias("place"))
+    rare = found.groupBy("t").agg(F.collect_list("place").alias("places"))
+    rare = rare.select("t", F.transform(F.sort_array(F.array_distinct("places")),
+                                        lambda x: x.bitwiseAND(F.lit(2**31 - 1).cast("bigint"))).alias("rare"))
+    names = [f"k{i}" for i in range(len(keys))]
+    read = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(text).alias("text"))
+    schema = T.StructType([read.schema[n] for n in names] + [T.StructField("t", T.BinaryType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    own = read.mapInArrow(frugal(_own_ids(known)), schema)
+    whole = F.transform("ids", lambda x: F.when(x < 0, F.element_at("rare", -x)).otherwise(x.cast("bigint")))
+    return own.join(rare, "t", "left").select(*[F.col(n).alias(k) for k, n in zip(keys, names)], whole.alias(out))
+
+
+def _looked_up(texts: list[str | None], known: dict[str, int]) -> Iterator[tuple[bytes, list[int], dict[str, int]]]:
+    """Each text's digest, its ids, and its words that aren't ``known``; their ids are
+    numbered -1, -2 .. as they come."""
+    words = re.compile(WORD_PATTERN).findall
+    for text in texts:
+        ids, rare = [], {}
+        for w in words(text or ""):
+            x = known.get(w)
+            ids.append(rare.setdefault(w, -len(rare) - 1) if x is None else x)
+        yield hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest(), ids, rare
+
+
+def _rare_words(known):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for whole in batches:
+            for batch in text_chunks(whole, "text", HOOK_BYTES):
+                t, i, word = [], [], []
+                for digest, _, rare in _looked_up(batch.column("text").to_pylist(), known.value):
+                    if digest not in seen:
+                        seen.add(digest)
+                        t += [digest] * len(rare)
+                        i += range(1, len(rare) + 1)
+                        word += rare
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(i, pa.int64()), pa.array(word, pa.string())], ["t", "i", "word"])
+
+    return rows
+
+
+def _own_ids(known):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_chunks(whole, "text", HOOK_BYTES):
+                found = list(_looked_up(batch.column("text").to_pylist(), known.value))
+                ends = np.cumsum([0] + [len(ids) for _, ids, _ in found])
+                ids = pa.array(np.concatenate([np.array(ids, np.int32) for _, ids, _ in found]))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.drop_columns("text").columns, pa.array([t for t, _, _ in found], pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], [*batch.drop_columns("text").schema.names, "t", "ids"])
+
+    return rows
 
 
 def tokenize_with(df: DataFrame, fn: Callable[[list[str]], Iterable[Iterable[int]]], text: str = "text",
@@ -136,7 +181,6 @@ def hashed_word_tokenizer(id_space: int = 50000, offset: int = 16) -> Callable[[
     """A plain-Python batch function with the native tokenizer's rule (md5 of each
     word), usable with ``tokenize_with``; it lets the hook path be checked against
     the native path."""
-    import hashlib
     pattern = re.compile(WORD_PATTERN)
 
     def encode(texts: list[str]) -> list[list[int]]:
