@@ -215,3 +215,25 @@ def test_pipeline_takes_awkward_rows(spark):
     for rows in (awkward(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, rows, SF001).columns == rows.columns
+
+
+def test_texts_of_a_component_meet_a_large_one_by_tiles(spark, monkeypatch):
+    """40 texts are similar to all 59 members of a component but not to its pivot: a link of each is enough."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 2**63, 100, dtype=np.uint64)
+
+    def text(node, root, swapped):
+        h = base.copy()
+        h[rng.choice(100, swapped, replace=False)] = rng.integers(1, 2**63, swapped, dtype=np.uint64)
+        return node, root, 100, np.sort(h).tobytes(), np.ones(100, np.int32).tobytes()
+
+    rows = [text(b"a", b"a", 20), *[text(b"m%02d" % i, b"a", 2) for i in range(59)],
+            *[text(b"s%02d" % i, b"s%02d" % i, 3) for i in range(40)], text(b"z", b"z", 19)]
+    bag = spark.createDataFrame([(n, s, h, c) for n, _, s, h, c in rows], "node binary, size bigint, hashes binary, counts binary")
+    hot = spark.createDataFrame([(n, r) for n, r, *_ in rows], "node binary, root binary")
+    for tile, tiles in ((1 << 16, 1), (2000, 3)):
+        monkeypatch.setattr(near_dup, "TILE", tile)
+        pairs = {(bytes(r.u), bytes(r.v)) for r in near_dup._filtered(hot, bag, 0.8).collect()}
+        crossing = [(u, v) for u, v in pairs if u[:1] == b"m" or v[:1] == b"m"]
+        assert {v for _, v in crossing if v[:1] == b"s"} == {b"s%02d" % i for i in range(40)}
+        assert len(crossing) <= 41 * tiles

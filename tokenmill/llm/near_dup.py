@@ -31,8 +31,10 @@ reads it. Then
    end of that order. Components whose members so meet are compared by their pivots:
    the distance ``1 - similarity`` is a metric, so with every member's distance to its
    own pivot known, the distance of two pivots bounds that of any two members from
-   below, and only members whom it leaves are paired. The filter loses no similar pair,
-   in whatever buckets its texts are, and no bucket is capped.
+   below. Members whom it leaves are compared tile by tile (many of either component in
+   one group), each with all that are left of the other; one link of a member is enough.
+   No link between components is lost, in whatever buckets its texts are, and no bucket
+   is capped.
 
 Only texts that share a bucket are shuffled, once, to write their bags of shingles; all
 that follows joins bags by node.
@@ -69,6 +71,8 @@ CROSS = 8
 ROUNDS = (4,)
 # Shared shingles of such texts that are broadcast (16 bytes each); more are joined.
 BROADCAST = 1 << 20
+# Shingles of a tile of texts that are compared with those of another tile (8 bytes each).
+TILE = 1 << 16
 # Room for rounding in bounds of distances.
 SLACK = 1e-9
 _GOLD = 0x9E3779B97F4A7C15
@@ -343,16 +347,66 @@ def _filtered(hot: DataFrame, bag: DataFrame, similarity: float, broadcast: int
     own = _distances(texts.where("node <> root").select(F.col("root").alias("u"), F.col("node").alias("v")), bag)
     members = texts.select("node", "root", "size").join(own.select(F.col("v").alias("node"), F.col("d").alias("off")), "node", "left")
     members = stored(members.withColumn("off", F.coalesce("off", F.lit(0.0))), "hot-members")
-    reach = members.groupBy("root").agg(F.max("off").alias("reach"))
-    left = reach.select(F.col("root").alias("u"), F.col("reach").alias("ru"))
-    right = reach.select(F.col("root").alias("v"), F.col("reach").alias("rv"))
+    reach = members.groupBy("root").agg(F.max("off").alias("reach"), F.sum("size").alias("all"))
+    left = reach.select(F.col("root").alias("u"), F.col("reach").alias("ru"), F.col("all").alias("au"))
+    right = reach.select(F.col("root").alias("v"), F.col("reach").alias("rv"), F.col("all").alias("av"))
     open_ = apart.where(F.col("d") > most).join(left, "u").join(right, "v").where(F.col("d") - F.col("ru") - F.col("rv") <= most)
-    one = members.select(F.col("root").alias("u"), F.col("node").alias("a"), F.col("size").alias("sa"), F.col("off").alias("oa"))
-    two = members.select(F.col("root").alias("v"), F.col("node").alias("b"), F.col("size").alias("sb"), F.col("off").alias("ob"))
-    near = open_.join(one, "u").where(F.col("d") - F.col("oa") - F.col("rv") <= most).join(two, "v").where(
-        (F.col("d") - F.col("oa") - F.col("ob") <= most) & _sizes_allow(F.col("sa"), F.col("sb"), similarity))
-    near = near.where("a <> u OR b <> v")  # the pivots themselves are known
-    return linked.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    larger = F.col("au") >= F.col("av")
+    host = F.when(larger, F.struct(F.col("u").alias("root"), F.col("ru").alias("reach"), F.col("v").alias("other")))
+    sides = stored(open_.select("d", host.otherwise(F.struct(F.col("v").alias("root"), F.col("rv").alias("reach"), F.col("u").alias("other"))).alias("s"))
+                   .select("s.*", "d"), "sides")
+    return linked.unionByName(_hosted(sides, members.join(bag.select("node", "hashes", "counts"), "node"), similarity))
+
+
+def _hosted(sides: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of ``texts`` (node, root, size, off, hashes, counts) of the components of ``sides``
+    (root, reach, other, d): for each text of ``other`` that has a similar one in ``root``,
+    one such at least.
+
+    Texts of ``root`` (hosts) and those that it is to be compared with (guests) are dealt
+    into tiles of about ``TILE`` shingles, and a tile meets a tile in one group: a text is
+    shuffled once for each tile that it meets, not once for each text, and of all the pairs
+    that a group compares, it gives one for a guest at most."""
+    most = 1 - similarity + SLACK
+    texts = stored(texts, "hosted-texts")
+    guests = sides.join(texts.withColumnRenamed("root", "other"), "other").where(F.col("d") - F.col("off") - F.col("reach") <= most)
+    guests = stored(guests.select("root", "node", "size", "hashes", "counts"), "guests")
+    hosts = texts.join(sides.select("root").distinct(), "root").select("root", "node", "size", "hashes", "counts")
+    tiles = lambda rows, n: rows.groupBy("root").agg(F.ceil(F.sum("size") / F.lit(TILE)).cast("int").alias(n))
+    dealt = tiles(hosts, "a").join(tiles(guests, "b"), "root")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = hosts.join(dealt, "root").select("root", own("a").alias("i"), each("b").alias("j"), F.lit(True).alias("host"), "node", "hashes", "counts")
+    right = guests.join(dealt, "root").select("root", each("a").alias("i"), own("b").alias("j"), F.lit(False).alias("host"), "node", "hashes", "counts")
+    found = left.unionByName(right).groupBy("root", "i", "j").applyInArrow(_best_hosts(similarity), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def _best_hosts(similarity: float):
+    def best(rows: pa.Table) -> pa.Table:
+        host = rows["host"].to_numpy()
+        node = rows["node"].to_pylist()
+        bag = [_copies_of(h, c)[1] for h, c in zip(rows["hashes"].to_pylist(), rows["counts"].to_pylist())]
+        hosts, guests = np.flatnonzero(host), np.flatnonzero(~host)
+        a, b = [], []
+        if len(hosts) and len(guests):
+            size = np.array([len(bag[i]) for i in hosts])
+            shingle, owner = np.concatenate([bag[i] for i in hosts]), np.repeat(np.arange(len(hosts)), size)
+            order = np.argsort(shingle)
+            shingle, owner = shingle[order], owner[order]
+            for g in guests.tolist():
+                first, end = np.searchsorted(shingle, bag[g], "left"), np.searchsorted(shingle, bag[g], "right")
+                n = end - first
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(hosts))
+                alike = common / np.maximum(1, size + len(bag[g]) - common)
+                k = int(alike.argmax())
+                if alike[k] >= similarity - SLACK:
+                    a.append(node[hosts[k]])
+                    b.append(node[g])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return best
 
 
 def _cross(members: DataFrame, bag: DataFrame, similarity: float, cross: int) -> DataFrame:
