@@ -4,11 +4,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_data import awkward, awkward_rows, empty, words
 from pyspark.sql import functions as F
 
 from tokenmill.llm import (decontaminate, language_id, lattice_lm, quality_classifier, quality_rules, redirects, sharding)
+from tokenmill.llm import frames, subwords
 from tokenmill.llm.components import connected_components
 
 
@@ -385,6 +387,46 @@ def test_decontamination_takes_awkward_rows(spark):
 
 # ---- classifier --------------------------------------------------------------------------
 
+def test_batches_of_workers_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    rows = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("abcdefghi "), 10_000).alias("text"))  # 40 MB
+    found = frames.map_batches(rows, ["text"], "n bigint, bytes bigint", sizes).collect()
+    assert sum(r["n"] for r in found) == 400
+    assert max(r["bytes"] for r in found) < frames.BATCH_BYTES + 200_000
+
+
+def test_batches_of_a_session_that_sets_them_are_left(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+    frames.map_batches(other.range(3), ["id"], "id bigint", lambda batches: batches).collect()
+    assert other.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000000"
+
+
+def test_chunks_are_bounded_in_bytes_and_rows():
+    batch = pa.record_batch([pa.array(["a" * 10] * 7 + [None, "b" * 100])], ["text"])
+    assert [c.num_rows for c in frames.text_chunks(batch, "text", 40)] == [4, 4, 1]
+    assert [c.num_rows for c in frames.text_chunks(batch, "text", 40, 3)] == [3, 3, 2, 1]
+
+
+def test_features_of_words_come_in_blocks(monkeypatch):
+    texts = pa.array([" ".join(f"w{i}é" for i in range(500)), None, "x" * 3000])
+    whole = subwords.WordBatch(texts).features(1 << 16)
+    monkeypatch.setattr(subwords, "LETTERS", 100)
+    blocks = list(subwords.WordBatch(texts).feature_blocks(1 << 16))
+    assert len(blocks) > 30 and [a for a, *_ in blocks[1:]] == [b for _, b, *_ in blocks[:-1]]
+    pairs = [(w + a, f) for a, _, word, feature in blocks for w, f in zip(word.tolist(), feature.tolist())]
+    at = {}
+    for w, f in pairs:
+        at.setdefault(w, []).append(f)
+    plain = {}
+    for w, f in zip(whole[0].tolist(), whole[1].tolist()):
+        plain.setdefault(w, []).append(f)
+    assert at == plain  # in each word's order, so that sums are the same to the last bit
+
+
 def test_classifier_learns_and_repeats(spark):
     rng = np.random.default_rng(4)
     def make(i):

@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 
 from tokenmill.llm.components import connected_components
 from tokenmill.llm.decontaminate import _NORMAL
-from tokenmill.llm.frames import map_batches, stored, text_chunks
+from tokenmill.llm.frames import frugal, map_batches, stored, text_chunks
 from tokenmill.llm.subwords import WordBatch
 
 SHINGLE = 5
@@ -73,6 +73,10 @@ ROUNDS = (4,)
 BROADCAST = 1 << 20
 # Shingles of a tile of texts that are compared with those of another tile (8 bytes each).
 TILE = 1 << 16
+# Bytes of text, and texts, that a task signs at a time (a text has a row of registers of its own).
+SIGN_BYTES, SIGN_ROWS = 1 << 19, 1 << 10
+# Bytes of bags that a task compares or counts at a time.
+BAG_BYTES = 1 << 20
 # Room for rounding in bounds of distances.
 SLACK = 1e-9
 _GOLD = 0x9E3779B97F4A7C15
@@ -163,7 +167,7 @@ def _sign(bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # a text is signed once per task, however many copies of it are read
         for whole in batches:
-            for batch in text_chunks(whole, "text", 2 << 20):
+            for batch in text_chunks(whole, "text", SIGN_BYTES, SIGN_ROWS):
                 texts = batch.column("text").to_numpy(zero_copy_only=False).tolist()
                 doc, h, digests = shingles(texts)
                 own = np.zeros(len(texts), bool)
@@ -186,7 +190,7 @@ def _sign(bands: int, rows: int):
 
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in text_chunks(whole, "text", 2 << 20):
+        for batch in text_chunks(whole, "text", SIGN_BYTES):
             doc, h, digests = shingles(batch.column("text").to_numpy(zero_copy_only=False).tolist())
             size = np.bincount(doc, minlength=len(digests))
             d, g, c = bags(doc, h)
@@ -207,13 +211,14 @@ def overlap(ha: bytes, ca: bytes, hb: bytes, cb: bytes) -> float:
 
 def _compared(most: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            found = [(i, 1 - overlap(ha, ca, hb, cb)) for i, (_, _, ha, ca, hb, cb) in enumerate(zip(*cols))]
-            keep = [x for x in found if x[1] <= most]
-            at = pa.array([i for i, _ in keep], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([d for _, d in keep], pa.float64())],
-                                             ["u", "v", "d"])
+        for whole in batches:
+            for batch in text_chunks(whole, "hu", BAG_BYTES):
+                cols = [batch.column(i).to_pylist() for i in range(6)]
+                found = [(i, 1 - overlap(ha, ca, hb, cb)) for i, (_, _, ha, ca, hb, cb) in enumerate(zip(*cols))]
+                keep = [x for x in found if x[1] <= most]
+                at = pa.array([i for i, _ in keep], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([d for _, d in keep], pa.float64())],
+                                                 ["u", "v", "d"])
 
     return check
 
@@ -223,7 +228,7 @@ def _distances(pairs: DataFrame, bag: DataFrame, most: float = 2.0) -> DataFrame
     a = bag.select(F.col("node").alias("u"), F.col("hashes").alias("hu"), F.col("counts").alias("cu"))
     b = bag.select(F.col("node").alias("v"), F.col("hashes").alias("hv"), F.col("counts").alias("cv"))
     met = pairs.select("u", "v").distinct().join(a, "u").join(b, "v").select("u", "v", "hu", "cu", "hv", "cv")
-    return met.mapInArrow(_compared(most), "u binary, v binary, d double")
+    return met.mapInArrow(frugal(_compared(most)), "u binary, v binary, d double")
 
 
 def _links(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
@@ -257,10 +262,11 @@ def _copies_of(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many bags of some rows hold each copy of each shingle."""
-    for batch in batches:
-        copies = [_copies_of(h, c)[1] for h, c in zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist())]
-        shingle, n = np.unique(np.concatenate(copies) if copies else np.zeros(0, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+    for whole in batches:
+        for batch in text_chunks(whole, "hashes", BAG_BYTES):
+            copies = [_copies_of(h, c)[1] for h, c in zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist())]
+            shingle, n = np.unique(np.concatenate(copies) if copies else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
 
 
 def _leads(size: np.ndarray, place: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -273,7 +279,7 @@ def _prefix_rows(shared, similarity: float):
     """``shared``: a broadcast of the sorted shingles that more texts have, and their counts."""
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_chunks(whole, "hashes", BAG_BYTES)):
             parts = []
             for i, (h, c) in enumerate(zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist())):
                 copy = _copies_of(h, c)[1].view(np.int64)
@@ -302,14 +308,14 @@ def _prefixes(texts: DataFrame, similarity: float, broadcast: int = BROADCAST) -
     Shared shingles with their counts are broadcast up to ``broadcast`` of them, so only
     prefixes leave a task; beyond, all shingles are joined with their counts."""
     texts = texts.select("node", "root", "size", "hashes", "counts")
-    shared = texts.select("hashes", "counts").mapInArrow(_counted, "shingle bigint, n bigint")
+    shared = texts.select("hashes", "counts").mapInArrow(frugal(_counted), "shingle bigint, n bigint")
     shared = stored(shared.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), "shared-shingles")
     if shared.count() <= broadcast:
         table = shared.toArrow()
         order = np.argsort(table["shingle"].to_numpy())
         known = texts.sparkSession.sparkContext.broadcast((table["shingle"].to_numpy()[order], table["n"].to_numpy()[order]))
-        return texts.mapInArrow(_prefix_rows(known, similarity), "shingle bigint, node binary, root binary, size bigint, lead boolean")
-    rows = stored(texts.mapInArrow(_shingle_rows, "shingle bigint, node binary, root binary, size bigint"), "shingles")
+        return texts.mapInArrow(frugal(_prefix_rows(known, similarity)), "shingle bigint, node binary, root binary, size bigint, lead boolean")
+    rows = stored(texts.mapInArrow(frugal(_shingle_rows), "shingle bigint, node binary, root binary, size bigint"), "shingles")
     text = Window.partitionBy("node")
     alone = F.col("size") - F.count(F.lit(1)).over(text)
     place = alone + F.row_number().over(text.orderBy("n", "shingle")) - 1

@@ -41,7 +41,7 @@ RATE = 1.0
 # So many times does a feature of repetition count in the average.
 REPEAT_WEIGHT = 16
 THRESHOLD = 0.3
-# Bytes of text whose features a task holds at a time (about 30 bytes each).
+# Bytes of text whose words a task holds at a time.
 CHUNK = 2 << 20
 
 
@@ -94,10 +94,11 @@ def _examples(buckets: int):
         for whole in batches:
             for batch in text_chunks(whole, "text", CHUNK):
                 words = WordBatch(batch.column("text"))
-                owner, bucket = words.features(buckets)
-                order = np.argsort(owner, kind="stable")
-                owner, bucket = owner[order], bucket[order]
-                first = np.searchsorted(owner, np.arange(len(words.words) + 1))
+                parts, size = [np.zeros(0, np.int32)], np.zeros(len(words.words), np.int64)
+                for begin, end, owner, own in words.feature_blocks(buckets):
+                    parts.append(own[np.argsort(owner, kind="stable")].astype(np.int32))
+                    size[begin:end] = np.bincount(owner, minlength=end - begin)
+                bucket, first = np.concatenate(parts), np.concatenate([[0], np.cumsum(size)])
                 repeats = words.repeats() * REPEAT_WEIGHT
                 ids, shares = [], []
                 begin = 0
@@ -154,9 +155,10 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str], text: str = "text"
         for whole in batches:
             for batch in text_chunks(whole, text, CHUNK):
                 words = WordBatch(batch.column(text))
-                owner, bucket = words.features(buckets)
-                worth = np.bincount(owner, w[bucket], len(words.words))
-                parts = np.bincount(owner, minlength=len(words.words))
+                worth, parts = np.zeros(len(words.words)), np.zeros(len(words.words), np.int64)
+                for first, end, owner, bucket in words.feature_blocks(buckets):
+                    worth[first:end] = np.bincount(owner, w[bucket], end - first)
+                    parts[first:end] = np.bincount(owner, minlength=end - first)
                 repeats = words.repeats() * REPEAT_WEIGHT
                 n = len(words.ends)
                 total = np.bincount(words.doc, worth[words.word], n) + repeats @ w[buckets:]
