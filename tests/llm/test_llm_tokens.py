@@ -9,7 +9,7 @@ from llm_data import awkward, awkward_rows, empty
 from tokenizers import Tokenizer
 
 from tokenmill.llm import packing, token_store, tokens
-from tokenmill.llm.frames import scratch_path
+from tokenmill.llm.frames import frugal, scratch_path
 
 
 def plain(name, special_as_text=False):
@@ -38,6 +38,34 @@ def test_encoder_equals_the_library(name, max_units, special_as_text):
         assert got == [plain(name, special_as_text)(t) for t in texts]
 
 
+@pytest.mark.parametrize("name", sorted(tokens.SPACES))
+def test_encoder_remembers_no_unit_beyond_its_bound(name):
+    texts = [f"alpha w{i}. beta{i}, W\u00e9{i}x 'tis{i}'s x{i}###" for i in range(40)]
+    enc, encode = tokens.TextEncoder(tokens.tokenizer_path(name), 50), plain(name)
+    used = []
+    for _ in range(5):
+        for row, ids, ends in enc.encode(pa.array(texts)):
+            assert len(enc.index) <= 50
+            for i, part in enumerate(np.split(ids, ends[:-1])):
+                assert part.tolist() == encode(texts[row + i])
+        used.append(len(enc.flat))
+    assert len(enc.index) == 50 and used[-1] == used[-2]  # and room for the others is used again
+
+
+def test_pieces_of_plain_words():
+    words = ["", "abc", "abc.", "a,", ".", ",.", "a.b", "it's", "'s", "a1,", "12", "\u0130\u0130", "\u0130.", "\u00e9t\u00e9,", "a\u00d7,", "x,,", "a'"]
+    assert [tokens._n_pieces(w) for w in words] == [len(tokens._PIECES(w.lower())) for w in words]
+
+
+def test_batches_are_gathered_for_the_encoder():
+    batches = [pa.record_batch([pa.array([i]), pa.array(["x" * 999] * 1)], ["id", "text"]) for i in range(10)] + [
+        pa.record_batch([pa.array([], pa.int64()), pa.array([], pa.string())], ["id", "text"])]
+    got = list(frugal(lambda taken: taken, 3000)(iter(batches)))
+    assert [b.num_rows for b in got] == [3, 3, 3, 1]
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(10))
+    assert [b.num_rows for b in frugal(lambda taken: taken, 3000)(iter(batches[-1:]))] in ([], [0])
+
+
 def check_pieces(rows, docs, capacity):
     """Every document whole and in order; every sequence gapless and within capacity."""
     encode = plain(packing.TOKENIZER)

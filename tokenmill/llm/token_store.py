@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenmill.llm.frames import frugal, map_batches, shuffle_partitions, stored
-from tokenmill.llm.tokens import TextEncoder, encoder, tokenizer_path
+from tokenmill.llm.tokens import GATHERED, TextEncoder, encoder, tokenizer_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -222,7 +222,8 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     order = ["key", F.xxhash64("text")]
     shards = (rows.repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
-              .mapInArrow(frugal(_write_shards(path, tokenizer, width, end_id, special_as_text)), "shard int, key bigint, first bigint, n bigint"))
+              .mapInArrow(frugal(_write_shards(path, tokenizer, width, end_id, special_as_text), GATHERED),
+                          "shard int, key bigint, first bigint, n bigint"))
     entries = stored(shards, "token-records")
     written = sorted((r["shard"], r["first"], r["n"]) for r in entries.where("key IS NULL").collect())  # one per shard
     manifest = {"width": width, "parts": n_parts, "shards": [list(x) for x in written]}

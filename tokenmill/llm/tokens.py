@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,23 @@ _PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u024f]+").fullmatch
 MAX_UNITS = 500_000
 # Units joined into one call of the library.
 JOINED = 500
-# Bytes of text looked up and ids put together at a time.
-BYTES_AT_ONCE = 3 << 20
+# Bytes of text looked up at a time, and of rows gathered for it. The more text, the fewer
+# of its units are distinct, and the fewer are looked up.
+BYTES_AT_ONCE = 9 << 20
+GATHERED = 6 << 20
 IDS_AT_ONCE = 500_000
 
 
+def _n_pieces(word: str) -> int:
+    """How many pieces a "dropped" tokenizer file makes of a plain word."""
+    low = word.lower()
+    if low.isalpha():
+        return 1
+    if low.endswith((",", ".")) and low[:-1].isalpha():
+        return 2
+    return len(_PIECES(low))
+
+
 class TextEncoder:
     def __init__(self, path: str, max_units: int = MAX_UNITS, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -71,6 +84,7 @@ class TextEncoder:
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
         self.used = 0
+        self.kept: int | None = None  # ids of the units remembered, once they are as many as may be
 
     def __reduce__(self):  # a pickled tokenizer would forget how it treats special tokens
         return TextEncoder, (self.path, self.max_units, self.special_as_text)
@@ -103,7 +117,7 @@ class TextEncoder:
     def _cut_pieces(self, ids, group):
         """Every piece ends in an id that marks a word's end; the pieces of plain
         Latin words are known from the tokenizer's own pattern."""
-        pieces = np.fromiter([len(_PIECES(u.lower())) for u in group], np.int64, len(group))
+        pieces = np.fromiter(map(_n_pieces, group), np.int64, len(group))
         last = np.flatnonzero(self.piece_last[ids])
         if len(last) != pieces.sum():
             return None
@@ -124,13 +138,16 @@ class TextEncoder:
                 yield at, *encode([units[i] for i in at.tolist()])
 
     def _places(self, units: list[str]) -> np.ndarray:
-        get = self.index.get
-        at = np.fromiter([get(u, -1) for u in units], np.int64, len(units))
+        if self.kept is None and len(self.index) >= self.max_units:
+            self.kept = int((self.start + self.size)[:self.max_units].max(initial=0))
+        if self.kept is not None:  # units that were not remembered give way
+            self.used = self.kept
+        at = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(at < 0)
         if len(new):
             fresh = [units[i] for i in new.tolist()]
             first = len(self.index)
-            self.index.update(zip(fresh, range(first, first + len(fresh))))
+            self.index.update(zip(fresh[:max(self.max_units - first, 0)], range(first, first + len(fresh))))
             if first + len(fresh) > len(self.size):  # room for half as many again
                 room = np.zeros(first // 2 + len(fresh), np.int64)
                 self.size, self.start = np.concatenate([self.size, room]), np.concatenate([self.start, room])
@@ -182,11 +199,6 @@ class TextEncoder:
         else:
             places = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         yield from self._assembled(texts, safe, places[coded.indices.to_numpy()], ends)
-        if len(self.index) > self.max_units:
-            kept = slice(0, self.max_units)
-            self.used = int((self.start[kept] + self.size[kept]).max())
-            while len(self.index) > self.max_units:
-                self.index.popitem()
 
     def _assembled(self, texts, safe, unit, ends):
         begins = np.concatenate([[0], ends[:-1]])
