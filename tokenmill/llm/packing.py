@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenmill.llm.frames import map_batches, stored
-from tokenmill.llm.tokens import encoder, tokenizer_path
+from tokenmill.llm.tokens import GATHERED, encoder, tokenizer_path
 from tokenmill.plans.index import dense_index_by_hash
 
 CAPACITY = 2048
@@ -75,7 +75,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
                     cols.append(pa.array(parts, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
 
-    return map_batches(docs, [key, text], schema, cut)
+    return map_batches(docs, [key, text], schema, cut, GATHERED)
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
