@@ -324,6 +324,51 @@ def test_language_takes_awkward_rows(spark):
     assert language_id.identify(empty(spark), model, ["doc_id"]).count() == 0
 
 
+def test_language_counts_take_one_pass_over_the_texts(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = spark.createDataFrame([(i, f"wor{i} dabc", "ab"[i % 2]) for i in range(50)], "doc_id long, text string, lang string")
+    language_id.learn(rows.withColumn("text", seen.asNondeterministic()("text")))
+    assert read.value == 50
+
+
+def test_counted_ngrams_equal_the_ngrams_one_by_one():
+    """With small and large alphabets, whose n-grams have tables, numbers or only hashes."""
+    rng = random.Random(5)
+    wide = "".join(chr(rng.randrange(0x3400, 0x9fff)) for _ in range(3000))
+    for texts in ([None], [""], ["a", "", "12 b\n", "\ud800x"], ["ab ba abba"] * 3, [wide, "ab", wide[:9]],
+                  ["".join(chr(c) for c in range(0x110000) if chr(c).isalpha())]):
+        gram, n = language_id.counted(texts)
+        want = Counter(language_id.ngrams(texts)[1].tolist())
+        assert Counter(dict(zip(gram.tolist(), n.tolist()))) == want and len(gram) == len(want)
+
+
+@pytest.mark.parametrize("languages", [3, 9, 20, 40, 70])
+def test_judged_hits_equal_those_of_each_ngram(languages):
+    rng = random.Random(languages)
+    texts = [None, "", "7", "a", "ab\ncd"] + ["".join(rng.choice("abcde éßЖ日1 ") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    grams = np.unique(language_id.ngrams(texts)[1])[::2]
+    owned = np.zeros((len(grams), -(-languages // 64)), np.uint64)
+    for i in range(len(grams)):
+        k = rng.randrange(languages)
+        owned[i, k // 64] = np.uint64(1) << np.uint64(k % 64)
+    f = language_id.LanguageFilter.build([f"l{k:02d}" for k in range(languages)], grams, owned, 0)
+    names, scores = f.judge(texts)
+    for text, name, score in zip(texts, names, scores):
+        _, own, has = language_id.ngrams([text])
+        found = f.contains(own)
+        hits = np.array([f._bit(found, k).sum() for k in range(languages)])
+        true = np.maximum((hits - len(own) * f.chance) / (1 - f.chance), 0)
+        want = f.languages[int(true.argmax())] if true.sum() > 0 else f.languages[0]
+        assert name == (want if has[0] else "und")
+        assert score == pytest.approx(true.max() / true.sum() if has[0] and true.sum() > 0 else 0)
+
+
 # ---- decontamination ---------------------------------------------------------------------
 
 def plain_hits(text, items, window):
