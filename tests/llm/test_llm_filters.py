@@ -643,3 +643,15 @@ def test_sharding_takes_awkward_rows(spark):
         own = sorted(r.slot for r in rows if r.shard == s)
         assert own == list(range(len(own)))
     assert sharding.shard_rows(empty(spark), "doc_id", [1.0] * 3).count() == 0
+
+
+def test_examples_are_packed_on_their_way_to_the_driver():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 3000):
+        ids = np.sort(rng.choice(1 << 16, n, replace=False)).astype(np.int32)
+        shares = (rng.choice([1, 1, 1, 1, 2, 3], n) / max(1, n)).astype(np.float32)
+        packed = quality_classifier._packed(ids, shares)
+        got = quality_classifier._unpacked(packed)
+        assert got[0].dtype == np.int32 and got[1].dtype == np.float32
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == shares.tolist()
+    assert len(packed) < 8 * n / 3

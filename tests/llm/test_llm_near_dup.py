@@ -237,3 +237,15 @@ def test_texts_of_a_component_meet_a_large_one_by_tiles(spark, monkeypatch):
         crossing = [(u, v) for u, v in pairs if u[:1] == b"m" or v[:1] == b"m"]
         assert {v for _, v in crossing if v[:1] == b"s"} == {b"s%02d" % i for i in range(40)}
         assert len(crossing) <= 41 * tiles
+
+
+def test_components_grow_by_new_links_alone(spark):
+    """The components so far and new links give those of all links together."""
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))]
+    links = lambda some: spark.createDataFrame(some, "u long, v long")
+    roots = None
+    for i in range(0, 90, 30):
+        roots = near_dup._joined(roots, links(pairs[i:i + 30]))
+        want = near_dup.connected_components(links(pairs[:i + 30]))
+        assert sorted(map(tuple, roots.collect())) == sorted(map(tuple, want.collect()))

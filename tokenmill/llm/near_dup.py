@@ -436,14 +436,21 @@ def _sizes_allow(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
 
 
-def _with_roots(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``members`` with the component that each is in so far."""
-    if links is None:
+def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``members`` with the component (node, root) that each is in so far."""
+    if roots is None:
         return members.withColumn("root", F.col("node"))
-    rooted = members.join(connected_components(links), "node", "left")
+    rooted = members.join(roots, "node", "left")
     return stored(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, root) so far, with those that the ``links`` join made one."""
+    if roots is not None:  # a component is linked by its members' roots as well as by all its links
+        links = links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return connected_components(links)
+
+
 def _stars(members: DataFrame, similarity: float) -> DataFrame:
     """In each bucket of ``members`` (bucket, node, size, degree, root) the most central one of
     every other component, paired with the most central of all."""
@@ -474,13 +481,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     bag = map_batches(texts.select(mark, "text").join(met, "mark", "left_semi"), ["text"],
                       "node binary, size bigint, hashes binary, counts binary", _bag_rows)
     bag = stored(bag.dropDuplicates(["node"]), "bags")
-    links = None
+    roots = None
     for first, end in zip((0, *ROUNDS), (*ROUNDS, bands)):
-        some = _with_roots(members.where(F.col("band").between(first, end - 1)), links)
-        new = stored(_links(_stars(some, similarity), bag.drop("size"), similarity), "links")
-        links = new if links is None else links.unionByName(new)
-    more = stored(_links(_cross(_with_roots(members, links), bag, similarity, cross), bag.drop("size"), similarity), "links")
-    roots = connected_components(links.unionByName(more))
+        some = _with_roots(members.where(F.col("band").between(first, end - 1)), roots)
+        roots = _joined(roots, _links(_stars(some, similarity), bag.drop("size"), similarity))
+    more = _links(_cross(_with_roots(members, roots), bag, similarity, cross), bag.drop("size"), similarity)
+    roots = _joined(roots, more)
     rooted = nodes.join(roots, "node", "left").select("node", "key", "t", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no"), "key", "t")).alias("first"))
     classes = rooted.join(named, "root").select("node", F.col("first.key").alias("class_key"), F.col("first.t").alias("class_t"))
